@@ -123,3 +123,292 @@ feature_query("w5_global_shift_split", W5, skew=FORCED_SPLIT)
 
 # --- P4 as a feature ----------------------------------------------------------
 feature_query("p4_in_test_hh", [InTestHH("in_test_hh"), Agg("nunique", ("ip", "wday"), "in_test_hh", "ip_wday_unique_in_test_hh")])
+
+
+# --- projections (P2, P3, P5, P6) ---------------------------------------------
+def _with_clicks(sql: str) -> str:
+    return "WITH " + CLICKS_DUCKDB.strip() + ",\n" + sql
+
+
+@register(
+    "p2_p5_time_parts",
+    _with_clicks(
+        "t AS (SELECT 1 AS one)\n"
+        "SELECT click_id, CAST(hour(click_time) AS INT) AS hour, CAST(day(click_time) AS INT) AS day,"
+        " CAST(isodow(click_time) - 1 AS INT) AS wday, epoch_us(click_time) // 1000000 AS epoch_s FROM clicks"
+    ),
+)
+def q_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import timeparts as P
+
+    return clicks(spark, sf_dir).select(
+        "click_id",
+        P.hour("click_time").alias("hour"),
+        P.day("click_time").alias("day"),
+        P.wday("click_time").alias("wday"),
+        P.epoch_seconds("click_time").alias("epoch_s"),
+    )
+
+
+@register("p6_composite_key_bucket")
+def q_key_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """xxhash64 has no DuckDB twin: rows-only check."""
+    from ..functions.keys import composite_key_bucket
+
+    return clicks(spark, sf_dir).select("click_id", composite_key_bucket(["ip", "app", "device", "os"]).alias("category"))
+
+
+feature_query("w4_next_click_hashed_key", [NextClick(("ip", "app", "device", "os"), "nextClick", hash_buckets=2**26)])
+QUERIES.pop("w4_next_click_hashed_key")
+ORACLE.pop("w4_next_click_hashed_key")
+
+
+@register("w4_next_click_hashed_key")
+def q_next_click_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 over the hashed composite key (P6); rows-only (no DuckDB xxhash64)."""
+    return build_features(clicks(spark, sf_dir), [NextClick(("ip", "app", "device", "os"), "nextClick", 2**26)]).select(
+        "click_id", "nextClick"
+    )
+
+
+# --- splits, row range, append (S3, F1, F2, U1) ------------------------------
+TRAIN_LOG_SQL = "SELECT click_time, ip, app, device, os, channel, is_attributed, row_id FROM clicks WHERE day <= 25"
+TEST_LOG_SQL = "SELECT click_id, click_time, ip, app, device, os, channel, row_id FROM clicks WHERE day > 25"
+
+
+def _train_test(spark: SparkSession, sf_dir: str):
+    c = clicks(spark, sf_dir)
+    train = c.filter(F.col("day") <= 25).select("click_time", "ip", "app", "device", "os", "channel", "is_attributed", "row_id")
+    test = c.filter(F.col("day") > 25).select("click_id", "click_time", "ip", "app", "device", "os", "channel", "row_id")
+    return train, test
+
+
+@register(
+    "s3_row_range",
+    _with_clicks(
+        "lo AS (SELECT min(row_id) AS frm FROM clicks WHERE day >= 8), n AS (SELECT count(*) AS cnt FROM clicks)\n"
+        "SELECT click_id, ip FROM clicks, lo, n WHERE row_id >= frm - (CASE WHEN frm >= 1 THEN 1 ELSE 0 END)"
+        " AND row_id < cnt - (CASE WHEN frm >= 1 THEN 1 ELSE 0 END)"
+    ),
+)
+def q_row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows from the start of day 8 to the end, with the pandas skiprows offsets."""
+    from ..sources.files import row_range
+
+    c = clicks(spark, sf_dir)
+    frm = c.filter(F.col("day") >= 8).select(F.min("row_id")).scalar()
+    to = c.select(F.count(F.lit(1))).scalar()
+    return row_range(c, frm, to).select("click_id", "ip")
+
+
+@register(
+    "f2_day_split",
+    _with_clicks(
+        "x AS (SELECT 1)\nSELECT click_id, CASE WHEN day >= 26 THEN 'test' WHEN day >= 22 THEN 'valid' ELSE 'train' END AS split FROM clicks"
+    ),
+)
+def q_day_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.splits import day_split
+
+    return day_split(clicks(spark, sf_dir), valid_from=22, test_from=26).select("click_id", "split")
+
+
+@register(
+    "u1_append_logs",
+    _with_clicks(
+        f"tr AS ({TRAIN_LOG_SQL}), te AS ({TEST_LOG_SQL})\n"
+        "SELECT * FROM (SELECT *, 0 AS src FROM tr) UNION ALL BY NAME (SELECT *, 1 AS src FROM te)"
+    ),
+)
+def q_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import append_logs
+
+    train, test = _train_test(spark, sf_dir)
+    return append_logs(train, test)
+
+
+VAL_SIZE = 1000  # validation rows taken from the end of the train log
+
+
+@register(
+    "f1_positional_split",
+    _with_clicks(
+        f"tr AS ({TRAIN_LOG_SQL}), te AS ({TEST_LOG_SQL}),\n"
+        "u AS (SELECT * FROM (SELECT *, 0 AS src FROM tr) UNION ALL BY NAME (SELECT *, 1 AS src FROM te)),\n"
+        "n AS (SELECT count(*) AS n_train FROM u WHERE src = 0)\n"
+        f"SELECT src, row_id, CASE WHEN src = 1 THEN 'test' WHEN row_id >= n_train - {VAL_SIZE} THEN 'valid' ELSE 'train' END AS split FROM u, n"
+    ),
+)
+def q_positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.splits import positional_split
+    from ..sources.files import append_logs
+
+    train, test = _train_test(spark, sf_dir)
+    return positional_split(append_logs(train, test), VAL_SIZE).select("src", "row_id", "split")
+
+
+# --- sort, top-k, share (T1, T2, P10) ----------------------------------------
+@register(
+    "t1_sort_ip_clicks_desc",
+    _with_clicks("g AS (SELECT ip, count(*) AS clicks FROM clicks GROUP BY ip)\nSELECT ip, clicks FROM g ORDER BY clicks DESC, ip"),
+)
+def q_sort_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.rank import sort_desc
+
+    g = clicks(spark, sf_dir).groupBy("ip").agg(F.count(F.lit(1)).alias("clicks"))
+    return sort_desc(g, "clicks", ties=["ip"])
+
+
+@register(
+    "t2_top_ip_app",
+    _with_clicks(
+        "g AS (SELECT ip, app, count(*) AS clicks FROM clicks GROUP BY ip, app)\n"
+        "SELECT ip, app, clicks FROM g ORDER BY clicks DESC, ip, app LIMIT 100"
+    ),
+)
+def q_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.rank import top_k
+
+    g = clicks(spark, sf_dir).groupBy("ip", "app").agg(F.count(F.lit(1)).alias("clicks"))
+    return top_k(g, "clicks", 100, ties=["ip", "app"])
+
+
+@register(
+    "p10_app_click_share",
+    _with_clicks(
+        "g AS (SELECT app, count(*) AS clicks FROM clicks GROUP BY app)\n"
+        "SELECT app, clicks, ROUND(100.0 * clicks / (SELECT sum(clicks) FROM g), 6) AS clicks_pct FROM g"
+    ),
+)
+def q_percent_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.rank import percent_of_total
+
+    g = clicks(spark, sf_dir).groupBy("app").agg(F.count(F.lit(1)).alias("clicks"))
+    out = percent_of_total(g, "clicks", "clicks_pct")
+    return out.withColumn("clicks_pct", F.round("clicks_pct", ROUND))
+
+
+# --- scores: de-duplicate, attach, align, blend (A7, J2, J3, B1-B5, M6) -------
+# Deterministic score columns standing in for model output.
+S1 = "CAST(click_id % 101 AS DOUBLE) / 100"
+S2 = "CAST(click_id % 53 AS DOUBLE) / 52"
+S3 = "CAST(hour AS DOUBLE) / 23"
+SIX = "ip, app, device, os, channel, click_time"
+BLEND_ROUND = 9
+
+
+def _score_tables(spark: SparkSession, sf_dir: str):
+    c = clicks(spark, sf_dir)
+    return [c.select("click_id", F.expr(s).cast("double").alias("is_attributed")) for s in (S1, S2, S3)]
+
+
+def _blend_sql(expr: str) -> str:
+    return _with_clicks(
+        f"a AS (SELECT click_id, {S1} AS s1, {S2} AS s2, {S3} AS s3 FROM clicks)\n"
+        f"SELECT click_id, ROUND({expr}, {BLEND_ROUND}) AS is_attributed FROM a"
+    )
+
+
+@register(
+    "j3_align_score_tables",
+    _with_clicks(f"x AS (SELECT 1)\nSELECT click_id, {S1} AS s1, {S2} AS s2, {S3} AS s3 FROM clicks"),
+)
+def q_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scores import align_scores
+
+    return align_scores(_score_tables(spark, sf_dir), ["s1", "s2", "s3"])
+
+
+def _blend_query(name: str, how: str, sql_expr: str):
+    @register(name, _blend_sql(sql_expr))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..operators.scores import align_scores, blend
+
+        aligned = align_scores(_score_tables(spark, sf_dir), ["s1", "s2", "s3"])
+        out = blend(aligned, ["s1", "s2", "s3"], how)
+        return out.withColumn("is_attributed", F.round("is_attributed", BLEND_ROUND))
+
+    return run
+
+
+_blend_query("b1_arithmetic_blend", "arithmetic", "(s1 + s2 + s3) / 3")
+_blend_query(
+    "b2_geometric_blend",
+    "geometric",
+    "CASE WHEN s1 = 0 OR s2 = 0 OR s3 = 0 THEN 0.0 ELSE exp((ln(s1) + ln(s2) + ln(s3)) / 3) END",
+)
+_blend_query(
+    "b3_harmonic_blend",
+    "harmonic",
+    "CASE WHEN s1 = 0 OR s2 = 0 OR s3 = 0 THEN 0.0 ELSE 3 / (1 / s1 + 1 / s2 + 1 / s3) END",
+)
+_blend_query("b4_weighted_blend", "weighted", "(5 * s1 + 3 * s2 + 2 * s3) / 10")
+
+
+def _supplement_and_test(spark: SparkSession, sf_dir: str):
+    """The scored supplement is the whole log; the test log is its last days."""
+    c = clicks(spark, sf_dir)
+    scored = c.select("ip", "app", "device", "os", "channel", "click_time", F.expr(S1).cast("double").alias("is_attributed"))
+    test = c.filter(F.col("day") > 25).select("click_id", "ip", "app", "device", "os", "channel", "click_time")
+    return scored, test
+
+
+@register(
+    "a7_dedupe_scores",
+    _with_clicks(
+        f"s AS (SELECT {SIX}, {S1} AS is_attributed FROM clicks)\n"
+        f"SELECT {SIX}, ROUND(AVG(is_attributed), {BLEND_ROUND}) AS is_attributed FROM s GROUP BY {SIX}"
+    ),
+)
+def q_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scores import dedupe_scores
+
+    scored, _ = _supplement_and_test(spark, sf_dir)
+    return dedupe_scores(scored).withColumn("is_attributed", F.round("is_attributed", BLEND_ROUND))
+
+
+_DEDUP_SQL = (
+    f"s AS (SELECT {SIX}, {S1} AS is_attributed FROM clicks),\n"
+    f"d AS (SELECT {SIX}, AVG(is_attributed) AS is_attributed FROM s GROUP BY {SIX}),\n"
+    f"t AS (SELECT click_id, {SIX} FROM clicks WHERE day > 25)\n"
+)
+
+
+@register(
+    "j2_attach_scores",
+    _with_clicks(_DEDUP_SQL + f"SELECT click_id, {SIX}, ROUND(d.is_attributed, {BLEND_ROUND}) AS is_attributed FROM t LEFT JOIN d USING ({SIX})"),
+)
+def q_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scores import attach_scores, dedupe_scores
+
+    scored, test = _supplement_and_test(spark, sf_dir)
+    out = attach_scores(test, dedupe_scores(scored))
+    return out.withColumn("is_attributed", F.round("is_attributed", BLEND_ROUND))
+
+
+@register(
+    "b5_submission",
+    _with_clicks(_DEDUP_SQL + f"SELECT click_id, ROUND(d.is_attributed, {BLEND_ROUND}) AS is_attributed FROM t LEFT JOIN d USING ({SIX})"),
+)
+def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scores import submission
+
+    scored, test = _supplement_and_test(spark, sf_dir)
+    return submission(test, scored).withColumn("is_attributed", F.round("is_attributed", BLEND_ROUND))
+
+
+@register(
+    "m6_auc",
+    _with_clicks(
+        f"s AS (SELECT {S1} AS score, is_attributed AS label FROM clicks),\n"
+        "g AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM s GROUP BY score),\n"
+        "c AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)\n"
+        f"SELECT ROUND(SUM(pos * (below + 0.5 * neg)) / (SUM(pos) * SUM(neg)), {BLEND_ROUND}) AS auc FROM c"
+    ),
+)
+def q_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..ml.metrics import auc
+
+    c = clicks(spark, sf_dir).select(F.expr(S1).cast("double").alias("score"), "is_attributed")
+    value = round(auc(c, "score", "is_attributed"), BLEND_ROUND)
+    return spark.createDataFrame([(value,)], "auc double")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,18 +70,23 @@ def capped(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
     return df.filter(F.col(order) < F.lit(n))
 
 
-def row_range(df: DataFrame, frm: int, to: int, pandas_skiprows: bool = True, row_id: str = "row_id") -> DataFrame:
+def row_range(df: DataFrame, frm, to, pandas_skiprows: bool = True, row_id: str = "row_id") -> DataFrame:
     """S3: ``skiprows=range(1, frm), nrows=to - frm`` as a filter on ``row_id``.
 
     With ``pandas_skiprows`` the original's off-by-one is kept: ``frm >= 1``
     yields positions ``[frm - 1, to - 1)`` and ``frm = 0`` yields ``[0, to)``.
-    Otherwise the range is the half-open ``[frm, to)``.
+    Otherwise the range is the half-open ``[frm, to)``. ``frm`` / ``to`` may
+    be ints or scalar-subquery columns. The filter is pushed to the scan.
     """
-    lo, hi = frm, to
-    if pandas_skiprows and frm >= 1:
-        lo, hi = frm - 1, to - 1
+    f = frm if isinstance(frm, Column) else F.lit(frm)
+    t = to if isinstance(to, Column) else F.lit(to)
+    if pandas_skiprows:
+        shift = F.when(f >= 1, F.lit(1)).otherwise(F.lit(0))
+        lo, hi = f - shift, t - shift
+    else:
+        lo, hi = f, t
     rid = F.col(row_id)
-    return df.filter((rid >= F.lit(lo)) & (rid < F.lit(hi)))
+    return df.filter((rid >= lo) & (rid < hi))
 
 
 def read_scores(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
