@@ -412,3 +412,37 @@ def q_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clicks(spark, sf_dir).select(F.expr(S1).cast("double").alias("score"), "is_attributed")
     value = round(auc(c, "score", "is_attributed"), BLEND_ROUND)
     return spark.createDataFrame([(value,)], "auc double")
+
+
+# --- the three feature sets, composed (kernels 1-3) ---------------------------
+def _coded_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.encode import dictionary_encode
+
+    return dictionary_encode(clicks(spark, sf_dir), "app")
+
+
+CODED_BASE_SQL = "base AS (SELECT * REPLACE (CAST(dense_rank() OVER (ORDER BY app) - 1 AS INT) AS app) FROM clicks)"
+
+
+def kernel_query(name: str, specs: Sequence):
+    from .kernels import FEATURE_SETS  # noqa: F401
+
+    cols = O.output_columns(specs)
+    sql = O.features_sql("__BASE__", specs, cols).replace("__BASE__", CLICKS_DUCKDB.strip() + ",\n" + CODED_BASE_SQL, 1)
+
+    @register(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round_features(build_features(_coded_clicks(spark, sf_dir), specs), specs, cols)
+
+    return run
+
+
+def _kernels():
+    from .kernels import KERNEL1, KERNEL2, KERNEL3
+
+    kernel_query("kernel1_features", KERNEL1)
+    kernel_query("kernel2_features", KERNEL2)
+    kernel_query("kernel3_features", KERNEL3)
+
+
+_kernels()
