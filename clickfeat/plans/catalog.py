@@ -446,3 +446,57 @@ def _kernels():
 
 
 _kernels()
+
+
+# --- model operators (M1-M9), rows-only checks --------------------------------
+# The registered model queries train on kernel-1 features of the whole clicks
+# table with kernel-1 parameters; the round budget is cut to bound the check's
+# runtime (the early-stopping logic is unchanged).
+ML_ROUNDS = 60
+_ML_MEMO: dict = {}
+
+
+def _ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.splits import day_split
+    from .kernels import KERNEL1
+
+    feats = build_features(_coded_clicks(spark, sf_dir), KERNEL1)
+    return day_split(feats, valid_from=22, test_from=26)
+
+
+def _ml_result(spark: SparkSession, sf_dir: str):
+    from ..ml import gbt
+    from ..ml.train import validate_and_score
+    from .kernels import CATEGORICAL_1, predictors
+
+    key = (id(spark), sf_dir)
+    if key not in _ML_MEMO:
+        params = gbt.PARAMS["kernel1"]
+        feats = _ml_features(spark, sf_dir)
+        _ML_MEMO[key] = validate_and_score(feats, predictors("kernel1"), CATEGORICAL_1, params, rounds=ML_ROUNDS, block=20)
+    return _ML_MEMO[key]
+
+
+@register("m4_m5_staged_validation_auc")
+def q_staged_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ml_result(spark, sf_dir).staged
+
+
+@register("m8_score_test_best_prefix")
+def q_score_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ml_result(spark, sf_dir).scores
+
+
+@register("m9_feature_importance")
+def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ml_result(spark, sf_dir).importance
+
+
+@register("m7_fixed_round_refit_score")
+def q_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..ml import gbt
+    from ..ml.train import refit_and_score
+    from .kernels import CATEGORICAL_1, predictors
+
+    k = _ml_result(spark, sf_dir).best_iteration
+    return refit_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rounds=k)
