@@ -32,7 +32,8 @@ def _any_null(cols: list[Column]) -> Column:
     return cond
 
 
-_NULL = F.lit(None).cast("double")
+def _null() -> Column:
+    return F.lit(None).cast("double")
 
 
 def arithmetic_mean(cs: Sequence[str | Column]) -> Column:
@@ -49,7 +50,7 @@ def geometric_mean(cs: Sequence[str | Column]) -> Column:
     for c in cols[1:]:
         logs = logs + F.log(c)
     mean_log = logs / F.lit(float(len(cols)))
-    return F.when(_any_null(cols), _NULL).when(_any_zero(cols), F.lit(0.0)).otherwise(F.exp(mean_log))
+    return F.when(_any_null(cols), _null()).when(_any_zero(cols), F.lit(0.0)).otherwise(F.exp(mean_log))
 
 
 def harmonic_mean(cs: Sequence[str | Column]) -> Column:
@@ -58,7 +59,7 @@ def harmonic_mean(cs: Sequence[str | Column]) -> Column:
     for c in cols[1:]:
         recip = recip + F.try_divide(F.lit(1.0), c)
     safe = F.try_divide(F.lit(float(len(cols))), recip)
-    return F.when(_any_null(cols), _NULL).when(_any_zero(cols), F.lit(0.0)).otherwise(safe)
+    return F.when(_any_null(cols), _null()).when(_any_zero(cols), F.lit(0.0)).otherwise(safe)
 
 
 def weighted_mean(cs: Sequence[str | Column], weights: Sequence[float]) -> Column:
