@@ -194,10 +194,11 @@ def best_iteration(staged: DataFrame, patience: int | None = None) -> int:
 
 
 def score(model: GBTClassificationModel, df: DataFrame, k: int | None = None, features: str = "features",
-          out: str = "is_attributed", block: int = 50) -> DataFrame:
+          out: str = "is_attributed", block: int = 50, by_trees: bool = False) -> DataFrame:
     """M8: probability of class 1 using the first ``k`` trees (all when None)."""
     n = len(model.treeWeights)
-    if k is None or k >= n:
+    k = n if k is None else min(k, n)
+    if k == n and not by_trees:
         m = model.copy()
         m.setFeaturesCol(features)
         m.setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__pred")
