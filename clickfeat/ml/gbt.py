@@ -28,10 +28,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .metrics import auc_by_group
 
 MISSING = -1.0
 
@@ -153,32 +154,28 @@ def staged_auc(model: GBTClassificationModel, valid: DataFrame, label: str = "is
     for start in range(0, n, block):
         stop = min(n, start + block)
         scored = _tree_predictions(model, cur, start, stop, features)
-        margins = {}
         m = F.col("__m")
+        cols = []
         for i in range(start, stop):
             m = m + F.lit(float(weights[i])) * F.col(f"__tree{i}")
-            margins[i + 1] = m
-        stage = scored.select("__y", F.array(*[F.struct(F.lit(k).alias("k"), e.alias("s")) for k, e in margins.items()]).alias("__a"))
-        block_auc = _auc_by_group(stage.select("__y", F.inline("__a"))).collect()
+            cols.append(m.alias(f"__m{i + 1}"))
+        # materialise the block's margins once: the AUC plan reads them three
+        # times and the next block continues from the last one (lineage cut)
+        marg = scored.select("__y", features, *cols).checkpoint(eager=True)
+        pairs = [F.struct(F.lit(k).alias("k"), F.col(f"__m{k}").alias("s")) for k in range(start + 1, stop + 1)]
+        block_auc = _auc_by_group(marg.select("__y", F.inline(F.array(*pairs)))).collect()  # <= block rows
         for r in sorted(block_auc, key=lambda r: r["k"]):
             results.append((int(r["k"]), float(r["auc"])))
             if r["auc"] > best:
                 best, best_it = r["auc"], r["k"]
-        # carry the running margin, cut the lineage in the shared folder
-        cur = scored.select("__y", features, margins[stop].alias("__m")).checkpoint(eager=True)
+        cur = marg.select("__y", features, F.col(f"__m{stop}").alias("__m"))
         if patience is not None and results[-1][0] - best_it >= patience:
             break
     return spark.createDataFrame(results, "iteration int, auc double")
 
 
 def _auc_by_group(df: DataFrame, key: str = "k", score: str = "s", label: str = "__y") -> DataFrame:
-    """AUC per group by rank sums over distinct scores (ties count half)."""
-    g = df.groupBy(key, score).agg(F.sum(label).alias("pos"), F.sum(F.lit(1.0) - F.col(label)).alias("neg"))
-    w = Window.partitionBy(key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    return g.groupBy(key).agg(
-        (F.sum(F.col("pos") * (F.col("below") + F.lit(0.5) * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc")
-    )
+    return auc_by_group(df, score, label, group=key)
 
 
 def best_iteration(staged: DataFrame, patience: int | None = None) -> int:

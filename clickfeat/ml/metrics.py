@@ -1,28 +1,61 @@
-"""Model metrics (M6)."""
+"""Model metrics (M6): exact AUC, per group, without a single-task sort.
+
+AUC with ties counted half is ``sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N)``
+over distinct scores ``s``. ``neg_below`` is a prefix sum in score order,
+computed in two levels so no task holds all scores of a group:
+
+1. distinct ``(group, score)`` with positive / negative counts (partial aggregate);
+2. per group, ``buckets - 1`` approximate score quantiles (a table of
+   ``groups x buckets`` values, broadcast); a score's bucket is the number of
+   boundaries below it, so equal scores share a bucket and buckets follow
+   score order;
+3. per ``(group, bucket)`` negative totals, and their prefix over buckets
+   (a window over ``groups x buckets`` rows);
+4. inside each ``(group, bucket)`` a running sum in score order plus the
+   bucket's offset.
+
+The quantiles only balance the buckets; the result is exact for any boundaries.
+"""
 
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_G = "__group"
 
-def auc(df: DataFrame, score: str, label: str = "is_attributed", weight: str | None = None) -> float:
-    """M6: exact area under the ROC curve, tied scores counted half.
 
-    ``numBins=0`` keeps every distinct score (no down-sampled curve). The
-    evaluator sorts by score across the cluster and sums per partition; only
-    per-partition totals reach the driver.
-    """
-    data = df.select(F.col(score).cast("double").alias("__s"), F.col(label).cast("double").alias("__y"),
-                     *([F.col(weight).cast("double").alias("__w")] if weight else []))
-    ev = BinaryClassificationEvaluator(rawPredictionCol="__s", labelCol="__y", metricName="areaUnderROC", numBins=0)
-    if weight:
-        ev.setWeightCol("__w")
-    return float(ev.evaluate(data))
+def auc_by_group(df: DataFrame, score: str, label: str, group: str | None = None, buckets: int = 128,
+                 accuracy: int = 10_000, out: str = "auc") -> DataFrame:
+    """One row per group (or one row when ``group`` is None) with its exact AUC."""
+    g = F.col(group) if group else F.lit(0)
+    data = df.select(g.alias(_G), F.col(score).cast("double").alias("__s"), F.col(label).cast("double").alias("__y"))
+    d = data.groupBy(_G, "__s").agg(F.sum("__y").alias("__pos"), F.sum(F.lit(1.0) - F.col("__y")).alias("__neg"))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = d.groupBy(_G).agg(F.percentile_approx("__s", probs, accuracy).alias("__bounds"))
+    d = d.join(F.broadcast(bounds), _G)  # groups x buckets values
+    d = d.withColumn("__b", F.size(F.filter("__bounds", lambda x: x < F.col("__s")))).drop("__bounds")
+    per_b = d.groupBy(_G, "__b").agg(F.sum("__neg").alias("__bneg"))
+    wb = Window.partitionBy(_G).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per_b = per_b.withColumn("__off", F.coalesce(F.sum("__bneg").over(wb), F.lit(0.0))).drop("__bneg")
+    d = d.join(F.broadcast(per_b), [_G, "__b"])  # groups x buckets rows
+    w = Window.partitionBy(_G, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__below", F.col("__off") + F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
+    res = d.groupBy(_G).agg(
+        (F.sum(F.col("__pos") * (F.col("__below") + F.lit(0.5) * F.col("__neg")))
+         / (F.sum("__pos") * F.sum("__neg"))).alias(out)
+    )
+    return res.withColumnRenamed(_G, group) if group else res.select(out)
 
 
-def auc_frame(df: DataFrame, score: str, label: str = "is_attributed", name: str = "auc") -> DataFrame:
-    """The AUC as a one-row DataFrame."""
-    value = auc(df, score, label)
-    return df.sparkSession.createDataFrame([(value,)], f"{name} double")
+def auc(df: DataFrame, score: str, label: str = "is_attributed", weight: str | None = None) -> float:
+    """M6 as a number. Unweighted: ``auc_by_group``; weighted: the built-in
+    evaluator (``numBins=0``, a distributed sort by score)."""
+    if weight is None:
+        return float(auc_by_group(df, score, label).first()[0])
+    data = df.select(F.col(score).cast("double").alias("__s"), F.col(label).cast("double").alias("__y"),
+                     F.col(weight).cast("double").alias("__w"))
+    ev = BinaryClassificationEvaluator(rawPredictionCol="__s", labelCol="__y", metricName="areaUnderROC",
+                                       numBins=0, weightCol="__w")
+    return float(ev.evaluate(data))

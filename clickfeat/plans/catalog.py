@@ -407,11 +407,10 @@ def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def q_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..ml.metrics import auc
+    from ..ml.metrics import auc_by_group
 
     c = clicks(spark, sf_dir).select(F.expr(S1).cast("double").alias("score"), "is_attributed")
-    value = round(auc(c, "score", "is_attributed"), BLEND_ROUND)
-    return spark.createDataFrame([(value,)], "auc double")
+    return auc_by_group(c, "score", "is_attributed").select(F.round("auc", BLEND_ROUND).alias("auc"))
 
 
 # --- the three feature sets, composed (kernels 1-3) ---------------------------

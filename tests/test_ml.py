@@ -61,3 +61,18 @@ def test_best_iteration_patience(spark):
     staged = spark.createDataFrame([(1, 0.6), (2, 0.7), (3, 0.7), (4, 0.65), (5, 0.8)], "iteration int, auc double")
     assert gbt.best_iteration(staged) == 5
     assert gbt.best_iteration(staged, patience=2) == 2
+
+
+def test_two_level_auc_equals_evaluator(planted, spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from clickfeat.ml.metrics import auc_by_group
+
+    s = planted.withColumn("s", F.round(F.col("x1") * 20) / 20)  # many ties
+    ev = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0).evaluate(
+        s.withColumn("y", F.col("is_attributed").cast("double")))
+    for b in (2, 7, 128):
+        got = auc_by_group(s, "s", "is_attributed", buckets=b).first()[0]
+        assert got == pytest.approx(ev, abs=1e-12)
+    per = {r["cat"]: r["auc"] for r in auc_by_group(s, "s", "is_attributed", group="cat", buckets=5).collect()}
+    assert set(per) == {0, 1, 2, 3}
