@@ -46,6 +46,7 @@ _T = "__t"  # epoch micros of the order time
 _B = "__bucket"
 _PH = "__ph"  # -1 head phantom, 0 real row, 1 tail phantom
 _OFF = "__off"  # rows of the key before this bucket (head phantom only)
+_OWN = "__own"  # group a phantom row belongs to (-1 on real rows)
 _N, _T0, _T1, _NB = "__n", "__t0", "__t1", "__nb"
 
 MICROS = 1_000_000
@@ -115,16 +116,39 @@ def ordered_values(
 
     Rows whose key has a NULL part get NULL outputs (pandas drops such keys).
     """
-    keys = list(keys)
+    return ordered_family(df, keys, [(keys, reqs)], order, skew)
+
+
+def ordered_family(
+    df: DataFrame,
+    family_keys: Sequence[str],
+    groups: Sequence[tuple[Sequence[str], Sequence[Req]]],
+    order: Order = Order(),
+    skew: SkewSplit = SkewSplit(),
+) -> DataFrame:
+    """Ordered requests of several key sets that all contain ``family_keys``.
+
+    The rows are shuffled once, hash-partitioned by ``family_keys`` (plus
+    the hot-key bucket); a hash partitioning on a subset of a window's keys
+    satisfies that window, so every group's window runs on the same
+    partitions with only a sort in between. Hot keys are detected on
+    ``family_keys``; each group receives its own carries as phantom rows
+    tagged with the group, and only that group's window sees them.
+    """
+    fam = list(family_keys)
+    for gkeys, _ in groups:
+        if not set(fam) <= set(gkeys):
+            raise ValueError(f"{list(gkeys)} does not contain the family keys {fam}")
     base = df.withColumn(_T, epoch_micros(order.time))
     skew = skew.resolve(base) if skew.enabled else skew
-    if skew.may_have_heavy():
-        heavy = _heavy_stats(base, keys, skew.heavy_rows)
-        if heavy is not None:
-            out = _split_window(base, keys, reqs, order, heavy)
-            return _null_keys(out, keys, reqs).drop(_T)
-    out = _plain_window(base, keys, reqs, order)
-    return _null_keys(out, keys, reqs).drop(_T)
+    heavy = _heavy_stats(base, fam, skew.heavy_rows) if skew.may_have_heavy() else None
+    if heavy is None:
+        out = _plain_family(base, fam, groups, order)
+    else:
+        out = _split_family(base, fam, groups, order, heavy)
+    for gkeys, reqs in groups:
+        out = _null_keys(out, gkeys, reqs)
+    return out.drop(_T)
 
 
 def _window_exprs(reqs: Sequence[Req], w: Window, running: Window, split: bool) -> dict[str, Column]:
@@ -144,9 +168,12 @@ def _window_exprs(reqs: Sequence[Req], w: Window, running: Window, split: bool)
     return exprs
 
 
-def _plain_window(df, keys, reqs, order):
-    w = Window.partitionBy(*keys).orderBy(F.col(_T), F.col(order.tie))
-    return df.withColumns(_window_exprs(reqs, w, w, split=False))
+def _plain_family(df, fam, groups, order):
+    out = df.repartition(*fam) if fam and len(groups) > 1 else df
+    for gkeys, reqs in groups:
+        w = Window.partitionBy(*gkeys).orderBy(F.col(_T), F.col(order.tie))
+        out = out.withColumns(_window_exprs(reqs, w, w, split=False))
+    return out
 
 
 def _heavy_stats(df: DataFrame, keys: list[str], heavy_rows: int):
@@ -177,52 +204,67 @@ def _bucket_of(t: Column, t0: Column, t1: Column, nb: Column) -> Column:
     return F.floor(num / span).cast("long")
 
 
-def _split_window(df, keys, reqs, order, heavy):
-    if keys:
-        rows = df.join(F.broadcast(heavy), on=keys, how="left")
+def _split_family(df, fam, groups, order, heavy):
+    if fam:
+        rows = df.join(F.broadcast(heavy), on=fam, how="left")
         bucket = F.when(F.col(_N).isNull(), F.lit(0).cast("long")).otherwise(
             _bucket_of(F.col(_T), F.col(_T0), F.col(_T1), F.col(_NB))
         )
+        is_heavy = F.col(_N).isNotNull()
     else:
         h = heavy.first()
         rows = df
         bucket = _bucket_of(F.col(_T), F.lit(h[_T0]), F.lit(h[_T1]), F.lit(h[_NB]))
-    is_heavy = F.col(_N).isNotNull() if keys else F.lit(True)
+        is_heavy = F.lit(True)
     rows = rows.withColumn(_B, bucket).withColumn("__heavy", is_heavy).drop(_N, _T0, _T1, _NB)
-    rows = rows.withColumn(_PH, F.lit(0))
-
-    # Per heavy (key, bucket) summary; small by construction.
+    real = rows.withColumns({_PH: F.lit(0), _OWN: F.lit(-1), _OFF: F.lit(None).cast("long")})
+    unioned = real
+    for j, (gkeys, reqs) in enumerate(groups):
+        for ph in _phantoms(rows.filter(F.col("__heavy")), list(gkeys), reqs, order, j):
+            unioned = unioned.unionByName(ph, allowMissingColumns=True)
+    out = unioned.repartition(*fam, _B)
+    for j, (gkeys, reqs) in enumerate(groups):
+        foreign = (F.col(_PH) != 0) & (F.col(_OWN) != j)
+        w = Window.partitionBy(*gkeys, _B, foreign).orderBy(F.col(_PH), F.col(_T), F.col(order.tie))
+        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumns(_window_exprs(reqs, w, running, split=True))
+    return out.filter(F.col(_PH) == 0).drop(_B, _PH, _OFF, _OWN, "__heavy")
+
+
+def _phantoms(heavy_rows: DataFrame, gkeys: list[str], reqs, order, owner: int) -> list[DataFrame]:
+    """Head / tail carry rows of group ``owner`` for each of its hot buckets.
+
+    The summary has one row per (key, bucket) of hot keys; a window over it
+    per key (at most ``buckets`` rows each) yields the carries.
+    """
     ordkey = F.struct(F.col(_T), F.col(order.tie))
     values = sorted({_value_col(r) for r in reqs if r.kind != "rownum"})
-    summ_aggs = [F.count(F.lit(1)).alias("__cnt")]
+    aggs = [F.count(F.lit(1)).alias("__cnt")]
     for i, v in enumerate(values):
-        summ_aggs.append(F.min_by(F.col(v), ordkey).alias(f"__first{i}"))
-        summ_aggs.append(F.max_by(F.col(v), ordkey).alias(f"__last{i}"))
-    summ = rows.filter(F.col("__heavy")).groupBy(*keys, _B).agg(*summ_aggs)
-    sw = Window.partitionBy(*keys).orderBy(_B)
-    carry = {"__before": F.coalesce(F.sum("__cnt").over(sw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+        aggs.append(F.min_by(F.col(v), ordkey).alias(f"__first{i}"))
+        aggs.append(F.max_by(F.col(v), ordkey).alias(f"__last{i}"))
+    summ = heavy_rows.groupBy(*gkeys, _B).agg(*aggs)
+    sw = Window.partitionBy(*gkeys).orderBy(_B)
+    carry = {
+        "__before": F.coalesce(F.sum("__cnt").over(sw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "__has_next": F.lead(F.lit(1)).over(sw).isNotNull(),
+    }
     for i, _ in enumerate(values):
         carry[f"__next{i}"] = F.lead(f"__first{i}").over(sw)
         carry[f"__prev{i}"] = F.lag(f"__last{i}").over(sw)
     summ = summ.withColumns(carry)
-
-    def phantom(ph: int) -> DataFrame:
-        cols = [F.col(k) for k in keys] + [F.col(_B), F.lit(ph).alias(_PH)]
+    out = []
+    for ph in (-1, 1):
+        cols = [F.col(k) for k in gkeys] + [F.col(_B), F.lit(ph).alias(_PH), F.lit(owner).alias(_OWN)]
         for i, v in enumerate(values):
-            src = f"__prev{i}" if ph < 0 else f"__next{i}"
-            cols.append(F.col(src).alias(v))
+            cols.append(F.col(f"__prev{i}" if ph < 0 else f"__next{i}").alias(v))
         if ph < 0:
             cols.append(F.col("__before").cast("long").alias(_OFF))
-        return summ.select(*cols)
-
-    real = rows.withColumn(_OFF, F.lit(None).cast("long"))
-    unioned = real.unionByName(phantom(-1), allowMissingColumns=True).unionByName(
-        phantom(1), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*keys, _B).orderBy(F.col(_PH), F.col(_T), F.col(order.tie))
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = unioned.withColumns(_window_exprs(reqs, w, running, split=True))
-    return out.filter(F.col(_PH) == 0).drop(_B, _PH, _OFF, "__heavy")
+            keep = F.col("__before") > 0  # a bucket after the key's first one
+        else:
+            keep = F.col("__has_next")
+        out.append(summ.filter(keep).select(*cols))
+    return out
 
 
 def _null_keys(df: DataFrame, keys: Sequence[str], reqs: Sequence[Req]) -> DataFrame:

@@ -3,10 +3,12 @@
 A feature set is a list of specs. ``build_features`` normalises it:
 
 * duplicate computations are computed once and aliased (Q7);
-* operations are grouped by their canonical (sorted) key set, and within a
-  key set the window runs first and the aggregate joins right after it:
-  the window leaves the rows hash-partitioned by exactly those keys, so the
-  sort-merge join that follows needs no second shuffle of the big side;
+* ordered (window) features are grouped into families by key prefix: one
+  hash shuffle on the family keys serves every window whose keys contain
+  them (kernel 1: 12 window key sets -> 2 shuffles of the row table);
+* aggregates are fused per key set into one group-by and one join back;
+  joins whose keys contain a family's keys follow that family and reuse its
+  partitioning (only the aggregate side is shuffled);
 * keyless features (the global shift) run last, after their inputs exist.
 """
 
@@ -128,12 +130,17 @@ def build_features(
 
     if windows:
         skew = skew.resolve(out) if skew.enabled else skew
-    key_sets = list(dict.fromkeys([*windows.keys(), *plan.groups.keys()]))
     src = out
-    for keys in key_sets:
-        out = _apply_windows(out, keys, windows.get(keys, []), order, skew)
-        if keys in plan.groups:
-            out = join_back(out, group_table(src, keys, plan.groups[keys]), keys)
+    pending = dict(plan.groups)
+    for fam, members in window_families(list(windows)).items():
+        out = _apply_family(out, fam, [(keys, windows[keys]) for keys in members], order, skew)
+        # joins whose keys contain the family keys come right after it: the
+        # rows are already hash-partitioned by the family keys, so only the
+        # aggregate side is shuffled (partial-key co-partitioning)
+        for keys in [k for k in pending if set(fam) <= set(k)]:
+            out = join_back(out, group_table(src, keys, pending.pop(keys)), keys)
+    for keys, group in pending.items():
+        out = join_back(out, group_table(src, keys, group), keys)
 
     for s in specs:
         if isinstance(s, Shift):
@@ -143,37 +150,62 @@ def build_features(
     return out
 
 
-def _apply_windows(df: DataFrame, keys: tuple[str, ...], specs: list, order: W.Order, skew: W.SkewSplit) -> DataFrame:
-    if not specs:
-        return df
-    gaps = [s for s in specs if isinstance(s, Gap)]
-    reqs, finals, drops = [], {}, []
+def window_families(key_sets: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
+    """Group window key sets so each family shares one shuffle.
+
+    Smallest sets first; a set joins the first family whose keys it
+    contains, otherwise it starts a family of its own. (ip), (ip, os, device)
+    and (ip, channel) share the family (ip); (device, hour) joins (device).
+    """
+    fams: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for ks in sorted(key_sets, key=lambda k: (len(k), k)):
+        for fam in fams:
+            if set(fam) <= set(ks):
+                fams[fam].append(ks)
+                break
+        else:
+            fams[ks] = [ks]
+    return fams
+
+
+def _apply_family(df: DataFrame, fam: tuple[str, ...], members: list, order: W.Order, skew: W.SkewSplit) -> DataFrame:
+    """All window specs of a family: one shuffle, one window per key set."""
+    groups, finals, drops = [], {}, []
     tmp = df
-    for i, g in enumerate(gaps):
-        raw = f"__gap{i}"
-        reqs.append(W.Req("lead" if g.direction == "next" else "lag", raw))
-        t = W.epoch_micros(order.time)
-        diff = (F.col(raw) - t) if g.direction == "next" else (t - F.col(raw))
-        finals[g.out] = W.seconds_part(diff, "day").cast("float")
-        drops.append(raw)
-    for c in (s for s in specs if isinstance(s, CumCount)):
-        reqs.append(W.Req("rownum", c.out))
-    sentinel = [s for s in specs if isinstance(s, NextClick) and not s.hash_buckets]
-    if sentinel:
-        tmp = tmp.withColumn("__epoch", W.epoch_seconds(order.time))
-        for j, s in enumerate(sentinel):
-            raw = f"__nepoch{j}"
+    needs_epoch = False
+    n = 0
+    for keys, specs in members:
+        reqs = []
+        for g in (s for s in specs if isinstance(s, Gap)):
+            raw = f"__o{n}"
+            n += 1
+            reqs.append(W.Req("lead" if g.direction == "next" else "lag", raw))
+            t = W.epoch_micros(order.time)
+            diff = (F.col(raw) - t) if g.direction == "next" else (t - F.col(raw))
+            finals[g.out] = W.seconds_part(diff, "day").cast("float")
+            drops.append(raw)
+        for c in (s for s in specs if isinstance(s, CumCount)):
+            reqs.append(W.Req("rownum", c.out))
+        for s in (s for s in specs if isinstance(s, NextClick) and not s.hash_buckets):
+            raw = f"__o{n}"
+            n += 1
+            needs_epoch = True
             reqs.append(W.Req("lead", raw, "__epoch"))
             nxt = F.coalesce(F.col(raw), F.lit(W.NEXT_CLICK_SENTINEL).cast("long"))
             finals[s.out] = (nxt - F.col("__epoch")).cast("long")
             drops.append(raw)
+        if reqs:
+            groups.append((keys, reqs))
+    if needs_epoch:
+        tmp = tmp.withColumn("__epoch", W.epoch_seconds(order.time))
         drops.append("__epoch")
-    if reqs:
-        tmp = W.ordered_values(tmp, keys, reqs, order, skew)
+    if groups:
+        tmp = W.ordered_family(tmp, fam, groups, order, skew)
         tmp = tmp.withColumns(finals).drop(*drops)
-    for s in specs:
-        if isinstance(s, NextClick) and s.hash_buckets:
-            tmp = W.add_next_click_sentinel(tmp, s.keys, s.out, order, skew, s.hash_buckets)
+    for keys, specs in members:
+        for s in specs:
+            if isinstance(s, NextClick) and s.hash_buckets:
+                tmp = W.add_next_click_sentinel(tmp, s.keys, s.out, order, skew, s.hash_buckets)
     return tmp
 
 

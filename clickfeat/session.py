@@ -23,6 +23,11 @@ LIBRARY_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A join on keys that contain the partitioning keys of one side reuses
+    # that partitioning and shuffles only the other side. The row table is
+    # partitioned by a window family's keys only when no key of the family
+    # is hot (each group is bounded), see operators/ordered.py.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -47,3 +47,32 @@ def test_properties(base):
     b = g.select("ip", (F.col("pos") - 1).alias("pos"), "pv")
     j = a.join(b, ["ip", "pos"])
     assert j.filter(~F.col("nx").eqNullSafe(F.col("pv"))).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [None, 40, 900])
+def test_family_equals_separate_windows(base, heavy):
+    """Windows sharing one shuffle on a key prefix equal one window per key set."""
+    from clickfeat.operators.ordered import ordered_family
+
+    groups = [
+        (["device"], [Req("lead", "a"), Req("rownum", "b")]),
+        (["device", "hour"], [Req("lag", "c"), Req("lead", "d", "os")]),
+        (["device", "channel", "app"], [Req("rownum", "e"), Req("lead", "f")]),
+    ]
+    skew = SkewSplit(enabled=False) if heavy is None else SkewSplit(heavy_rows=heavy)
+    fam = ordered_family(base, ["device"], groups, skew=skew)
+    sep = base
+    for keys, reqs in groups:
+        sep = ordered_values(sep, keys, reqs, skew=SkewSplit(enabled=False))
+    cols = ["click_id", "a", "b", "c", "d", "e", "f"]
+    assert fam.select(cols).exceptAll(sep.select(cols)).count() == 0
+    assert fam.count() == base.count()
+
+
+def test_family_plan_shuffles_once(base):
+    from clickfeat.plans.specs import Gap, build_features
+
+    specs = [Gap(("ip",)), Gap(("ip", "os")), Gap(("ip", "os", "device")), Gap(("ip", "channel"), "prev")]
+    out = build_features(base, specs, skew=SkewSplit(enabled=False))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
