@@ -25,14 +25,16 @@ class TrainResult:
 
 def validate_and_score(features: DataFrame, predictors: Sequence[str], categorical: Sequence[str],
                        params: gbt.TrainParams, rounds: int | None = None, split: str = "split",
-                       label: str = "is_attributed", block: int = 25) -> TrainResult:
+                       label: str = "is_attributed", block: int = 25,
+                       keep: Sequence[str] = ("click_id",)) -> TrainResult:
     """Validate mode: fit on train, early-stop on validation AUC, score test with the best prefix."""
     train, valid, test = (take(features, s, split) for s in (TRAIN, VALID, TEST))
     fm = gbt.feature_matrix(train, predictors, categorical, label, params.max_bins)
     model = gbt.fit(fm.transform(train), params, rounds, label)
     staged = gbt.staged_auc(model, fm.transform(valid), label, block=block, patience=params.patience)
     k = gbt.best_iteration(staged, params.patience)
-    scores = gbt.score(model, fm.transform(test), k).select("click_id", "is_attributed")
+    carried = [c for c in keep if c in test.columns]  # validate-only runs have no test log
+    scores = gbt.score(model, fm.transform(test), k).select(*carried, "is_attributed")
     imp = gbt.importance(model, fm.names, k)
     return TrainResult(model, fm, k, staged, scores, imp)
 

@@ -29,10 +29,12 @@ def positional_split(
     """test = appended rows (``src = 1``); validation = the last
     ``val_size`` train rows by load position; train = the rest.
 
-    ``row_id`` is the dense load position inside the train log.
+    ``row_id`` is the dense load position inside the train log; ``n_train``
+    is the end of the train positions (default ``max(row_id) + 1`` of the
+    train rows, as a scalar subquery).
     """
     if n_train is None:
-        n_train = df.filter(F.col(src) == 0).select(F.count(F.lit(1))).scalar()
+        n_train = df.filter(F.col(src) == 0).select(F.max(row_id) + 1).scalar()
     cut = _lit(n_train) - _lit(val_size)
     label = (
         F.when(F.col(src) == 1, F.lit(TEST))

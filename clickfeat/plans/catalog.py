@@ -499,3 +499,54 @@ def q_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     k = _ml_result(spark, sf_dir).best_iteration
     return refit_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rounds=k)
+
+
+# --- remaining inventory items over the whole table (A8, T3, S2, P7) ----------
+@register(
+    "a8_global_max_feature",
+    _with_clicks(
+        "g AS (SELECT ip, app, count(*) AS n FROM clicks GROUP BY ip, app),\n"
+        "f AS (SELECT c.*, g.n AS ip_appcount FROM clicks c LEFT JOIN g USING (ip, app))\n"
+        "SELECT max(ip_appcount) AS max_ip_appcount FROM f"
+    ),
+)
+def q_global_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.aggregates import add_group_features, global_max
+
+    feats = add_group_features(clicks(spark, sf_dir), [Agg("count", ("ip", "app"))])
+    return global_max(feats, "ip_appcount")
+
+
+@register("t3_head_load_order", _with_clicks("x AS (SELECT 1)\nSELECT click_id, ip, app, click_time FROM clicks ORDER BY row_id LIMIT 5"))
+def q_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.rank import head
+
+    return head(clicks(spark, sf_dir), 5).select("click_id", "ip", "app", "click_time")
+
+
+DEBUG_ROWS = 100_000  # fixed value: the debug slice size of the original
+
+
+@register("s2_capped_scan", _with_clicks(f"x AS (SELECT 1)\nSELECT click_id, ip FROM clicks WHERE row_id < {DEBUG_ROWS}"))
+def q_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import capped
+
+    return capped(clicks(spark, sf_dir), DEBUG_ROWS).select("click_id", "ip")
+
+
+@register(
+    "p7_wrap_unsigned",
+    _with_clicks(
+        "g AS (SELECT ip, day, hour, count(channel) AS ip_tcount FROM clicks GROUP BY ip, day, hour)\n"
+        "SELECT click_id, CAST(((ip % 256) + 256) % 256 AS BIGINT) AS ip_u8,"
+        " CAST(((g.ip_tcount % 65536) + 65536) % 65536 AS BIGINT) AS ip_tcount_u16"
+        " FROM clicks LEFT JOIN g USING (ip, day, hour)"
+    ),
+)
+def q_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unsigned narrowing casts of the original, as explicit wraps."""
+    from ..functions.keys import wrap_unsigned
+    from ..operators.aggregates import add_group_features
+
+    feats = add_group_features(clicks(spark, sf_dir), [Agg("nonnull", ("ip", "day", "hour"), "channel", "ip_tcount")])
+    return feats.select("click_id", wrap_unsigned("ip", 8).alias("ip_u8"), wrap_unsigned("ip_tcount", 16).alias("ip_tcount_u16"))

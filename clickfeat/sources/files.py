@@ -94,10 +94,17 @@ def read_scores(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.schema(SCORE_SCHEMA).option("header", True).csv(path if isinstance(path, str) else list(path))
 
 
-def append_logs(train: DataFrame, test: DataFrame, src: str = "src") -> DataFrame:
+def append_logs(train: DataFrame, test: DataFrame, src: str = "src", row_id: str | None = None) -> DataFrame:
     """Train rows then test rows, columns matched by name, missing as NULL.
 
-    ``src`` (0 train, 1 test) with the per-log ``row_id`` gives the order of
-    the appended table: ``(src, row_id)``.
+    ``src`` is 0 for train and 1 for test. With ``row_id`` (the per-log load
+    position) the test positions are moved after the train ones, so
+    ``row_id`` stays one load order over the appended table; the end of the
+    train positions (``max + 1``, right after a row range too) enters as a
+    scalar subquery.
     """
-    return train.withColumn(src, F.lit(0)).unionByName(test.withColumn(src, F.lit(1)), allowMissingColumns=True)
+    t = test.withColumn(src, F.lit(1))
+    if row_id:
+        end = train.select(F.coalesce(F.max(row_id) + 1, F.lit(0))).scalar()
+        t = t.withColumn(row_id, F.col(row_id) + end)
+    return train.withColumn(src, F.lit(0)).unionByName(t, allowMissingColumns=True)
