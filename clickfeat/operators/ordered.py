@@ -12,9 +12,10 @@ shift) would then run in one task. The two-level form used here:
    only keys with more than ``T`` rows are kept. ``T >= N / max_heavy_keys``,
    so the kept table has at most ``max_heavy_keys`` rows (a proven bound) and
    is broadcast.
-2. A heavy key is cut into ``ceil(count / T)`` time buckets of equal width;
-   every other key has the single bucket 0. The window partitions by
-   ``(keys, bucket)``.
+2. A heavy key is cut into at least ``ceil(count / T)`` time buckets: its
+   own approximate time quantiles give 16 intervals (so bursts are split),
+   each cut into equal-width parts; every other key has the single bucket
+   0. The window partitions by ``(keys, bucket)``.
 3. Per heavy ``(key, bucket)``: first value, last value and row count
    (at most about ``2 * max_heavy_keys`` rows). A window over this small
    table gives, per bucket, the first value of the next non-empty bucket,
@@ -47,7 +48,7 @@ _B = "__bucket"
 _PH = "__ph"  # -1 head phantom, 0 real row, 1 tail phantom
 _OFF = "__off"  # rows of the key before this bucket (head phantom only)
 _OWN = "__own"  # group a phantom row belongs to (-1 on real rows)
-_N, _T0, _T1, _NB = "__n", "__t0", "__t1", "__nb"
+_N, _T0, _T1, _NB, _Q = "__n", "__t0", "__t1", "__nb", "__q"
 
 MICROS = 1_000_000
 DAY_SECONDS = 86_400
@@ -176,11 +177,17 @@ def _plain_family(df, fam, groups, order):
     return out
 
 
+QUANTILES = 16  # time quantiles per hot key: bucket edges follow the key's own density
+
+
 def _heavy_stats(df: DataFrame, keys: list[str], heavy_rows: int):
-    """Keys above ``heavy_rows`` with their time range; None when there are none.
+    """Hot keys with their time range and time quantiles; None when there are none.
 
-    At most ``N / heavy_rows <= max_heavy_keys`` rows, so collecting the
-    table (to test for emptiness and to broadcast it) is bounded.
+    Pass 1 (partial aggregate over all rows): keys above ``heavy_rows``, at
+    most ``N / heavy_rows <= max_heavy_keys`` of them. Pass 2 (hot rows
+    only): ``QUANTILES - 1`` approximate time quantiles per hot key. The
+    table has at most ``max_heavy_keys`` rows of ``QUANTILES + 4`` values, so
+    collecting and broadcasting it is bounded.
     """
     g = df.groupBy(*keys) if keys else df.groupBy()
     stats = (
@@ -193,30 +200,49 @@ def _heavy_stats(df: DataFrame, keys: list[str], heavy_rows: int):
     rows = stats.collect()
     if not rows:
         return None
-    return df.sparkSession.createDataFrame(rows, schema=stats.schema)
-
-
-def _bucket_of(t: Column, t0: Column, t1: Column, nb: Column) -> Column:
-    # floor((t - t0) * nb / (t1 - t0 + 1)) lies in [0, nb); decimal math
-    # avoids overflow of micros * buckets.
-    span = (t1 - t0 + F.lit(1)).cast("decimal(38,0)")
-    num = (t - t0).cast("decimal(38,0)") * nb.cast("decimal(38,0)")
-    return F.floor(num / span).cast("long")
+    spark = df.sparkSession
+    hot = spark.createDataFrame(rows, schema=stats.schema)
+    probs = [i / QUANTILES for i in range(1, QUANTILES)]
+    if keys:
+        hot_rows = df.join(F.broadcast(hot.select(*keys)), on=keys)
+        q = hot_rows.groupBy(*keys).agg(F.percentile_approx(_T, probs, 10_000).alias(_Q))
+        merged = hot.join(q, on=keys).collect()
+        return spark.createDataFrame(merged, schema=hot.join(q, on=keys).schema)
+    q = df.agg(F.percentile_approx(_T, probs, 10_000).alias(_Q)).first()[_Q]
+    r = rows[0].asDict()
+    r[_Q] = q
+    schema = T.StructType(list(stats.schema.fields) + [T.StructField(_Q, T.ArrayType(T.LongType()))])
+    return spark.createDataFrame([r], schema=schema)
+
+
+def _bucket_of(t: Column, t0: Column, t1: Column, nb: Column, qs: Column) -> Column:
+    """Bucket of time ``t`` for a hot key: the quantile interval it falls in,
+    cut into ``ceil(nb / QUANTILES)`` equal-width parts. Monotone in ``t``."""
+    idx = F.size(F.filter(qs, lambda x: x <= t))  # 0 .. QUANTILES - 1
+    lo = F.when(idx == 0, t0).otherwise(F.element_at(qs, idx))
+    hi = F.when(idx >= F.size(qs), t1).otherwise(F.element_at(qs, idx + 1))
+    parts = F.ceil(nb / F.lit(QUANTILES)).cast("long")
+    # floor((t - lo) * parts / (hi - lo + 1)) lies in [0, parts); decimal math
+    # avoids overflow of micros * parts.
+    span = (hi - lo + F.lit(1)).cast("decimal(38,0)")
+    num = (t - lo).cast("decimal(38,0)") * parts.cast("decimal(38,0)")
+    return (idx.cast("long") * parts + F.floor(num / span)).cast("long")
 
 
 def _split_family(df, fam, groups, order, heavy):
     if fam:
         rows = df.join(F.broadcast(heavy), on=fam, how="left")
         bucket = F.when(F.col(_N).isNull(), F.lit(0).cast("long")).otherwise(
-            _bucket_of(F.col(_T), F.col(_T0), F.col(_T1), F.col(_NB))
+            _bucket_of(F.col(_T), F.col(_T0), F.col(_T1), F.col(_NB), F.col(_Q))
         )
         is_heavy = F.col(_N).isNotNull()
     else:
         h = heavy.first()
         rows = df
-        bucket = _bucket_of(F.col(_T), F.lit(h[_T0]), F.lit(h[_T1]), F.lit(h[_NB]))
+        qs = F.array(*[F.lit(int(x)) for x in h[_Q]]).cast("array<bigint>")
+        bucket = _bucket_of(F.col(_T), F.lit(h[_T0]), F.lit(h[_T1]), F.lit(h[_NB]), qs)
         is_heavy = F.lit(True)
-    rows = rows.withColumn(_B, bucket).withColumn("__heavy", is_heavy).drop(_N, _T0, _T1, _NB)
+    rows = rows.withColumn(_B, bucket).withColumn("__heavy", is_heavy).drop(_N, _T0, _T1, _NB, _Q)
     real = rows.withColumns({_PH: F.lit(0), _OWN: F.lit(-1), _OFF: F.lit(None).cast("long")})
     unioned = real
     for j, (gkeys, reqs) in enumerate(groups):
@@ -371,5 +397,3 @@ def add_global_shift(
     name = name or f"{value}_shift"
     return ordered_values(df, [], [Req("lag", name, value)], order, skew)
 
-
-_ = T  # typing import kept for callers that build schemas from this module

@@ -76,3 +76,24 @@ def test_family_plan_shuffles_once(base):
     out = build_features(base, specs, skew=SkewSplit(enabled=False))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_bursty_hot_key_is_split_evenly(spark):
+    """A hot key with 95% of its rows inside one second still gets small buckets."""
+    import datetime as dt
+
+    from clickfeat.operators import ordered as W
+
+    t0 = dt.datetime(2017, 11, 7)
+    rows = [(i, t0 + dt.timedelta(microseconds=i), 1, i) for i in range(1900)]
+    rows += [(1900 + i, t0 + dt.timedelta(minutes=15 * i + 1), 1, 1900 + i) for i in range(100)]
+    df = spark.createDataFrame(rows, "click_id long, click_time timestamp_ntz, k long, row_id long")
+    base = df.withColumn(W._T, W.epoch_micros("click_time"))
+    heavy = W._heavy_stats(base, ["k"], 100)
+    b = base.join(heavy, "k").select(W._bucket_of(F.col(W._T), F.col(W._T0), F.col(W._T1), F.col(W._NB), F.col(W._Q)).alias("b"))
+    sizes = [r["count"] for r in b.groupBy("b").count().collect()]
+    assert max(sizes) <= 300, sorted(sizes)[-5:]
+    plain = ordered_values(df, ["k"], REQS[:3], skew=SkewSplit(enabled=False))
+    split = ordered_values(df, ["k"], REQS[:3], skew=SkewSplit(heavy_rows=100))
+    cols = ["click_id", "nxt", "prv", "rn"]
+    assert plain.select(cols).exceptAll(split.select(cols)).count() == 0
