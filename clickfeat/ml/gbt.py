@@ -11,7 +11,8 @@ All data-parallel on ``pyspark.ml``:
 * M4 / M7: ``GBTClassifier`` (logistic loss), node-id caching and
   checkpoints in the shared checkpoint folder.
 * M5: AUC of every tree prefix on the validation rows, computed in blocks of
-  trees; after each block the running margin is checkpointed (lineage cut)
+  trees; after each block the running margins are written to the shared
+  folder once (lineage cut)
   and the scan stops when ``patience`` rounds bring no gain.
 * M8: probability with the first ``k`` trees: ``1 / (1 + exp(-2 * margin))``.
 * M9: per-feature split count and gain share, read from the saved model's
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from ..sources.sinks import materialize
 from .metrics import auc_by_group
 
 MISSING = -1.0
@@ -161,7 +163,7 @@ def staged_auc(model: GBTClassificationModel, valid: DataFrame, label: str = "is
             cols.append(m.alias(f"__m{i + 1}"))
         # materialise the block's margins once: the AUC plan reads them three
         # times and the next block continues from the last one (lineage cut)
-        marg = scored.select("__y", features, *cols).checkpoint(eager=True)
+        marg = materialize(scored.select("__y", features, *cols), "staged-margins")
         pairs = [F.struct(F.lit(k).alias("k"), F.col(f"__m{k}").alias("s")) for k in range(start + 1, stop + 1)]
         block_auc = _auc_by_group(marg.select("__y", F.inline(F.array(*pairs)))).collect()  # <= block rows
         for r in sorted(block_auc, key=lambda r: r["k"]):
@@ -210,7 +212,7 @@ def score(model: GBTClassificationModel, df: DataFrame, k: int | None = None, fe
             m = m + F.lit(float(weights[i])) * F.col(f"__tree{i}")
         cur = scored.withColumn("__m", m).drop(*[f"__tree{i}" for i in range(start, stop)])
         if stop < k:
-            cur = cur.checkpoint(eager=True)
+            cur = materialize(cur, "prefix-margins")
     return cur.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("__m")))).drop("__m")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.splits import TEST, TRAIN, VALID, take
+from ..sources.sinks import materialize
 from . import gbt
 
 
@@ -27,7 +28,12 @@ def validate_and_score(features: DataFrame, predictors: Sequence[str], categoric
                        params: gbt.TrainParams, rounds: int | None = None, split: str = "split",
                        label: str = "is_attributed", block: int = 25,
                        keep: Sequence[str] = ("click_id",)) -> TrainResult:
-    """Validate mode: fit on train, early-stop on validation AUC, score test with the best prefix."""
+    """Validate mode: fit on train, early-stop on validation AUC, score test with the best prefix.
+
+    The feature table is written once to the shared folder: the three
+    splits and the fits read it instead of recomputing the feature plan.
+    """
+    features = materialize(features, "features")
     train, valid, test = (take(features, s, split) for s in (TRAIN, VALID, TEST))
     fm = gbt.feature_matrix(train, predictors, categorical, label, params.max_bins)
     model = gbt.fit(fm.transform(train), params, rounds, label)
@@ -43,6 +49,7 @@ def refit_and_score(features: DataFrame, predictors: Sequence[str], categorical:
                     params: gbt.TrainParams, rounds: int, split: str = "split",
                     label: str = "is_attributed") -> DataFrame:
     """M7 (``--test N``): fit exactly ``rounds`` trees on all labelled rows, score test with all of them."""
+    features = materialize(features, "features")
     labelled = features.filter(F.col(split) != F.lit(TEST))
     test = take(features, TEST, split)
     fm = gbt.feature_matrix(labelled, predictors, categorical, label, params.max_bins)

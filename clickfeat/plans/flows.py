@@ -25,7 +25,7 @@ from ..operators.scores import align_scores, blend, submission
 from ..operators.splits import TEST, day_split, positional_split
 from ..schema import CLICK_IDENTITY, TEST_COLUMNS, TEST_SCHEMA, TRAIN_COLUMNS, TRAIN_SCHEMA
 from ..sources.files import append_logs, capped, read_csv, read_scores, row_range, with_row_id
-from ..sources.sinks import write_scores_csv
+from ..sources.sinks import materialize, write_scores_csv
 from . import kernels as KS
 from .specs import build_features
 
@@ -33,12 +33,14 @@ DEBUG_ROWS = 100_000
 
 
 def load_log(spark: SparkSession, path: str, test: bool = False, debug: bool = False) -> DataFrame:
-    """S1 + dense ``row_id`` + hour / day / weekday."""
+    """S1 + dense ``row_id`` + hour / day / weekday, written once to the shared
+    folder (the load positions are then fixed, and every later scan reads
+    typed parquet instead of parsing text)."""
     schema, cols = (TEST_SCHEMA, TEST_COLUMNS) if test else (TRAIN_SCHEMA, TRAIN_COLUMNS)
     df = with_row_id(read_csv(spark, path, schema, cols))
     if debug:
         df = capped(df, DEBUG_ROWS)
-    return add_time_parts(df)
+    return materialize(add_time_parts(df), "log")
 
 
 @dataclass
