@@ -387,13 +387,15 @@ def add_next_click_sentinel(
 
 
 def add_global_shift(
-    df: DataFrame, value: str, name: str | None = None, order: Order = Order(), skew: SkewSplit = SkewSplit()
+    df: DataFrame, value: str, name: str | None = None, order: Order = Order(), skew: SkewSplit = SkewSplit(),
+    dtype: str = "double",
 ) -> DataFrame:
     """The value of ``value`` on the previous row of the whole table.
 
     Keyless: with skew splitting on (the default) the table is cut into
-    time buckets, so no task holds the whole table.
+    time buckets, so no task holds the whole table. The result is a double,
+    as a shifted column with a missing first value is in the original.
     """
     name = name or f"{value}_shift"
-    return ordered_values(df, [], [Req("lag", name, value)], order, skew)
-
+    out = ordered_values(df, [], [Req("lag", name, value)], order, skew)
+    return out.withColumn(name, F.col(name).cast(dtype))

@@ -216,15 +216,19 @@ def q_day_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "u1_append_logs",
     _with_clicks(
-        f"tr AS ({TRAIN_LOG_SQL}), te AS ({TEST_LOG_SQL})\n"
-        "SELECT * FROM (SELECT *, 0 AS src FROM tr) UNION ALL BY NAME (SELECT *, 1 AS src FROM te)"
+        f"tr AS ({TRAIN_LOG_SQL}), te AS ({TEST_LOG_SQL}),\n"
+        "u AS (SELECT * FROM (SELECT *, 0 AS src FROM tr) UNION ALL BY NAME (SELECT *, 1 AS src FROM te))\n"
+        "SELECT * REPLACE (CAST(click_id AS DOUBLE) AS click_id, CAST(is_attributed AS DOUBLE) AS is_attributed) FROM u"
     ),
 )
 def q_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns missing on one side are NaN-filled floats in the original's
+    appended frame; they are doubles here too."""
     from ..sources.files import append_logs
 
     train, test = _train_test(spark, sf_dir)
-    return append_logs(train, test)
+    out = append_logs(train, test)
+    return out.withColumns({"click_id": F.col("click_id").cast("double"), "is_attributed": F.col("is_attributed").cast("double")})
 
 
 VAL_SIZE = 1000  # validation rows taken from the end of the train log

@@ -89,7 +89,7 @@ def features_sql(base_cte: str, specs: Sequence, out_cols: Sequence[str], round_
         frm += f" LEFT JOIN g{i} USING ({_keys(a.keys)})"
     ctes.append(f"b3 AS (SELECT * FROM {frm})")
     shifts = [s for s in specs if isinstance(s, Shift)]
-    sh = "".join(f", lag({_q(s.value)}) OVER (ORDER BY {ORDER}) AS {_q(s.out)}" for s in shifts)
+    sh = "".join(f", CAST(lag({_q(s.value)}) OVER (ORDER BY {ORDER}) AS DOUBLE) AS {_q(s.out)}" for s in shifts)
     ctes.append(f"b4 AS (SELECT *{sh} FROM b3)")
     kinds = {a.name: a.kind for a in aggs}
     sel = []
