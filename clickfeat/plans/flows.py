@@ -40,7 +40,7 @@ def load_log(spark: SparkSession, path: str, test: bool = False, debug: bool = F
     df = with_row_id(read_csv(spark, path, schema, cols))
     if debug:
         df = capped(df, DEBUG_ROWS)
-    return materialize(add_time_parts(df), "log")
+    return materialize(add_time_parts(df), "log", partition_by=("day",))
 
 
 @dataclass

@@ -61,17 +61,21 @@ def cached_table(spark: SparkSession, name: str, key: str, compute, folder: str
     return spark.read.parquet(path)
 
 
-def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     A lineage cut that computes the plan once (``DataFrame.checkpoint`` on an
     unpersisted plan computes it twice) and survives executor loss: later
-    stages restart from the files, not from the source tables.
+    stages restart from the files, not from the source tables. With
+    ``partition_by`` (e.g. ``day``) filters on those columns prune folders.
     """
     import uuid
 
     spark = df.sparkSession
     base = (folder or checkpoint_dir(spark)).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return spark.read.parquet(path).select(*df.columns)
