@@ -279,18 +279,19 @@ def _phantoms(heavy_rows: DataFrame, gkeys: list[str], reqs, order, owner: int)
         carry[f"__next{i}"] = F.lead(f"__first{i}").over(sw)
         carry[f"__prev{i}"] = F.lag(f"__last{i}").over(sw)
     summ = summ.withColumns(carry)
-    out = []
-    for ph in (-1, 1):
-        cols = [F.col(k) for k in gkeys] + [F.col(_B), F.lit(ph).alias(_PH), F.lit(owner).alias(_OWN)]
+    # head and tail phantoms from one pass over the summary
+    def side(ph: int) -> Column:
+        fields = [F.lit(ph).alias(_PH), F.lit(owner).alias(_OWN)]
         for i, v in enumerate(values):
-            cols.append(F.col(f"__prev{i}" if ph < 0 else f"__next{i}").alias(v))
+            fields.append(F.col(f"__prev{i}" if ph < 0 else f"__next{i}").alias(v))
         if ph < 0:
-            cols.append(F.col("__before").cast("long").alias(_OFF))
-            keep = F.col("__before") > 0  # a bucket after the key's first one
+            fields += [F.col("__before").cast("long").alias(_OFF), (F.col("__before") > 0).alias("__keep")]
         else:
-            keep = F.col("__has_next")
-        out.append(summ.filter(keep).select(*cols))
-    return out
+            fields += [F.lit(None).cast("long").alias(_OFF), F.col("__has_next").alias("__keep")]
+        return F.struct(*fields)
+
+    both = summ.select(*[F.col(k) for k in gkeys], F.col(_B), F.explode(F.array(side(-1), side(1))).alias("__p"))
+    return [both.select(*gkeys, _B, "__p.*").filter(F.col("__keep")).drop("__keep")]
 
 
 def _null_keys(df: DataFrame, keys: Sequence[str], reqs: Sequence[Req]) -> DataFrame:
