@@ -120,12 +120,24 @@ def ordered_values(
     return ordered_family(df, keys, [(keys, reqs)], order, skew)
 
 
+_UNSET = object()
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], order: Order = Order(), skew: SkewSplit = SkewSplit()):
+    """The bounded hot-key table of ``keys`` (None when no key is hot)."""
+    skew = skew.resolve(df) if skew.enabled else skew
+    if not skew.may_have_heavy():
+        return None
+    return _heavy_stats(df.withColumn(_T, epoch_micros(order.time)), list(keys), skew.heavy_rows)
+
+
 def ordered_family(
     df: DataFrame,
     family_keys: Sequence[str],
     groups: Sequence[tuple[Sequence[str], Sequence[Req]]],
     order: Order = Order(),
     skew: SkewSplit = SkewSplit(),
+    heavy=_UNSET,
 ) -> DataFrame:
     """Ordered requests of several key sets that all contain ``family_keys``.
 
@@ -142,7 +154,8 @@ def ordered_family(
             raise ValueError(f"{list(gkeys)} does not contain the family keys {fam}")
     base = df.withColumn(_T, epoch_micros(order.time))
     skew = skew.resolve(base) if skew.enabled else skew
-    heavy = _heavy_stats(base, fam, skew.heavy_rows) if skew.may_have_heavy() else None
+    if heavy is _UNSET:
+        heavy = _heavy_stats(base, fam, skew.heavy_rows) if skew.may_have_heavy() else None
     if heavy is None:
         out = _plain_family(base, fam, groups, order)
     else:

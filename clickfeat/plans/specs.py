@@ -132,8 +132,15 @@ def build_features(
         skew = skew.resolve(out) if skew.enabled else skew
     src = out
     pending = dict(plan.groups)
-    for fam, members in window_families(list(windows)).items():
-        out = _apply_family(out, fam, [(keys, windows[keys]) for keys in members], order, skew)
+    hot: dict[tuple[str, ...], object] = {}
+
+    def is_hot(fam: tuple[str, ...]) -> bool:
+        if fam not in hot:
+            hot[fam] = W.hot_keys(src, fam, order, skew)
+        return hot[fam] is not None
+
+    for fam, members in window_families(list(windows), is_hot).items():
+        out = _apply_family(out, fam, [(keys, windows[keys]) for keys in members], order, skew, hot.get(fam, W._UNSET))
         # joins whose keys contain the family keys come right after it: the
         # rows are already hash-partitioned by the family keys, so only the
         # aggregate side is shuffled (partial-key co-partitioning)
@@ -150,17 +157,20 @@ def build_features(
     return out
 
 
-def window_families(key_sets: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
+def window_families(key_sets: Sequence[tuple[str, ...]], is_hot=lambda fam: False) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
     """Group window key sets so each family shares one shuffle.
 
     Smallest sets first; a set joins the first family whose keys it
     contains, otherwise it starts a family of its own. (ip), (ip, os, device)
     and (ip, channel) share the family (ip); (device, hour) joins (device).
+    A family whose keys have hot keys takes no other set: it is cut into
+    time buckets, and finer windows under it would carry per-bucket state
+    for every finer key; they are better partitioned by their own keys.
     """
     fams: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
     for ks in sorted(key_sets, key=lambda k: (len(k), k)):
         for fam in fams:
-            if set(fam) <= set(ks):
+            if set(fam) <= set(ks) and not is_hot(fam):
                 fams[fam].append(ks)
                 break
         else:
@@ -168,7 +178,8 @@ def window_families(key_sets: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...]
     return fams
 
 
-def _apply_family(df: DataFrame, fam: tuple[str, ...], members: list, order: W.Order, skew: W.SkewSplit) -> DataFrame:
+def _apply_family(df: DataFrame, fam: tuple[str, ...], members: list, order: W.Order, skew: W.SkewSplit,
+                  heavy=W._UNSET) -> DataFrame:
     """All window specs of a family: one shuffle, one window per key set."""
     groups, finals, drops = [], {}, []
     tmp = df
@@ -200,7 +211,7 @@ def _apply_family(df: DataFrame, fam: tuple[str, ...], members: list, order: W.O
         tmp = tmp.withColumn("__epoch", W.epoch_seconds(order.time))
         drops.append("__epoch")
     if groups:
-        tmp = W.ordered_family(tmp, fam, groups, order, skew)
+        tmp = W.ordered_family(tmp, fam, groups, order, skew, heavy)
         tmp = tmp.withColumns(finals).drop(*drops)
     for keys, specs in members:
         for s in specs:

@@ -97,3 +97,15 @@ def test_bursty_hot_key_is_split_evenly(spark):
     split = ordered_values(df, ["k"], REQS[:3], skew=SkewSplit(heavy_rows=100))
     cols = ["click_id", "nxt", "prv", "rn"]
     assert plain.select(cols).exceptAll(split.select(cols)).count() == 0
+
+
+def test_hot_family_takes_no_supersets():
+    from clickfeat.plans.specs import window_families
+
+    sets = [("device",), ("device", "hour"), ("ip", "os", "device"), ("ip",), ("ip", "os")]
+    assert window_families(sets) == {("device",): [("device",), ("device", "hour"), ("ip", "os", "device")],
+                                     ("ip",): [("ip",), ("ip", "os")]}
+    fams = window_families(sets, is_hot=lambda fam: fam == ("device",))
+    assert fams[("device",)] == [("device",)]
+    assert fams[("device", "hour")] == [("device", "hour")]
+    assert fams[("ip",)] == [("ip",), ("ip", "os"), ("ip", "os", "device")]
