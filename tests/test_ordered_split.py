@@ -26,10 +26,18 @@ def test_split_equals_plain(base, keys, heavy):
     assert split.count() == base.count()
 
 
-def test_split_plan_has_no_single_partition_window(base):
+def test_keyless_split_plan_partitions_by_bucket(base):
     out = ordered_values(base, [], [Req("lag", "prv")], skew=SkewSplit(heavy_rows=1000))
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.split("Window")[0] or "__bucket" in plan
+    lines = plan.splitlines()
+    windows = [line for line in lines if "Window [" in line and "lag(" in line]
+    assert windows and all("__bucket" in line for line in windows)
+    # the only single-partition step is the window over the per-bucket summary
+    # (one row per bucket), which directly follows that exchange
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            above = [x for x in lines[:i] if "Window [" in x][-1]
+            assert "__cnt" in above or "__first" in above or "__last" in above
 
 
 def test_properties(base):
