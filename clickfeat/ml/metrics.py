@@ -6,7 +6,7 @@ computed in two levels so no task holds all scores of a group:
 
 1. distinct ``(group, score)`` with positive / negative counts (partial aggregate);
 2. per group, ``buckets - 1`` approximate score quantiles (a table of
-   ``groups x buckets`` values, broadcast); a score's bucket is the number of
+   ``groups x buckets`` values); a score's bucket is the number of
    boundaries below it, so equal scores share a bucket and buckets follow
    score order;
 3. per ``(group, bucket)`` negative totals, and their prefix over buckets
@@ -34,12 +34,15 @@ def auc_by_group(df: DataFrame, score: str, label: str, group: str | None = None
     d = data.groupBy(_G, "__s").agg(F.sum("__y").alias("__pos"), F.sum(F.lit(1.0) - F.col("__y")).alias("__neg"))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(_G).agg(F.percentile_approx("__s", probs, accuracy).alias("__bounds"))
-    d = d.join(F.broadcast(bounds), _G)  # groups x buckets values
+    # one group: a single row of bounds, broadcast; many groups: groups x
+    # buckets values, left to AQE's measured broadcast / sort-merge choice
+    small = (lambda t: F.broadcast(t)) if group is None else (lambda t: t)
+    d = d.join(small(bounds), _G)
     d = d.withColumn("__b", F.size(F.filter("__bounds", lambda x: x < F.col("__s")))).drop("__bounds")
     per_b = d.groupBy(_G, "__b").agg(F.sum("__neg").alias("__bneg"))
     wb = Window.partitionBy(_G).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     per_b = per_b.withColumn("__off", F.coalesce(F.sum("__bneg").over(wb), F.lit(0.0))).drop("__bneg")
-    d = d.join(F.broadcast(per_b), [_G, "__b"])  # groups x buckets rows
+    d = d.join(small(per_b), [_G, "__b"])
     w = Window.partitionBy(_G, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__below", F.col("__off") + F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
     res = d.groupBy(_G).agg(
