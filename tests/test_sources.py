@@ -72,3 +72,24 @@ def test_feature_cache_computes_once(spark):
     a = cached_table(spark, "t", "k1", compute, folder)
     b = cached_table(spark, "t", "k1", compute, folder)
     assert a.count() == b.count() == 5 and len(calls) == 1
+
+
+def test_row_id_dense_across_many_splits_of_one_file(spark):
+    """Large files are read as many byte-range splits; positions stay dense and in file order."""
+    folder = tempfile.mkdtemp(prefix="clickfeat-big-")
+    n = 3000
+    with open(os.path.join(folder, "big.csv"), "w") as fh:
+        fh.write("ip,app,device,os,channel,click_time,attributed_time,is_attributed\n")
+        for k in range(n):
+            t = dt.datetime(2017, 11, 7) + dt.timedelta(seconds=k)
+            fh.write(f"{k},{k % 5},1,{k % 3},{k % 11},{t:%Y-%m-%d %H:%M:%S},,0\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        scan = read_csv(spark, folder, TRAIN_SCHEMA, TRAIN_COLUMNS)
+        assert scan.rdd.getNumPartitions() > 10
+        got = with_row_id(scan).select("row_id", "ip").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r["row_id"] for r in got) == list(range(n))
+    assert all(r["row_id"] == r["ip"] for r in got)  # ip was written as the line number
