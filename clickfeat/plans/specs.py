@@ -146,8 +146,8 @@ def build_features(
         # aggregate side is shuffled (partial-key co-partitioning)
         for keys in [k for k in pending if set(fam) <= set(k)]:
             out = join_back(out, group_table(src, keys, pending.pop(keys)), keys)
-    for keys, group in pending.items():
-        out = join_back(out, group_table(src, keys, group), keys)
+    for keys in join_order(list(pending)):
+        out = join_back(out, group_table(src, keys, pending[keys]), keys)
 
     for s in specs:
         if isinstance(s, Shift):
@@ -157,6 +157,24 @@ def build_features(
     return out
 
 
+def join_order(key_sets: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Order join-back key sets so each set is followed by its supersets.
+
+    A sort-merge join leaves the rows hash-partitioned by its keys (unless
+    AQE split a skewed partition, which drops that partitioning), so the
+    superset joins that follow shuffle only their aggregate side.
+    """
+    rest = sorted(key_sets, key=lambda k: (len(k), k))
+    order: list[tuple[str, ...]] = []
+    while rest:
+        base = rest.pop(0)
+        order.append(base)
+        sup = [k for k in rest if set(base) <= set(k)]
+        order.extend(sup)
+        rest = [k for k in rest if k not in sup]
+    return order
+
+
 def window_families(key_sets: Sequence[tuple[str, ...]], is_hot=lambda fam: False) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
     """Group window key sets so each family shares one shuffle.
 

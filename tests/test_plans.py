@@ -58,3 +58,11 @@ def test_blend_order(spark, rows):
     for r in df.select(B.arithmetic_mean(cols).alias("am"), B.geometric_mean(cols).alias("gm"),
                        B.harmonic_mean(cols).alias("hm")).collect():
         assert r["hm"] <= r["gm"] + 1e-12 and r["gm"] <= r["am"] + 1e-12
+
+
+def test_join_order_puts_supersets_after_their_base():
+    from clickfeat.plans.specs import join_order
+
+    sets = [("app", "ip"), ("app",), ("ip",), ("device", "ip", "os"), ("hour", "wday"), ("app", "channel")]
+    assert join_order(sets) == [("app",), ("app", "channel"), ("app", "ip"), ("ip",), ("device", "ip", "os"),
+                                ("hour", "wday")]
