@@ -33,7 +33,8 @@ LIBRARY_CONF = {
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in LIBRARY_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
