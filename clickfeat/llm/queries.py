@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, simhash, toxicity
+from . import decontaminate, language_id, packing, pii, simhash, sparse_suffix, suffix_trees, toxicity, vector_links
 from .common import documents, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,27 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and benchmark items that share a template window with agreeing slots."""
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_trees.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that also stand in a document with a smaller id."""
+    return sparse_suffix.repeats(documents(spark, sf_dir))
+
+
+@query
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op5_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(remainder("doc_id", 3) != 1))
+    return model.predict(docs).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
