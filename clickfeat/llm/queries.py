@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, pii, simhash, sparse_suffix, suffix_trees, toxicity, vector_links
+from . import decontaminate, language_id, mixing_lm, packing, pii, simhash, sparse_suffix, suffix_trees, toxicity, vector_links
 from .common import documents, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,10 @@ def op5_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = language_id.fit(docs.filter(remainder("doc_id", 3) != 1))
     return model.predict(docs).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder("doc_id", 5) == 1
+    out = mixing_lm.model_scores(documents(spark, sf_dir), ~fold)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
