@@ -14,8 +14,9 @@ whose anchor's words stand in two documents or more.
    words of all windows that have it as their anchor.
 
 An anchor with more than ``group_rows`` occurrences would fill one task. Its
-windows are keyed by all of their words instead (a 128-bit hash) and go
-through an aggregation that combines equal windows in the tasks first.
+windows are keyed by all of their words instead (a 128-bit hash), equal windows
+of a document are one row with all their positions, and an aggregation combines
+those of different documents in the tasks first.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ MAX_BITS = 28  # the bitmap has at most 2**28 bits, 32 MB
 
 COUNT_SCHEMA = "h long, lo long, hi long, n long"
 SEGMENT_SCHEMA = "h long, key long, th long, pos int, anchor int, seg binary"
-WINDOW_SCHEMA = "w1 long, w2 long, key long, th long, pos int"
-FOUND_SCHEMA = "key long, th long, pos int, mask long, lo long"
+WINDOW_SCHEMA = "w1 long, w2 long, key long, th long, pos array<int>"
+FOUND_SCHEMA = "key long, th long, pos array<int>, mask long, lo long"
 
 
 @dataclass(frozen=True)
@@ -131,6 +132,8 @@ def _emit(rows: DataFrame, shape: Shape, sketch, hot: np.ndarray, windows: bool)
                     continue
                 is_hot = member(hot, a)
                 use = np.flatnonzero(is_hot if windows else _passes(sketch, a) & ~is_hot)
+                if not len(use):
+                    continue
                 at, a, lo, hi = at[use], a[use], lo[use], hi[use]
                 doc = np.searchsorted(words.first, at, "right") - 1
                 row = np.array(ids)[doc]
@@ -141,7 +144,13 @@ def _emit(rows: DataFrame, shape: Shape, sketch, hot: np.ndarray, windows: bool)
                     start = np.repeat(lo - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum())
                     w1, w2 = gram_hash(h, shape.width)[start], gram_hash(mix(h ^ U(0x5DEECE66D)), shape.width)[start]
                     back = np.repeat(np.arange(len(at)), per)
-                    yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(key[back]), pa.array(th[back]), pa.array((start - first[back]).astype(np.int32))], ["w1", "w2", "key", "th", "pos"])
+                    pos = (start - first[back]).astype(np.int32)
+                    o = np.lexsort((pos, w2, w1, row[back]))  # equal windows of a document side by side
+                    w1, w2, back, pos = w1[o], w2[o], back[o], pos[o]
+                    own = row[back]
+                    head = np.flatnonzero(np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (own[1:] != own[:-1]))))
+                    places = pa.ListArray.from_arrays(pa.array(np.append(head, len(pos)).astype(np.int32)), pa.array(pos))
+                    yield pa.RecordBatch.from_arrays([_signed(w1[head]), _signed(w2[head]), pa.array(key[back[head]]), pa.array(th[back[head]]), places], ["w1", "w2", "key", "th", "pos"])
                 else:
                     raw = words.data.tobytes()
                     seg = [raw[x:y] for x, y in zip(words.starts[lo].tolist(), words.ends[hi + shape.width - 1].tolist(), strict=True)]
@@ -167,8 +176,9 @@ def _judged(segments: DataFrame, judge, shape: Shape, batch_rows: int) -> DataFr
             t = pa.Table.from_batches(parts).combine_chunks()
             mask, lo = judge(t["h"].to_numpy(), t["key"].to_numpy(), t["anchor"].to_numpy(), t["seg"].to_pylist(), shape)
             use = np.flatnonzero(mask)
-            out = [pa.array(t[c].to_numpy()[use]) for c in ("key", "th", "pos")]
-            return pa.RecordBatch.from_arrays([*out, pa.array(mask[use]), pa.array(lo[use])], ["key", "th", "pos", "mask", "lo"])
+            key, th, pos = (t[c].to_numpy()[use] for c in ("key", "th", "pos"))
+            one = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32)), pa.array(pos))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th), one, pa.array(mask[use]), pa.array(lo[use])], ["key", "th", "pos", "mask", "lo"])
 
         for b in batches:
             if not b.num_rows:
@@ -190,7 +200,7 @@ def _judged(segments: DataFrame, judge, shape: Shape, batch_rows: int) -> DataFr
 def repeated(rows: DataFrame, shape: Shape, judge, group_rows: int = GROUP_ROWS, batch_rows: int = 20_000) -> DataFrame:
     """(key, th, pos, mask, lo): windows that also start in a document of smaller key.
 
-    Bit i of ``mask`` stands for the window that starts at word ``pos + i``;
+    Bit i of ``mask`` stands for the windows that start i words after the words ``pos``;
     ``lo`` is the smallest key that has one of them.
     """
     anchors = materialize(_counted(rows, shape), "anchors")
@@ -220,13 +230,15 @@ def by_document(found: DataFrame) -> DataFrame:
 
 
 def _lists(column: pa.Array):
-    """Per row of a list of structs: None or (pos, mask, lo)."""
+    """Per row of a list of (pos, mask, lo): None, or three arrays with an entry for each position."""
     offsets = column.offsets.to_numpy()
-    values = column.values
-    parts = [values.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+    pos, mask, lo = (column.values.field(i) for i in range(3))
+    cut = pos.offsets.to_numpy()
+    per = np.diff(cut)
+    parts = pos.values.to_numpy(zero_copy_only=False), *(np.repeat(x.to_numpy(zero_copy_only=False), per) for x in (mask, lo))
     for i, ok in enumerate(column.is_valid().to_pylist()):
-        a, z = offsets[i], offsets[i + 1]
-        yield tuple(p[a:z] for p in parts) if ok and z > a else None
+        a, z = cut[offsets[i]], cut[offsets[i + 1]]
+        yield (parts[0][a:z], parts[1][a - cut[0] : z - cut[0]], parts[2][a - cut[0] : z - cut[0]]) if ok and z > a else None
 
 
 def remove(docs: DataFrame, found: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
