@@ -2,7 +2,7 @@
 
 A text is a sequence of words (ASCII capitals lowered) and one end. Each symbol
 is written as bits along a Huffman code of the ``VOCABULARY`` most frequent
-training tokens, the end and an escape; an escaped word follows byte by byte,
+training tokens (seen twice or more), the end and an escape; an escaped word follows byte by byte,
 with a blank as its end, along a Huffman code of the training bytes. Both codes
 are prefix codes, so the product of the bits' probabilities is a probability
 of the text.
@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 from ..sources.sinks import materialize
 from .words import LOWER, U, chunks, member, mix, words_of
 
-VOCABULARY = 1 << 16  # tokens with a code of their own
+VOCABULARY = 1 << 17  # tokens with a code of their own
 FREQUENT = 1 << 19  # tokens whose counts are broadcast
-SLOT_BITS = 22  # slots of each context's table
+SIZES = (1 << 19, 1 << 22, 1 << 22)  # slots of the contexts' tables; the first is indexed directly, the others by hash
+DIRECT = 1 << 18  # in the first table, slots of bytes follow those of the token code's nodes
 ORDERS = 3
 SLAB = 1 << 15
 SAMPLE = 1_000  # bound of the texts that the starting weights are fitted on
@@ -50,7 +51,8 @@ BLOCK = 2048
 RATE = 0.05
 PIECE = 1 << 18  # bytes of text handled at once
 TOKEN, BYTE, END = 0, 1, 2
-N_SLABS = (ORDERS << SLOT_BITS) // SLAB
+N_SLABS = sum(SIZES) // SLAB
+STEP = 16  # of a stretched prediction, as it is stored
 GATES = 32
 INPUTS = ORDERS + 1
 ROW = "row long, doc_id long, learned boolean, n_bytes long, n_tokens long, top_known long, top_score double, bits double, rest_h array<long>, rest_n array<int>"
@@ -93,7 +95,7 @@ class Code:
         # One list of paths: byte symbols come after the token symbols, with nodes of their own.
         self.first_byte = n + 2
         self.offsets = np.concatenate((o, q[1:] + o[-1]))
-        self.nodes = np.concatenate((p, r + n + 2))
+        self.nodes = np.concatenate((p, r)).astype(np.uint32)
         self.bits = np.concatenate((b, s))
 
     def state(self):
@@ -161,58 +163,75 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code):
     before = np.where(second, U(7), np.concatenate((start, token))[:m])
     one = mix(last + U(11))
     two = mix(one + before * U(0x9E3779B97F4A7C15) + U(13))
-    zero = np.zeros(m, U)
     # Bytes of the escaped words, each followed by a blank.
     escaped = np.flatnonzero(sym == code.escape)
     word = escaped - (np.cumsum(ended) - ended)[text[escaped]]  # its number among the words: ends come between
     size = words.ends[word] - words.starts[word] + 1
-    where = _ranges(words.starts[word], size)
-    data = words.data[where].astype(np.int64)
+    data = words.data[_ranges(words.starts[word], size)].astype(np.uint32)
     data[np.cumsum(size) - 1] = 32
     place = _ranges(np.zeros(len(size), np.int64), size)
-    past = [np.where(place >= i, np.concatenate((np.zeros(i, np.int64), data[: len(data) - i] if len(data) >= i else data[:0]))[: len(data)], 0) for i in (1, 2, 3)]
-    b1 = mix(past[0].astype(U) + U(1 << 20))
-    b2 = mix((past[0] + (past[1] << 8)).astype(U) + U(1 << 30))
-    b3 = mix((past[0] + (past[1] << 8) + (past[2] << 16)).astype(U) + U(1 << 40))
-    # Escaped words' bytes follow their escape.
-    order_key = np.concatenate((np.arange(m) * 2, np.repeat(escaped, size) * 2 + 1))
-    o = np.argsort(order_key, kind="stable")
-    pick = lambda a, b: np.concatenate((a, b))[o]
-    return words, pick(text, text[np.repeat(escaped, size)]), pick(sym, data + code.first_byte), (pick(zero, b1), pick(one, b2), pick(two, b3))
+    past = []
+    for i in (1, 2, 3):
+        b = np.zeros(len(data), np.uint32)
+        b[i:] = data[:-i]
+        b[place < i] = 0
+        past.append(b)
+    # The symbols in order: an escaped word's bytes follow its escape.
+    extra = np.zeros(m, np.int64)
+    extra[escaped] = size
+    at = np.arange(m) + np.cumsum(extra) - extra
+    at_bytes = np.repeat(at[escaped] + 1, size) + place
+    total = m + len(data)
+
+    def woven(a, b, kind):
+        out = np.empty(total, kind)
+        out[at], out[at_bytes] = a, b
+        return out
+
+    two_bytes = past[0] + (past[1] << np.uint32(8))
+    contexts = (
+        woven(0, DIRECT + past[0] * 256, np.uint32),
+        woven(one >> U(32), two_bytes * np.uint32(0x85EBCA6B) + np.uint32(1), np.uint32),
+        woven(two >> U(32), (two_bytes + (past[2] << np.uint32(16))) * np.uint32(0xC2B2AE35) + np.uint32(2), np.uint32),
+    )
+    return words, woven(text, np.repeat(text[escaped], size), np.int32), woven(sym, data + code.first_byte, np.int32), contexts
 
 
 def decisions(code: Code, sym: np.ndarray, contexts):
     """(symbol number, slots of each order, bit) of every binary decision."""
     size = code.offsets[sym + 1] - code.offsets[sym]
     at = _ranges(code.offsets[sym], size)
-    node = code.nodes[at].astype(U) * U(0x9E3779B97F4A7C15)
-    owner = np.repeat(np.arange(len(sym)), size)
-    slots = []
-    for i, c in enumerate(contexts):
-        x = c[owner] ^ (node + U(i))
-        x = x * U(0xD6E8FEB86659FD93)
-        x ^= x >> U(32)
-        x = x * U(0xD6E8FEB86659FD93)
-        slots.append((x >> U(64 - SLOT_BITS)).astype(np.int32))
+    node = code.nodes[at]
+    owner = np.repeat(np.arange(len(sym), dtype=np.int32), size)
+    slots = [contexts[0][owner] + node]
+    node = node * np.uint32(0x9E3779B1)
+    for c in contexts[1:]:
+        x = c[owner]
+        x += node
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(0x297A2D39)
+        slots.append(x >> np.uint32(10))
     return owner, slots, code.bits[at]
 
 
-def _tables(rows: DataFrame, code: Code) -> np.ndarray:
-    """Zeros and ones of every slot: (orders, slots, 2)."""
+def _tables(rows: DataFrame, code: Code) -> list[np.ndarray]:
+    """Zeros and ones of every slot, one array (slots, 2) per order."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(code.state())
-    size = 1 << SLOT_BITS
 
     def count(batches):
         code = Code.of(sent.value)
-        total = np.zeros((ORDERS, 2 * size), np.int32)
+        total = np.zeros(2 * sum(SIZES), np.int32)
+        own = _views(total)
         held: list[list] = [[] for _ in range(ORDERS)]
         n = 0
 
         def add():
             for i in range(ORDERS):
                 if held[i]:
-                    total[i] += np.bincount(np.concatenate(held[i]), minlength=2 * size).astype(np.int32)
+                    own[i] += np.bincount(np.concatenate(held[i]), minlength=2 * SIZES[i])
                 held[i].clear()
 
         for b in batches:
@@ -220,7 +239,7 @@ def _tables(rows: DataFrame, code: Code) -> np.ndarray:
                 _, _, sym, contexts = symbols(texts, ended, code)
                 _, slots, bit = decisions(code, sym, contexts)
                 for i in range(ORDERS):
-                    held[i].append(slots[i] * 2 + bit)
+                    held[i].append((slots[i] * np.uint32(2) + bit).astype(np.int32))
                 n += len(bit)
                 if n > 2_000_000:
                     add()
@@ -244,7 +263,13 @@ def _tables(rows: DataFrame, code: Code) -> np.ndarray:
     out = np.zeros((N_SLABS, SLAB * 2), np.uint32)
     for r in level.collect():  # the model itself, of fixed size
         out[r["slab"]] = np.minimum(_unpack(bytes(r["data"])), 2**32 - 1)
-    return out.reshape(ORDERS, size, 2)
+    return [v.reshape(-1, 2) for v in _views(out.reshape(-1))]
+
+
+def _views(flat: np.ndarray) -> list[np.ndarray]:
+    """The orders' parts of one array with two numbers per slot."""
+    cut = np.cumsum([0, *(2 * x for x in SIZES)])
+    return [flat[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -255,13 +280,25 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, SLAB * 2 * 8, codec="zstd", asbytes=True), np.int64)
 
 
-def _ready(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What scoring needs of the counts: each slot's stretched prediction, and how often it was seen, in four levels."""
-    stretched, level = np.empty(tables.shape[:2], np.float16), np.empty(tables.shape[:2], np.uint8)
-    for i, t in enumerate(tables):
+def _sent(a: np.ndarray) -> tuple:
+    """An array as it is broadcast: compressed, as workers read broadcasts from files on their disk."""
+    raw = np.ascontiguousarray(a).tobytes()
+    return a.shape, a.dtype.str, len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _got(sent: tuple) -> np.ndarray:
+    shape, kind, size, data = sent
+    return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), kind).reshape(shape)
+
+
+def _ready(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """What scoring needs of the counts, a number per slot: the stretched prediction in steps, times four, plus the level of the count."""
+    out = []
+    for t in tables:
         n = t.sum(1, dtype=np.int64)
-        stretched[i], level[i] = _stretch(t[:, 1], n), _level(n)
-    return stretched, level
+        steps = np.clip(np.round(_stretch(t[:, 1], n) * STEP), -1000, 1000).astype(np.int16)
+        out.append(steps * np.int16(4) + _level(n))
+    return [x.astype(np.int16) for x in out]
 
 
 def _stretch(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -272,39 +309,51 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.minimum(3, np.log2(n + 1) / 1.5).astype(np.uint8)
 
 
-def _gate(kind, level1, level2):
+def _gate(sym, owner, first_byte, level1, level2):
     """The weight set: words or bytes, and how often the two longer contexts were seen."""
-    return kind * 16 + level1.astype(np.int64) * 4 + level2
-
-
-def _adapt(weights, x, gate, bit, doc, first, rate):
-    """Bits' cost (log2) per decision; every text's own weights follow it block by block."""
-    n_docs = len(first)
-    w = np.repeat(weights[None].astype(np.float32), n_docs, axis=0).reshape(n_docs * GATES, INPUTS)
-    cost = np.empty(len(bit))
-    turn = (np.arange(len(bit)) - first[doc]) // BLOCK
-    order = np.argsort(turn, kind="stable")
-    edges = np.searchsorted(turn[order], np.arange(turn.max(initial=-1) + 2))
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
-        at = order[a:z]
-        which = doc[at] * GATES + gate[at]
-        xs = x[at]
-        p = 1 / (1 + np.exp(-np.clip((w[which] * xs).sum(1), -30, 30)))
-        p = np.clip(p, 1e-5, 1 - 1e-5)
+    kind = np.where(sym >= first_byte, np.int32(16), np.int32(0))
+    return kind[owner] + level1 * np.int32(4) + level2
+
+
+def _adapt(weights, x, gate, bit, doc, n_docs, rate):
+    """The cost (log2) of each decision. Every text has weights of its own, which follow its bits after each block.
+
+    x: the inputs, one array each. The steps of a block use every fourth decision.
+    """
+    w = [np.tile(weights[:, i].astype(np.float32), n_docs) for i in range(INPUTS)]
+    which = doc * np.int32(GATES) + gate
+    first = np.searchsorted(doc, np.arange(n_docs + 1))
+    cost = np.empty(len(bit), np.float32)
+    begin, left = first[:-1], np.diff(first)
+    while len(left):
+        size = np.minimum(left, BLOCK)
+        at = _ranges(begin, size) if len(begin) > 1 else slice(begin[0], begin[0] + size[0])
+        g = which[at]
+        mixed = w[0][g] * x[0][at]
+        for i in range(1, INPUTS):
+            mixed += w[i][g] * x[i][at]
+        np.clip(mixed, -11.5, 11.5, out=mixed)
         hit = bit[at] != 0
-        cost[at] = -np.log2(np.where(hit, p, 1 - p))
-        step = (hit - p)[:, None] * xs
-        seen = np.bincount(which, minlength=len(w))
-        for i in range(INPUTS):
-            w[:, i] += rate * np.bincount(which, step[:, i], minlength=len(w)) / np.sqrt(np.maximum(seen, 1))
-    return cost, w
+        odds = np.exp(np.where(hit, -mixed, mixed))
+        cost[at] = np.log2(1 + odds)
+        more = left > BLOCK
+        if more.any():
+            some = slice(0, None, 4)
+            wrong = odds[some] / (1 + odds[some])  # 1 - the probability of the bit that came
+            error = np.where(hit[some], wrong, -wrong)
+            gs = g[some]
+            pace = rate * 4 / np.sqrt(np.maximum(4 * np.bincount(gs, minlength=len(w[0])), 1))
+            for i in range(INPUTS):
+                w[i] += (pace * np.bincount(gs, error * x[i][at][some], minlength=len(w[0]))).astype(np.float32)
+        begin, left = (begin + BLOCK)[more], (left - BLOCK)[more]
+    return cost
 
 
 def _inputs(ready, slots):
     """Stretched predictions and a bias, and the levels of the two longer contexts."""
-    stretched, level = ready
-    cols = [stretched[i][slots[i]] for i in range(ORDERS)]
-    return np.column_stack([*cols, np.full(len(slots[0]), 0.3, np.float16)]).astype(np.float32), level[1][slots[1]], level[2][slots[2]]
+    got = [ready[i][slots[i]] for i in range(ORDERS)]
+    x = [(v >> np.int16(2)).astype(np.float32) * np.float32(1 / STEP) for v in got]
+    return [*x, np.full(len(got[0]), 0.3, np.float32)], got[1] & np.int16(3), got[2] & np.int16(3)
 
 
 def _inputs_without(tables, slots, bit):
@@ -312,7 +361,7 @@ def _inputs_without(tables, slots, bit):
     cols, seen = [], []
     for i in range(ORDERS):
         n0, n1 = tables[i][slots[i], 0].astype(np.float64), tables[i][slots[i], 1].astype(np.float64)
-        n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
+        n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
         cols.append(_stretch(n1, n0 + n1))
         seen.append(_level(n0 + n1))
     return np.column_stack([*cols, np.full(len(cols[0]), 0.3)]), seen[1], seen[2]
@@ -328,18 +377,18 @@ def _plain_weights() -> np.ndarray:
 
 def _start_weights(sample: DataFrame, code: Code, tables: np.ndarray) -> np.ndarray:
     """Starting weights: gradient steps over a bounded sample, from counts that leave out the decision itself; the mean over tasks."""
-    sent = sample.sparkSession.sparkContext.broadcast((code.state(), tables))
+    sent = sample.sparkSession.sparkContext.broadcast((code.state(), [_sent(x) for x in tables]))
 
     def run(batches):
         state, tables = sent.value
-        code = Code.of(state)
+        code, tables = Code.of(state), [_got(x) for x in tables]
         w, past = _plain_weights(), np.full((GATES, INPUTS), 1e-3)
         for b in batches:
             for _, texts, ended in pieces(range(b.num_rows), b.column(0).to_pylist(), 1 << 15):
                 _, _, sym, contexts = symbols(texts, ended, code)
                 owner, slots, bit = decisions(code, sym, contexts)
                 x, one, two = _inputs_without(tables, slots, bit)
-                gate = _gate((sym >= code.first_byte).astype(np.int64)[owner], one, two)
+                gate = _gate(sym, owner, code.first_byte, one, two)
                 for i in range(0, len(bit), 1024):
                     g, xs = gate[i : i + 1024], x[i : i + 1024]
                     p = 1 / (1 + np.exp(-np.clip((w[g] * xs).sum(1), -30, 30)))
@@ -398,6 +447,7 @@ def fit(rows: DataFrame) -> Model:
     o = np.argsort(h)
     frequent = (h[o], c[o])
     best = np.lexsort((h, -c))[:VOCABULARY]
+    best = best[c[best] > 1]  # words seen once stand for unseen ones: the escape and the byte code learn from them
     best = best[np.argsort(h[best])]
     byte_counts = np.array([letters.get(b, 0) for b in range(256)])
     byte_counts[32] = max(byte_counts[32], words - int(c[best].sum()))
@@ -413,12 +463,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     (doc_id, learned, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.code.state(), model.tables, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.code.state(), [_sent(x) for x in model.tables], model.weights))
     floor = model.total + 0.5 * (model.distinct + 1)
 
     def run(batches):
         ((hashes, counts), ends), state, tables, weights = sent.value
-        code = Code.of(state)
+        code, tables = Code.of(state), [_got(x) for x in tables]
         logs = np.log10((counts + 0.5) / floor)
         end_log = np.log10((ends + 0.5) / floor)
         for b in batches:
@@ -427,9 +477,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 k = len(texts)
                 owner, slots, bit = decisions(code, sym, contexts)
                 x, one, two = _inputs(tables, slots)
-                gate = _gate((sym >= code.first_byte).astype(np.int64)[owner], one, two)
+                gate = _gate(sym, owner, code.first_byte, one, two)
                 doc = text[owner]
-                cost, _ = _adapt(weights, x, gate, bit, doc, np.searchsorted(doc, np.arange(k)), RATE)
+                cost = _adapt(weights, x, gate, bit, doc, k, RATE)
                 bits = np.bincount(doc, cost, minlength=k)
                 # The base score of frequent words and of the end; the other words with their number.
                 h = words.hash()

@@ -14,9 +14,10 @@ whose anchor's words stand in two documents or more.
    words of all windows that have it as their anchor.
 
 An anchor with more than ``group_rows`` occurrences would fill one task. Its
-windows are keyed by all of their words instead (a 128-bit hash), equal windows
-of a document are one row with all their positions, and an aggregation combines
-those of different documents in the tasks first.
+segments are combined first where they are equal, by an aggregation that starts
+in the tasks; the windows of the distinct segments are then keyed by all of
+their words (a 128-bit hash), and what is found is joined back to the segments'
+occurrences, one row for each document and segment.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ GROUP_ROWS = 4_000  # occurrences of an anchor that one task takes together
 HOT_ANCHORS = 1 << 20  # bound on the number of anchors that are handled apart
 MAX_BITS = 28  # the bitmap has at most 2**28 bits, 32 MB
 
+SPACES = r"[\x20\x09-\x0D]+"  # between the words of a segment
 COUNT_SCHEMA = "h long, lo long, hi long, n long"
 SEGMENT_SCHEMA = "h long, key long, th long, pos int, anchor int, seg binary"
-WINDOW_SCHEMA = "w1 long, w2 long, key long, th long, pos array<int>"
+HOT_SCHEMA = "key long, th long, pos array<int>, seg binary"
+WINDOW_SCHEMA = "w1 long, w2 long, s1 long, s2 long, key long, at int"
 FOUND_SCHEMA = "key long, th long, pos array<int>, mask long, lo long"
 
 
@@ -117,8 +120,8 @@ def _passes(sketch: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
     return (cells[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 != 0
 
 
-def _emit(rows: DataFrame, shape: Shape, sketch, hot: np.ndarray, windows: bool) -> DataFrame:
-    """Segments of the anchors that pass; or the windows of the hot anchors."""
+def _emit(rows: DataFrame, shape: Shape, sketch, hot: np.ndarray, apart: bool) -> DataFrame:
+    """Segments of the anchors that pass and are not hot; or, ``apart``, those of the hot ones."""
     sent = rows.sparkSession.sparkContext.broadcast((sketch, hot))
 
     def run(batches):
@@ -131,7 +134,7 @@ def _emit(rows: DataFrame, shape: Shape, sketch, hot: np.ndarray, windows: bool)
                 if not len(at):
                     continue
                 is_hot = member(hot, a)
-                use = np.flatnonzero(is_hot if windows else _passes(sketch, a) & ~is_hot)
+                use = np.flatnonzero(is_hot if apart else _passes(sketch, a) & ~is_hot)
                 if not len(use):
                     continue
                 at, a, lo, hi = at[use], a[use], lo[use], hi[use]
@@ -139,30 +142,49 @@ def _emit(rows: DataFrame, shape: Shape, sketch, hot: np.ndarray, windows: bool)
                 row = np.array(ids)[doc]
                 key, th = np.array(keys, np.int64)[row], np.array(hashes, np.int64)[row]
                 first = words.first[doc]
-                if windows:
-                    per = hi - lo + 1
-                    start = np.repeat(lo - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum())
-                    w1, w2 = gram_hash(h, shape.width)[start], gram_hash(mix(h ^ U(0x5DEECE66D)), shape.width)[start]
-                    back = np.repeat(np.arange(len(at)), per)
-                    pos = (start - first[back]).astype(np.int32)
-                    o = np.lexsort((pos, w2, w1, row[back]))  # equal windows of a document side by side
-                    w1, w2, back, pos = w1[o], w2[o], back[o], pos[o]
-                    own = row[back]
-                    head = np.flatnonzero(np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (own[1:] != own[:-1]))))
-                    places = pa.ListArray.from_arrays(pa.array(np.append(head, len(pos)).astype(np.int32)), pa.array(pos))
-                    yield pa.RecordBatch.from_arrays([_signed(w1[head]), _signed(w2[head]), pa.array(key[back[head]]), pa.array(th[back[head]]), places], ["w1", "w2", "key", "th", "pos"])
+                raw = words.data.tobytes()
+                seg = [raw[x:y] for x, y in zip(words.starts[lo].tolist(), words.ends[hi + shape.width - 1].tolist(), strict=True)]
+                pos = (lo - first).astype(np.int32)
+                if apart:
+                    places: dict[tuple, list] = {}  # equal segments of a document are one row
+                    for i, p, x in zip(row.tolist(), pos.tolist(), seg, strict=True):
+                        places.setdefault((i, x), []).append(p)
+                    own = [i for i, _ in places]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.int64()), pa.array([hashes[i] for i in own], pa.int64()), pa.array(list(places.values()), pa.list_(pa.int32())), pa.array([x for _, x in places], pa.binary())], ["key", "th", "pos", "seg"])
                 else:
-                    raw = words.data.tobytes()
-                    seg = [raw[x:y] for x, y in zip(words.starts[lo].tolist(), words.ends[hi + shape.width - 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([_signed(a), pa.array(key), pa.array(th), pa.array((lo - first).astype(np.int32)), pa.array((at - lo).astype(np.int32)), pa.array(seg, pa.binary())], ["h", "key", "th", "pos", "anchor", "seg"])
+                    yield pa.RecordBatch.from_arrays([_signed(a), pa.array(key), pa.array(th), pa.array(pos), pa.array((at - lo).astype(np.int32)), pa.array(seg, pa.binary())], ["h", "key", "th", "pos", "anchor", "seg"])
 
-    return rows.mapInArrow(run, WINDOW_SCHEMA if windows else SEGMENT_SCHEMA)
+    return rows.mapInArrow(run, HOT_SCHEMA if apart else SEGMENT_SCHEMA)
 
 
-def _hot_windows(windows: DataFrame) -> DataFrame:
+def _judge_hot(occurrences: DataFrame, shape: Shape) -> DataFrame:
+    """The repeated windows of the hot anchors' segments."""
+    segments = occurrences.groupBy("seg").agg(F.min("key").alias("key"))
+    segments = materialize(segments.select("seg", "key", F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(1), "seg").alias("s2")), "segments")
+
+    def cut(batches):
+        for b in batches:
+            for at, texts in chunks(range(b.num_rows), b.column(0).to_pylist()):
+                words = words_of(texts)
+                h = words.hash()
+                of = np.repeat(np.arange(len(texts)), np.diff(words.first) - shape.width + 1)
+                start = np.arange(len(of)) + of * (shape.width - 1)  # windows do not run on into the next segment
+                w1, w2 = gram_hash(h, shape.width)[start], gram_hash(mix(h ^ U(0x5DEECE66D)), shape.width)[start]
+                own = [b.column(i).to_numpy()[np.array(at)[of]] for i in (2, 3, 1)]
+                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), *map(pa.array, own), pa.array((start - words.first[of]).astype(np.int32))], ["w1", "w2", "s1", "s2", "key", "at"])
+
+    windows = materialize(segments.mapInArrow(cut, WINDOW_SCHEMA), "windows")
     nodes = windows.groupBy("w1", "w2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-    met = windows.join(materialize(nodes, "nodes"), ["w1", "w2"]).filter("key > lo")
-    return met.select("key", "th", "pos", F.lit(1).cast("long").alias("mask"), "lo")
+    lower = windows.join(materialize(nodes, "nodes"), ["w1", "w2"]).filter("key > lo")
+    lower = lower.groupBy("s1", "s2").agg(F.collect_list(F.struct("at", "lo")).alias("lower"))
+    per = F.size(F.split(F.col("seg").cast("string"), SPACES)) - shape.width + 1
+    verdict = materialize(segments.select("s1", "s2", F.col("key").alias("first"), per.alias("per")).join(lower, ["s1", "s2"], "left"), "verdict")
+    met = occurrences.select("key", "th", "pos", F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(1), "seg").alias("s2")).join(verdict, ["s1", "s2"])
+    # Any window has the segment's own smallest key at most, and a smaller one where it stands in another segment too.
+    rest = F.expr("if(first < key, shiftleft(1L, per) - 1, 0L)")
+    more = F.expr("aggregate(coalesce(lower, array()), 0L, (m, x) -> if(x.lo < key, m | shiftleft(1L, x.at), m))")
+    low = F.least("first", F.expr("array_min(transform(lower, x -> x.lo))"))
+    return met.select("key", "th", "pos", rest.bitwiseOR(more).alias("mask"), low.alias("lo")).filter("mask <> 0")
 
 
 def _judged(segments: DataFrame, judge, shape: Shape, batch_rows: int) -> DataFrame:
@@ -210,7 +232,7 @@ def repeated(rows: DataFrame, shape: Shape, judge, group_rows: int = GROUP_ROWS,
     sketch = _bitmap(anchors, n)
     found = _judged(_emit(rows, shape, sketch, hot, False), judge, shape, batch_rows)
     if len(hot):
-        found = found.union(_hot_windows(_emit(rows, shape, sketch, hot, True)))
+        found = found.union(_judge_hot(materialize(_emit(rows, shape, sketch, hot, True), "occurrences"), shape))
     return found
 
 
