@@ -49,7 +49,7 @@ SLAB = 1 << 15
 SAMPLE = 1_000  # bound of the texts that the starting weights are fitted on
 BLOCK = 2048
 RATE = 0.05
-PIECE = 1 << 18  # bytes of text handled at once
+PIECE = 1 << 17  # bytes of text handled at once
 TOKEN, BYTE, END = 0, 1, 2
 N_SLABS = sum(SIZES) // SLAB
 STEP = 16  # of a stretched prediction, as it is stored
@@ -487,10 +487,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 top = member(hashes, h)
                 base = np.bincount(of[top], logs[np.searchsorted(hashes, h[top])], minlength=k) + end_log * ended
                 known = np.bincount(of[top], minlength=k) + ((ends > 0) & ended)
-                rest, times = np.unique(np.rec.fromarrays([of[~top], h[~top]]), return_counts=True)
-                cut = np.searchsorted(rest.f0, np.arange(k + 1)).astype(np.int32)
+                o = np.lexsort((h[~top], of[~top]))
+                rest_of, rest_h = of[~top][o], h[~top][o]
+                head = np.ones(len(o), bool)
+                head[1:] = (rest_h[1:] != rest_h[:-1]) | (rest_of[1:] != rest_of[:-1])
+                head = np.flatnonzero(head)
+                times = np.diff(np.append(head, len(o)))
+                cut = np.searchsorted(rest_of[head], np.arange(k + 1)).astype(np.int32)
                 size = np.fromiter((len(t or b"") for t in texts), np.int64, k)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for v in (np.ascontiguousarray(rest.f1).view(np.int64), times.astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for v in (rest_h[head].view(np.int64), times.astype(np.int32))]
                 ids = [b.column(i).take(pa.array(at)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(size), pa.array(np.diff(words.first) + ended), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits), *lists], ["row", "doc_id", "learned", "n_bytes", "n_tokens", "top_known", "top_score", "bits", "rest_h", "rest_n"])
 

@@ -152,9 +152,15 @@ def _learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 words = words_of(texts, _NOT_LETTER, LOWER)
                 doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
                 h, begins = _terms(words)
-                pairs = np.unique(np.rec.fromarrays([np.concatenate([h, *[x[1] for x in begins]]), np.concatenate([doc, *[doc[x[0]] for x in begins]])]))
-                positive = labels[np.array(ids)][pairs.f1]
-                terms, at = np.unique(pairs.f0, return_inverse=True)
+                term = np.concatenate([h, *[x[1] for x in begins]])
+                of = np.concatenate([doc, *[doc[x[0]] for x in begins]])
+                o = np.lexsort((of, term))
+                term, of = term[o], of[o]
+                new = np.ones(len(o), bool)
+                new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])  # each term once a text
+                term, of = term[new], of[new]
+                positive = labels[np.array(ids)][of]
+                terms, at = np.unique(term, return_inverse=True)
                 pos = np.bincount(at, positive, minlength=len(terms)).astype(np.int64)
                 both = np.bincount(at, minlength=len(terms))
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(pos), pa.array(both - pos)], ["h", "pos", "neg"])
