@@ -51,8 +51,12 @@ def main(argv: list[str] | None = None) -> None:
     k3.add_argument("--test")
     k3.add_argument("--out")
     k3.add_argument("--rounds", type=int, default=None)
+    k3.add_argument("--frm", type=int, default=0)
+    k3.add_argument("--to", type=int, default=None)
+    k3.add_argument("--debug", action="store_true")
     bl = sub.add_parser("blend", help="blend score files")
     bl.add_argument("--scores", nargs="+", required=True)
+    bl.add_argument("--weights", nargs="+", type=float)
     bl.add_argument("--out-mean")
     bl.add_argument("--out-final")
     a = ap.parse_args(argv)
@@ -65,12 +69,12 @@ def main(argv: list[str] | None = None) -> None:
         r = flows.kernel2(spark, a.train, a.test, a.out, a.frm, a.to, a.val_size, a.debug)
         print(json.dumps({"best_iteration": r.best_iteration}))
     elif a.job == "kernel3":
-        r = flows.kernel3(spark, a.train, a.test, a.out, a.rounds)
+        r = flows.kernel3(spark, a.train, a.test, a.out, a.rounds, frm=a.frm, to=a.to, debug=a.debug)
         if r.best_iteration is not None:
             print(json.dumps({"best_iteration": r.best_iteration}))
             r.importance.show(100, truncate=False)
     else:
-        flows.blend_files(spark, a.scores, a.out_mean, a.out_final)
+        flows.blend_files(spark, a.scores, a.out_mean, a.out_final, a.weights)
 
 
 if __name__ == "__main__":

@@ -57,6 +57,8 @@ class TrainParams:
 
 
 # Effective parameters of the three scripts.
+SMOOTHING = 20.0  # prior weight of the overall rate in a target-encoded category, so that rare ones do not carry their label
+
 PARAMS = {
     "kernel1": TrainParams(step_size=0.10, max_depth=3, min_instances_per_node=100, max_bins=100, rounds=1000, patience=30),
     "kernel2": TrainParams(step_size=0.02, max_depth=5, min_instances_per_node=100, max_bins=128, rounds=2000, patience=30),
@@ -80,7 +82,7 @@ class FeatureMatrix:
     features: str = "features"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_prepare(df, self.numeric, self.encoded))
+        return self.model.transform(_prepare(df, self.numeric))
 
 
 def feature_matrix(train: DataFrame, predictors: Sequence[str], categorical: Sequence[str], label: str,
@@ -98,18 +100,19 @@ def feature_matrix(train: DataFrame, predictors: Sequence[str], categorical: Seq
         stages.append(StringIndexer(inputCols=narrow, outputCols=[f"{c}__idx" for c in narrow],
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
     if wide:
-        stages.append(TargetEncoder(inputCols=wide, outputCols=[f"{c}__te" for c in wide], labelCol=label,
-                                    targetType="binary", handleInvalid="keep"))
+        # Codes in columns of their own: strings can be encoded too, and the source columns stay as they are.
+        stages.append(StringIndexer(inputCols=wide, outputCols=[f"{c}__cat" for c in wide], handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        stages.append(TargetEncoder(inputCols=[f"{c}__cat" for c in wide], outputCols=[f"{c}__te" for c in wide],
+                                    labelCol=label, targetType="binary", handleInvalid="keep", smoothing=SMOOTHING))
     inputs = [f"{c}__idx" for c in narrow] + [f"{c}__te" for c in wide] + [f"{c}__num" for c in nums]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=features, handleInvalid="keep"))
-    model = Pipeline(stages=stages).fit(_prepare(train, nums, wide))
+    model = Pipeline(stages=stages).fit(_prepare(train, nums))
     return FeatureMatrix(model, nums, wide, narrow + wide + nums, features)
 
 
-def _prepare(df: DataFrame, nums: Sequence[str], wide: Sequence[str]) -> DataFrame:
-    cols = {f"{c}__num": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in nums}
-    cols.update({c: F.col(c).cast("double") for c in wide})
-    return df.withColumns(cols)
+def _prepare(df: DataFrame, nums: Sequence[str]) -> DataFrame:
+    return df.withColumns({f"{c}__num": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in nums})
 
 
 def fit(train: DataFrame, params: TrainParams, rounds: int | None = None, label: str = "is_attributed",

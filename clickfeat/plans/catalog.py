@@ -554,3 +554,53 @@ def q_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     feats = add_group_features(clicks(spark, sf_dir), [Agg("nonnull", ("ip", "day", "hour"), "channel", "ip_tcount")])
     return feats.select("click_id", wrap_unsigned("ip", 8).alias("ip_u8"), wrap_unsigned("ip_tcount", 16).alias("ip_tcount_u16"))
+
+
+# --- variants whose inputs can fail: a cap below the row count, a width that the data
+# exceed, repeated click identities and test rows without a score ----------------------
+SMALL_CAP = 1_000
+
+
+@register("s2_capped_scan_small", _with_clicks(f"x AS (SELECT 1)\nSELECT click_id, ip FROM clicks WHERE row_id < {SMALL_CAP}"))
+def q_capped_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import capped
+
+    return capped(clicks(spark, sf_dir), SMALL_CAP).select("click_id", "ip")
+
+
+@register("p7_wrap_unsigned_narrow", _with_clicks("x AS (SELECT 1)\nSELECT click_id, CAST(((ip % 64) + 64) % 64 AS BIGINT) AS ip_u6, CAST(row_id % 256 AS BIGINT) AS row_u8 FROM clicks"))
+def q_wrap_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.keys import wrap_unsigned
+
+    return clicks(spark, sf_dir).select("click_id", wrap_unsigned("ip", 6).alias("ip_u6"), wrap_unsigned("row_id", 8).alias("row_u8"))
+
+
+_COARSE_SQL = (
+    "cc AS (SELECT * REPLACE (CAST(date_trunc('month', click_time) AS TIMESTAMP) AS click_time) FROM clicks),\n"
+    f"s AS (SELECT {SIX}, {S1} AS is_attributed FROM cc WHERE day <= 20),\n"
+    f"d AS (SELECT {SIX}, AVG(is_attributed) AS is_attributed FROM s GROUP BY {SIX}),\n"
+    f"t AS (SELECT click_id, {SIX} FROM cc WHERE day > 15)\n"
+)
+
+
+def _coarse(spark: SparkSession, sf_dir: str):
+    """Clicks timed by the month: identities repeat; scores of days 1-20, a test log of the days from 16."""
+    c = clicks(spark, sf_dir).withColumn("click_time", F.date_trunc("month", "click_time").cast("timestamp_ntz"))
+    cols = [x.strip() for x in SIX.split(",")]
+    scored = c.filter("day <= 20").select(*cols, F.expr(S1).cast("double").alias("is_attributed"))
+    return scored, c.filter("day > 15").select("click_id", *cols)
+
+
+@register("a7_dedupe_scores_repeated", _with_clicks(_COARSE_SQL + f"SELECT {SIX}, ROUND(is_attributed, {BLEND_ROUND}) AS is_attributed FROM d"))
+def q_dedupe_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scores import dedupe_scores
+
+    return dedupe_scores(_coarse(spark, sf_dir)[0]).withColumn("is_attributed", F.round("is_attributed", BLEND_ROUND))
+
+
+@register("j2_b5_submission_unmatched", _with_clicks(_COARSE_SQL + f"SELECT click_id, ROUND(d.is_attributed, {BLEND_ROUND}) AS is_attributed FROM t LEFT JOIN d USING ({SIX})"))
+def q_submission_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.scores import submission
+
+    scored, test = _coarse(spark, sf_dir)
+    return submission(test, scored).withColumn("is_attributed", F.round("is_attributed", BLEND_ROUND))

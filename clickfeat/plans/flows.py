@@ -18,6 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.blend import FINAL_BLEND_WEIGHTS
 from ..functions.timeparts import add_time_parts
 from ..ml import gbt
 from ..ml.train import refit_and_score, validate_and_score
@@ -62,7 +63,7 @@ def kernel1(spark: SparkSession, train_path: str, supplement_path: str, test_pat
             frm: int = 0, to: int | None = None, val_size: int = 5_000_000, debug: bool = False,
             rounds: int | None = None, params: dict | None = None) -> FlowResult:
     train = load_log(spark, train_path)
-    if to is not None:
+    if frm or to is not None:
         train = row_range(train, frm, to)
     supp = load_log(spark, supplement_path, test=True, debug=debug)
     feats = build_features(append_logs(train, supp, row_id="row_id"), KS.KERNEL1)
@@ -80,7 +81,7 @@ def kernel2(spark: SparkSession, train_path: str, test_path: str, out_path: str
             frm: int = 0, to: int | None = None, val_size: int = 2_500_000, debug: bool = False,
             rounds: int | None = None, params: dict | None = None) -> FlowResult:
     train = load_log(spark, train_path)
-    if to is not None:
+    if frm or to is not None:
         train = row_range(train, frm, to)
     test = load_log(spark, test_path, test=True, debug=debug)
     feats = build_features(append_logs(train, test, row_id="row_id"), KS.KERNEL2)
@@ -94,12 +95,14 @@ def kernel2(spark: SparkSession, train_path: str, test_path: str, out_path: str
 
 def kernel3(spark: SparkSession, train_path: str, test_path: str | None = None, out_path: str | None = None,
             rounds: int | None = None, first_day: int | None = 7, valid_day: int = 9, refit_first_day: int = 8,
-            params: dict | None = None) -> FlowResult:
+            params: dict | None = None, frm: int = 0, to: int | None = None, debug: bool = False) -> FlowResult:
     """Validate (``rounds=None``): train on ``first_day`` .. ``valid_day - 1``,
     early-stop on ``valid_day`` onwards, return staged AUC and importance.
     Test (``rounds=N``): refit N trees on ``refit_first_day`` onwards plus the
     test log's features, score test, write a gzip CSV."""
-    train = load_log(spark, train_path)
+    train = load_log(spark, train_path, debug=debug)
+    if frm or to is not None:
+        train = row_range(train, frm, to)
     p = _params("kernel3", None, params)
     if rounds is None:
         if first_day is not None:
@@ -108,7 +111,7 @@ def kernel3(spark: SparkSession, train_path: str, test_path: str | None = None,
         res = validate_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p)
         return FlowResult(res.scores, res.best_iteration, res.staged, res.importance)
     train = train.filter(F.col("day") >= refit_first_day)
-    test = load_log(spark, test_path, test=True)
+    test = load_log(spark, test_path, test=True, debug=debug)
     feats = build_features(append_logs(train, test, row_id="row_id"), KS.KERNEL3)
     feats = feats.withColumn("split", F.when(F.col("src") == 1, F.lit(TEST)).otherwise(F.lit("train")))
     sub = refit_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rounds)
@@ -118,12 +121,19 @@ def kernel3(spark: SparkSession, train_path: str, test_path: str | None = None,
 
 
 def blend_files(spark: SparkSession, paths: list[str], out_mean: str | None = None, out_final: str | None = None,
-                weights=(5.0, 3.0, 2.0)) -> dict[str, DataFrame]:
-    """Align the score files on click_id and blend them."""
+                weights: list[float] | None = None) -> dict[str, DataFrame]:
+    """Align any number of score files on click_id and blend them.
+
+    The weighted blend needs a weight per file; three files have the final blend's weights by default.
+    """
+    if weights is None and len(paths) == len(FINAL_BLEND_WEIGHTS):
+        weights = list(FINAL_BLEND_WEIGHTS)
+    if out_final and weights is None:
+        raise ValueError("a weighted blend of other than three files needs weights")
     names = [f"s{i}" for i in range(len(paths))]
     aligned = align_scores([read_scores(spark, p) for p in paths], names)
     out = {how: blend(aligned, names, how, weights if how == "weighted" else None)
-           for how in ("arithmetic", "geometric", "harmonic", "weighted")}
+           for how in ("arithmetic", "geometric", "harmonic", *(["weighted"] if weights else []))}
     if out_mean:
         write_scores_csv(out["arithmetic"], out_mean, decimals=9)
     if out_final:

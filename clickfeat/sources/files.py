@@ -44,23 +44,31 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Add the dense 0-based load position of each row of a file scan.
 
     ``df`` must be a plain file scan (optionally projected): the position is
-    derived from the scan's file splits.
+    derived from the scan's file splits. The scan is written once with its
+    split and its place in the split, and both the offsets and the rows come
+    from that table: splits that differ between two scans can lose no row. A
+    row without an offset fails the job.
     """
+    from .sinks import materialize
+
     meta = df.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__mid"),
     )
+    meta = materialize(meta, "scan")
     splits = meta.groupBy("__file", "__start").agg(
         F.count(F.lit(1)).alias("__rows"), F.min("__mid").alias("__mid0")
     )
     w = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__offset", F.coalesce(F.sum("__rows").over(w), F.lit(0)))
-    # One row per file split: bounded by the file listing, never by row count.
+    place = F.col("__offset") + F.col("__mid") - F.col("__mid0")
+    lost = F.raise_error(F.lit("a row of the scan has no load position")).cast("long")
+    # One row per file split; the planner broadcasts it only if its measured size allows.
     return (
-        meta.join(F.broadcast(splits.select("__file", "__start", "__mid0", "__offset")), ["__file", "__start"])
-        .withColumn(name, (F.col("__offset") + F.col("__mid") - F.col("__mid0")).cast("long"))
+        meta.join(splits.select("__file", "__start", "__mid0", "__offset"), ["__file", "__start"], "left")
+        .withColumn(name, F.when(place.isNotNull(), place.cast("long")).otherwise(lost))
         .drop("__file", "__start", "__mid", "__mid0", "__offset")
     )
 
@@ -76,10 +84,10 @@ def row_range(df: DataFrame, frm, to, pandas_skiprows: bool = True, row_id: str
     With ``pandas_skiprows`` the original's off-by-one is kept: ``frm >= 1``
     yields positions ``[frm - 1, to - 1)`` and ``frm = 0`` yields ``[0, to)``.
     Otherwise the range is the half-open ``[frm, to)``. ``frm`` / ``to`` may
-    be ints or scalar-subquery columns. The filter is pushed to the scan.
+    be ints or scalar-subquery columns; ``to = None`` reads to the end. The filter is pushed to the scan.
     """
     f = frm if isinstance(frm, Column) else F.lit(frm)
-    t = to if isinstance(to, Column) else F.lit(to)
+    t = to if isinstance(to, Column) else F.lit(2**62 if to is None else to)
     if pandas_skiprows:
         shift = F.when(f >= 1, F.lit(1)).otherwise(F.lit(0))
         lo, hi = f - shift, t - shift
@@ -91,7 +99,7 @@ def row_range(df: DataFrame, frm, to, pandas_skiprows: bool = True, row_id: str
 
 def read_scores(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``click_id,is_attributed`` score file with a declared schema."""
-    return spark.read.schema(SCORE_SCHEMA).option("header", True).csv(path if isinstance(path, str) else list(path))
+    return spark.read.schema(SCORE_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path if isinstance(path, str) else list(path))
 
 
 def append_logs(train: DataFrame, test: DataFrame, src: str = "src", row_id: str | None = None) -> DataFrame:

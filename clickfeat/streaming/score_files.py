@@ -13,6 +13,7 @@ what the original computes); there is no cross-file state.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,11 @@ def score_arriving_logs(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start the stream; ``score`` maps one batch of clicks to a score table."""
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/score-{abs(hash((in_dir, out_dir)))}"
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/score-{hashlib.sha256(f'{in_dir}|{out_dir}'.encode()).hexdigest()[:16]}"
     clicks = (
         spark.readStream.schema(schema)
         .option("header", True)
+        .option("mode", "FAILFAST")
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(in_dir)

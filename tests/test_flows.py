@@ -69,3 +69,55 @@ def test_kernel3_validate_and_refit(spark, logs):
     sub = flows.kernel3(spark, logs["train"], logs["supp"], out, rounds=5, refit_first_day=1, params=SMALL).submission
     assert sub.count() == spark.read.option("header", True).csv(logs["supp"]).count()
     assert glob.glob(f"{out}/part-*.csv.gz")
+
+
+def test_row_range_without_end_reads_to_the_end(spark):
+    from clickfeat.sources.files import row_range
+
+    df = spark.range(10).withColumnRenamed("id", "row_id")
+    assert [r[0] for r in row_range(df, 4, None).orderBy("row_id").collect()] == list(range(3, 10))
+
+
+def test_two_files_blend_and_malformed_scores_fail(spark, tmp_path):
+    import pytest
+
+    from clickfeat.plans import flows
+
+    paths = []
+    for i, v in enumerate((0.2, 0.4)):
+        p = tmp_path / f"s{i}.csv"
+        p.write_text(f"click_id,is_attributed\n1,{v}\n")
+        paths.append(str(p))
+    out = flows.blend_files(spark, paths, weights=[1.0, 3.0])
+    assert abs(out["weighted"].first()["is_attributed"] - 0.35) < 1e-12
+    assert set(flows.blend_files(spark, paths)) == {"arithmetic", "geometric", "harmonic"}
+    bad = tmp_path / "bad.csv"
+    bad.write_text("click_id,is_attributed\n1,oops\n")
+    with pytest.raises(Exception):
+        flows.blend_files(spark, [paths[0], str(bad)])["arithmetic"].collect()
+
+
+def test_wide_string_category_is_encoded_beside_its_source(spark):
+    from pyspark.sql import functions as F
+
+    from clickfeat.ml.gbt import feature_matrix
+
+    df = spark.range(600).select(F.concat(F.lit("k"), (F.col("id") % 150).cast("string")).alias("app"), (F.col("id") % 2).cast("double").alias("y"))
+    out = feature_matrix(df, ["app"], ["app"], "y", max_bins=100).transform(df)
+    assert out.schema["app"].dataType.simpleString() == "string"
+    assert out.select("features").count() == 600
+
+
+def test_load_positions_survive_other_splits(spark, tmp_path):
+    from clickfeat.sources.files import with_row_id
+
+    spark.range(5000).selectExpr("id as click_id", "cast(id % 7 as double) as is_attributed").coalesce(1).write.option("header", True).csv(str(tmp_path / "log"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        df = with_row_id(spark.read.schema("click_id long, is_attributed double").option("header", True).csv(str(tmp_path / "log")))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        assert df.filter("row_id <> click_id").count() == 0
+        assert df.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
