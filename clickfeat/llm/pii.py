@@ -64,13 +64,24 @@ def _literal(regex: str) -> str:
     return "'" + regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _spans(kind: str) -> str:
     """SQL for the spans of a kind, from its matches ``m_kind`` in the text ``t``."""
     none = f"cast(array() as array<{_SPAN}>)"
     pieces = f"split(t, {_literal(_REGEX[kind])}, -1)"
     rows = f"zip_with(m_{kind}, slice({pieces}, 1, size(m_{kind})), (m, p) -> named_struct('m', m, 'g', length(p), 'l', right(p, 64)))"
-    step = "named_struct('pos', a.pos + x.g + length(x.m), 'out', concat(a.out, array(named_struct('s', a.pos + x.g, 'e', a.pos + x.g + length(x.m), 'v', x.m, 'l', x.l))))"
-    spans = f"if(size(m_{kind}) = 0, {none}, aggregate({rows}, named_struct('pos', 0, 'out', {none}), (a, x) -> {step}, a -> a.out))"
+    size = "aggregate({}, 0, (a, y) -> a + y.g + length(y.m))".format
+    span = "named_struct('s', st, 'e', st + length(x.m), 'v', x.m, 'l', x.l)"
+    in_block = f"transform(k, (x, i) -> {_let(f'w + {size('slice(k, 1, i)')} + x.g', 'st', span)})"
+    each = f"flatten(transform(bl, (k, b) -> {_let('aggregate(slice(bs, 1, b), 0, (a, y) -> a + y)', 'w', in_block)}))"
+    # Running sums over blocks of 128 matches, so that a text with very many matches takes no quadratic time.
+    blocks = "transform(sequence(0, (size(r) - 1) div 128), b -> slice(r, b * 128 + 1, 128))"
+    summed = _let(f"transform(bl, k -> {size('k')})", "bs", each)
+    spans = f"if(size(m_{kind}) = 0, {none}, {_let(rows, 'r', _let(blocks, 'bl', summed))})"
     return f"filter({spans}, x -> {_VALID[kind]})" if kind in _VALID else spans
 
 
@@ -143,7 +154,7 @@ def discover(docs: DataFrame, rows: DataFrame, text_col: str = "text", min_suppo
         found = found.agg((1 - F.product(1 - F.least("conf", F.lit(0.999)))).alias("score")).filter(F.col("score") >= MIN_SCORE)
         best = found.groupBy("v").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
         fresh = best.select((-F.col("b.col2")).cast("int").alias("kind"), "v")
-        fresh = materialize(fresh.join(accepted, "v", "left_anti"), "accepted")
+        fresh = materialize(fresh.join(accepted, "v", "left_anti").select("kind", "v"), "accepted")
         if fresh.isEmpty():
             break
         accepted = materialize(accepted.union(fresh), "accepted")
