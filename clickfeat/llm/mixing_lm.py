@@ -255,7 +255,7 @@ def _tables(rows: DataFrame, code: Code) -> list[np.ndarray]:
         return pa.table({"slab": table["slab"].slice(0, 1).cast(pa.int32()), "data": pa.array([_pack(total)], pa.binary())})
 
     tasks = rows.rdd.getNumPartitions()
-    tasks = max(min(tasks, spark.sparkContext.defaultParallelism), tasks // 4)  # each task sends a whole model
+    tasks = max(1, min(tasks, spark.sparkContext.defaultParallelism), tasks // 4)  # each task sends a whole model
     parts = rows.select("text").coalesce(tasks).mapInArrow(count, "slab int, data binary").withColumn("part", F.spark_partition_id())
     some = F.pmod("part", F.lit(max(1, int(tasks**0.5))))
     level = parts.groupBy("slab", some.alias("g")).applyInArrow(add_up, "slab int, data binary")

@@ -110,14 +110,15 @@ def test_packing_is_best_fit():
     rng = np.random.default_rng(1)
     sizes, src, clu = rng.integers(1, 60, 300), rng.integers(0, 9, 300), rng.integers(-1, 40, 300)
     got = packing.pack_group(sizes, src, clu, 100)
-    bins = []  # plain best fit
-    for i in np.argsort(-sizes, kind="stable"):
-        fit = [(b[0], k) for k, b in enumerate(bins) if b[0] >= sizes[i] and src[i] not in b[1] and (clu[i] == -1 or clu[i] not in b[2])]
+    bins = []  # plain best fit; of bins with equal room the one that got it last
+    for turn, i in enumerate(np.argsort(-sizes, kind="stable")):
+        fit = [(b[0], -b[3], k) for k, b in enumerate(bins) if b[0] >= sizes[i] and src[i] not in b[1] and (clu[i] == -1 or clu[i] not in b[2])]
         if fit:
-            b = bins[min(fit)[1]]
+            b = bins[min(fit)[2]]
         else:
-            bins.append(b := [100, set(), set()])
+            bins.append(b := [100, set(), set(), 0])
         b[0] -= sizes[i]
+        b[3] = turn
         b[1].add(src[i])
         b[2].add(clu[i])
     room = sorted(b[0] for b in bins)
