@@ -9,7 +9,8 @@ of the text.
 
 Each bit is predicted from several hashed contexts: for words, the node of the
 code alone, with the last word, and with the last two words; for bytes, the
-node with the last one, two and three bytes. A context's prediction comes from
+node with the last one, two and three bytes. The slots of a few successive nodes
+stand side by side, found by one hash of the first of them. A context's prediction comes from
 the counts of zeros and ones that all training texts left in its slot. The
 predictions are mixed in the logistic domain. The weights are chosen by a
 gate: kind of symbol, and how often the longer contexts were seen. Starting
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import materialize
-from .words import LOWER, U, chunks, member, mix, words_of
+from .words import LOWER, Lookup, U, chunks, mix, words_of
 
 VOCABULARY = 1 << 17  # tokens with a code of their own
 FREQUENT = 1 << 19  # tokens whose counts are broadcast
@@ -52,6 +53,8 @@ RATE = 0.05
 PIECE = 1 << 17  # bytes of text handled at once
 TOKEN, BYTE, END = 0, 1, 2
 N_SLABS = sum(SIZES) // SLAB
+GROUP = 4  # decisions of a path whose slots are neighbours
+FIRST = 1 << GROUP + 1  # marks the first decision of a path
 STEP = 16  # of a stretched prediction, as it is stored
 GATES = 32
 INPUTS = ORDERS + 1
@@ -96,15 +99,28 @@ class Code:
         self.first_byte = n + 2
         self.offsets = np.concatenate((o, q[1:] + o[-1]))
         self.nodes = np.concatenate((p, r)).astype(np.uint32)
-        self.bits = np.concatenate((b, s))
+        bits = np.concatenate((b, s))
+        # Paths are cut into groups of GROUP decisions, whose slots are neighbours: the place of a decision in
+        # its group follows from the bits since the group's first node.
+        size = np.diff(self.offsets)
+        depth = _ranges(np.zeros(len(size), np.int64), size)
+        place = np.ones(len(bits), np.uint8)
+        for d in range(1, GROUP):
+            at = np.flatnonzero(depth % GROUP == d)
+            place[at] = 2 * place[at - 1] + bits[at - 1]
+        self.steps = (depth == 0) * np.uint8(FIRST) + place * np.uint8(2) + bits
+        n_groups = -(-size // GROUP)
+        self.group_offsets = np.concatenate(([0], np.cumsum(n_groups)))
+        self.group_nodes = self.nodes[depth % GROUP == 0] * np.uint32(0x9E3779B1)
 
     def state(self):
         return self.__dict__
 
     @classmethod
     def of(cls, state):
+        """A task's code, with the table that finds its words."""
         self = cls.__new__(cls)
-        self.__dict__ = state
+        self.__dict__ = {**state, "words": Lookup(state["hashes"])}
         return self
 
 
@@ -149,11 +165,9 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code):
     is_end[(np.cumsum(size) - 1)[ended]] = True
     token = np.full(m, U(END + 1))
     token[~is_end] = h
-    known = np.zeros(m, bool)
-    known[~is_end] = member(code.hashes, h)
-    sym = np.full(m, code.escape)
-    sym[is_end] = code.end
-    sym[known] = np.searchsorted(code.hashes, token[known])
+    found = code.words.find(h)
+    sym = np.full(m, code.end)
+    sym[~is_end] = np.where(found < 0, code.escape, found)
     first = np.ones(m, bool)
     first[1:] = text[1:] != text[:-1]
     second = first.copy()
@@ -199,21 +213,30 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code):
 
 def decisions(code: Code, sym: np.ndarray, contexts):
     """(symbol number, slots of each order, bit) of every binary decision."""
-    size = code.offsets[sym + 1] - code.offsets[sym]
-    at = _ranges(code.offsets[sym], size)
-    node = code.nodes[at]
-    owner = np.repeat(np.arange(len(sym), dtype=np.int32), size)
-    slots = [contexts[0][owner] + node]
-    node = node * np.uint32(0x9E3779B1)
+    begin = code.offsets[sym]
+    at = _ranges(begin, code.offsets[sym + 1] - begin)
+    steps = code.steps.take(at)
+    owner = np.cumsum(steps >= FIRST) - 1
+    slots = [contexts[0].take(owner)]
+    slots[0] += code.nodes.take(at)
+    place = (steps >> np.uint8(1)) & np.uint8(2**GROUP - 1)
+    group = np.cumsum(place == 1) - 1
+    begin = code.group_offsets[sym]
+    size = code.group_offsets[sym + 1] - begin
+    node = code.group_nodes.take(_ranges(begin, size))
     for c in contexts[1:]:
-        x = c[owner]
+        x = np.repeat(c, size)
         x += node
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         x ^= x >> np.uint32(13)
         x *= np.uint32(0x297A2D39)
-        slots.append(x >> np.uint32(10))
-    return owner, slots, code.bits[at]
+        x >>= np.uint32(10)
+        x &= np.uint32(0xFFFFFFFF - (2**GROUP - 1))
+        x = x.take(group)
+        x += place
+        slots.append(x)
+    return owner, slots, steps & np.uint8(1)
 
 
 def _tables(rows: DataFrame, code: Code) -> list[np.ndarray]:
@@ -225,26 +248,12 @@ def _tables(rows: DataFrame, code: Code) -> list[np.ndarray]:
         code = Code.of(sent.value)
         total = np.zeros(2 * sum(SIZES), np.int32)
         own = _views(total)
-        held: list[list] = [[] for _ in range(ORDERS)]
-        n = 0
-
-        def add():
-            for i in range(ORDERS):
-                if held[i]:
-                    own[i] += np.bincount(np.concatenate(held[i]), minlength=2 * SIZES[i])
-                held[i].clear()
-
         for b in batches:
             for _, texts, ended in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
                 _, _, sym, contexts = symbols(texts, ended, code)
                 _, slots, bit = decisions(code, sym, contexts)
                 for i in range(ORDERS):
-                    held[i].append((slots[i] * np.uint32(2) + bit).astype(np.int32))
-                n += len(bit)
-                if n > 2_000_000:
-                    add()
-                    n = 0
-        add()
+                    np.add.at(own[i], slots[i].astype(np.int64) * 2 + bit, np.int32(1))
         data = [_pack(x) for x in total.reshape(N_SLABS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_SLABS, dtype=np.int32)), pa.array(data, pa.binary())], ["slab", "data"])
 
@@ -311,49 +320,72 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 def _gate(sym, owner, first_byte, level1, level2):
     """The weight set: words or bytes, and how often the two longer contexts were seen."""
-    kind = np.where(sym >= first_byte, np.int32(16), np.int32(0))
-    return kind[owner] + level1 * np.int32(4) + level2
+    gate = np.where(sym >= first_byte, 16, 0).take(owner)
+    gate += level1 * np.int16(4) + level2
+    return gate
 
 
-def _adapt(weights, x, gate, bit, doc, n_docs, rate):
-    """The cost (log2) of each decision. Every text has weights of its own, which follow its bits after each block.
+def _adapt(weights, x, gate, bit, sizes, rate):
+    """The bits (log2) of each text. Every text has weights of its own, which follow its bits after each block.
 
-    x: the inputs, one array each. The steps of a block use every fourth decision.
+    x: a row of inputs per decision; sizes: decisions of each text. The steps of a block use every fourth decision.
     """
-    w = [np.tile(weights[:, i].astype(np.float32), n_docs) for i in range(INPUTS)]
-    which = doc * np.int32(GATES) + gate
-    first = np.searchsorted(doc, np.arange(n_docs + 1))
-    cost = np.empty(len(bit), np.float32)
-    begin, left = first[:-1], np.diff(first)
-    while len(left):
-        size = np.minimum(left, BLOCK)
-        at = _ranges(begin, size) if len(begin) > 1 else slice(begin[0], begin[0] + size[0])
-        g = which[at]
-        mixed = w[0][g] * x[0][at]
-        for i in range(1, INPUTS):
-            mixed += w[i][g] * x[i][at]
+    k = len(sizes)
+    w = np.tile(weights.astype(np.float32), (k, 1))
+    # All first blocks, then all second ones, and so on: a round is a run of rows.
+    rounds = -(-sizes // BLOCK)
+    doc = np.repeat(np.arange(k), rounds)
+    number = _ranges(np.zeros(k, np.int64), rounds)
+    order = np.argsort(number, kind="stable")
+    doc, number = doc[order], number[order]
+    begin = (np.cumsum(sizes) - sizes)[doc] + number * BLOCK
+    size = np.minimum(sizes[doc] - number * BLOCK, BLOCK)
+    gate = gate + np.repeat(np.arange(k) * GATES, sizes)
+    sign = np.float32(1) - np.float32(2) * bit
+    if k > 1 and len(rounds) and rounds.max() > 1:
+        at = _ranges(begin, size)
+        x, gate, sign = x.take(at, axis=0), gate[at], sign[at]
+    ends = np.cumsum(size)
+    cost = np.empty(len(sign), np.float32)
+    n_rounds = np.bincount(number)
+    last = np.cumsum(n_rounds)
+    a = 0
+    for r, j in enumerate(last):
+        z = ends[j - 1]
+        g, xs, s = gate[a:z], x[a:z], sign[a:z]
+        part = w.take(g, axis=0)
+        part *= xs
+        mixed = part[:, 0] + part[:, 1]
+        for i in range(2, INPUTS):
+            mixed += part[:, i]
         np.clip(mixed, -11.5, 11.5, out=mixed)
-        hit = bit[at] != 0
-        odds = np.exp(np.where(hit, -mixed, mixed))
-        cost[at] = np.log2(1 + odds)
-        more = left > BLOCK
-        if more.any():
-            some = slice(0, None, 4)
-            wrong = odds[some] / (1 + odds[some])  # 1 - the probability of the bit that came
-            error = np.where(hit[some], wrong, -wrong)
-            gs = g[some]
-            pace = rate * 4 / np.sqrt(np.maximum(4 * np.bincount(gs, minlength=len(w[0])), 1))
+        mixed *= s
+        odds = np.exp(mixed, out=mixed)
+        cost[a:z] = odds
+        if r + 1 < len(last):
+            some = odds[::4]
+            error = -s[::4] * some / (1 + some)  # the bit less its probability
+            gs, xs = g[::4], xs[::4]
+            seen = np.bincount(gs, minlength=len(w))
+            used = np.flatnonzero(seen)
+            pace = rate * 4 / np.sqrt(4 * seen[used])
             for i in range(INPUTS):
-                w[i] += (pace * np.bincount(gs, error * x[i][at][some], minlength=len(w[0]))).astype(np.float32)
-        begin, left = (begin + BLOCK)[more], (left - BLOCK)[more]
-    return cost
+                w[used, i] += (pace * np.bincount(gs, error * xs[:, i], minlength=len(w))[used]).astype(np.float32)
+        a = z
+    cost += 1
+    np.log(cost, out=cost)
+    of = np.add.reduceat(cost, ends - size, dtype=np.float64) if len(size) else np.zeros(0)
+    return np.bincount(doc, of, minlength=k) / np.log(2)
 
 
 def _inputs(ready, slots):
     """Stretched predictions and a bias, and the levels of the two longer contexts."""
-    got = [ready[i][slots[i]] for i in range(ORDERS)]
-    x = [(v >> np.int16(2)).astype(np.float32) * np.float32(1 / STEP) for v in got]
-    return [*x, np.full(len(got[0]), 0.3, np.float32)], got[1] & np.int16(3), got[2] & np.int16(3)
+    got = [ready[i].take(slots[i], mode="clip") for i in range(ORDERS)]
+    x = np.empty((len(got[0]), INPUTS), np.float32)
+    for i, v in enumerate(got):
+        np.multiply(v >> np.int16(2), np.float32(1 / STEP), out=x[:, i], casting="unsafe")
+    x[:, ORDERS] = 0.3
+    return x, got[1] & np.int16(3), got[2] & np.int16(3)
 
 
 def _inputs_without(tables, slots, bit):
@@ -469,6 +501,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         ((hashes, counts), ends), state, tables, weights = sent.value
         code, tables = Code.of(state), [_got(x) for x in tables]
+        frequent = Lookup(hashes)
         logs = np.log10((counts + 0.5) / floor)
         end_log = np.log10((ends + 0.5) / floor)
         for b in batches:
@@ -478,14 +511,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 owner, slots, bit = decisions(code, sym, contexts)
                 x, one, two = _inputs(tables, slots)
                 gate = _gate(sym, owner, code.first_byte, one, two)
-                doc = text[owner]
-                cost = _adapt(weights, x, gate, bit, doc, k, RATE)
-                bits = np.bincount(doc, cost, minlength=k)
+                bits = _adapt(weights, x, gate, bit, np.bincount(text.take(owner), minlength=k), RATE)
                 # The base score of frequent words and of the end; the other words with their number.
                 h = words.hash()
                 of = np.repeat(np.arange(k), np.diff(words.first))
-                top = member(hashes, h)
-                base = np.bincount(of[top], logs[np.searchsorted(hashes, h[top])], minlength=k) + end_log * ended
+                place = frequent.find(h)
+                top = place >= 0
+                base = np.bincount(of[top], logs[place[top]], minlength=k) + end_log * ended
                 known = np.bincount(of[top], minlength=k) + ((ends > 0) & ended)
                 o = np.lexsort((h[~top], of[~top]))
                 rest_of, rest_h = of[~top][o], h[~top][o]

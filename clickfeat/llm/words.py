@@ -129,3 +129,28 @@ def member(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     pos = np.searchsorted(keys, h[at])
     out[at] = keys[np.minimum(pos, len(keys) - 1)] == h[at]
     return out
+
+
+class Lookup:
+    """Positions in a sorted array of well-mixed hashes: a table by leading bits gives where to begin, a few steps the rest."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(8, int(4 * len(keys)).bit_length())
+        self.shift = U(64 - bits)
+        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=U) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The position of each of ``h`` in the keys, -1 where it is none."""
+        out = np.full(len(h), -1)
+        if not len(self.keys):
+            return out
+        at = self.begin[h >> self.shift].astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            key = self.keys[np.minimum(at, len(self.keys) - 1)]
+            hit = key == h
+            out[left[hit]] = at[hit]
+            on = (key < h) & (at < len(self.keys) - 1)
+            left, h, at = left[on], h[on], at[on] + 1
+        return out
