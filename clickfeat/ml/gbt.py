@@ -13,7 +13,8 @@ All data-parallel on ``pyspark.ml``:
 * M5: AUC of every tree prefix on the validation rows, computed in blocks of
   trees; after each block the running margins are written to the shared
   folder once (lineage cut)
-  and the scan stops when ``patience`` rounds bring no gain.
+  and the scan stops when ``patience`` rounds bring no gain; the fit itself
+  grows by doubling and ends then too (``fit_early_stopped``).
 * M8: probability with the first ``k`` trees: ``1 / (1 + exp(-2 * margin))``.
 * M9: per-feature split count and gain share, read from the saved model's
   node table with DataFrame operations.
@@ -117,7 +118,7 @@ def _prepare(df: DataFrame, nums: Sequence[str]) -> DataFrame:
 
 def fit(train: DataFrame, params: TrainParams, rounds: int | None = None, label: str = "is_attributed",
         features: str = "features", weight: str = "weight") -> GBTClassificationModel:
-    """M4 / M7: fit ``rounds`` trees (all of them; M5 picks the prefix)."""
+    """M4 / M7: fit exactly ``rounds`` trees."""
     checkpoint_dir(train.sparkSession)
     gbt = GBTClassifier(
         featuresCol=features, labelCol=label, weightCol=weight, maxIter=rounds or params.rounds,
@@ -179,6 +180,30 @@ def staged_auc(model: GBTClassificationModel, valid: DataFrame, label: str = "is
     return spark.createDataFrame(results, "iteration int, auc double")
 
 
+def fit_early_stopped(train: DataFrame, valid: DataFrame, params: TrainParams, rounds: int | None = None,
+                      label: str = "is_attributed", features: str = "features",
+                      block: int = 25) -> tuple[GBTClassificationModel, DataFrame, int]:
+    """M4 + M5: a fit that ends after ``patience`` rounds without gain; ``(model, staged AUC, best iteration)``.
+
+    The budget starts at twice the patience and doubles up to ``rounds``
+    until the scan of prefixes has run out of patience. A tree depends on those
+    before it and on the seed alone, so a longer fit of the same rows begins
+    with the same trees, and the best prefix is that of the whole budget; the
+    work is at most about four times the trees that early stopping looks at.
+    Model and AUC always stem from the same fit.
+    """
+    rounds = rounds or params.rounds
+    budget = min(rounds, 2 * params.patience)
+    while True:
+        model = fit(train, params, budget, label, features)
+        staged = staged_auc(model, valid, label, features, block, params.patience)
+        best = best_iteration(staged, params.patience)
+        seen = staged.agg(F.max("iteration")).first()[0]
+        if budget >= rounds or seen - best >= params.patience:
+            return model, staged, best
+        budget = min(rounds, 2 * budget)
+
+
 def _auc_by_group(df: DataFrame, key: str = "k", score: str = "s", label: str = "__y") -> DataFrame:
     return auc_by_group(df, score, label, group=key)
 

@@ -36,9 +36,7 @@ def validate_and_score(features: DataFrame, predictors: Sequence[str], categoric
     features = materialize(features, "features")
     train, valid, test = (take(features, s, split) for s in (TRAIN, VALID, TEST))
     fm = gbt.feature_matrix(train, predictors, categorical, label, params.max_bins)
-    model = gbt.fit(fm.transform(train), params, rounds, label)
-    staged = gbt.staged_auc(model, fm.transform(valid), label, block=block, patience=params.patience)
-    k = gbt.best_iteration(staged, params.patience)
+    model, staged, k = gbt.fit_early_stopped(fm.transform(train), fm.transform(valid), params, rounds, label, block=block)
     carried = [c for c in keep if c in test.columns]  # validate-only runs have no test log
     scores = gbt.score(model, fm.transform(test), k).select(*carried, "is_attributed")
     imp = gbt.importance(model, fm.names, k)

@@ -453,12 +453,9 @@ _kernels()
 
 # --- model operators (M1-M9), rows-only checks --------------------------------
 # The registered model queries train on kernel-1 features of the whole clicks
-# table with kernel-1 parameters; the round budget is cut to bound the check's
-# runtime (the early-stopping logic is unchanged).
-ML_ROUNDS = 60
-_ML_MEMO: dict = {}
-
-
+# table with kernel 1's own parameters, its round budget and patience included.
+# One fit serves the four of them: its tables lie in the fingerprinted store,
+# keyed by features, parameters and the input files.
 def _ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.splits import day_split
     from .kernels import KERNEL1
@@ -467,32 +464,41 @@ def _ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day_split(feats, valid_from=22, test_from=26)
 
 
-def _ml_result(spark: SparkSession, sf_dir: str):
+def _ml_table(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """``staged``, ``scores`` or ``importance`` of the early-stopped fit."""
     from ..ml import gbt
     from ..ml.train import validate_and_score
-    from .kernels import CATEGORICAL_1, predictors
+    from ..sources.sinks import cached_table, fingerprint, input_identity
+    from .kernels import CATEGORICAL_1, KERNEL1, predictors
+
+    spec = (KERNEL1, gbt.PARAMS["kernel1"], predictors("kernel1"), CATEGORICAL_1)
+    key = fingerprint(spec, input_identity(spark, f"{sf_dir}/events.parquet"))
+    fitted = []
+
+    def table(name: str) -> DataFrame:
+        def compute() -> DataFrame:
+            if not fitted:
+                fitted.append(validate_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"]))
+            return getattr(fitted[0], name)
+
+        return cached_table(spark, f"model-{name}", key, compute)
 
-    key = (id(spark), sf_dir)
-    if key not in _ML_MEMO:
-        params = gbt.PARAMS["kernel1"]
-        feats = _ml_features(spark, sf_dir)
-        _ML_MEMO[key] = validate_and_score(feats, predictors("kernel1"), CATEGORICAL_1, params, rounds=ML_ROUNDS, block=20)
-    return _ML_MEMO[key]
+    return {name: table(name) for name in ("staged", "scores", "importance")}[part]
 
 
 @register("m4_m5_staged_validation_auc")
 def q_staged_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ml_result(spark, sf_dir).staged
+    return _ml_table(spark, sf_dir, "staged")
 
 
 @register("m8_score_test_best_prefix")
 def q_score_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ml_result(spark, sf_dir).scores
+    return _ml_table(spark, sf_dir, "scores")
 
 
 @register("m9_feature_importance")
 def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ml_result(spark, sf_dir).importance
+    return _ml_table(spark, sf_dir, "importance")
 
 
 @register("m7_fixed_round_refit_score")
@@ -501,7 +507,7 @@ def q_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..ml.train import refit_and_score
     from .kernels import CATEGORICAL_1, predictors
 
-    k = _ml_result(spark, sf_dir).best_iteration
+    k = gbt.best_iteration(_ml_table(spark, sf_dir, "staged"), gbt.PARAMS["kernel1"].patience)
     return refit_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rounds=k)
 
 

@@ -44,6 +44,17 @@ def fingerprint(spec: object, inputs: Sequence[str]) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def input_identity(spark: SparkSession, path: str) -> list[str]:
+    """Path, length and modification time of every file under ``path``."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hpath, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(out)
+
+
 def cached_table(spark: SparkSession, name: str, key: str, compute, folder: str | None = None) -> DataFrame:
     """Read the feature table written for ``key``, or compute and write it.
 

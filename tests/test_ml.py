@@ -76,3 +76,20 @@ def test_two_level_auc_equals_evaluator(planted, spark):
         assert got == pytest.approx(ev, abs=1e-12)
     per = {r["cat"]: r["auc"] for r in auc_by_group(s, "s", "is_attributed", group="cat", buckets=5).collect()}
     assert set(per) == {0, 1, 2, 3}
+
+
+def test_longer_fit_begins_with_the_same_trees(trained):
+    fm, data, model = trained
+    params = gbt.TrainParams(step_size=0.2, max_depth=3, min_instances_per_node=20, max_bins=32, rounds=12, pos_weight=5.0)
+    short = gbt.fit(data, params, rounds=5)
+    assert [t.toDebugString.split("\n", 1)[1] for t in short.trees] == [t.toDebugString.split("\n", 1)[1] for t in model.trees[:5]]
+
+
+def test_early_stopping_ends_the_fit_and_keeps_the_whole_budgets_best(trained):
+    fm, data, _ = trained
+    params = gbt.TrainParams(step_size=0.2, max_depth=3, min_instances_per_node=20, max_bins=32, rounds=16, patience=2, pos_weight=5.0)
+    model, staged, best = gbt.fit_early_stopped(data, data.filter("click_id % 2 = 0"), params)
+    whole = gbt.staged_auc(gbt.fit(data, params), data.filter("click_id % 2 = 0"), patience=2)
+    assert best == gbt.best_iteration(whole, 2)
+    seen = staged.agg(F.max("iteration")).first()[0]
+    assert len(model.trees) == 16 or seen - best >= 2
