@@ -93,3 +93,14 @@ def test_row_id_dense_across_many_splits_of_one_file(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(r["row_id"] for r in got) == list(range(n))
     assert all(r["row_id"] == r["ip"] for r in got)  # ip was written as the line number
+
+
+def test_input_identity_follows_the_files(spark, tmp_path):
+    from clickfeat.sources.sinks import input_identity
+
+    path = str(tmp_path / "t")
+    spark.range(5).coalesce(1).write.parquet(path)
+    before = input_identity(spark, path)
+    assert before == input_identity(spark, path) and len(before) >= 1
+    spark.range(9).coalesce(1).write.mode("append").parquet(path)
+    assert input_identity(spark, path) != before
