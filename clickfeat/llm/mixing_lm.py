@@ -15,8 +15,8 @@ the counts of zeros and ones that all training texts left in its slot. The
 predictions are mixed in the logistic domain. The weights are chosen by a
 gate: kind of symbol, and how often the longer contexts were seen. Starting
 weights are fitted on a bounded sample of training texts, from counts without
-the text's own bit; while a text is scored they follow its bits, block by
-block, by gradient steps.
+the text's own bit; while a text is scored they follow its bits by a gradient
+step after each ``BLOCK`` of decisions, from all of the block's decisions.
 
 Counts are summed over all training texts by shuffles of compressed slabs, in
 two levels, so that no task gathers from all others. The model has a fixed
@@ -24,8 +24,8 @@ number of slots and is broadcast. The base score needs the count of every
 token: frequent ones, bounded in number, are broadcast; the others are joined.
 
 Defined results: null text is empty text (one end token); a text beyond
-``PIECE`` bytes is scored in pieces cut between words, each with the starting
-weights and contexts (a word is never cut); without training
+``PIECE`` bytes is handled in pieces cut between words, each of which goes on with
+the weights and the last two words of the one before; without training
 texts all counts are zero; repeated rows count as often as they occur.
 """
 
@@ -48,10 +48,11 @@ DIRECT = 1 << 18  # in the first table, slots of bytes follow those of the token
 ORDERS = 3
 SLAB = 1 << 15
 SAMPLE = 1_000  # bound of the texts that the starting weights are fitted on
-BLOCK = 2048
+BLOCK = 64  # decisions between two steps of a text's weights
 RATE = 0.05
 PIECE = 1 << 17  # bytes of text handled at once
 TOKEN, BYTE, END = 0, 1, 2
+NO_PAST = U(7), U(7)  # stand for the two tokens before a text
 N_SLABS = sum(SIZES) // SLAB
 GROUP = 4  # decisions of a path whose slots are neighbours
 FIRST = 1 << GROUP + 1  # marks the first decision of a path
@@ -130,29 +131,45 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def pieces(ids: list, texts: list[bytes | None], size: int):
-    """Runs of (ids, texts, is last piece of its text); a text beyond ``size`` bytes is cut between words."""
-    out_ids, out, last = [], [], []
+    """Runs of (ids, texts, is last piece of its text, the first goes on with the last text of the run before).
+
+    A text beyond ``size`` bytes is cut between words; each of its pieces but the first begins a run.
+    """
+    run: list[tuple] = []
+    n, on = 0, False
     for i, t in zip(ids, texts, strict=True):
-        if len(t or b"") <= size:
-            parts = [t]
-        else:
-            parts, held, n = [], [], 0
-            for w in t.split():
-                if held and n + len(w) > size:
-                    parts.append(b" ".join(held))
-                    held, n = [], 0
-                held.append(w)
-                n += len(w) + 1
+        parts = [t] if len(t or b"") <= size else _cut(t, size)
+        for j, part in enumerate(parts):
+            if run and (j or n + len(part or b"") > size):
+                yield _run(run, on)
+                run, n, on = [], 0, j > 0
+            run.append((i, part, j == len(parts) - 1))
+            n += len(part or b"")
+    if run:
+        yield _run(run, on)
+
+
+def _run(run: list[tuple], on: bool) -> tuple:
+    ids, texts, last = zip(*run, strict=True)
+    return list(ids), list(texts), np.array(last), on
+
+
+def _cut(text: bytes, size: int) -> list[bytes]:
+    parts, held, n = [], [], 0
+    for w in text.split():
+        if held and n + len(w) > size:
             parts.append(b" ".join(held))
-        out_ids += [i] * len(parts)
-        out += parts
-        last += [False] * (len(parts) - 1) + [True]
-    for at, part in chunks(range(len(out)), out, size):
-        yield [out_ids[j] for j in at], part, np.array([last[j] for j in at])
+            held, n = [], 0
+        held.append(w)
+        n += len(w) + 1
+    return [*parts, b" ".join(held)]
+
 
+def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code, past=NO_PAST):
+    """(words, text of each symbol, symbol, context hashes of each symbol for each order, the last text's last two tokens).
 
-def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code):
-    """(words, text of each symbol, symbol, context hashes of each symbol for each order)."""
+    past: the last token, and the one before it, that the first text goes on from.
+    """
     words = words_of(texts, fold=LOWER)
     h = words.hash()
     k, n = len(texts), len(h)
@@ -175,6 +192,13 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code):
     start = np.full(2, U(7))
     last = np.where(first, U(7), np.concatenate((start[:1], token))[:m])
     before = np.where(second, U(7), np.concatenate((start, token))[:m])
+    if m:
+        last[0], before[0] = past
+    if m > 1 and text[1] == text[0]:
+        before[1] = past[0]
+    ends_with = past
+    if m:
+        ends_with = (token[-1], last[-1])
     one = mix(last + U(11))
     two = mix(one + before * U(0x9E3779B97F4A7C15) + U(13))
     # Bytes of the escaped words, each followed by a blank.
@@ -184,12 +208,12 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code):
     data = words.data[_ranges(words.starts[word], size)].astype(np.uint32)
     data[np.cumsum(size) - 1] = 32
     place = _ranges(np.zeros(len(size), np.int64), size)
-    past = []
+    earlier = []
     for i in (1, 2, 3):
         b = np.zeros(len(data), np.uint32)
         b[i:] = data[:-i]
         b[place < i] = 0
-        past.append(b)
+        earlier.append(b)
     # The symbols in order: an escaped word's bytes follow its escape.
     extra = np.zeros(m, np.int64)
     extra[escaped] = size
@@ -202,13 +226,13 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code):
         out[at], out[at_bytes] = a, b
         return out
 
-    two_bytes = past[0] + (past[1] << np.uint32(8))
+    two_bytes = earlier[0] + (earlier[1] << np.uint32(8))
     contexts = (
-        woven(0, DIRECT + past[0] * 256, np.uint32),
+        woven(0, DIRECT + earlier[0] * 256, np.uint32),
         woven(one >> U(32), two_bytes * np.uint32(0x85EBCA6B) + np.uint32(1), np.uint32),
-        woven(two >> U(32), (two_bytes + (past[2] << np.uint32(16))) * np.uint32(0xC2B2AE35) + np.uint32(2), np.uint32),
+        woven(two >> U(32), (two_bytes + (earlier[2] << np.uint32(16))) * np.uint32(0xC2B2AE35) + np.uint32(2), np.uint32),
     )
-    return words, woven(text, np.repeat(text[escaped], size), np.int32), woven(sym, data + code.first_byte, np.int32), contexts
+    return words, woven(text, np.repeat(text[escaped], size), np.int32), woven(sym, data + code.first_byte, np.int32), contexts, ends_with
 
 
 def decisions(code: Code, sym: np.ndarray, contexts):
@@ -249,8 +273,9 @@ def _tables(rows: DataFrame, code: Code) -> list[np.ndarray]:
         total = np.zeros(2 * sum(SIZES), np.int32)
         own = _views(total)
         for b in batches:
-            for _, texts, ended in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
-                _, _, sym, contexts = symbols(texts, ended, code)
+            past = NO_PAST
+            for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
+                _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
                 _, slots, bit = decisions(code, sym, contexts)
                 for i in range(ORDERS):
                     np.add.at(own[i], slots[i].astype(np.int64) * 2 + bit, np.int32(1))
@@ -325,33 +350,37 @@ def _gate(sym, owner, first_byte, level1, level2):
     return gate
 
 
-def _adapt(weights, x, gate, bit, sizes, rate):
-    """The bits (log2) of each text. Every text has weights of its own, which follow its bits after each block.
+def _adapt(weights, x, gate, bit, sizes, rate, own=None):
+    """The bits (log2) of each text, and the last text's weights. Every text has weights of its own, which follow its bits after each block.
 
-    x: a row of inputs per decision; sizes: decisions of each text. The steps of a block use every fourth decision.
+    x: a row of inputs per decision; sizes: decisions of each text; own: the weights that the first text goes on with.
     """
     k = len(sizes)
-    w = np.tile(weights.astype(np.float32), (k, 1))
-    # All first blocks, then all second ones, and so on: a round is a run of rows.
+    # All first blocks, then all second ones, and so on: a round is a run of rows. Texts with more rounds come first,
+    # so that those with a block in a round are the first ones.
     rounds = -(-sizes // BLOCK)
+    rank = np.empty(k, np.int64)
+    rank[np.argsort(-rounds, kind="stable")] = np.arange(k)
+    w = np.tile(weights.astype(np.float32), (k, 1))
+    if own is not None:
+        w[rank[0] * GATES : (rank[0] + 1) * GATES] = own
     doc = np.repeat(np.arange(k), rounds)
     number = _ranges(np.zeros(k, np.int64), rounds)
-    order = np.argsort(number, kind="stable")
+    order = np.lexsort((rank[doc], number))
     doc, number = doc[order], number[order]
     begin = (np.cumsum(sizes) - sizes)[doc] + number * BLOCK
     size = np.minimum(sizes[doc] - number * BLOCK, BLOCK)
-    gate = gate + np.repeat(np.arange(k) * GATES, sizes)
+    gate = gate + np.repeat(rank * GATES, sizes)
     sign = np.float32(1) - np.float32(2) * bit
-    if k > 1 and len(rounds) and rounds.max() > 1:
+    if k > 1:
         at = _ranges(begin, size)
         x, gate, sign = x.take(at, axis=0), gate[at], sign[at]
     ends = np.cumsum(size)
     cost = np.empty(len(sign), np.float32)
     n_rounds = np.bincount(number)
-    last = np.cumsum(n_rounds)
     a = 0
-    for r, j in enumerate(last):
-        z = ends[j - 1]
+    for j, last in zip(n_rounds, np.cumsum(n_rounds), strict=True):
+        z = ends[last - 1]
         g, xs, s = gate[a:z], x[a:z], sign[a:z]
         part = w.take(g, axis=0)
         part *= xs
@@ -362,20 +391,16 @@ def _adapt(weights, x, gate, bit, sizes, rate):
         mixed *= s
         odds = np.exp(mixed, out=mixed)
         cost[a:z] = odds
-        if r + 1 < len(last):
-            some = odds[::4]
-            error = -s[::4] * some / (1 + some)  # the bit less its probability
-            gs, xs = g[::4], xs[::4]
-            seen = np.bincount(gs, minlength=len(w))
-            used = np.flatnonzero(seen)
-            pace = rate * 4 / np.sqrt(4 * seen[used])
-            for i in range(INPUTS):
-                w[used, i] += (pace * np.bincount(gs, error * xs[:, i], minlength=len(w))[used]).astype(np.float32)
+        error = -s * odds / (1 + odds)  # the bit less its probability
+        m = j * GATES
+        pace = rate / np.sqrt(np.maximum(np.bincount(g, minlength=m), 1))
+        for i in range(INPUTS):
+            w[:m, i] += pace * np.bincount(g, error * xs[:, i], minlength=m)
         a = z
     cost += 1
     np.log(cost, out=cost)
     of = np.add.reduceat(cost, ends - size, dtype=np.float64) if len(size) else np.zeros(0)
-    return np.bincount(doc, of, minlength=k) / np.log(2)
+    return np.bincount(doc, of, minlength=k) / np.log(2), w[rank[-1] * GATES : (rank[-1] + 1) * GATES].copy()
 
 
 def _inputs(ready, slots):
@@ -414,10 +439,11 @@ def _start_weights(sample: DataFrame, code: Code, tables: np.ndarray) -> np.ndar
     def run(batches):
         state, tables = sent.value
         code, tables = Code.of(state), [_got(x) for x in tables]
-        w, past = _plain_weights(), np.full((GATES, INPUTS), 1e-3)
+        w, squares = _plain_weights(), np.full((GATES, INPUTS), 1e-3)
         for b in batches:
-            for _, texts, ended in pieces(range(b.num_rows), b.column(0).to_pylist(), 1 << 15):
-                _, _, sym, contexts = symbols(texts, ended, code)
+            past = NO_PAST
+            for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), 1 << 15):
+                _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
                 owner, slots, bit = decisions(code, sym, contexts)
                 x, one, two = _inputs_without(tables, slots, bit)
                 gate = _gate(sym, owner, code.first_byte, one, two)
@@ -426,8 +452,8 @@ def _start_weights(sample: DataFrame, code: Code, tables: np.ndarray) -> np.ndar
                     p = 1 / (1 + np.exp(-np.clip((w[g] * xs).sum(1), -30, 30)))
                     step = (bit[i : i + 1024] - p)[:, None] * xs
                     grad = np.stack([np.bincount(g, step[:, j], minlength=GATES) for j in range(INPUTS)], 1)
-                    past += grad * grad
-                    w += 0.02 * grad / np.sqrt(past)
+                    squares += grad * grad
+                    w += 0.02 * grad / np.sqrt(squares)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
     parts = [np.frombuffer(r["w"], np.float64).reshape(GATES, INPUTS) for r in sample.select("text").coalesce(2).mapInArrow(run, "w binary").collect()]
@@ -505,13 +531,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         logs = np.log10((counts + 0.5) / floor)
         end_log = np.log10((ends + 0.5) / floor)
         for b in batches:
-            for at, texts, ended in pieces(range(b.num_rows), b.column(3).to_pylist(), PIECE):
-                words, text, sym, contexts = symbols(texts, ended, code)
+            past, own = NO_PAST, None
+            for at, texts, ended, on in pieces(range(b.num_rows), b.column(3).to_pylist(), PIECE):
+                words, text, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
                 k = len(texts)
                 owner, slots, bit = decisions(code, sym, contexts)
                 x, one, two = _inputs(tables, slots)
                 gate = _gate(sym, owner, code.first_byte, one, two)
-                bits = _adapt(weights, x, gate, bit, np.bincount(text.take(owner), minlength=k), RATE)
+                bits, own = _adapt(weights, x, gate, bit, np.bincount(text.take(owner), minlength=k), RATE, own if on else None)
                 # The base score of frequent words and of the end; the other words with their number.
                 h = words.hash()
                 of = np.repeat(np.arange(k), np.diff(words.first))
