@@ -14,8 +14,9 @@ stand side by side, found by one hash of the first of them. A context's predicti
 the counts of zeros and ones that all training texts left in its slot. The
 predictions are mixed in the logistic domain. The weights are chosen by a
 gate: kind of symbol, and how often the longer contexts were seen. Starting
-weights are fitted on a bounded sample of training texts, from counts without
-the text's own bit; while a text is scored they follow its bits by a gradient
+weights are fitted on all training texts, each row counting once, from counts
+without the decision's own bit: Newton steps, for which a pass over the texts sums
+gradients and curvatures of all decisions; while a text is scored they follow its bits by a gradient
 step after each ``BLOCK`` of decisions, from all of the block's decisions.
 
 Counts are summed over all training texts by shuffles of compressed slabs, in
@@ -47,7 +48,9 @@ SIZES = (1 << 19, 1 << 22, 1 << 22)  # slots of the contexts' tables; the first
 DIRECT = 1 << 18  # in the first table, slots of bytes follow those of the token code's nodes
 ORDERS = 3
 SLAB = 1 << 15
-SAMPLE = 1_000  # bound of the texts that the starting weights are fitted on
+FIT_GAIN = 1e-3  # the fit of starting weights ends when a step promises less than this share of the cost
+FIT_STEPS = 30
+RIDGE = 1.0  # pull of a gate's weights to the plain ones, in decisions
 BLOCK = 64  # decisions between two steps of a text's weights
 RATE = 0.05
 PIECE = 1 << 17  # bytes of text handled at once
@@ -413,15 +416,14 @@ def _inputs(ready, slots):
     return x, got[1] & np.int16(3), got[2] & np.int16(3)
 
 
-def _inputs_without(tables, slots, bit):
-    """The same from counts that leave out the decision itself."""
-    cols, seen = [], []
-    for i in range(ORDERS):
-        n0, n1 = tables[i][slots[i], 0].astype(np.float64), tables[i][slots[i], 1].astype(np.float64)
-        n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-        cols.append(_stretch(n1, n0 + n1))
-        seen.append(_level(n0 + n1))
-    return np.column_stack([*cols, np.full(len(cols[0]), 0.3)]), seen[1], seen[2]
+def _ready_without(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """``_ready`` from counts that leave out the decision itself, at 2 * slot + its bit."""
+    out = []
+    for t in tables:
+        less = t - (t > 0)
+        zero, one = _ready([np.column_stack((less[:, 0], t[:, 1]))]), _ready([np.column_stack((t[:, 0], less[:, 1]))])
+        out.append(np.column_stack((zero[0], one[0])).reshape(-1))
+    return out
 
 
 def _plain_weights() -> np.ndarray:
@@ -432,32 +434,69 @@ def _plain_weights() -> np.ndarray:
     return w
 
 
-def _start_weights(sample: DataFrame, code: Code, tables: np.ndarray) -> np.ndarray:
-    """Starting weights: gradient steps over a bounded sample, from counts that leave out the decision itself; the mean over tasks."""
-    sent = sample.sparkSession.sparkContext.broadcast((code.state(), [_sent(x) for x in tables]))
-
-    def run(batches):
-        state, tables = sent.value
-        code, tables = Code.of(state), [_got(x) for x in tables]
-        w, squares = _plain_weights(), np.full((GATES, INPUTS), 1e-3)
-        for b in batches:
-            past = NO_PAST
-            for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), 1 << 15):
-                _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
-                owner, slots, bit = decisions(code, sym, contexts)
-                x, one, two = _inputs_without(tables, slots, bit)
-                gate = _gate(sym, owner, code.first_byte, one, two)
-                for i in range(0, len(bit), 1024):
-                    g, xs = gate[i : i + 1024], x[i : i + 1024]
-                    p = 1 / (1 + np.exp(-np.clip((w[g] * xs).sum(1), -30, 30)))
-                    step = (bit[i : i + 1024] - p)[:, None] * xs
-                    grad = np.stack([np.bincount(g, step[:, j], minlength=GATES) for j in range(INPUTS)], 1)
-                    squares += grad * grad
-                    w += 0.02 * grad / np.sqrt(squares)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
-
-    parts = [np.frombuffer(r["w"], np.float64).reshape(GATES, INPUTS) for r in sample.select("text").coalesce(2).mapInArrow(run, "w binary").collect()]
-    return np.mean(parts, axis=0) if parts else _plain_weights()
+def _curvature(w, x, gate, bit) -> np.ndarray:
+    """For each gate the sums over its decisions: cost (nats), gradient of the likelihood, curvature; a row of 1 + INPUTS + INPUTS**2."""
+    x = x.astype(np.float64)
+    mixed = np.clip((w[gate] * x).sum(1), -30, 30)
+    p = 1 / (1 + np.exp(-mixed))
+    out = np.empty((GATES, 1 + INPUTS + INPUTS * INPUTS))
+    out[:, 0] = np.bincount(gate, np.logaddexp(0, np.where(bit, -mixed, mixed)), minlength=GATES)
+    error, spread = bit - p, p * (1 - p)
+    for i in range(INPUTS):
+        out[:, 1 + i] = np.bincount(gate, error * x[:, i], minlength=GATES)
+        of = spread * x[:, i]
+        for j in range(i, INPUTS):
+            v = np.bincount(gate, of * x[:, j], minlength=GATES)
+            out[:, 1 + INPUTS + i * INPUTS + j] = out[:, 1 + INPUTS + j * INPUTS + i] = v
+    return out
+
+
+def _start_weights(rows: DataFrame, code: Code, tables: list[np.ndarray]) -> np.ndarray:
+    """Starting weights: each gate's logistic regression over all decisions of ``rows(text)``, from counts that leave out the decision itself."""
+    sent = rows.sparkSession.sparkContext.broadcast((code.state(), [_sent(x) for x in _ready_without(tables)]))
+    tasks = min(rows.rdd.getNumPartitions(), 4 * rows.sparkSession.sparkContext.defaultParallelism)  # each task unpacks the model
+    texts_only = rows.select("text").coalesce(max(1, tasks))
+
+    def sums(w):
+        def run(batches):
+            state, tables = sent.value
+            code, tables = Code.of(state), [_got(x) for x in tables]
+            total = np.zeros((GATES, 1 + INPUTS + INPUTS * INPUTS))
+            for b in batches:
+                past = NO_PAST
+                for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
+                    _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
+                    owner, slots, bit = decisions(code, sym, contexts)
+                    x, one, two = _inputs(tables, [s * np.uint32(2) + bit for s in slots])
+                    total += _curvature(w, x, _gate(sym, owner, code.first_byte, one, two), bit)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], ["at", "v"])
+
+        out = np.zeros(GATES * (1 + INPUTS + INPUTS * INPUTS))
+        for r in texts_only.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # of fixed size
+            out[r["at"]] = r["v"]
+        return out.reshape(GATES, -1)
+
+    return _newton(sums, _plain_weights())
+
+
+def _newton(sums, plain: np.ndarray) -> np.ndarray:
+    """The weights of least cost. sums(w): ``_curvature`` over all decisions; a gate's step that raises its cost is halved."""
+    best, cost, step = plain, None, np.zeros_like(plain)
+    for _ in range(FIT_STEPS):
+        w = best + step
+        got = sums(w)
+        away = w - plain
+        now = got[:, 0] + RIDGE / 2 * (away * away).sum(1)
+        ahead = np.ones(GATES, bool) if cost is None else now <= cost
+        if cost is None:
+            cost, grad, curve = now.copy(), got[:, 1 : 1 + INPUTS].copy(), got[:, 1 + INPUTS :].copy()
+        best = np.where(ahead[:, None], w, best)
+        cost[ahead], grad[ahead], curve[ahead] = now[ahead], (got[:, 1 : 1 + INPUTS] - RIDGE * away)[ahead], got[ahead, 1 + INPUTS :]
+        full = np.linalg.solve(curve.reshape(GATES, INPUTS, INPUTS) + RIDGE * np.eye(INPUTS), grad[:, :, None])[:, :, 0]
+        step = np.where(ahead[:, None], full, step / 2)
+        if (grad * step).sum() / 2 <= FIT_GAIN * cost.sum():
+            return best
+    raise RuntimeError("starting weights did not settle")
 
 
 def _token_counts(rows: DataFrame) -> DataFrame:
@@ -511,8 +550,7 @@ def fit(rows: DataFrame) -> Model:
     byte_counts[32] = max(byte_counts[32], words - int(c[best].sum()))
     code = Code(h[best], c[best].tolist(), ends, words - int(c[best].sum()), byte_counts.tolist())
     tables = _tables(rows, code)
-    sample = rows.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
-    weights = _start_weights(sample, code, tables)
+    weights = _start_weights(rows, code, tables)
     return Model(tokens, words + ends, distinct, (frequent, ends), code, _ready(tables), weights)
 
 

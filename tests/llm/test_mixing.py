@@ -40,3 +40,35 @@ def test_short_texts_adapt_and_every_decision_counts():
     # A following piece goes on with the weights; another text of the run does not.
     both, _ = mixing_lm._adapt(weights, np.vstack((x, x)), np.zeros(2 * n, np.int64), np.ones(2 * n, np.uint8), np.array([n, n]), 0.05, own)
     assert both[0] < bits[0] and both[1] == pytest.approx(bits[0])
+
+
+def test_starting_weights_are_those_of_all_texts(spark):
+    # One text with more copies than any sample holds, and others: all of them decide.
+    texts = ["a b a b c"] * 1100 + [f"x{i % 7} y{i % 5} x{i % 7} z{i % 3}" for i in range(1100)]
+    rows = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary").repartition(4)
+    seen = []
+    newton = mixing_lm._newton
+
+    def watched(sums, plain):
+        seen.append((sums, newton(sums, plain)))
+        return seen[-1][1]
+
+    mixing_lm._newton = watched
+    try:
+        model = mixing_lm.fit(rows)
+    finally:
+        mixing_lm._newton = newton
+    sums, weights = seen[0]
+    assert np.array_equal(model.weights, weights)
+    got = sums(weights)
+    # Every decision of every row is in the sums: with no weights at all, each costs one bit.
+    code = Code.of(model.code.state())
+    raw = [t.encode() for t in texts]
+    _, _, sym, contexts, _ = symbols(raw, np.ones(len(raw), bool), code)
+    assert sums(np.zeros((GATES, INPUTS)))[:, 0].sum() == pytest.approx(len(mixing_lm.decisions(code, sym, contexts)[2]) * np.log(2))
+    # The weights are the best ones: no small change of them costs less.
+    away = weights - mixing_lm._plain_weights()
+    cost = got[:, 0].sum() + mixing_lm.RIDGE / 2 * (away * away).sum()
+    for move in (0.05, -0.05):
+        w = weights + move
+        assert sums(w)[:, 0].sum() + mixing_lm.RIDGE / 2 * ((away + move) ** 2).sum() > cost * (1 - mixing_lm.FIT_GAIN)
