@@ -10,13 +10,21 @@
    another's lists. A list is saturated if all of its ``K`` entries reach the
    threshold; it may then grow to twice that length. Rounds end when the graph
    no longer improves.
-4. The threshold edges give components. In each component, cut into blocks of
+4. The threshold edges give components. A list still saturated at twice the length
+   may hold its own component alone. So the blocks of a component with such a list
+   get a ball each (centre and largest angle); every vector of another component
+   that is near enough to the ball to have a link there is compared with the whole
+   block. This finds all links of these components to others, however many
+   neighbours of its own a vector has.
+5. In each component, cut into blocks of
    at most about ``BLOCK`` vectors, block pairs are compared by a matrix product, which
    counts every vector's links exactly, also where lists were saturated. No
    pair is emitted.
-5. An audit compares the counts of ``AUDIT`` vectors, chosen by a hash, with a
-   comparison against all vectors. Below ``RECALL`` another set of projections
-   and rounds follows.
+6. An audit compares the counts of vectors chosen by a hash with a comparison against
+   all vectors. It begins with ``AUDIT`` vectors and doubles until ``AUDIT_GROUPS``
+   distinct components have a true link in it (at most ``MAX_AUDIT`` vectors). Below
+   ``RECALL`` another set of projections and rounds follows; after ``PASSES`` of
+   them the job fails.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components have no links and are their own component; vectors of different
@@ -44,8 +52,11 @@ WINDOW = 64
 ROUNDS = 5
 BLOCK = 1024
 AUDIT = 128
+AUDIT_GROUPS = 32
+MAX_AUDIT = 1 << 13
+BALLS = 1 << 13  # balls that are broadcast at once
 RECALL = 0.97
-PASSES = 3
+PASSES = 8
 EDGES = "u long, v long, s double"
 
 
@@ -187,12 +198,103 @@ def neighbour_graph(points: DataFrame, first_table: int, threshold: float, old:
     return graph, links
 
 
-def _count_links(classes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n): linked vectors of other classes, counted block by block in each component."""
+def _blocks(comps: DataFrame) -> DataFrame:
+    """(id, component, parts, b): the members of components, with their block and the number of blocks."""
     size = comps.groupBy("component").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = comps.join(size, "component").select("id", "component", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("b"))
-    rows = rows.join(classes, F.col("id") == F.col("rep"))
+    return comps.join(size, "component").select("id", "component", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("b"))
+
+
+def foreign_links(points: DataFrame, comps: DataFrame, graph: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between components, one of which has a saturated list: for each vector and block of another component its best; None without such lists."""
+    spark = points.sparkSession
+    full = graph.filter(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * K).select(F.col("u").alias("id"))
+    dense = materialize(comps.join(full, "id", "left_semi").select("component").distinct(), "dense")
+    vectors = points.withColumnRenamed("key", "id")
+    members = materialize(_blocks(comps).join(dense, "component").join(vectors, "id").select("component", "b", "id", "x"), "members")
+
+    def ball(batches):
+        for rows in _grouped(_tasks(batches), 0):
+            x = _matrix([r[2] for r in rows])
+            centre = x.mean(0)
+            size = np.sqrt((centre * centre).sum())
+            centre = centre / size if size > 1e-9 else x[0]
+            reach = np.arccos(np.clip((x @ centre).min(), -1, 1)) + np.arccos(threshold) + 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0][0]]), pa.array([rows[0][0][1]]), pa.array([centre.tobytes()], pa.binary()), pa.array([float(np.cos(min(reach, np.pi)))])], ["component", "b", "c", "least"])
+
+    def _tasks(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tuple(t.values()) for t in b.column(0).to_pylist()], pa.list_(pa.int64())), *b.columns[1:]], ["t", *b.schema.names[1:]])
+
+    task = F.struct(F.col("component"), F.col("b").cast("long").alias("b")).alias("task")
+    balls = materialize(members.select(task, "id", "x").repartition("task").sortWithinPartitions("task").mapInArrow(ball, "component long, b long, c binary, least double"), "balls")
+    others = materialize(vectors.join(comps, "id", "left").select("id", "x", F.coalesce("component", "id").alias("component")), "vectors")
+
+    def near(sent):
+        def run(batches):
+            by_size: dict[int, list] = {}
+            for r in sent.value:
+                by_size.setdefault(len(r[2]), []).append(r)
+            table = {d: (_matrix([r[2] for r in rs]), np.array([r[3] for r in rs]), np.array([r[0] for r in rs]), np.array([r[1] for r in rs])) for d, rs in by_size.items()}
+            for b in batches:
+                data = b.column(1).to_pylist()
+                keys, own = b.column(0).to_numpy(), b.column(2).to_numpy()
+                for d in {len(x) for x in data} & set(table):
+                    centres, least, component, block = table[d]
+                    at = np.array([i for i, x in enumerate(data) if len(x) == d])
+                    for i in range(0, len(at), 256):
+                        some = at[i : i + 256]
+                        hit = _matrix([data[j] for j in some]) @ centres.T >= least[None, :]
+                        hit &= own[some][:, None] != component[None, :]
+                        p, c = np.nonzero(hit)
+                        if len(p):
+                            yield pa.RecordBatch.from_arrays([pa.array(component[c]), pa.array(block[c]), pa.array(keys[some[p]]), pa.array([data[j] for j in some[p]], pa.binary())], ["component", "b", "id", "x"])
+
+        return run
+
+    def compare(batches):
+        now, keys, x = None, None, None
+        for b in _tasks(batches):
+            rows = list(zip(*[c.to_pylist() for c in b.columns], strict=True))
+            at = 0
+            while at < len(rows):
+                end = at
+                while end < len(rows) and rows[end][:2] == rows[at][:2]:
+                    end += 1
+                run, at = rows[at:end], end
+                ids, vectors = np.array([r[2] for r in run]), _matrix([r[3] for r in run])
+                if run[0][1] == 0:  # the block's members come first
+                    new = run[0][0] != now
+                    now, keys = run[0][0], ids if new else np.concatenate((keys, ids))
+                    x = vectors if new else np.vstack((x, vectors))
+                    continue
+                s = vectors @ x.T
+                best = s.argmax(1)
+                top = s[np.arange(len(ids)), best]
+                hit = top >= threshold
+                if hit.any():
+                    yield _edge_batch(ids[hit], keys[best[hit]], top[hit])
+
+    found, chunk = None, []
+    total, seen = balls.count(), 0
+    for r in balls.toLocalIterator():
+        chunk.append((r["component"], r["b"], bytes(r["c"]), r["least"]))
+        seen += 1
+        if len(chunk) < BALLS and seen < total:
+            continue
+        asked = materialize(others.mapInArrow(near(spark.sparkContext.broadcast(chunk)), "component long, b long, id long, x binary"), "candidates")
+        hit = asked.select("component", "b").distinct()
+        both = members.withColumn("b", F.col("b").cast("long")).join(hit, ["component", "b"], "left_semi").withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1)))
+        rows = both.select(task, "side", "id", "x").repartition("task").sortWithinPartitions("task", "side")
+        links = materialize(rows.mapInArrow(compare, EDGES), "links")
+        found = links if found is None else found.union(links)
+        chunk = []
+    return found
+
+
+def _count_links(classes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n): linked vectors of other classes, counted block by block in each component."""
+    rows = _blocks(comps).join(classes, F.col("id") == F.col("rep"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     pairs = rows.select("component", "id", "m", "x", "b", other).select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "m", "x")
     pairs = pairs.withColumn("task", F.struct("component", "i", "j")).drop("component")
@@ -218,11 +320,25 @@ def _count_links(classes: DataFrame, comps: DataFrame, threshold: float) -> Data
     return counted.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def audit(classes: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """The share of the links of at most ``sample`` vectors (smallest hash of id) that were found."""
-    asked = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).join(counted, "rep", "left").select("rep", "x", F.coalesce("n", F.lit(0)).alias("n")).collect()
+def audit(classes: DataFrame, counted: DataFrame, comps: DataFrame, threshold: float, sample: int = AUDIT) -> float:
+    """The share of the links of some vectors (smallest hash of id) that were found.
+
+    The sample doubles until vectors of ``AUDIT_GROUPS`` components have true links, up to ``MAX_AUDIT`` vectors.
+    """
+    while True:
+        share, groups, asked = _audit(classes, counted, comps, threshold, sample)
+        if groups >= AUDIT_GROUPS or asked < sample or sample >= MAX_AUDIT:
+            return share
+        sample *= 4 if not groups else 2
+
+
+def _audit(classes: DataFrame, counted: DataFrame, comps: DataFrame, threshold: float, sample: int) -> tuple[float, int, int]:
+    """(share of the links found, components with a true link, vectors asked)."""
+    named = comps.withColumnRenamed("id", "rep")
+    asked = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).join(counted, "rep", "left").join(named, "rep", "left")
+    asked = asked.select("rep", "x", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component")).collect()
     if not asked:
-        return 1.0
+        return 1.0, 0, 0
     sent = classes.sparkSession.sparkContext.broadcast([(r["rep"], bytes(r["x"])) for r in asked])
 
     def run(batches):
@@ -241,7 +357,8 @@ def audit(classes: DataFrame, counted: DataFrame, threshold: float, sample: int
 
     true = {r["q"]: r["n"] for r in classes.select("rep", "m", "x").mapInArrow(run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()}
     there = sum(true.values())
-    return sum(min(true[i], r["n"]) for i, r in enumerate(asked)) / there if there else 1.0
+    share = sum(min(true[i], r["n"]) for i, r in enumerate(asked)) / there if there else 1.0
+    return share, len({r["component"] for i, r in enumerate(asked) if true[i]}), len(asked)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -256,9 +373,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         links = more if links is None else links.union(more)
         pairs = materialize(links.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
         comps = materialize(connected_components(pairs), "components")
+        foreign = foreign_links(points, comps, graph, threshold)
+        if foreign is not None and not foreign.isEmpty():
+            links = links.union(foreign)
+            pairs = materialize(pairs.union(foreign.select(F.col("u").alias("a"), F.col("v").alias("b"))).distinct(), "pairs")
+            comps = materialize(connected_components(pairs), "components")
         counted = materialize(_count_links(classes, comps, threshold), "counts")
-        if audit(classes, counted, threshold) >= RECALL:
+        if (share := audit(classes, counted, comps, threshold)) >= RECALL:
             break
+    else:
+        raise RuntimeError(f"only {share:.3f} of the audited links were found")
     classes = classes.join(counted, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     classes = materialize(classes.select("x", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "classes")
     out = rows.join(classes, "x", "left").select(
