@@ -8,7 +8,10 @@ benchmark window's is a hit if its slots agree: the same value in the item
 stands for the same value in the document and different values for different
 ones. So a question asked again with other numbers or names is caught, and an
 unrelated text that shares only the shape is not. A template needs words
-other than placeholders in at least half of its places.
+other than placeholders in at least half of its places. A third, literal variant
+stands where the first template is dropped by that bound; it has no placeholders,
+so that exact copies are always found. An item shorter than ``SHORTEST`` words has this variant alone: its few words
+say too little once some are replaced, and it is found wherever they stand.
 
 The windows of the benchmark are a stated set. Up to ``MAX_FILTER`` of them
 their hashes are sent to the tasks, which then emit only windows that hit;
@@ -31,7 +34,8 @@ from .common import id_of, key_of, keyed_text
 from .words import LOWER, U, Words, chunks, gram_hash, member, mix, words_of
 
 WINDOW = 13
-SHORTEST = 6
+SHORTEST = 6  # words of the shortest template
+LITERAL = 2  # the variant without placeholders
 MAX_FILTER = 2_000_000
 SCHEMA = "key long, h long, slots array<binary>, width int"
 
@@ -45,12 +49,12 @@ _UNIT_HASHES = np.sort(words_of([UNITS.encode()], SEPARATORS, LOWER).hash())
 
 
 def _templates(texts: list) -> tuple[Words, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The words with their case, the text of each word, and for both templates (codes, is placeholder)."""
+    """The words with their case, the text of each word, and for both templates and the literal words (codes, is placeholder)."""
     raw = words_of(texts, SEPARATORS)
     low = words_of(texts, SEPARATORS, LOWER)
     text_of = np.repeat(np.arange(len(texts)), np.diff(raw.first))
     if not len(raw.starts):
-        return raw, text_of, [(np.zeros(0, U), np.zeros(0, bool))] * 2
+        return raw, text_of, [(np.zeros(0, U), np.zeros(0, bool))] * 3
     h = low.hash()
     head, after = raw.data[raw.starts], raw.data[np.minimum(raw.starts + 1, len(raw.data) - 1)]
     number = (head >= 48) & (head <= 57)
@@ -58,21 +62,27 @@ def _templates(texts: list) -> tuple[Words, np.ndarray, list[tuple[np.ndarray, n
     unit = member(_UNIT_HASHES, h) & ~number
     plain = np.where(number, NUMBER, np.where(unit, UNIT, h))
     named = np.where(name & ~number & ~unit, NAME, plain)
-    return raw, text_of, [(plain, number | unit), (named, number | unit | name)]
+    return raw, text_of, [(plain, number | unit), (named, number | unit | name), (h, np.zeros(len(h), bool))]
 
 
 def _windows(texts: list, widths: list[int], whole: bool, keys: np.ndarray | None):
     """(text, hash, slots, width) of the windows. ``whole``: texts shorter than the largest width are one window."""
     words, text_of, templates = _templates(texts)
+    replaced = np.concatenate(([0], np.cumsum(templates[0][1])))
     for variant, (codes, slot) in enumerate(templates):
         filled = np.concatenate(([0], np.cumsum(slot)))
         for width in widths:
+            if width < SHORTEST and variant != LITERAL:
+                continue
             h = gram_hash(codes, width)
             if not len(h):
                 continue
-            h = mix(h + U(2 * width + variant + 1))
+            h = mix(h + U(3 * width + variant + 1))
             ok = text_of[: len(h)] == text_of[width - 1 :]
-            ok &= (filled[width:] - filled[:-width]) * 2 <= width
+            if variant != LITERAL:
+                ok &= (filled[width:] - filled[:-width]) * 2 <= width
+            elif width >= SHORTEST:
+                ok &= (replaced[width:] - replaced[:-width]) * 2 > width
             if whole and width < WINDOW:
                 size = np.diff(words.first)[text_of[: len(h)]]
                 ok &= size == width
@@ -103,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``exact`` tells whether some window has all of the item's own values.
     """
     items = benchmark.select(key_of(item_col).alias("key"), F.col(f"`{item_text}`").cast("binary").alias("text"))
-    widths = list(range(SHORTEST, WINDOW + 1))
+    widths = list(range(1, WINDOW + 1))
     asked = materialize(_emit(items, widths, True, None), "windows")
     hashes = asked.select("h").distinct()
     keys = None
