@@ -16,7 +16,8 @@ in each round
   confidence becomes an instance with the score 1 - product(1 - confidence),
   and is accepted from ``MIN_SCORE`` on; all of its occurrences are then found.
 
-Rounds end when nothing new is accepted.
+Rounds end when nothing new is accepted; ``ROUNDS`` is a bound against endless
+runs, beyond which the job fails.
 
 Defined results: null text is empty text; a null id stays null; repeated rows
 are reported as often as they occur; a document is told from another of the
@@ -35,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.8
-ROUNDS = 4
+ROUNDS = 500
 SMALL_PATTERNS = 200_000  # rows of a pattern table that may be broadcast
 
 _SP = r"\x20\x09-\x0D"
@@ -82,9 +83,20 @@ def _spans(kind: str) -> str:
     blocks = "transform(sequence(0, (size(r) - 1) div 128), b -> slice(r, b * 128 + 1, 128))"
     summed = _let(f"transform(bl, k -> {size('k')})", "bs", each)
     spans = f"if(size(m_{kind}) = 0, {none}, {_let(rows, 'r', _let(blocks, 'bl', summed))})"
+    if kind == "token":
+        return _with_words(spans)
     return f"filter({spans}, x -> {_VALID[kind]})" if kind in _VALID else spans
 
 
+def _with_words(spans: str) -> str:
+    """SQL for tokens with the one or two words before them as ``l``: each token is a word of the text with a digit or ``@``."""
+    words = f"filter(split(t, '[{_SP}]+'), x -> x <> '')".replace("\\", "\\\\")
+    places = "filter(transform(w, (x, i) -> if(x rlike '[0-9@]', i, -1)), i -> i >= 0)"
+    left = "concat(coalesce(concat(get(w, i - 2), ' '), ''), coalesce(concat(get(w, i - 1), ' '), ''))"
+    each = f"zip_with({spans}, {places}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'l', {left}))"
+    return f"if(size(m_token) = 0, cast(array() as array<{_SPAN}>), {_let(words, 'w', each)})"
+
+
 def find_spans(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), tokens: bool = True) -> DataFrame:
     """(key, th, one array of spans per kind, tokens): every row's base spans and identifier-like tokens."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -158,6 +170,8 @@ def discover(docs: DataFrame, rows: DataFrame, text_col: str = "text", min_suppo
         if fresh.isEmpty():
             break
         accepted = materialize(accepted.union(fresh), "accepted")
+    else:
+        raise RuntimeError(f"instances were still found after {rounds} rounds")
     spans = tokens.filter("kind is null").drop("kind", "pattern").distinct().join(accepted, "v")
     spans = spans.groupBy("key", "th").agg(F.collect_list(F.struct("s", F.col("kind").alias("k"), "e", "v")).alias("extra"))
     return materialize(spans, "extra")
