@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+def quoted(name: str) -> str:
+    """A column name as a reference: dots and backticks in it count as part of the name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def format_fixed(col: str, decimals: int = 9):
     """``%.{decimals}f`` text; NULL stays an empty field (``format_string``
     alone would write the text ``null``)."""
@@ -89,4 +94,4 @@ def materialize(df: DataFrame, name: str, folder: str | None = None, partition_b
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path).select(*df.columns)
+    return spark.read.parquet(path).select(*[quoted(c) for c in df.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clickfeat.operators.encode import dictionary_encode
 from clickfeat.plans import flows
 from clickfeat.sources.clicks import clicks
-from conftest import SF001
+from paths import SF001
 
 SMALL = {"min_instances_per_node": 10}
 

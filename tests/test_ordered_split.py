@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clickfeat.operators.ordered import Req, SkewSplit, ordered_values
 from clickfeat.sources.clicks import clicks
-from conftest import SF01
+from paths import SF01
 
 REQS = [Req("lead", "nxt"), Req("lag", "prv"), Req("rownum", "rn"), Req("lag", "prev_os", "os"), Req("lead", "next_ch", "channel")]
 

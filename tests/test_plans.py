@@ -8,7 +8,7 @@ from clickfeat.functions import blend as B
 from clickfeat.plans import catalog as C
 from clickfeat.plans.kernels import KERNEL1
 from clickfeat.plans.specs import build_features
-from conftest import SF001
+from paths import SF001
 
 
 def _left_chains(node, out):

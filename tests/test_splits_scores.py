@@ -4,7 +4,7 @@ from clickfeat.operators.aggregates import Agg, add_group_features
 from clickfeat.operators.scores import align_scores, dedupe_scores, submission
 from clickfeat.operators.splits import day_split, positional_split
 from clickfeat.sources.clicks import clicks
-from conftest import SF001
+from paths import SF001
 
 
 def test_positional_split(spark):
