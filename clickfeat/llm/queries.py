@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing_lm, packing, pii, simhash, sparse_suffix, suffix_trees, toxicity, vector_links
+from . import decontaminate, language_id, merkle, mixing_lm, oracle, packing, pii, simhash, sparse_suffix, suffix_trees, toxicity, vector_links
 from .common import documents, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.SQL
 
 
 def query(fn: Query) -> Query:
@@ -86,3 +86,11 @@ def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = remainder("doc_id", 5) == 1
     out = mixing_lm.model_scores(documents(spark, sf_dir), ~fold)
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots, digest of its proof, and whether the proof holds for the copy that somebody may have changed."""
+    out = merkle.manifest(documents(spark, sf_dir), tampered=remainder("doc_id", 3) == 0)
+    out = merkle.folded(out).withColumn("proof_sha256", merkle.proof_digest(F.col("path")))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
