@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, merkle, mixing_lm, oracle, packing, pii, simhash, sparse_suffix, suffix_trees, toxicity, vector_links
+from . import decontaminate, hard_negatives, language_id, licences, merkle, mixing_lm, oracle, packing, pii, simhash, sparse_suffix, suffix_trees, toxicity, vector_links
 from .common import documents, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,22 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(documents(spark, sf_dir), tampered=remainder("doc_id", 3) == 0)
     out = merkle.folded(out).withColumn("proof_sha256", merkle.proof_digest(F.col("path")))
     return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the licence phrases and labels of the covered templates; score is the largest covered share of a template."""
+    out = licences.scan(documents(spark, sf_dir))
+    word, base, found = F.col("places.word"), F.array_distinct("places.label"), F.col("spans.label")
+    join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return out.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"),
+        join(base).alias("base_labels"), join(F.concat(base, found)).alias("labels"), F.coalesce(F.array_max("spans.coverage"), F.lit(0.0)).alias("score"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the labels of every seventh are moved by one."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.rows_of(vectors, label=label), F.col("vec_id") % 100 == 0)
