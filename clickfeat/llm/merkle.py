@@ -11,7 +11,7 @@ a subtree reaches it as one row: the path from its top to the root.
 Scale: leaves are placed by a range partitioning on (tree, order) and
 per-partition counts, so a tree with a third of all rows is spread over many
 tasks, and no group has more than ``FAN ** STRIDE`` rows. The driver sees one
-number, the size of the largest tree.
+number, the size of the largest tree. All of it is Spark SQL functions.
 
 Defined results: null fields are hashed as ``-``; null ids come first, then
 by size; rows of one id are ordered by leaf, equal rows stand side by side,
@@ -21,12 +21,9 @@ beyond the named ones are left out, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,38 +47,15 @@ def leaf(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[field(v) for v in values]), 256)
 
 
-def digest(parts: Sequence[str]) -> str:
-    return hashlib.sha256("".join(parts).encode()).hexdigest()
+def digest(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, ""), 256)
 
 
-def levels(nodes: list[str], n: int) -> list[list[str]]:
-    """The stored nodes of a subtree and the levels regenerated above them; the last has one node.
-
-    ``n``: nodes of the whole tree on the stored level. A tree that fits in one
-    subtree ends where one node is left, others climb all ``STRIDE`` levels.
-    """
-    out = [nodes]
-    while len(out) <= STRIDE if n > SUBTREE else len(out[-1]) > 1:
-        out.append([digest(out[-1][i : i + FAN]) for i in range(0, len(out[-1]), FAN)])
-    return out
-
-
-def path_in(tree: list[list[str]], i: int) -> list[dict]:
-    """Own place and siblings of node ``i``, level by level up to the subtree's top."""
-    out = []
-    for nodes in tree[:-1]:
-        start = i - i % FAN
-        out.append({"slot": i - start, "siblings": nodes[start:i] + nodes[i + 1 : start + FAN]})
-        i //= FAN
-    return out
-
-
-def fold(node: str, path: list[dict]) -> str:
-    """The root that a node and its siblings give."""
-    for step in path:
-        s, k = step["siblings"], step["slot"]
-        node = digest([*s[:k], node, *s[k:]])
-    return node
+def level_above(nodes: Column) -> Column:
+    """Hashes of the runs of a subtree's level; a tree that fits in one subtree stays as it is once one node is left."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FAN).cast("int"))
+    up = F.transform(runs, lambda i: digest(F.slice(nodes, i * FAN + 1, F.lit(FAN))))
+    return F.when((F.col("n") <= SUBTREE) & (F.size(nodes) == 1), nodes).otherwise(up)
 
 
 @dataclass
@@ -95,48 +69,38 @@ class Forest:
 def numbered(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds ``pos``, the place in the node's tree, and ``n``, the nodes of that tree.
 
-    A range partitioning on (tree, order) and a running number in each task;
-    where a task's share of a tree begins follows from the counts of the tasks
-    before it, at most one row per task and tree.
+    A range partitioning on (tree, order) and the running number of each row in
+    its task; where a task's share of a tree begins follows from the counts of
+    the tasks before it, at most one row per task and tree.
     """
     cols = [c for c in nodes.columns if c != "tree"]
-
-    def run(batches):
-        part, now, seen = TaskContext.get().partitionId(), None, 0
-        for b in batches:
-            seq = []
-            for tree in b.column(0).to_pylist():
-                seen = seen + 1 if tree == now else 0
-                now = tree
-                seq.append(seen)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(seq), pa.int32()), pa.array(seq, pa.int64())], [*b.schema.names, "part", "seq"])
-
     key = ["tree", *order, "tie"]
-    rows = nodes.withColumn("tie", F.monotonically_increasing_id())
-    rows = materialize(rows, "nodes").repartitionByRange(*key).sortWithinPartitions(*key).select("tree", *cols)
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema)
-    rows = materialize(rows.mapInArrow(run, schema + ", part int, seq long"), "placed")
+    rows = materialize(nodes.withColumn("tie", F.monotonically_increasing_id()), "nodes")
+    rows = rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("part", F.shiftright("at", 33)), "placed")
     whole = Window.partitionBy("tree")
-    share = rows.groupBy("tree", "part").agg(F.count("*").alias("here"))
-    share = share.select("tree", "part", (F.sum("here").over(whole.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(whole).alias("n"))
-    return rows.join(share, ["tree", "part"]).select("tree", "n", (F.col("before") + F.col("seq")).alias("pos"), *cols)
+    share = rows.groupBy("tree", "part").agg(F.count("*").alias("here"), F.min("at").alias("first"))
+    share = share.select("tree", "part", "first", (F.sum("here").over(whole.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(whole).alias("n"))
+    return rows.join(share, ["tree", "part"]).select("tree", "n", (F.col("before") + F.col("at") - F.col("first")).alias("pos"), *cols)
 
 
-def build(leaves: DataFrame, order: Sequence[str]) -> Forest:
-    """The forest over ``leaves(tree, hash, ...)``; levels between the stored ones are dropped at once."""
+def subtrees(nodes: DataFrame, *keep: str) -> DataFrame:
+    """One row (tree, n, block, nodes) per aligned subtree of a stored level, its nodes in order."""
+    block = F.expr(f"pos div {SUBTREE}").alias("block")
+    return nodes.groupBy("tree", "n", block).agg(F.sort_array(F.collect_list(F.struct("pos", "hash", *keep))).alias("nodes"))
 
-    def top(table: pa.Table) -> pa.Table:
-        rows = table.select(["tree", "n", "block", "pos", "hash"]).sort_by("pos")
-        n = rows.column("n")[0].as_py()
-        up = levels(rows.column("hash").to_pylist(), n)[-1]
-        return pa.table({"tree": rows.column("tree")[:1], "n": pa.array([-(-n // SUBTREE)], pa.int64()), "pos": rows.column("block")[:1], "hash": pa.array(up, pa.string())})
 
+def build(leaves: DataFrame, order: Sequence[str]) -> Forest:
+    """The forest over ``leaves(tree, hash, ...)``; levels between the stored ones are dropped at once."""
     now = materialize(numbered(leaves, order), "level")
     stored, roots = [], None
     most = now.agg(F.max("n")).first()[0] or 0
     while True:
         stored.append(now)
-        here = now.select("tree", "n", _block(), "pos", "hash").groupBy("tree", "block").applyInArrow(top, "tree string, n long, pos long, hash string")
+        here = subtrees(now).withColumn("level", F.col("nodes.hash"))
+        for _ in range(STRIDE):
+            here = here.withColumn("level", level_above(F.col("level")))
+        here = here.select("tree", F.ceil(F.col("n") / SUBTREE).alias("n"), F.col("block").alias("pos"), F.col("level")[0].alias("hash"))
         here = materialize(here, "level")
         done = here.filter("n = 1").select("tree", "hash")
         roots = done if roots is None else roots.union(done)
@@ -146,46 +110,42 @@ def build(leaves: DataFrame, order: Sequence[str]) -> Forest:
         now = here.filter("n > 1")
 
 
-def _block() -> Column:
-    return F.expr(f"pos div {SUBTREE}").alias("block")
-
-
 def paths(forest: Forest, roots: DataFrame) -> DataFrame:
-    """Leaves with the path from each to the root; ``roots(tree, ...)`` has the ``path`` above each tree's own root.
+    """Nodes of the lowest level with the path from each to the root; ``roots(tree, path, ...)`` has the path above each tree's own root.
 
-    (tree, every other column of the leaves and of ``roots``, path). Goes down
-    the stored levels: each subtree gets the one path above its top and
-    regenerates its inner levels.
+    (tree, pos, every other column of the nodes and of ``roots``, path). Goes
+    down the stored levels: each subtree gets the one path above its top,
+    regenerates its inner levels and hands every run its siblings.
     """
-    extra = [f for f in roots.schema if f.name not in ("tree", "path")]
+    extra = [c for c in roots.columns if c not in ("tree", "path")]
     above = None
     for k, nodes in reversed(list(enumerate(forest.stored))):
-        nodes = nodes.withColumn("block", F.expr(f"pos div {SUBTREE}"))
-        small = nodes.filter((F.col("n") <= SUBTREE) & (F.col("pos") == 0)).select(F.col("tree").alias("of"), F.lit(0).cast("long").alias("at"))
-        tops = small.join(roots, F.col("of") == F.col("tree")).drop("tree")
+        keep = [c for c in nodes.columns if c not in ("tree", "n", "pos", "hash")]
+        blocks = subtrees(nodes, *keep)
+        tops = blocks.filter(F.col("n") <= SUBTREE).join(roots, "tree")
         if above is not None:
-            tops = tops.unionByName(above.withColumnsRenamed({"tree": "of", "pos": "at"}))
-        keep = [f for f in nodes.schema if f.name not in ("n", "block", *(() if k == 0 else ("hash",)))]
-
-        schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in [*keep, *extra]) + f", path {_PATH}"
-        above = nodes.groupBy("tree", "block").cogroup(tops.groupBy("of", "at")).applyInArrow(_descend([f.name for f in keep], [f.name for f in extra]), schema)
+            up = above.withColumnRenamed("pos", "block")
+            tops = tops.unionByName(blocks.filter(F.col("n") > SUBTREE).join(up.select("tree", "block", "path", *extra), ["tree", "block"]))
+        above = _descend(tops, extra).select("tree", *extra, "node.*", "path")
         if k:
             above = materialize(above, "paths")
     return above
 
 
-def _descend(keep: list[str], extra: list[str]):
-    """For one subtree: columns ``keep`` of its nodes, ``extra`` of its top, and every node's path."""
-
-    def run(own: pa.Table, tops: pa.Table) -> pa.Table:
-        own = own.sort_by("pos")
-        tree = levels(own.column("hash").to_pylist(), own.column("n")[0].as_py())
-        up = tops.column("path")[0].as_py()
-        out = {c: own.column(c) for c in keep}
-        out |= {c: pa.repeat(tops.column(c)[0], own.num_rows) for c in extra}
-        return pa.table(out | {"path": pa.array([path_in(tree, i) + up for i in range(own.num_rows)], tops.schema.field("path").type)})
-
-    return run
+def _descend(tops: DataFrame, extra: list[str]) -> DataFrame:
+    """One row (tree, extra, node, path) per node of each subtree: from its top down, one level of runs at a time."""
+    level = tops.withColumn("level0", F.col("nodes.hash"))
+    for j in range(1, STRIDE):
+        level = level.withColumn(f"level{j}", level_above(F.col(f"level{j - 1}")))
+    for j in reversed(range(STRIDE)):
+        run, i, width = F.col(f"level{j}"), F.col("i"), FAN**j
+        level = level.withColumn("i", F.explode(F.sequence(F.lit(0), F.size(run) - 1)))
+        others = F.concat(F.slice(run, F.lit(1), i), F.slice(run, i + 2, F.lit(FAN)))
+        step = F.when(F.col("n") > width, F.array(F.struct(i.alias("slot"), others.alias("siblings")))).otherwise(F.array())
+        below = {f"level{m}": F.slice(f"level{m}", i * (FAN ** (j - m)) + 1, F.lit(FAN ** (j - m))) for m in range(j)}
+        level = level.withColumns(below | {"nodes": F.slice("nodes", i * width + 1, F.lit(width)), "path": F.concat(step.cast(_PATH), F.col("path"))})
+        level = level.select("tree", "n", *extra, *below, "nodes", "path")
+    return level.select("tree", *extra, F.col("nodes")[0].alias("node"), "path")
 
 
 def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, by: str = "lang", id_col: str = "doc_id", tampered: Column | None = None) -> DataFrame:
@@ -216,5 +176,5 @@ def proof_digest(path: Column) -> Column:
 
 def folded(rows: DataFrame, node: str = "claimed", out: str = "folded_root") -> DataFrame:
     """Adds the root that column ``node`` and the row's path give."""
-    step = lambda h, s: F.sha2(F.concat(F.array_join(F.slice(s["siblings"], F.lit(1), s["slot"]), ""), h, F.array_join(F.slice(s["siblings"], s["slot"] + 1, F.lit(FAN)), "")), 256)
+    step = lambda h, s: digest(F.concat(F.slice(s["siblings"], F.lit(1), s["slot"]), F.array(h), F.slice(s["siblings"], s["slot"] + 1, F.lit(FAN))))
     return rows.withColumn(out, F.aggregate("path", F.col(node), step))
