@@ -22,8 +22,8 @@ shuffle. Nothing is broadcast or brought to the driver but two counts.
 Defined results: rows with a null id, label or vector, or with a null or
 non-finite component, take no part; of rows with one id that with the least
 (label, vector) stays; shorter vectors are filled with zeros; scores are exact
-whatever the components' size (beyond the range of a long they end at its
-bounds); an empty table gives no rows; other columns are left out.
+whatever the components' size, and one beyond the range of a long counts as its
+nearest bound; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -92,7 +92,12 @@ def _kth(values: np.ndarray, k: int):
     """The k-th largest value, None where there are fewer."""
     if len(values) < k:
         return None
-    return np.sort(values)[-k] if values.dtype == object else np.partition(values, len(values) - k)[len(values) - k]
+    return np.partition(values, len(values) - k)[len(values) - k]
+
+
+def in_range(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs: those beyond the range at its bounds."""
+    return np.clip(scores, -_LONG - 1, _LONG).astype(np.int64) if scores.dtype == object else scores
 
 
 def vertical(columns: np.ndarray, at: np.ndarray, anchor: np.ndarray, bounds: Bounds, prune) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +111,10 @@ def vertical(columns: np.ndarray, at: np.ndarray, anchor: np.ndarray, bounds: Bo
         for d in bounds.order[done : done + step]:
             scores = scores + anchor[d] * columns[d][at]
         done, step = min(done + step, dims), step * 2
-        stay = prune(scores + bounds.least[done], scores + bounds.most[done])
+        stay = prune(in_range(scores + bounds.least[done]), in_range(scores + bounds.most[done]))
         if not stay.all():
             at, scores = at[stay], scores[stay]
-    return at, scores
+    return at, in_range(scores)
 
 
 def best(k: int):
@@ -138,7 +143,7 @@ def within(windows: list[tuple[int, int]], k: int):
 
 def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k rows of highest score, the smaller id first among equals."""
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]  # ~ turns the order round and can't overflow
 
 
 class Block:
@@ -171,10 +176,6 @@ class Block:
         return columns, anchor, Bounds(anchor, low, high)
 
 
-def long(score) -> int:
-    return max(-_LONG - 1, min(_LONG, int(score)))
-
-
 def _positives(k: int):
     def run(rows: pa.Table, anchors: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -186,7 +187,7 @@ def _positives(k: int):
             columns, q, bounds = block.with_anchor(integers([vector])[:, 0])
             at, scores = vertical(columns, at, q, bounds, best(k))
             for i in _first(block.ids[at], scores, k).tolist():
-                out.append((a, int(block.ids[at[i]]), long(scores[i])))
+                out.append((a, int(block.ids[at[i]]), int(scores[i])))
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("anchor_id", "positive_id", "positive_score"), cols, strict=True)})
 
@@ -213,7 +214,7 @@ def _negatives(k: int, low: int, high: int, unit: int):
                 top = here[_first(ids[here], scores[here], k)].tolist()
                 for p, own in zip(found, windows, strict=True):
                     if own == w:
-                        out += [(a, p["positive_id"], p["positive_score"], int(ids[i]), long(scores[i])) for i in top]
+                        out += [(a, p["positive_id"], p["positive_score"], int(ids[i]), int(scores[i])) for i in top]
         cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"), cols, strict=True)})
 
