@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.sinks import materialize
+from ..sources.sinks import materialize, quoted
 
 NO_ID = 2**63 - 1  # stands for a null id inside an operator; larger than any other
 
@@ -15,7 +15,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_of(col: str) -> Column:
-    return F.coalesce(F.col(f"`{col}`").cast("long"), F.lit(NO_ID))
+    return F.coalesce(F.col(quoted(col)).cast("long"), F.lit(NO_ID))
 
 
 def id_of(col: str = "key") -> Column:
@@ -25,7 +25,7 @@ def id_of(col: str = "key") -> Column:
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, text) with the text as UTF-8 bytes; other columns of the input, whatever their names, are left out."""
-    return docs.select(key_of(id_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    return docs.select(key_of(id_col).alias("key"), F.col(quoted(text_col)).cast("binary").alias("text"))
 
 
 def remainder(col: str, m: int) -> Column:

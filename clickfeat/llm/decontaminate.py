@@ -131,7 +131,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no window with the benchmark. Repeated ids stay or go together."""
-    hit = contaminated(docs, benchmark).select("doc_id").distinct().withColumn("_hit", F.lit(True))
-    hit = materialize(hit, "hits").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns])
+    hit = materialize(contaminated(docs, benchmark).select("doc_id").distinct(), "hits")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import materialize
+from ..sources.sinks import materialize, quoted
 from .common import id_of, key_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -207,6 +207,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = _with_extra(found, extra)
     step = f"case when x.s >= a.pos then named_struct('pos', x.e, 'out', concat(a.out, substring(t, a.pos + 1, x.s - a.pos), '<', upper({_NAME}), '>')) else named_struct('pos', greatest(a.pos, x.e), 'out', a.out) end"
     clean = F.expr(f"if(size(spans) = 0, t, aggregate(spans, named_struct('pos', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(t, a.pos + 1))))")
-    name = text_col.replace("`", "``")
-    clean = F.when(F.col(f"row.`{name}`").isNotNull(), clean)
-    return found.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    clean = F.when(F.col(f"row.{quoted(text_col)}").isNotNull(), clean)
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

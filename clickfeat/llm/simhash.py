@@ -9,6 +9,9 @@ and exact copies share one fingerprint and never form pairs.
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; a text with fewer words than a shingle is one shingle; repeated
 rows keep one row each; a null id counts as the largest id and stays null.
+``first_rows`` tells rows of one id apart by a hash of their text: of each group
+the row with the smallest id stays, of those the one with the smallest hash,
+and of rows that agree in both any one.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.sinks import materialize
-from .common import connected_components, id_of, keyed_text
+from ..sources.sinks import materialize, quoted
+from .common import connected_components, id_of, key_of, keyed_text
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -64,6 +67,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keyed_text(docs, id_col, text_col).mapInArrow(run, "key long, fp long")
 
 
+def _text_hash(text_col: str):
+    return F.xxhash64(F.col(quoted(text_col)).cast("binary"))
+
+
 def ball(radius: int) -> list[int]:
     """Masks of all ways to change at most ``radius`` of 64 bits, as signed longs."""
     masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(64), r)]
@@ -96,3 +103,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(distinct, "labels")
     out = prints.join(distinct, "fp")
     return out.select(id_of().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of("component").alias("component_id"))
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The input rows and columns, one row of each group of near duplicates.
+
+    Groups are those of linked fingerprints, not of ids, so texts that share
+    nothing but an id are not drawn together.
+    """
+
+    def run(batches):
+        for b in batches:
+            fps = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "th", "fp"])
+
+    texts = docs.select(key_of(id_col).alias("key"), _text_hash(text_col).alias("th"), F.col(quoted(text_col)).cast("binary").alias("text"))
+    prints = materialize(texts.mapInArrow(run, "key long, th long, fp long"), "fingerprints")
+    prints = materialize(prints.groupBy("fp").agg(F.min(F.struct("key", "th")).alias("first")), "distinct")
+    found = connected_components(links(prints.select("fp", F.col("fp").alias("rep")), max_bits)).withColumnRenamed("id", "fp")
+    group = F.coalesce("component", "fp").alias("component")
+    keep = prints.join(found, "fp", "left").groupBy(group).agg(F.min("first").alias("first")).select("first.key", "first.th")
+    keep = materialize(keep, "first")
+    rows = docs.select(F.struct("*").alias("row"), key_of(id_col).alias("key"), _text_hash(text_col).alias("th"))
+    rows = rows.join(keep, ["key", "th"], "left_semi")
+    again = materialize(rows.groupBy("key", "th").agg(F.count("*").alias("n")).filter("n > 1").select("key", "th"), "again")
+    if again.isEmpty():
+        return rows.select("row.*")
+    once = rows.join(again, ["key", "th"], "left_anti").select("row")
+    one = rows.join(again, ["key", "th"], "left_semi").groupBy("key", "th").agg(F.first("row").alias("row")).select("row")
+    return once.union(one).select("row.*")

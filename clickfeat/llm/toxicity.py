@@ -244,6 +244,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
 
 
 def bounded_labels(labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "toxic", seed: int = 7) -> DataFrame:
-    """At most ``sample`` labelled ids, those with the smallest hash; small enough to broadcast by construction."""
-    some = labels.select(id_col, label_col).filter(F.col(label_col).isin(0, 1)).dropDuplicates([id_col])
+    """At most ``sample`` labelled ids, those with the smallest hash; small enough to broadcast by construction.
+
+    An id with both labels says nothing and is left out; null ids and labels are, too.
+    """
+    some = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias(label_col), F.max(label_col).alias("most"))
+    some = some.filter(F.col(label_col) == F.col("most")).select(id_col, label_col)
     return some.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample)
