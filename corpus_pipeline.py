@@ -24,13 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash component the document that names it, the one with the smallest id.
+    """Keeps one row of each SimHash component, the one with the smallest id.
 
-    Documents with no id can't be told apart by one; they are kept.
+    Rows of one id with unrelated texts are told apart; of equal rows one stays.
     """
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    copies = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(materialize(copies, "copies"), F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
+    return simhash.first_rows(docs, shingle=3, max_bits=2)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
