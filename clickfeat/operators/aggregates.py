@@ -143,11 +143,12 @@ def add_group_features(df: DataFrame, aggs: Iterable[Agg], source: DataFrame | N
     ``source`` is the table the aggregates are computed over (default ``df``),
     e.g. train rows only while the features are attached to all rows.
     """
+    from .lattice import group_tables
+
     plan = GroupPlan.build(aggs)
-    src = df if source is None else source
     out = df
-    for keys, group in plan.groups.items():
-        out = join_back(out, group_table(src, keys, group), keys)
+    for keys, table in group_tables(df if source is None else source, plan.groups).items():
+        out = join_back(out, table, keys)
     if plan.aliases:
         out = out.withColumns({alias: F.col(target) for alias, target in plan.aliases.items()})
     return out

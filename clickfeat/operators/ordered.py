@@ -8,25 +8,22 @@ Skew. A window puts a whole partition-by group into one task and AQE cannot
 split it. A key that holds a third of all rows (``device``, the keyless
 shift) would then run in one task. The two-level form used here:
 
-1. ``stats``: per key ``count, min(t), max(t)`` with a partial aggregate;
-   only keys with more than ``T`` rows are kept. ``T >= N / max_heavy_keys``,
-   so the kept table has at most ``max_heavy_keys`` rows (a proven bound) and
-   is broadcast.
-2. A heavy key is cut into at least ``ceil(count / T)`` time buckets: its
-   own approximate time quantiles give 16 intervals (so bursts are split),
-   each cut into equal-width parts; every other key has the single bucket
-   0. The window partitions by ``(keys, bucket)``.
-3. Per heavy ``(key, bucket)``: first value, last value and row count
-   (at most about ``2 * max_heavy_keys`` rows). A window over this small
-   table gives, per bucket, the first value of the next non-empty bucket,
-   the last value of the previous one and the rows before it.
-4. Those carries enter the row window as *phantom rows*: one sorted before
-   the bucket's rows, one after. ``lead`` / ``lag`` / the running count then
-   cross bucket edges inside the same window, so no join back to the rows
-   is needed and the big table is shuffled once.
-
-Buckets are a function of time only, so the order ``(time, tie)`` never
-crosses buckets backwards.
+1. Hot keys, those with more than ``T`` rows, are found for all key sets at
+   once, and each is cut along the full order ``(time, tie)`` into buckets of
+   at most ``2 T`` rows (``hotkeys``). ``T >= N / max_heavy_keys`` bounds the
+   tables that rows are looked up in. The window partitions by
+   ``(keys, bucket)``; every other key has the single bucket 0.
+2. Per hot ``(key, bucket)``: first value, last value and row count, from the
+   narrow source columns (at most ``2 * max_heavy_keys`` rows, a hash aggregate
+   with partial sums). A window over this small table gives, per bucket, the
+   first value of the next non-empty bucket, the last value of the previous one
+   and the rows before it.
+3. These carries are broadcast and used where ``lead`` or ``lag`` meets the edge
+   of a bucket, and added to the running count. The rows are read once and
+   shuffled once.
+
+Rows whose key has a NULL part get NULL outputs; they are cut like any others,
+so they don't gather in one task either.
 """
 
 from __future__ import annotations
@@ -37,18 +34,15 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.keys import all_not_null
 from ..functions.timeparts import epoch_micros, epoch_seconds
 from ..schema import ORDER_TIE, ORDER_TIME
+from .hotkeys import BUCKET, HOT, HotKeys, HotStats, cuts, hot_stats
 
 _T = "__t"  # epoch micros of the order time
-_B = "__bucket"
-_PH = "__ph"  # -1 head phantom, 0 real row, 1 tail phantom
-_OFF = "__off"  # rows of the key before this bucket (head phantom only)
-_OWN = "__own"  # group a phantom row belongs to (-1 on real rows)
-_N, _T0, _T1, _NB, _Q = "__n", "__t0", "__t1", "__nb", "__q"
+_B = BUCKET
+_BEFORE = "__before"  # rows of the key before this bucket
 
 MICROS = 1_000_000
 DAY_SECONDS = 86_400
@@ -91,11 +85,15 @@ class SkewSplit:
 
 @dataclass(frozen=True)
 class Req:
-    """One ordered request: ``lead`` / ``lag`` of ``value`` or ``rownum``."""
+    """One ordered request: ``lead`` / ``lag`` of ``value`` or ``rownum``.
+
+    ``monotone``: the value never falls along the row order (as the time itself).
+    """
 
     kind: str
     out: str
     value: str | None = None  # None means the order time in epoch micros
+    monotone: bool = False
 
     def __post_init__(self):
         if self.kind not in ("lead", "lag", "rownum"):
@@ -120,15 +118,14 @@ def ordered_values(
     return ordered_family(df, keys, [(keys, reqs)], order, skew)
 
 
-_UNSET = object()
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], order: Order = Order(), skew: SkewSplit = SkewSplit()):
-    """The bounded hot-key table of ``keys`` (None when no key is hot)."""
+def find_hot(df: DataFrame, key_sets: Sequence[Sequence[str]], order: Order = Order(), skew: SkewSplit = SkewSplit()) -> dict[tuple[str, ...], HotKeys]:
+    """The key sets that have hot keys, with their cuts; all sets share the passes over ``df``."""
     skew = skew.resolve(df) if skew.enabled else skew
     if not skew.may_have_heavy():
-        return None
-    return _heavy_stats(df.withColumn(_T, epoch_micros(order.time)), list(keys), skew.heavy_rows)
+        return {}
+    base = df.withColumn(_T, epoch_micros(order.time))
+    stats: HotStats = hot_stats(base, key_sets, _T, order.tie, skew.heavy_rows)
+    return cuts(base, stats, _T, order.tie)
 
 
 def ordered_family(
@@ -137,174 +134,99 @@ def ordered_family(
     groups: Sequence[tuple[Sequence[str], Sequence[Req]]],
     order: Order = Order(),
     skew: SkewSplit = SkewSplit(),
-    heavy=_UNSET,
+    hot: dict[tuple[str, ...], HotKeys] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered requests of several key sets that all contain ``family_keys``.
 
-    The rows are shuffled once, hash-partitioned by ``family_keys`` (plus
-    the hot-key bucket); a hash partitioning on a subset of a window's keys
-    satisfies that window, so every group's window runs on the same
-    partitions with only a sort in between. Hot keys are detected on
-    ``family_keys``; each group receives its own carries as phantom rows
-    tagged with the group, and only that group's window sees them.
+    Without hot keys the rows are shuffled once, hash-partitioned by
+    ``family_keys``: a hash partitioning on a subset of a window's keys
+    satisfies that window, so every group's window runs on the same partitions
+    with only a sort in between. With hot keys each group is partitioned by its
+    own keys (and buckets where it has hot keys itself): finer windows under a
+    cut key would carry state per bucket for every finer key.
+
+    ``hot``: the result of ``find_hot`` for all key sets in question, found here
+    when left out. ``source``: a cheap plan with the same rows and the columns
+    that the requests read, for the carries; ``df`` itself when left out.
     """
     fam = list(family_keys)
     for gkeys, _ in groups:
         if not set(fam) <= set(gkeys):
             raise ValueError(f"{list(gkeys)} does not contain the family keys {fam}")
-    base = df.withColumn(_T, epoch_micros(order.time))
-    skew = skew.resolve(base) if skew.enabled else skew
-    if heavy is _UNSET:
-        heavy = _heavy_stats(base, fam, skew.heavy_rows) if skew.may_have_heavy() else None
-    if heavy is None:
-        out = _plain_family(base, fam, groups, order)
+    if hot is None:
+        hot = find_hot(df, list(dict.fromkeys(_hot_name(k) for k in [fam, *[g for g, _ in groups]])), order, skew)
+    source = (df if source is None else source).withColumn(_T, epoch_micros(order.time))
+    out = df.withColumn(_T, epoch_micros(order.time))
+    if _hot_name(fam) not in hot:
+        out = _plain_family(out, fam, groups, order)
     else:
-        out = _split_family(base, fam, groups, order, heavy)
+        for gkeys, reqs in groups:
+            found = hot.get(_hot_name(gkeys))
+            out = _split(out, list(gkeys), reqs, order, found, source) if found else _plain_family(out, list(gkeys), [(gkeys, reqs)], order)
     for gkeys, reqs in groups:
         out = _null_keys(out, gkeys, reqs)
     return out.drop(_T)
 
 
-def _window_exprs(reqs: Sequence[Req], w: Window, running: Window, split: bool) -> dict[str, Column]:
-    exprs = {}
-    for r in reqs:
-        v = _value_col(r)
-        if r.kind == "lead":
-            exprs[r.out] = F.lead(v).over(w)
-        elif r.kind == "lag":
-            exprs[r.out] = F.lag(v).over(w)
-        elif split:
-            real = F.count(F.when(F.col(_PH) == 0, F.lit(1))).over(running)
-            offset = F.coalesce(F.max(_OFF).over(running), F.lit(0))
-            exprs[r.out] = (real - 1 + offset).cast("long")
-        else:
-            exprs[r.out] = (F.row_number().over(w) - 1).cast("long")
-    return exprs
+def _hot_name(keys: Sequence[str]) -> tuple[str, ...]:
+    return tuple(sorted(keys))
 
 
 def _plain_family(df, fam, groups, order):
     out = df.repartition(*fam) if fam and len(groups) > 1 else df
     for gkeys, reqs in groups:
         w = Window.partitionBy(*gkeys).orderBy(F.col(_T), F.col(order.tie))
-        out = out.withColumns(_window_exprs(reqs, w, w, split=False))
+        exprs = {}
+        for r in reqs:
+            if r.kind == "rownum":
+                exprs[r.out] = (F.row_number().over(w) - 1).cast("long")
+            else:
+                exprs[r.out] = (F.lead if r.kind == "lead" else F.lag)(_value_col(r)).over(w)
+        out = out.withColumns(exprs)
     return out
 
 
-QUANTILES = 16  # time quantiles per hot key: bucket edges follow the key's own density
-
-
-def _heavy_stats(df: DataFrame, keys: list[str], heavy_rows: int):
-    """Hot keys with their time range and time quantiles; None when there are none.
-
-    Pass 1 (partial aggregate over all rows): keys above ``heavy_rows``, at
-    most ``N / heavy_rows <= max_heavy_keys`` of them. Pass 2 (hot rows
-    only): ``QUANTILES - 1`` approximate time quantiles per hot key. The
-    table has at most ``max_heavy_keys`` rows of ``QUANTILES + 4`` values, so
-    collecting and broadcasting it is bounded.
-    """
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    stats = (
-        g.agg(F.count(F.lit(1)).alias(_N), F.min(_T).alias(_T0), F.max(_T).alias(_T1))
-        .filter(F.col(_N) > F.lit(heavy_rows))
-        .withColumn(_NB, F.ceil(F.col(_N) / F.lit(heavy_rows)).cast("long"))
-    )
-    if keys:
-        stats = stats.filter(all_not_null(keys))
-    rows = stats.collect()
-    if not rows:
-        return None
-    spark = df.sparkSession
-    hot = spark.createDataFrame(rows, schema=stats.schema)
-    probs = [i / QUANTILES for i in range(1, QUANTILES)]
+def _split(df: DataFrame, keys: list[str], reqs: Sequence[Req], order: Order, hot: HotKeys, source: DataFrame) -> DataFrame:
+    """Windows of one key set by (keys, bucket); edges of buckets take the carries."""
+    values, carry = _carries(source, keys, reqs, order, hot)
+    out = hot.bucketed(df, _T, order.tie).drop(HOT)
+    w = Window.partitionBy(*keys, _B).orderBy(F.col(_T), F.col(order.tie))
+    raw, final = {}, {}
+    for i, r in enumerate(reqs):
+        if r.kind == "rownum":
+            raw[f"__r{i}"] = F.row_number().over(w) - 1
+            final[r.out] = (F.col(f"__r{i}") + F.coalesce(F.col(_BEFORE), F.lit(0))).cast("long")
+        else:
+            move = F.lead if r.kind == "lead" else F.lag
+            raw[f"__r{i}"], raw[f"__{r.kind}_edge"] = move(_value_col(r)).over(w), move(F.lit(1)).over(w).isNull()
+            over = F.col(f"__{'next' if r.kind == 'lead' else 'prev'}{values.index(_value_col(r))}")
+            final[r.out] = F.when(F.col(f"__{r.kind}_edge"), over).otherwise(F.col(f"__r{i}"))
+    out = out.withColumns(raw).join(F.broadcast(carry), [*keys, _B], "left").withColumns(final)
+    return out.drop(*raw, _BEFORE, _B, *[f"__{side}{i}" for i in range(len(values)) for side in ("next", "prev")])
+
+
+def _carries(source: DataFrame, keys: list[str], reqs: Sequence[Req], order: Order, hot: HotKeys) -> tuple[list[str], DataFrame]:
+    """Values needed at edges and, per hot key and bucket, the rows before it and the values just before and after it."""
+    reqs = [r for r in reqs if r.kind != "rownum"]
+    values = list(dict.fromkeys(_value_col(r) for r in reqs))
+    rising = {_T, *(_value_col(r) for r in reqs if r.monotone)}
+    rows = source.select(*dict.fromkeys([*keys, _T, order.tie, *values]))
+    rows = hot.bucketed(rows, _T, order.tie).filter(F.col(HOT))
     if keys:
-        hot_rows = df.join(F.broadcast(hot.select(*keys)), on=keys)
-        q = hot_rows.groupBy(*keys).agg(F.percentile_approx(_T, probs, 10_000).alias(_Q))
-        merged = hot.join(q, on=keys).collect()
-        return spark.createDataFrame(merged, schema=hot.join(q, on=keys).schema)
-    q = df.agg(F.percentile_approx(_T, probs, 10_000).alias(_Q)).first()[_Q]
-    r = rows[0].asDict()
-    r[_Q] = q
-    schema = T.StructType(list(stats.schema.fields) + [T.StructField(_Q, T.ArrayType(T.LongType()))])
-    return spark.createDataFrame([r], schema=schema)
-
-
-def _bucket_of(t: Column, t0: Column, t1: Column, nb: Column, qs: Column) -> Column:
-    """Bucket of time ``t`` for a hot key: the quantile interval it falls in,
-    cut into ``ceil(nb / QUANTILES)`` equal-width parts. Monotone in ``t``."""
-    idx = F.size(F.filter(qs, lambda x: x <= t))  # 0 .. QUANTILES - 1
-    lo = F.when(idx == 0, t0).otherwise(F.element_at(qs, idx))
-    hi = F.when(idx >= F.size(qs), t1).otherwise(F.element_at(qs, idx + 1))
-    parts = F.ceil(nb / F.lit(QUANTILES)).cast("long")
-    # floor((t - lo) * parts / (hi - lo + 1)) lies in [0, parts); decimal math
-    # avoids overflow of micros * parts.
-    span = (hi - lo + F.lit(1)).cast("decimal(38,0)")
-    num = (t - lo).cast("decimal(38,0)") * parts.cast("decimal(38,0)")
-    return (idx.cast("long") * parts + F.floor(num / span)).cast("long")
-
-
-def _split_family(df, fam, groups, order, heavy):
-    if fam:
-        rows = df.join(F.broadcast(heavy), on=fam, how="left")
-        bucket = F.when(F.col(_N).isNull(), F.lit(0).cast("long")).otherwise(
-            _bucket_of(F.col(_T), F.col(_T0), F.col(_T1), F.col(_NB), F.col(_Q))
-        )
-        is_heavy = F.col(_N).isNotNull()
-    else:
-        h = heavy.first()
-        rows = df
-        qs = F.array(*[F.lit(int(x)) for x in h[_Q]]).cast("array<bigint>")
-        bucket = _bucket_of(F.col(_T), F.lit(h[_T0]), F.lit(h[_T1]), F.lit(h[_NB]), qs)
-        is_heavy = F.lit(True)
-    rows = rows.withColumn(_B, bucket).withColumn("__heavy", is_heavy).drop(_N, _T0, _T1, _NB, _Q)
-    real = rows.withColumns({_PH: F.lit(0), _OWN: F.lit(-1), _OFF: F.lit(None).cast("long")})
-    unioned = real
-    for j, (gkeys, reqs) in enumerate(groups):
-        for ph in _phantoms(rows.filter(F.col("__heavy")), list(gkeys), reqs, order, j):
-            unioned = unioned.unionByName(ph, allowMissingColumns=True)
-    out = unioned.repartition(*fam, _B)
-    for j, (gkeys, reqs) in enumerate(groups):
-        foreign = (F.col(_PH) != 0) & (F.col(_OWN) != j)
-        w = Window.partitionBy(*gkeys, _B, foreign).orderBy(F.col(_PH), F.col(_T), F.col(order.tie))
-        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumns(_window_exprs(reqs, w, running, split=True))
-    return out.filter(F.col(_PH) == 0).drop(_B, _PH, _OFF, _OWN, "__heavy")
-
-
-def _phantoms(heavy_rows: DataFrame, gkeys: list[str], reqs, order, owner: int) -> list[DataFrame]:
-    """Head / tail carry rows of group ``owner`` for each of its hot buckets.
-
-    The summary has one row per (key, bucket) of hot keys; a window over it
-    per key (at most ``buckets`` rows each) yields the carries.
-    """
-    ordkey = F.struct(F.col(_T), F.col(order.tie))
-    values = sorted({_value_col(r) for r in reqs if r.kind != "rownum"})
-    aggs = [F.count(F.lit(1)).alias("__cnt")]
+        rows = rows.filter(all_not_null(keys))
+    # One number for the whole order, so that the aggregate below is a hash aggregate.
+    place = F.col(_T).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col(order.tie).cast("decimal(19,0)")
+    aggs = [F.count(F.lit(1)).alias("__here")]
     for i, v in enumerate(values):
-        aggs.append(F.min_by(F.col(v), ordkey).alias(f"__first{i}"))
-        aggs.append(F.max_by(F.col(v), ordkey).alias(f"__last{i}"))
-    summ = heavy_rows.groupBy(*gkeys, _B).agg(*aggs)
-    sw = Window.partitionBy(*gkeys).orderBy(_B)
-    carry = {
-        "__before": F.coalesce(F.sum("__cnt").over(sw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "__has_next": F.lead(F.lit(1)).over(sw).isNotNull(),
-    }
+        first, last = (F.min(v), F.max(v)) if v in rising else (F.min_by(v, place), F.max_by(v, place))
+        aggs += [first.alias(f"__first{i}"), last.alias(f"__last{i}")]
+    summary = rows.groupBy(*keys, _B).agg(*aggs)
+    w = Window.partitionBy(*keys).orderBy(_B)
+    carry = [(F.sum("__here").over(w) - F.col("__here")).alias(_BEFORE)]
     for i, _ in enumerate(values):
-        carry[f"__next{i}"] = F.lead(f"__first{i}").over(sw)
-        carry[f"__prev{i}"] = F.lag(f"__last{i}").over(sw)
-    summ = summ.withColumns(carry)
-    # head and tail phantoms from one pass over the summary
-    def side(ph: int) -> Column:
-        fields = [F.lit(ph).alias(_PH), F.lit(owner).alias(_OWN)]
-        for i, v in enumerate(values):
-            fields.append(F.col(f"__prev{i}" if ph < 0 else f"__next{i}").alias(v))
-        if ph < 0:
-            fields += [F.col("__before").cast("long").alias(_OFF), (F.col("__before") > 0).alias("__keep")]
-        else:
-            fields += [F.lit(None).cast("long").alias(_OFF), F.col("__has_next").alias("__keep")]
-        return F.struct(*fields)
-
-    both = summ.select(*[F.col(k) for k in gkeys], F.col(_B), F.explode(F.array(side(-1), side(1))).alias("__p"))
-    return [both.select(*gkeys, _B, "__p.*").filter(F.col("__keep")).drop("__keep")]
+        carry += [F.lead(f"__first{i}").over(w).alias(f"__next{i}"), F.lag(f"__last{i}").over(w).alias(f"__prev{i}")]
+    return values, summary.select(*keys, _B, *carry)
 
 
 def _null_keys(df: DataFrame, keys: Sequence[str], reqs: Sequence[Req]) -> DataFrame:
@@ -349,10 +271,10 @@ def add_click_gaps(
     """
     from ..functions.keys import next_click_name, prev_click_name
 
-    skew = skew.resolve(df) if skew.enabled else skew
     by_keys: dict[tuple[str, ...], list[GapSpec]] = {}
     for s in specs:
         by_keys.setdefault(tuple(s.keys), []).append(s)
+    hot = find_hot(df, [_hot_name(k) for k in by_keys], order, skew)
     out = df
     for keys, group in by_keys.items():
         reqs, finals = [], {}
@@ -363,7 +285,7 @@ def add_click_gaps(
             t = epoch_micros(order.time)
             diff = (F.col(raw) - t) if s.direction == "next" else (t - F.col(raw))
             finals[name] = seconds_part(diff, s.wrap).cast(s.dtype)
-        out = ordered_values(out, keys, reqs, order, skew)
+        out = ordered_family(out, keys, [(keys, reqs)], order, skew, hot, df)
         out = out.withColumns(finals).drop(*[r.out for r in reqs])
     return out
 
@@ -395,21 +317,23 @@ def add_next_click_sentinel(
     if hash_buckets:
         tmp = tmp.withColumn("__hkey", composite_key_bucket(keys, hash_buckets))
         keys = ["__hkey"]
-    tmp = ordered_values(tmp, keys, [Req("lead", "__next_epoch", "__epoch")], order, skew)
+    tmp = ordered_values(tmp, keys, [Req("lead", "__next_epoch", "__epoch", monotone=True)], order, skew)
     value = F.coalesce(F.col("__next_epoch"), F.lit(NEXT_CLICK_SENTINEL).cast("long")) - F.col("__epoch")
     return tmp.withColumn(name, value.cast("long")).drop("__epoch", "__next_epoch", "__hkey")
 
 
 def add_global_shift(
     df: DataFrame, value: str, name: str | None = None, order: Order = Order(), skew: SkewSplit = SkewSplit(),
-    dtype: str = "double",
+    dtype: str = "double", hot: dict[tuple[str, ...], HotKeys] | None = None, source: DataFrame | None = None,
 ) -> DataFrame:
     """The value of ``value`` on the previous row of the whole table.
 
-    Keyless: with skew splitting on (the default) the table is cut into
-    time buckets, so no task holds the whole table. The result is a double,
-    as a shifted column with a missing first value is in the original.
+    Keyless: the table is cut into buckets of bounded size along the row order,
+    each bucket's window is a task's work, and the one row before a bucket
+    comes with the broadcast carries. ``source`` has the order columns and
+    ``value`` by a narrower plan. The result is a double, as a shifted column
+    with a missing first value is in the original.
     """
     name = name or f"{value}_shift"
-    out = ordered_values(df, [], [Req("lag", name, value)], order, skew)
+    out = ordered_family(df, [], [([], [Req("lag", name, value)])], order, skew, hot, source)
     return out.withColumn(name, F.col(name).cast(dtype))

@@ -427,15 +427,13 @@ def _coded_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODED_BASE_SQL = "base AS (SELECT * REPLACE (CAST(dense_rank() OVER (ORDER BY app) - 1 AS INT) AS app) FROM clicks)"
 
 
-def kernel_query(name: str, specs: Sequence):
-    from .kernels import FEATURE_SETS  # noqa: F401
-
+def kernel_query(name: str, specs: Sequence, skew: W.SkewSplit = W.SkewSplit()):
     cols = O.output_columns(specs)
     sql = O.features_sql("__BASE__", specs, cols).replace("__BASE__", CLICKS_DUCKDB.strip() + ",\n" + CODED_BASE_SQL, 1)
 
     @register(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _round_features(build_features(_coded_clicks(spark, sf_dir), specs), specs, cols)
+        return _round_features(build_features(_coded_clicks(spark, sf_dir), specs, skew=skew), specs, cols)
 
     return run
 
@@ -446,6 +444,11 @@ def _kernels():
     kernel_query("kernel1_features", KERNEL1)
     kernel_query("kernel2_features", KERNEL2)
     kernel_query("kernel3_features", KERNEL3)
+    # The plans of a log with hot keys: every key above 60 rows is cut (at sf0.01 all devices, most ips and some finer keys).
+    hot = W.SkewSplit(heavy_rows=60)
+    kernel_query("kernel1_features_split", KERNEL1, hot)
+    kernel_query("kernel2_features_split", KERNEL2, hot)
+    kernel_query("kernel3_features_split", KERNEL3, hot)
 
 
 _kernels()

@@ -6,10 +6,13 @@ A feature set is a list of specs. ``build_features`` normalises it:
 * ordered (window) features are grouped into families by key prefix: one
   hash shuffle on the family keys serves every window whose keys contain
   them (kernel 1: 12 window key sets -> 2 shuffles of the row table);
-* aggregates are fused per key set into one group-by and one join back;
+* aggregates of all key sets come from one lattice of counted column sets, which
+  reads the source once, and are joined back once per key set;
   joins whose keys contain a family's keys follow that family and reuse its
   partitioning (only the aggregate side is shuffled);
-* keyless features (the global shift) run last, after their inputs exist.
+* a keyless feature (the global shift) of a window feature runs first, straight after
+  the one window that it reads, while the rows have little but the source columns;
+* hot keys of all window key sets are looked for together, in the source columns.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.timeparts import in_test_hh
 from ..operators import ordered as W
-from ..operators.aggregates import Agg, GroupPlan, join_back, group_table
+from ..operators.aggregates import Agg, GroupPlan, join_back
+from ..operators.lattice import group_tables
 
 
 @dataclass(frozen=True)
@@ -128,30 +132,36 @@ def build_features(
             seen_windows[sig] = s.out
             windows.setdefault(_canon(s.keys), []).append(s)
 
-    if windows:
-        skew = skew.resolve(out) if skew.enabled else skew
+    shifts = [s for s in specs if isinstance(s, Shift)]
     src = out
-    pending = dict(plan.groups)
-    hot: dict[tuple[str, ...], object] = {}
-
-    def is_hot(fam: tuple[str, ...]) -> bool:
-        if fam not in hot:
-            hot[fam] = W.hot_keys(src, fam, order, skew)
-        return hot[fam] is not None
-
-    for fam, members in window_families(list(windows), is_hot).items():
-        out = _apply_family(out, fam, [(keys, windows[keys]) for keys in members], order, skew, hot.get(fam, W._UNSET))
+    hot: dict = {}
+    if windows or shifts:
+        skew = skew.resolve(src) if skew.enabled else skew
+        hot = W.find_hot(src, [*windows, *([()] if shifts else [])], order, skew)
+
+    made = {m.out: (keys, m) for keys, members in windows.items() for m in members}
+    for s in [s for s in shifts if s.value in made]:
+        keys, spec = made[s.value]
+        if spec in windows[keys]:
+            out = _apply_family(out, keys, [(keys, [spec])], order, skew, hot, src)
+            windows[keys].remove(spec)
+        # the shift's edges come from this window alone, over the source columns
+        narrow = _apply_family(src, keys, [(keys, [spec])], order, skew, hot, src)
+        out = W.add_global_shift(out, s.value, s.out, order, skew, hot=hot, source=narrow)
+
+    pending = group_tables(src, plan.groups)
+    for fam, members in window_families([k for k, m in windows.items() if m], lambda fam: fam in hot).items():
+        out = _apply_family(out, fam, [(keys, windows[keys]) for keys in members], order, skew, hot, src)
         # joins whose keys contain the family keys come right after it: the
         # rows are already hash-partitioned by the family keys, so only the
         # aggregate side is shuffled (partial-key co-partitioning)
         for keys in [k for k in pending if set(fam) <= set(k)]:
-            out = join_back(out, group_table(src, keys, pending.pop(keys)), keys)
+            out = join_back(out, pending.pop(keys), keys)
     for keys in join_order(list(pending)):
-        out = join_back(out, group_table(src, keys, pending[keys]), keys)
+        out = join_back(out, pending[keys], keys)
 
-    for s in specs:
-        if isinstance(s, Shift):
-            out = W.add_global_shift(out, s.value, s.out, order, skew)
+    for s in [s for s in shifts if s.value not in made]:  # of a column or an aggregate
+        out = W.add_global_shift(out, s.value, s.out, order, skew, hot=hot, source=src if s.value in src.columns else None)
     if aliases:
         out = out.withColumns({alias: F.col(target) for alias, target in aliases.items()})
     return out
@@ -197,7 +207,7 @@ def window_families(key_sets: Sequence[tuple[str, ...]], is_hot=lambda fam: Fals
 
 
 def _apply_family(df: DataFrame, fam: tuple[str, ...], members: list, order: W.Order, skew: W.SkewSplit,
-                  heavy=W._UNSET) -> DataFrame:
+                  hot: dict, src: DataFrame) -> DataFrame:
     """All window specs of a family: one shuffle, one window per key set."""
     groups, finals, drops = [], {}, []
     tmp = df
@@ -219,17 +229,17 @@ def _apply_family(df: DataFrame, fam: tuple[str, ...], members: list, order: W.O
             raw = f"__o{n}"
             n += 1
             needs_epoch = True
-            reqs.append(W.Req("lead", raw, "__epoch"))
+            reqs.append(W.Req("lead", raw, "__epoch", monotone=True))
             nxt = F.coalesce(F.col(raw), F.lit(W.NEXT_CLICK_SENTINEL).cast("long"))
             finals[s.out] = (nxt - F.col("__epoch")).cast("long")
             drops.append(raw)
         if reqs:
             groups.append((keys, reqs))
     if needs_epoch:
-        tmp = tmp.withColumn("__epoch", W.epoch_seconds(order.time))
+        tmp, src = (x.withColumn("__epoch", W.epoch_seconds(order.time)) for x in (tmp, src))
         drops.append("__epoch")
     if groups:
-        tmp = W.ordered_family(tmp, fam, groups, order, skew, heavy)
+        tmp = W.ordered_family(tmp, fam, groups, order, skew, hot, src)
         tmp = tmp.withColumns(finals).drop(*drops)
     for keys, specs in members:
         for s in specs:

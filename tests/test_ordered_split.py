@@ -1,5 +1,7 @@
 """The two-level (hot keys cut into time buckets) form equals the plain window."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,17 +29,18 @@ def test_split_equals_plain(base, keys, heavy):
 
 
 def test_keyless_split_plan_partitions_by_bucket(base):
-    out = ordered_values(base, [], [Req("lag", "prv")], skew=SkewSplit(heavy_rows=1000))
+    out = ordered_values(base, [], [Req("lag", "prv")], skew=SkewSplit(heavy_rows=1000)).select("click_id", "prv")
     plan = out._jdf.queryExecution().executedPlan().toString()
     lines = plan.splitlines()
-    windows = [line for line in lines if "Window [" in line and "lag(" in line]
+    windows = [line for line in lines if "Window [" in line and "lag(1" in line]
     assert windows and all("__bucket" in line for line in windows)
     # the only single-partition step is the window over the per-bucket summary
     # (one row per bucket), which directly follows that exchange
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             above = [x for x in lines[:i] if "Window [" in x][-1]
-            assert "__cnt" in above or "__first" in above or "__last" in above
+            assert "__here" in above or "__first" in above or "__last" in above
+    assert "Union" not in plan  # the rows are read once
 
 
 def test_properties(base):
@@ -86,25 +89,58 @@ def test_family_plan_shuffles_once(base):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_bursty_hot_key_is_split_evenly(spark):
-    """A hot key with 95% of its rows inside one second still gets small buckets."""
-    import datetime as dt
+T0 = dt.datetime(2017, 11, 7)
+BURST = [(T0 + dt.timedelta(microseconds=i), 1) for i in range(1900)] + [(T0 + dt.timedelta(minutes=15 * i + 1), 1) for i in range(100)]
+SHAPES = {
+    "burst": BURST,
+    "one time": [(T0, 1)] * 2000,
+    "few times": [(T0 + dt.timedelta(seconds=i % 3), 1) for i in range(2000)],
+    "ties in a burst": [(T0 + dt.timedelta(microseconds=i // 400), 1) for i in range(1600)] + [(T0 + dt.timedelta(days=i), 1) for i in range(300)],
+    "powers": [(T0 + dt.timedelta(microseconds=2 ** (i % 40)), 1) for i in range(2000)],
+    "null key": [(T0 + dt.timedelta(seconds=i % 7), None) for i in range(2000)],
+    "two hot and cold": [(T0 + dt.timedelta(seconds=i % 50), i % 2 if i < 1800 else i) for i in range(2000)],
+    "before 1970": [(dt.datetime(1950, 1, 1) + dt.timedelta(hours=i // 5), 1) for i in range(2000)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_buckets_are_bounded_and_ordered(spark, shape):
+    """Bursts, ties and NULL keys: at most 2 T rows per bucket, in the row order; results equal the plain window."""
+    import random
 
     from clickfeat.operators import ordered as W
 
-    t0 = dt.datetime(2017, 11, 7)
-    rows = [(i, t0 + dt.timedelta(microseconds=i), 1, i) for i in range(1900)]
-    rows += [(1900 + i, t0 + dt.timedelta(minutes=15 * i + 1), 1, 1900 + i) for i in range(100)]
-    df = spark.createDataFrame(rows, "click_id long, click_time timestamp_ntz, k long, row_id long")
-    base = df.withColumn(W._T, W.epoch_micros("click_time"))
-    heavy = W._heavy_stats(base, ["k"], 100)
-    b = base.join(heavy, "k").select(W._bucket_of(F.col(W._T), F.col(W._T0), F.col(W._T1), F.col(W._NB), F.col(W._Q)).alias("b"))
-    sizes = [r["count"] for r in b.groupBy("b").count().collect()]
-    assert max(sizes) <= 300, sorted(sizes)[-5:]
-    plain = ordered_values(df, ["k"], REQS[:3], skew=SkewSplit(enabled=False))
-    split = ordered_values(df, ["k"], REQS[:3], skew=SkewSplit(heavy_rows=100))
-    cols = ["click_id", "nxt", "prv", "rn"]
+    rows = [(i, t, k, i) for i, (t, k) in enumerate(SHAPES[shape])]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "click_id long, click_time timestamp_ntz, k long, row_id long").withColumn("os", (F.col("row_id") * 7 % 13).cast("int"))
+    df = df.withColumn("os", F.when(F.col("os") != 3, F.col("os")))
+    heavy = 100
+    hot = W.find_hot(df, [("k",)], skew=SkewSplit(heavy_rows=heavy))[("k",)]
+    out = hot.bucketed(df.withColumn(W._T, W.epoch_micros("click_time")), W._T, "row_id").filter(W.HOT)
+    sizes = [r["count"] for r in out.groupBy("k", W.BUCKET).count().collect()]
+    assert max(sizes) <= 2 * heavy and sum(sizes) >= 1800 and len(sizes) <= 2 * sum(sizes) / heavy + 2
+    placed = sorted(((r.k or 0, r.click_time, r.row_id), r[W.BUCKET]) for r in out.collect())
+    assert all(a[0][0] != b[0][0] or a[1] <= b[1] for a, b in zip(placed, placed[1:], strict=False))
+    plain = ordered_values(df, ["k"], REQS[:4], skew=SkewSplit(enabled=False))
+    split = ordered_values(df, ["k"], REQS[:4], skew=SkewSplit(heavy_rows=heavy))
+    cols = ["click_id", "nxt", "prv", "rn", "prev_os"]
     assert plain.select(cols).exceptAll(split.select(cols)).count() == 0
+    assert split.count() == len(rows)
+
+
+def test_hot_keys_of_all_sets_are_exact(base):
+    """The two counting passes find exactly the keys above the bound, whatever else shares their slots."""
+    from clickfeat.operators import hotkeys as H
+    from clickfeat.operators import ordered as W
+
+    rows = base.withColumn(W._T, W.epoch_micros("click_time"))
+    sets = [("device",), ("ip",), ("ip", "os"), ("device", "hour"), ()]
+    for bound in (20, 140, 3000, 10_000):
+        stats = H.hot_stats(rows, sets, W._T, "row_id", bound)
+        want = {s: rows.groupBy(*s).count().filter(F.col("count") > bound).count() for s in sets}
+        assert {s for s in sets if want[s]} == set(stats.hot)
+        if stats.table is not None:
+            assert {sets[r.s]: r["count"] for r in stats.table.groupBy("s").count().collect()} == {s: n for s, n in want.items() if n}
 
 
 def test_hot_family_takes_no_supersets():
