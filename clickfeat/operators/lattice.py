@@ -1,22 +1,21 @@
-"""Aggregates of many key sets from one pass over the log: a lattice of counted column sets.
+"""Aggregates of many key sets from one pass over the log.
 
 Count, non-null count, distinct count, mean and variance of ``value`` per
-``keys`` all follow from one table: the distinct tuples of ``keys + value`` and
-how often each occurs. So the log is read once, for the tuples of all columns
-that any aggregate needs; that table is written, and every other column set is
-derived from the smallest one that contains it, by adding up its counts.
-Column sets that have children of their own are written too, so no set is
-derived twice. Sizes are measured, all in one pass over the written table, by
-sketches; they only choose the parent and change no result.
-
-Per key set, the tuples of its column sets are stacked and aggregated in one
-shuffle with partial sums, so a hot key reaches it as one row per task. Tuples
-are dealt by all of their columns; a key with a third of the log's rows is
-spread by its values.
+``keys`` are the same over the log and over its distinct tuples with the number
+of times each occurs: a count becomes a sum of these numbers, a mean a weighted
+mean, and a distinct count stays as it is. So the log is read once, for the
+tuples of all columns that any aggregate needs; they are written, and every key
+set is aggregated from them, all of its aggregates in one group-by. The table
+has no more rows than the log, only the columns in question, and what the log's
+own plan computes (parsed text, time parts) is not computed again.
+
+Tuples are dealt by all of their columns, so a key with a third of the log's
+rows is spread by its values, and partial sums leave one row a task of it.
 
 Sums that a variance needs are exact decimals: no cancellation, whatever the
 number of rows. Columns must compare exactly (whole numbers, text, dates);
-aggregates of other columns and kinds are left to ``group_table``.
+aggregates of other columns and kinds are left to ``group_table``, and so are
+fewer than ``FEWEST`` key sets, for which a table of tuples does not pay.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ from ..sources.sinks import materialize
 from .aggregates import Agg, group_table
 
 N = "__n"
+FEWEST = 3
 KINDS = ("count", "nonnull", "nunique", "mean", "var")
 _EXACT = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
 _SUM = "decimal(38,0)"
@@ -45,104 +45,49 @@ def fits(df: DataFrame, a: Agg) -> bool:
     return a.kind in KINDS and whole and all(isinstance(types.get(c), _EXACT) for c in cols)
 
 
-def columns_of(a: Agg) -> tuple[str, ...]:
-    """The column set whose counts give the aggregate."""
-    return tuple(sorted({*a.keys, *([a.value] if a.value else [])}))
-
-
-def _counted(table: DataFrame, cols: Sequence[str], first: bool = False) -> DataFrame:
-    return table.groupBy(*cols).agg((F.count(F.lit(1)) if first else F.sum(N)).alias(N))
-
-
-def parents(sets: Mapping[tuple[str, ...], int], top: tuple[str, ...]) -> dict[tuple[str, ...], tuple[str, ...]]:
-    """For each column set the smallest one, by size, that contains it; ``top`` contains them all."""
-    out = {}
-    for s in sets:
-        if s != top:
-            above = [c for c in sets if set(s) < set(c)]
-            out[s] = min(above, key=lambda c: (sets[c], len(c), c))
-    return out
+def tuples(df: DataFrame, aggs: Sequence[Agg]) -> DataFrame:
+    """The distinct tuples of all columns that ``aggs`` need, and how often each occurs; written once."""
+    cols = sorted({c for a in aggs for c in [*a.keys, *([a.value] if a.value else [])]})
+    return materialize(df.groupBy(*cols).agg(F.count(F.lit(1)).alias(N)), "tuples")
 
 
-def count_tables(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], DataFrame]:
-    """For each column set the distinct tuples with their counts; one scan of ``df``."""
-    sets = sorted(set(sets))
-    top = tuple(sorted({c for s in sets for c in s}))
-    if sets == [top]:
-        return {top: _counted(df, top, first=True)}
-    tables = {top: materialize(_counted(df, top, first=True), "tuples")}
-    sketch = [F.approx_count_distinct(F.xxhash64(*s), 0.05).alias(str(i)) for i, s in enumerate(sets)]
-    seen = tables[top].agg(*sketch).first()
-    sizes = {s: seen[i] for i, s in enumerate(sets)} | {top: float("inf") if top not in sets else seen[sets.index(top)]}
-    above = parents(sizes, top)
-    for s in sorted(above, key=lambda s: -len(s)):
-        table = _counted(tables[above[s]], s)
-        tables[s] = materialize(table, "tuples") if s in above.values() else table
-    return tables
-
-
-def _parts(a: Agg) -> dict[str, Column]:
-    """What one tuple adds to the aggregate's sums."""
+def weighted(a: Agg) -> Column:
+    """``agg_expr`` over counted tuples."""
     n = F.col(N)
     if a.kind == "count":
-        return {"n": n}
+        return F.sum(n)
     v = F.col(a.value)
-    known = F.when(v.isNotNull(), n)
-    if a.kind == "nonnull":
-        return {"n": known}
     if a.kind == "nunique":
-        return {"n": F.when(v.isNotNull(), F.lit(1).cast("long"))}
+        return F.count_distinct(v)
+    known = F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0).cast("long"))
+    if a.kind == "nonnull":
+        return known
     if a.kind == "mean":
-        return {"n": known, "s": n * v.cast("double")}
+        return F.when(known > 0, F.sum(n * v.cast("double")) / known)
     x = v.cast("decimal(19,0)")
     one = (n.cast("decimal(19,0)") * x).cast(_SUM)
-    return {"n": known, "s": one, "q": (one * x).cast(_SUM)}
-
-
-def _result(a: Agg, part) -> Column:
-    n = F.coalesce(part("n"), F.lit(0).cast("long"))
-    if a.kind in ("count", "nonnull", "nunique"):
-        return n
-    if a.kind == "mean":
-        return F.when(n > 0, part("s") / n)
-    exact = F.try_subtract(F.try_multiply(n.cast("decimal(19,0)"), part("q")), F.try_multiply(part("s"), part("s"))).cast("double")
-    rounded = n * part("q").cast("double") - part("s").cast("double") * part("s").cast("double")  # beyond 38 digits
-    return F.when(n > 1, F.coalesce(exact, rounded) / (n.cast("double") * (n - 1)))
+    s, q = F.sum(one), F.sum((one * x).cast(_SUM))
+    exact = F.try_subtract(F.try_multiply(known.cast("decimal(19,0)"), q), F.try_multiply(s, s)).cast("double")
+    rounded = known * q.cast("double") - s.cast("double") * s.cast("double")  # beyond 38 digits
+    return F.when(known > 1, F.coalesce(exact, rounded) / (known.cast("double") * (known - 1)))
 
 
 def group_tables(df: DataFrame, groups: Mapping[tuple[str, ...], Sequence[Agg]]) -> dict[tuple[str, ...], DataFrame]:
     """One row per key with every aggregate as a column, for each key set."""
     mine = {keys: [a for a in aggs if fits(df, a)] for keys, aggs in groups.items()}
-    sets = {columns_of(a) for aggs in mine.values() for a in aggs}
-    tables = count_tables(df, list(sets)) if sets else {}
+    if sum(map(bool, mine.values())) < FEWEST:
+        return {keys: group_table(df, keys, aggs) for keys, aggs in groups.items()}
+    table = tuples(df, [a for aggs in mine.values() for a in aggs])
     out = {}
     for keys, aggs in groups.items():
         rest = [a for a in aggs if a not in mine[keys]]
         if not mine[keys]:
             out[keys] = group_table(df, keys, rest)
             continue
-        stacked, sums = None, {}
-        sources = sorted({columns_of(a) for a in mine[keys]})
-        for cols in sources:
-            parts = {}
-            for i, a in enumerate(mine[keys]):
-                for name, part in _parts(a).items():
-                    parts[f"__{i}{name}"] = part if columns_of(a) == cols else F.lit(None)
-            table = tables[cols].select(*keys, *[_typed(c, p).alias(c) for c, p in parts.items()])
-            stacked = table if stacked is None else stacked.union(table)
-            sums = {c: F.sum(c).alias(c) for c in parts}
-        table = stacked.groupBy(*keys).agg(*sums.values())
-        table = table.select(*keys, *[_result(a, lambda p, i=i: F.col(f"__{i}{p}")).alias(a.name) for i, a in enumerate(mine[keys])])
+        out[keys] = table.groupBy(*keys).agg(*[weighted(a).alias(a.name) for a in mine[keys]])
         if rest:
-            same = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
-            other = group_table(df, keys, rest).withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
-            cond = same[0]
-            for c in same[1:]:
-                cond = cond & c
-            table = table.join(other, cond).drop(*[f"__k{i}" for i in range(len(keys))])
-        out[keys] = table
+            names = {k: f"__k{i}" for i, k in enumerate(keys)}
+            other = group_table(df, keys, rest).withColumnsRenamed(names)
+            same = [F.col(x).eqNullSafe(F.col(k)) for k, x in names.items()]
+            out[keys] = out[keys].join(other, same).drop(*names.values())
     return out
-
-
-def _typed(name: str, part: Column) -> Column:
-    return part.cast("long") if name.endswith("n") else part.cast(_SUM) if name.endswith("q") else part

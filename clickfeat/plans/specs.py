@@ -6,8 +6,8 @@ A feature set is a list of specs. ``build_features`` normalises it:
 * ordered (window) features are grouped into families by key prefix: one
   hash shuffle on the family keys serves every window whose keys contain
   them (kernel 1: 12 window key sets -> 2 shuffles of the row table);
-* aggregates of all key sets come from one lattice of counted column sets, which
-  reads the source once, and are joined back once per key set;
+* aggregates of all key sets come from one table of counted tuples, for which the
+  source is read once, and are joined back once per key set;
   joins whose keys contain a family's keys follow that family and reuse its
   partitioning (only the aggregate side is shuffled);
 * a keyless feature (the global shift) of a window feature runs first, straight after
