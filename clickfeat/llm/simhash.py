@@ -118,15 +118,17 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "th", "fp"])
 
     texts = docs.select(key_of(id_col).alias("key"), _text_hash(text_col).alias("th"), F.col(quoted(text_col)).cast("binary").alias("text"))
-    prints = materialize(texts.mapInArrow(run, "key long, th long, fp long"), "fingerprints")
-    prints = materialize(prints.groupBy("fp").agg(F.min(F.struct("key", "th")).alias("first")), "distinct")
-    found = connected_components(links(prints.select("fp", F.col("fp").alias("rep")), max_bits)).withColumnRenamed("id", "fp")
-    group = F.coalesce("component", "fp").alias("component")
-    keep = prints.join(found, "fp", "left").groupBy(group).agg(F.min("first").alias("first")).select("first.key", "first.th")
-    keep = materialize(keep, "first")
+    prints = materialize(texts.mapInArrow(run, "key long, th long, fp long").groupBy("fp", "key", "th").agg(F.count("*").alias("n")), "fingerprints")
+    distinct = prints.select("fp").distinct()
+    found = connected_components(links(distinct.withColumn("rep", F.col("fp")), max_bits)).withColumnRenamed("id", "fp")
+    grouped = prints.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = materialize(grouped.select("component", "key", "th", "n"), "groups")
+    first = grouped.groupBy("component").agg(F.min(F.struct("key", "th")).alias("first"))
+    placed = grouped.join(first, "component").withColumn("stays", F.struct("key", "th") == F.col("first"))
+    gone = materialize(placed.filter("not stays").select("key", "th").distinct(), "copies")
+    again = materialize(placed.filter("stays and n > 1").select("key", "th").distinct(), "again")
     rows = docs.select(F.struct("*").alias("row"), key_of(id_col).alias("key"), _text_hash(text_col).alias("th"))
-    rows = rows.join(keep, ["key", "th"], "left_semi")
-    again = materialize(rows.groupBy("key", "th").agg(F.count("*").alias("n")).filter("n > 1").select("key", "th"), "again")
+    rows = rows.join(gone, ["key", "th"], "left_anti")
     if again.isEmpty():
         return rows.select("row.*")
     once = rows.join(again, ["key", "th"], "left_anti").select("row")
