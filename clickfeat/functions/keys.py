@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 def composite_key_bucket(cols: Sequence[str], buckets: int = 2**26) -> Column:
     """``"a_b_c"`` text key hashed into ``buckets`` slots.
 
-    Deterministic (xxhash64), unlike a per-process salted string hash. Different
-    keys can share a slot, as in the original; exact multi-column keys are the
-    default everywhere else.
+    Deterministic (the first 60 bits of the text's MD5, which any engine has),
+    unlike a per-process salted string hash. Different keys can share a slot, as
+    in the original; exact multi-column keys are the default everywhere else.
     """
     text = F.concat_ws("_", *[F.col(c).cast("string") for c in cols])
-    return F.pmod(F.xxhash64(text), F.lit(buckets)).cast("long")
+    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.pmod(number, F.lit(buckets)).cast("long")
 
 
 def wrap_unsigned(c: str | Column, bits: int) -> Column:

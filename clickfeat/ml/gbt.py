@@ -1,43 +1,33 @@
 """Boosted-tree training, early stopping on validation AUC, scoring, importance (M1-M5, M7-M9).
 
-All data-parallel on ``pyspark.ml``:
+All data-parallel on ``pyspark.ml`` and DataFrames:
 
-* M1: predictors -> vector. Missing numeric values get ``-1`` (every derived
-  feature is non-negative, so trees can isolate "missing" with one split).
-  Categoricals with at most ``maxBins`` values are indexed (``StringIndexer``,
-  nominal metadata, split as categories); wider ones are target-encoded
-  with a ``TargetEncoder`` fitted on train rows only.
+* M1: predictors -> vector by declared encodings (``encode``): codes, out-of-fold
+  rates, numbers with null flags.
 * M2: class weight through ``weightCol``.
-* M4 / M7: ``GBTClassifier`` (logistic loss), node-id caching and
-  checkpoints in the shared checkpoint folder.
-* M5: AUC of every tree prefix on the validation rows, computed in blocks of
-  trees; after each block the running margins are written to the shared
-  folder once (lineage cut)
-  and the scan stops when ``patience`` rounds bring no gain; the fit itself
-  grows by doubling and ends then too (``fit_early_stopped``).
-* M8: probability with the first ``k`` trees: ``1 / (1 + exp(-2 * margin))``.
-* M9: per-feature split count and gain share, read from the saved model's
-  node table with DataFrame operations.
+* M4 / M7: ``boost.Booster`` grows a forest tree by tree and goes on where it
+  stopped; ``fit`` is Spark's own ``GBTClassifier`` for a fixed number of rounds.
+* M5: AUC of every tree prefix on the validation rows (``staged``), one pass per
+  block of prefixes; growth ends when ``patience`` rounds bring no gain.
+* M8: probability with the first ``k`` trees: ``1 / (1 + exp(-2 * margin))``, all
+  trees as flat arrays in one pass (``forest``).
+* M9: per-feature split count and gain share of the first ``k`` trees.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from ..sources.sinks import materialize
-from .metrics import auc_by_group
-
-MISSING = -1.0
+from . import boost, staged
+from .encode import Encoder, Encoding
+from .forest import Forest, margin_column, nodes_of, probability, table_nodes
 
 
 @dataclass(frozen=True)
@@ -58,8 +48,6 @@ class TrainParams:
 
 
 # Effective parameters of the three scripts.
-SMOOTHING = 20.0  # prior weight of the overall rate in a target-encoded category, so that rare ones do not carry their label
-
 PARAMS = {
     "kernel1": TrainParams(step_size=0.10, max_depth=3, min_instances_per_node=100, max_bins=100, rounds=1000, patience=30),
     "kernel2": TrainParams(step_size=0.02, max_depth=5, min_instances_per_node=100, max_bins=128, rounds=2000, patience=30),
@@ -74,46 +62,34 @@ def with_weight(df: DataFrame, label: str, pos_weight: float, out: str = "weight
 
 @dataclass
 class FeatureMatrix:
-    """M1: fitted predictor -> vector pipeline and the layout of the vector."""
+    """M1: fitted encodings and the layout of the vector."""
 
-    model: PipelineModel
-    numeric: list[str]
-    encoded: list[str]  # categoricals wider than maxBins, target-encoded
-    names: list[str]  # source column of every vector slot
+    encoder: Encoder
     features: str = "features"
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_prepare(df, self.numeric))
-
-
-def feature_matrix(train: DataFrame, predictors: Sequence[str], categorical: Sequence[str], label: str,
-                   max_bins: int, features: str = "features") -> FeatureMatrix:
-    """M1: fit the predictor -> vector pipeline on train rows only."""
-    cats = [c for c in predictors if c in set(categorical)]
-    nums = [c for c in predictors if c not in set(cats)]
-    card = {}
-    if cats:  # one row: the distinct count of each categorical
-        card = train.agg(*[F.count_distinct(c).alias(c) for c in cats]).first().asDict()
-    narrow = [c for c in cats if card[c] <= max_bins - 1]  # one bin is kept for unseen values
-    wide = [c for c in cats if c not in narrow]
-    stages = []
-    if narrow:
-        stages.append(StringIndexer(inputCols=narrow, outputCols=[f"{c}__idx" for c in narrow],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-    if wide:
-        # Codes in columns of their own: strings can be encoded too, and the source columns stay as they are.
-        stages.append(StringIndexer(inputCols=wide, outputCols=[f"{c}__cat" for c in wide], handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(TargetEncoder(inputCols=[f"{c}__cat" for c in wide], outputCols=[f"{c}__te" for c in wide],
-                                    labelCol=label, targetType="binary", handleInvalid="keep", smoothing=SMOOTHING))
-    inputs = [f"{c}__idx" for c in narrow] + [f"{c}__te" for c in wide] + [f"{c}__num" for c in nums]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=features, handleInvalid="keep"))
-    model = Pipeline(stages=stages).fit(_prepare(train, nums))
-    return FeatureMatrix(model, nums, wide, narrow + wide + nums, features)
-
-
-def _prepare(df: DataFrame, nums: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"{c}__num": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in nums})
+    @property
+    def names(self) -> list[str]:
+        return self.encoder.names
+
+    def transform(self, df: DataFrame, train: Column | bool = False) -> DataFrame:
+        return self.encoder.transform(df, train, self.features)
+
+
+def feature_matrix(train: DataFrame, predictors: Sequence[str], categorical: Sequence[str], label: str, max_bins: int,
+                   features: str = "features", rates: Sequence[str] = (), fold: str | Column | None = None) -> FeatureMatrix:
+    """M1: fit the encodings on train rows only.
+
+    ``rates``: the categoricals that are encoded by their out-of-fold rate; the
+    others are nominal and may have up to ``max_bins - 1`` values. ``fold``
+    names a row's fold, by default from its load position, else from its predictors.
+    """
+    if fold is None:
+        fold = "row_id" if "row_id" in train.columns else F.xxhash64(*predictors)
+    encoder = Encoder.fit(train, Encoding.of(predictors, categorical, rates), label, fold)
+    for c, n in encoder.sizes.items():
+        if n > max_bins - 1:  # one bin is kept for unseen values
+            raise ValueError(f"{c} has {n} values, more than {max_bins - 1}: encode it as a rate")
+    return FeatureMatrix(encoder, features)
 
 
 def fit(train: DataFrame, params: TrainParams, rounds: int | None = None, label: str = "is_attributed",
@@ -132,80 +108,31 @@ def fit(train: DataFrame, params: TrainParams, rounds: int | None = None, label:
     return gbt.fit(data)
 
 
-def _tree_predictions(model: GBTClassificationModel, df: DataFrame, start: int, stop: int, features: str):
-    out = df
-    trees = model.trees
-    for i in range(start, stop):
-        t = trees[i].copy()
-        t.setFeaturesCol(features)
-        t.setPredictionCol(f"__tree{i}")
-        out = t.transform(out)
-    return out
+Model = GBTClassificationModel | boost.Booster | Forest
 
 
-def staged_auc(model: GBTClassificationModel, valid: DataFrame, label: str = "is_attributed",
-               features: str = "features", block: int = 25, patience: int | None = None) -> DataFrame:
-    """M5: ``(iteration, auc)`` for tree prefixes 1..n on the validation rows.
+def forest_of(model: Model) -> Forest:
+    if isinstance(model, Forest):
+        return model
+    return model.forest() if isinstance(model, boost.Booster) else Forest.of_nodes(nodes_of(model), list(model.treeWeights))
 
-    With ``patience``, blocks stop being evaluated once ``patience`` rounds
-    have passed without a new best AUC.
-    """
-    spark = valid.sparkSession
-    checkpoint_dir(spark)
-    weights = model.treeWeights
-    n = len(weights)
-    cur = valid.select(F.col(label).cast("double").alias("__y"), features).withColumn("__m", F.lit(0.0))
-    results = []
-    best, best_it = -1.0, 0
-    for start in range(0, n, block):
-        stop = min(n, start + block)
-        scored = _tree_predictions(model, cur, start, stop, features)
-        m = F.col("__m")
-        cols = []
-        for i in range(start, stop):
-            m = m + F.lit(float(weights[i])) * F.col(f"__tree{i}")
-            cols.append(m.alias(f"__m{i + 1}"))
-        # materialise the block's margins once: the AUC plan reads them three
-        # times and the next block continues from the last one (lineage cut)
-        marg = materialize(scored.select("__y", features, *cols), "staged-margins")
-        pairs = [F.struct(F.lit(k).alias("k"), F.col(f"__m{k}").alias("s")) for k in range(start + 1, stop + 1)]
-        block_auc = _auc_by_group(marg.select("__y", F.inline(F.array(*pairs)))).collect()  # <= block rows
-        for r in sorted(block_auc, key=lambda r: r["k"]):
-            results.append((int(r["k"]), float(r["auc"])))
-            if r["auc"] > best:
-                best, best_it = r["auc"], r["k"]
-        cur = marg.select("__y", features, F.col(f"__m{stop}").alias("__m"))
-        if patience is not None and results[-1][0] - best_it >= patience:
-            break
-    return spark.createDataFrame(results, "iteration int, auc double")
+
+def staged_auc(model: Model, valid: DataFrame, label: str = "is_attributed", features: str = "features",
+               block: int = staged.BLOCK, patience: int | None = None) -> DataFrame:
+    """M5: ``(iteration, auc, auc_low, auc_high, exact)`` for tree prefixes 1..n on the validation rows."""
+    return staged.staged_auc(forest_of(model), valid, label, features, block, patience)
 
 
 def fit_early_stopped(train: DataFrame, valid: DataFrame, params: TrainParams, rounds: int | None = None,
                       label: str = "is_attributed", features: str = "features",
-                      block: int = 25) -> tuple[GBTClassificationModel, DataFrame, int]:
-    """M4 + M5: a fit that ends after ``patience`` rounds without gain; ``(model, staged AUC, best iteration)``.
-
-    The budget starts at twice the patience and doubles up to ``rounds``
-    until the scan of prefixes has run out of patience. A tree depends on those
-    before it and on the seed alone, so a longer fit of the same rows begins
-    with the same trees, and the best prefix is that of the whole budget; the
-    work is at most about four times the trees that early stopping looks at.
-    Model and AUC always stem from the same fit.
-    """
-    rounds = rounds or params.rounds
-    budget = min(rounds, 2 * params.patience)
-    while True:
-        model = fit(train, params, budget, label, features)
-        staged = staged_auc(model, valid, label, features, block, params.patience)
-        best = best_iteration(staged, params.patience)
-        seen = staged.agg(F.max("iteration")).first()[0]
-        if budget >= rounds or seen - best >= params.patience:
-            return model, staged, best
-        budget = min(rounds, 2 * budget)
-
-
-def _auc_by_group(df: DataFrame, key: str = "k", score: str = "s", label: str = "__y") -> DataFrame:
-    return auc_by_group(df, score, label, group=key)
+                      block: int = boost.BLOCK) -> tuple[boost.Booster, DataFrame, int]:
+    """M4 + M5: growth that ends after ``patience`` rounds without gain; ``(booster, staged AUC, best iteration)``."""
+    return boost.early_stopped(
+        boost.Booster.start(train, params, label, features),
+        lambda forest: staged_auc(forest, valid, label, features, patience=params.patience),
+        lambda table: best_iteration(table, params.patience),
+        rounds or params.rounds, params.patience, block,
+    )
 
 
 def best_iteration(staged: DataFrame, patience: int | None = None) -> int:
@@ -220,50 +147,23 @@ def best_iteration(staged: DataFrame, patience: int | None = None) -> int:
     return best_it
 
 
-def score(model: GBTClassificationModel, df: DataFrame, k: int | None = None, features: str = "features",
-          out: str = "is_attributed", block: int = 50, by_trees: bool = False) -> DataFrame:
+def score(model: Model, df: DataFrame, k: int | None = None, features: str = "features",
+          out: str = "is_attributed", by_trees: bool = False) -> DataFrame:
     """M8: probability of class 1 using the first ``k`` trees (all when None)."""
-    n = len(model.treeWeights)
-    k = n if k is None else min(k, n)
-    if k == n and not by_trees:
+    if isinstance(model, GBTClassificationModel) and not by_trees and (k is None or k >= len(model.treeWeights)):
         m = model.copy()
         m.setFeaturesCol(features)
         m.setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__pred")
         return m.transform(df).withColumn(out, vector_to_array("__p")[1]).drop("__p", "__raw", "__pred")
-    weights = model.treeWeights
-    cur = df.withColumn("__m", F.lit(0.0))
-    for start in range(0, k, block):
-        stop = min(k, start + block)
-        scored = _tree_predictions(model, cur, start, stop, features)
-        m = F.col("__m")
-        for i in range(start, stop):
-            m = m + F.lit(float(weights[i])) * F.col(f"__tree{i}")
-        cur = scored.withColumn("__m", m).drop(*[f"__tree{i}" for i in range(start, stop)])
-        if stop < k:
-            cur = materialize(cur, "prefix-margins")
-    return cur.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("__m")))).drop("__m")
-
-
-def importance(model: GBTClassificationModel, names: Sequence[str], k: int | None = None) -> DataFrame:
-    """M9: ``(feature, split, gain)`` with gain in percent of the total, by gain desc.
-
-    Read from the saved model's node table: inner nodes only, trees ``< k``.
-    """
-    from pyspark.sql import SparkSession
+    return df.withColumn(out, probability(margin_column(forest_of(model), features, k)))
+
 
+def importance(model: GBTClassificationModel | boost.Booster, names: Sequence[str], k: int | None = None) -> DataFrame:
+    """M9: ``(feature, split, gain)`` with gain in percent of the total, by gain desc; inner nodes of the trees ``< k``."""
+    if isinstance(model, boost.Booster):
+        gains = model.gains
+    else:
+        gains = [g for i, tree in enumerate(model.trees) for g in table_nodes(tree, i)[1]]
+    rows = boost.gain_table(gains, names, len(gains) + 1 if k is None else k)
     spark = SparkSession.getActiveSession()
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/gbt-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    if k is not None:
-        nodes = nodes.filter(F.col("treeID") < k)
-    inner = nodes.filter(F.col("nodeData.leftChild") >= 0).select(
-        F.col("nodeData.split.featureIndex").alias("idx"), F.col("nodeData.gain").alias("gain")
-    )
-    per = inner.groupBy("idx").agg(F.count(F.lit(1)).alias("split"), F.sum("gain").alias("gain"))
-    lookup = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")  # one row per feature
-    table = F.broadcast(lookup).join(per, "idx", "left").select(
-        "feature", F.coalesce("split", F.lit(0)).cast("long").alias("split"), F.coalesce("gain", F.lit(0.0)).alias("gain")
-    )
-    total = per.select(F.sum("gain")).scalar()
-    return table.withColumn("gain", F.lit(100.0) * F.col("gain") / total).orderBy(F.col("gain").desc(), "feature")
+    return spark.createDataFrame(rows, "feature string, split long, gain double").orderBy(F.desc("gain"), "feature")

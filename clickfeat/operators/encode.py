@@ -1,8 +1,10 @@
 """Dictionary encoding of a categorical column to dense integer codes.
 
-Codes are the 0-based rank of the value in ascending order. The dictionary
-(one row per distinct value, bounded by the column's domain) is built by
-``StringIndexer``; rows are mapped by its JVM-side lookup, no Python per row.
+Codes are the 0-based rank of the value in ascending order. ``dictionary_encode``
+is for a column declared to have a small domain, such as an event type: its
+dictionary is built by ``StringIndexer``, which keeps it on the driver, and rows
+are mapped by its JVM-side lookup. ``dense_codes`` makes the dictionary a table
+of any size: values are range-partitioned and numbered by prefix sums.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_before
 
 def dictionary_encode(df: DataFrame, col: str, out: str | None = None, fit_on: DataFrame | None = None) -> DataFrame:
     """Replace (or add as ``out``) ``col`` by its integer code; NULL stays NULL."""
@@ -22,3 +25,8 @@ def dictionary_encode(df: DataFrame, col: str, out: str | None = None, fit_on: D
     coded = model.transform(df)
     code = F.when(F.col(col).isNull(), F.lit(None)).otherwise(F.col(tmp)).cast("int")
     return coded.withColumn(target, code).drop(tmp)
+
+
+def dense_codes(df: DataFrame, col: str, code: str = "code") -> DataFrame:
+    """(col, code): every distinct value but NULL with its rank."""
+    return running_before(df.select(col).filter(F.col(col).isNotNull()).distinct(), [col], code)

@@ -150,27 +150,93 @@ def q_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("p6_composite_key_bucket")
+_BUCKET_SQL = "(CAST('0x' || substr(md5(concat_ws('_', ip, app, device, os)), 1, 15) AS BIGINT) % 67108864)"
+
+
+@register("p6_composite_key_bucket", _with_clicks(f"x AS (SELECT 1)\nSELECT click_id, {_BUCKET_SQL} AS category FROM clicks"))
 def q_key_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """xxhash64 has no DuckDB twin: rows-only check."""
     from ..functions.keys import composite_key_bucket
 
     return clicks(spark, sf_dir).select("click_id", composite_key_bucket(["ip", "app", "device", "os"]).alias("category"))
 
 
-feature_query("w4_next_click_hashed_key", [NextClick(("ip", "app", "device", "os"), "nextClick", hash_buckets=2**26)])
-QUERIES.pop("w4_next_click_hashed_key")
-ORACLE.pop("w4_next_click_hashed_key")
+_SECONDS = "(epoch_us(click_time) // 1000000)"
 
 
-@register("w4_next_click_hashed_key")
-def q_next_click_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W4 over the hashed composite key (P6); rows-only (no DuckDB xxhash64)."""
-    return build_features(clicks(spark, sf_dir), [NextClick(("ip", "app", "device", "os"), "nextClick", 2**26)]).select(
-        "click_id", "nextClick"
+def _hashed_sql(buckets: int) -> str:
+    return _with_clicks(
+        f"b AS (SELECT *, {_BUCKET_SQL} % {buckets} AS h FROM clicks)\n"
+        f"SELECT click_id, CAST(COALESCE(lead({_SECONDS}) OVER (PARTITION BY h ORDER BY click_time, row_id), {W.NEXT_CLICK_SENTINEL}) - {_SECONDS} AS BIGINT) AS nextClick FROM b"
     )
 
 
+@register("w4_next_click_hashed_key", _hashed_sql(2**26))
+def q_next_click_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 over the hashed composite key."""
+    return build_features(clicks(spark, sf_dir), [NextClick(("ip", "app", "device", "os"), "nextClick", 2**26)]).select("click_id", "nextClick")
+
+
+@register("w4_next_click_hashed_collisions", _hashed_sql(2**6))
+def q_next_click_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above with so few slots that most keys share one."""
+    return build_features(clicks(spark, sf_dir), [NextClick(("ip", "app", "device", "os"), "nextClick", 2**6)]).select("click_id", "nextClick")
+
+
+# --- ordered features where times tie and keys are NULL ------------------------
+_TIED_BASE = (
+    "base AS (SELECT * REPLACE (date_trunc('day', click_time) AS click_time, CASE WHEN row_id % 5 <> 0 THEN ip END AS ip,"
+    " CASE WHEN row_id % 7 <> 3 THEN device END AS device) FROM clicks)"
+)
+
+
+def _tied_sql() -> str:
+    cols, null = [], "CASE WHEN {ok} THEN {x} END AS {name}"
+    for keys, kind, name in _TIED:
+        w = f"PARTITION BY {', '.join(keys)} ORDER BY click_time, row_id"
+        x = {
+            "next": f"CAST(((epoch_us(lead(click_time) OVER ({w})) - epoch_us(click_time)) // 1000000) % 86400 AS FLOAT)",
+            "prev": f"CAST(((epoch_us(click_time) - epoch_us(lag(click_time) OVER ({w}))) // 1000000) % 86400 AS FLOAT)",
+            "place": f"CAST(row_number() OVER ({w}) - 1 AS DOUBLE)",
+            "after": f"CAST(lead(row_id) OVER ({w}) AS DOUBLE)",
+        }[kind]
+        cols.append(null.format(ok=" AND ".join(f"{k} IS NOT NULL" for k in keys), x=x, name=name))
+    return _with_clicks(f"{_TIED_BASE}\nSELECT click_id, {', '.join(cols)} FROM base")
+
+
+_TIED = [
+    (("ip",), "next", "ip_next"), (("device",), "prev", "device_prev"), (("device",), "place", "device_place"),
+    (("ip", "device"), "place", "ip_device_place"), (("device",), "after", "device_after"), (("ip", "os"), "next", "ip_os_next"),
+]
+
+
+def _tied(spark: SparkSession, sf_dir: str, skew: W.SkewSplit) -> DataFrame:
+    df = clicks(spark, sf_dir).withColumns({
+        "click_time": F.date_trunc("day", F.col("click_time")).cast("timestamp_ntz"),
+        "ip": F.when(F.col("row_id") % 5 != 0, F.col("ip")),
+        "device": F.when(F.col("row_id") % 7 != 3, F.col("device")),
+    })
+    hot = W.find_hot(df, sorted({tuple(sorted(keys)) for keys, *_ in _TIED}), skew=skew)
+    out = df
+    for keys, kind, name in _TIED:
+        req = W.Req({"next": "lead", "prev": "lag", "place": "rownum", "after": "lead"}[kind], name, "row_id" if kind == "after" else None)
+        out = W.ordered_family(out, keys, [(keys, [req])], skew=skew, hot=hot, source=df)
+        t = W.epoch_micros("click_time")
+        gap = {"next": F.col(name) - t, "prev": t - F.col(name)}.get(kind)
+        out = out.withColumn(name, F.col(name).cast("double") if gap is None else W.seconds_part(gap).cast("float"))
+    return out.select("click_id", *[name for *_, name in _TIED])
+
+
+@register("w1_w3_tied_times_null_keys", _tied_sql())
+def q_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tied(spark, sf_dir, W.SkewSplit())
+
+
+@register("w1_w3_tied_times_null_keys_split", _tied_sql())
+def q_tied_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's clicks share one time and NULL keys hold a fifth of the rows: cut by load position."""
+    return _tied(spark, sf_dir, W.SkewSplit(heavy_rows=50))
+
+
 # --- splits, row range, append (S3, F1, F2, U1) ------------------------------
 TRAIN_LOG_SQL = "SELECT click_time, ip, app, device, os, channel, is_attributed, row_id FROM clicks WHERE day <= 25"
 TEST_LOG_SQL = "SELECT click_id, click_time, ip, app, device, os, channel, row_id FROM clicks WHERE day > 25"
@@ -472,16 +538,16 @@ def _ml_table(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     from ..ml import gbt
     from ..ml.train import validate_and_score
     from ..sources.sinks import cached_table, fingerprint, input_identity
-    from .kernels import CATEGORICAL_1, KERNEL1, predictors
+    from .kernels import CATEGORICAL_1, KERNEL1, RATES, predictors
 
-    spec = (KERNEL1, gbt.PARAMS["kernel1"], predictors("kernel1"), CATEGORICAL_1)
+    spec = (KERNEL1, gbt.PARAMS["kernel1"], predictors("kernel1"), CATEGORICAL_1, RATES)
     key = fingerprint(spec, input_identity(spark, f"{sf_dir}/events.parquet"))
     fitted = []
 
     def table(name: str) -> DataFrame:
         def compute() -> DataFrame:
             if not fitted:
-                fitted.append(validate_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"]))
+                fitted.append(validate_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rates=RATES))
             return getattr(fitted[0], name)
 
         return cached_table(spark, f"model-{name}", key, compute)
@@ -508,10 +574,165 @@ def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..ml import gbt
     from ..ml.train import refit_and_score
-    from .kernels import CATEGORICAL_1, predictors
+    from .kernels import CATEGORICAL_1, RATES, predictors
 
     k = gbt.best_iteration(_ml_table(spark, sf_dir, "staged"), gbt.PARAMS["kernel1"].patience)
-    return refit_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rounds=k)
+    return refit_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rounds=k, rates=RATES)
+
+
+# --- model inputs and evaluation over the whole table (M1, M2, M5, M8) -----------
+_M1_SQL = _with_clicks(
+    "t AS (SELECT *, day < 22 AS train, row_id % 5 AS fold FROM clicks),\n"
+    "c AS (SELECT *, lead(epoch_us(click_time)) OVER (PARTITION BY ip, os ORDER BY click_time, row_id) - epoch_us(click_time) AS gap FROM t),\n"
+    "codes AS (SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS code FROM (SELECT DISTINCT hour FROM c WHERE train)),\n"
+    "o AS (SELECT SUM(is_attributed) AS s, COUNT(*) AS n FROM c WHERE train),\n"
+    "of AS (SELECT fold, SUM(is_attributed) AS s, COUNT(*) AS n FROM c WHERE train GROUP BY fold),\n"
+    "k AS (SELECT ip, SUM(is_attributed) AS s, COUNT(*) AS n FROM c WHERE train GROUP BY ip),\n"
+    "kf AS (SELECT ip, fold, SUM(is_attributed) AS s, COUNT(*) AS n FROM c WHERE train GROUP BY ip, fold)\n"
+    "SELECT click_id, CAST(COALESCE(code, (SELECT COUNT(*) FROM codes)) AS DOUBLE) AS hour__code,"
+    " ROUND(CASE WHEN train THEN (COALESCE(k.s, 0) - COALESCE(kf.s, 0) + 20.0 * (o.s - of.s) / (o.n - of.n)) / (COALESCE(k.n, 0) - COALESCE(kf.n, 0) + 20.0)"
+    " ELSE (COALESCE(k.s, 0) + 20.0 * o.s / o.n) / (COALESCE(k.n, 0) + 20.0) END, 9) AS ip__rate,"
+    " COALESCE(CAST(gap AS DOUBLE), -1.0) AS gap__num, CAST(gap IS NULL AS DOUBLE) AS gap__null, CAST(device AS DOUBLE) AS device__num\n"
+    "FROM c LEFT JOIN codes USING (hour) LEFT JOIN k USING (ip) LEFT JOIN kf USING (ip, fold) JOIN of USING (fold), o"
+)
+
+
+@register("m1_encoded_predictors", _M1_SQL)
+def q_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, out-of-fold rates of a category with more values than a tree has bins, and numbers with a null flag."""
+    from ..ml.encode import Encoder, Encoding
+
+    df = clicks(spark, sf_dir).withColumn("train", F.col("day") < 22)
+    df = W.ordered_values(df, ["ip", "os"], [W.Req("lead", "next_t")]).withColumn("gap", F.col("next_t") - W.epoch_micros("click_time"))
+    encoder = Encoder.fit(df.filter("train"), Encoding(("hour",), ("ip",), ("gap", "device")), "is_attributed")
+    out = encoder.columns(df, F.col("train")).withColumn("ip__rate", F.round("ip__rate", 9))
+    return out.select("click_id", "hour__code", "ip__rate", "gap__num", "gap__null", "device__num")
+
+
+@register("m2_class_weight", _with_clicks("x AS (SELECT 1)\nSELECT click_id, CASE WHEN is_attributed = 1 THEN 200.0 ELSE 1.0 END::DOUBLE AS weight FROM clicks"))
+def q_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..ml import gbt
+
+    return gbt.with_weight(clicks(spark, sf_dir), "is_attributed", gbt.PARAMS["kernel1"].pos_weight).select("click_id", "weight")
+
+
+# A small stored forest over plain columns: (tree, id, value, feature, left, right, threshold, categories that go left).
+FOREST_COLUMNS = ("hour", "os", "channel", "device", "ip")
+FOREST_NODES = (
+    (0, 0, 0.0, 0, 1, 2, 11.0, None), (0, 1, 0.0, 1, 3, 4, 2.0, None), (0, 2, 0.0, 2, 5, 6, 0.0, (1.0, 3.0, 7.0)),
+    (0, 3, -0.5), (0, 4, 0.125), (0, 5, 0.25), (0, 6, -0.25),
+    (1, 0, 0.0, 4, 1, 2, 75.0, None), (1, 1, 0.5), (1, 2, 0.0, 3, 3, 4, 0.0, (0.0, 2.0)), (1, 3, -0.75), (1, 4, 0.25),
+    (2, 0, 0.0, 2, 1, 2, 4.5, None), (2, 1, 0.0, 4, 3, 4, 20.0, None), (2, 2, -0.125), (2, 3, 1.0), (2, 4, 0.0),
+    (3, 0, 0.0, 1, 1, 2, 0.0, (0.0, 5.0)), (3, 1, -1.0), (3, 2, 0.375),
+)
+FOREST_WEIGHTS = (1.0, 0.5, 0.5, 0.25)
+
+
+def _forest():
+    from ..ml.forest import Forest, Node
+
+    return Forest.of_nodes([Node(*n) for n in FOREST_NODES], FOREST_WEIGHTS)
+
+
+def _tree_sql(tree: int, node: int = 0) -> str:
+    n = next(n for n in FOREST_NODES if n[:2] == (tree, node))
+    if len(n) == 3:
+        return f"{n[2]}::DOUBLE"
+    column = FOREST_COLUMNS[n[3]]
+    test = f"{column} <= {n[6]}" if n[7] is None else f"{column} IN ({', '.join(str(int(c)) for c in n[7])})"
+    return f"CASE WHEN {test} THEN {_tree_sql(tree, n[4])} ELSE {_tree_sql(tree, n[5])} END"
+
+
+def _margin_sql(k: int) -> str:
+    return " + ".join(f"{FOREST_WEIGHTS[t]} * ({_tree_sql(t)})" for t in range(k))
+
+
+@register("m8_score_stored_forest", _with_clicks(
+    f"m AS (SELECT click_id, {_margin_sql(3)} AS m3, {_margin_sql(4)} AS m4 FROM clicks)\n"
+    "SELECT click_id, ROUND(1 / (1 + exp(-2 * m3)), 12) AS first_three, ROUND(1 / (1 + exp(-2 * m4)), 12) AS whole FROM m"
+))
+def q_stored_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: the probability by a prefix and by all trees of a stored forest."""
+    from ..ml.forest import score_array
+
+    df = score_array(clicks(spark, sf_dir), _forest(), FOREST_COLUMNS, "first_three", 3)
+    df = score_array(df, _forest(), FOREST_COLUMNS, "whole")
+    return df.select("click_id", F.round("first_three", 12).alias("first_three"), F.round("whole", 12).alias("whole"))
+
+
+def _staged_sql() -> str:
+    parts = [f"SELECT {k} AS iteration, {_margin_sql(k)} AS m, is_attributed AS y FROM clicks" for k in range(1, len(FOREST_WEIGHTS) + 1)]
+    return _with_clicks(
+        f"s AS ({' UNION ALL '.join(parts)}),\n"
+        "g AS (SELECT iteration, m, SUM(y)::DOUBLE AS p, SUM(1 - y)::DOUBLE AS q FROM s GROUP BY iteration, m),\n"
+        "b AS (SELECT *, SUM(q) OVER (PARTITION BY iteration ORDER BY m) - q AS below FROM g),\n"
+        "a AS (SELECT iteration, SUM(p * (below + q / 2)) / (SUM(p) * SUM(q)) AS auc FROM b GROUP BY iteration)\n"
+        "SELECT iteration, ROUND(auc, 9) AS auc, auc = (SELECT MAX(auc) FROM a) AS best FROM a"
+    )
+
+
+@register("m5_staged_auc_stored_forest", _staged_sql())
+def q_staged_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: the AUC of every prefix of a stored forest and the best one."""
+    from ..ml import gbt, staged
+
+    df = clicks(spark, sf_dir).select("is_attributed", F.array(*[F.col(c).cast("double") for c in FOREST_COLUMNS]).alias("features"))
+    table = staged.staged_auc(_forest(), df)
+    return table.select("iteration", F.round("auc", 9).alias("auc"), (F.col("iteration") == gbt.best_iteration(table)).alias("best"))
+
+
+# --- files: what is written is read again (P1, S1, S4, S6, S7) -------------------
+def _shared(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_csv_scan_row_id", _with_clicks("x AS (SELECT 1)\nSELECT row_id, ip, length(app)::INTEGER AS app, device, os, channel, date_trunc('second', click_time)::TIMESTAMP AS click_time, is_attributed FROM clicks"))
+def q_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log as CSV, read with declared types; load positions by file and place in it."""
+    from ..schema import TRAIN_COLUMNS, TRAIN_SCHEMA
+    from ..sources.files import read_csv, with_row_id
+
+    path = _shared(spark, "log-csv")
+    log = clicks(spark, sf_dir).withColumns({"app": F.length("app"), "attributed_time": F.lit(None).cast("string"), "click_time": F.date_format("click_time", "yyyy-MM-dd HH:mm:ss")})
+    log.orderBy("row_id").select(*TRAIN_SCHEMA.names).write.option("header", True).csv(path)
+    return with_row_id(read_csv(spark, path, TRAIN_SCHEMA, TRAIN_COLUMNS)).select("row_id", *TRAIN_COLUMNS)
+
+
+@register("p1_parse_click_time", _with_clicks("x AS (SELECT 1)\nSELECT click_id, date_trunc('second', click_time)::TIMESTAMP AS parsed FROM clicks"))
+def q_parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.timeparts import parse_click_time
+
+    text = clicks(spark, sf_dir).select("click_id", F.date_format("click_time", "yyyy-MM-dd HH:mm:ss").alias("text"))
+    return text.select("click_id", parse_click_time("text").alias("parsed"))
+
+
+_SCORES_SQL = "x AS (SELECT 1)\nSELECT click_id, CASE WHEN row_id % 11 <> 4 THEN {score} END AS is_attributed FROM clicks"
+
+
+def _written_scores(spark: SparkSession, sf_dir: str, divisor: float, **how) -> DataFrame:
+    from ..sources.files import read_scores
+    from ..sources.sinks import write_scores_csv
+
+    path = _shared(spark, "scores-csv")
+    scores = clicks(spark, sf_dir).select("click_id", F.when(F.col("row_id") % 11 != 4, (F.col("row_id") % 997) / F.lit(divisor)).alias("is_attributed"))
+    write_scores_csv(scores, path, **how)
+    return read_scores(spark, path)
+
+
+@register("s4_s6_scores_nine_decimals", _with_clicks(_SCORES_SQL.format(score="ROUND((row_id % 997) / 1000003.0::DOUBLE, 9)")))
+def q_scores_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 then S4: nine decimals in the file, missing scores as empty fields."""
+    return _written_scores(spark, sf_dir, 1000003.0)
+
+
+@register("s4_s7_scores_gzip", _with_clicks(_SCORES_SQL.format(score="(row_id % 997) / 997.0::DOUBLE")))
+def q_scores_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 then S4: gzip files with all digits."""
+    return _written_scores(spark, sf_dir, 997.0, decimals=None, compression="gzip")
 
 
 # --- remaining inventory items over the whole table (A8, T3, S2, P7) ----------

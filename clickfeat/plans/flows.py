@@ -26,7 +26,7 @@ from ..operators.scores import align_scores, blend, submission
 from ..operators.splits import TEST, day_split, positional_split
 from ..schema import CLICK_IDENTITY, TEST_COLUMNS, TEST_SCHEMA, TRAIN_COLUMNS, TRAIN_SCHEMA
 from ..sources.files import append_logs, capped, read_csv, read_scores, row_range, with_row_id
-from ..sources.sinks import materialize, write_scores_csv
+from ..sources.sinks import write_scores_csv
 from . import kernels as KS
 from .specs import build_features
 
@@ -34,14 +34,13 @@ DEBUG_ROWS = 100_000
 
 
 def load_log(spark: SparkSession, path: str, test: bool = False, debug: bool = False) -> DataFrame:
-    """S1 + dense ``row_id`` + hour / day / weekday, written once to the shared
-    folder (the load positions are then fixed, and every later scan reads
-    typed parquet instead of parsing text)."""
+    """S1 + dense ``row_id`` + hour / day / weekday. The parsed text is written
+    once, by day, to the shared folder, with each row's split and place in it;
+    the load positions follow from that table, so they are fixed, and every
+    later scan reads typed parquet."""
     schema, cols = (TEST_SCHEMA, TEST_COLUMNS) if test else (TRAIN_SCHEMA, TRAIN_COLUMNS)
-    df = with_row_id(read_csv(spark, path, schema, cols))
-    if debug:
-        df = capped(df, DEBUG_ROWS)
-    return materialize(add_time_parts(df), "log", partition_by=("day",))
+    df = with_row_id(add_time_parts(read_csv(spark, path, schema, cols)), partition_by=("day",))
+    return capped(df, DEBUG_ROWS) if debug else df
 
 
 @dataclass
@@ -69,7 +68,7 @@ def kernel1(spark: SparkSession, train_path: str, supplement_path: str, test_pat
     feats = build_features(append_logs(train, supp, row_id="row_id"), KS.KERNEL1)
     feats = positional_split(feats, val_size)
     p = _params("kernel1", rounds, params)
-    res = validate_and_score(feats, KS.predictors("kernel1"), KS.CATEGORICAL_1, p, keep=CLICK_IDENTITY)
+    res = validate_and_score(feats, KS.predictors("kernel1"), KS.CATEGORICAL_1, p, keep=CLICK_IDENTITY, rates=KS.RATES)
     test = load_log(spark, test_path, test=True, debug=debug).select("click_id", *CLICK_IDENTITY)
     sub = submission(test, res.scores)
     if out_path:
@@ -87,7 +86,7 @@ def kernel2(spark: SparkSession, train_path: str, test_path: str, out_path: str
     feats = build_features(append_logs(train, test, row_id="row_id"), KS.KERNEL2)
     feats = positional_split(feats, val_size)
     p = _params("kernel2", rounds, params)
-    res = validate_and_score(feats, KS.predictors("kernel2"), KS.CATEGORICAL_2, p)
+    res = validate_and_score(feats, KS.predictors("kernel2"), KS.CATEGORICAL_2, p, rates=KS.RATES)
     if out_path:
         write_scores_csv(res.scores, out_path, decimals=9)
     return FlowResult(res.scores, res.best_iteration, res.staged, res.importance)
@@ -108,13 +107,13 @@ def kernel3(spark: SparkSession, train_path: str, test_path: str | None = None,
         if first_day is not None:
             train = train.filter(F.col("day") >= first_day)
         feats = day_split(build_features(train, KS.KERNEL3), valid_from=valid_day)
-        res = validate_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p)
+        res = validate_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rates=KS.RATES)
         return FlowResult(res.scores, res.best_iteration, res.staged, res.importance)
     train = train.filter(F.col("day") >= refit_first_day)
     test = load_log(spark, test_path, test=True, debug=debug)
     feats = build_features(append_logs(train, test, row_id="row_id"), KS.KERNEL3)
     feats = feats.withColumn("split", F.when(F.col("src") == 1, F.lit(TEST)).otherwise(F.lit("train")))
-    sub = refit_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rounds)
+    sub = refit_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rounds, rates=KS.RATES)
     if out_path:
         write_scores_csv(sub, out_path, decimals=None, compression="gzip")
     return FlowResult(sub)

@@ -114,6 +114,9 @@ KERNEL3 = [
     CumCount(("ip", "device", "os"), "app", "ip_device_os_cum_app"),
 ]
 
+# Categoricals of hundreds or thousands of values enter the matrix by their out-of-fold rate, the others as codes.
+RATES = ("app", "device", "os", "channel")
+
 # Predictor list of kernel 3 in its original order.
 PREDICTORS_3 = [
     "nextClick", "nextClick_shift",

@@ -5,15 +5,15 @@ semantic. A dense, exact load position is assigned without sorting the
 table: rows of one file split are read in order by one task, so
 ``position in split = monotonically_increasing_id - min(id of the split)``;
 a small per-split table (one row per split, bounded by the file listing)
-gives each split's offset by a window over ``(file, split start)``, and is
-broadcast back.
+gives each split's offset by prefix sums in the order of file and split start
+(``operators.prefix``: no task sees all splits) and is joined back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,15 +40,17 @@ def read_csv(
     return df.select(*columns) if columns else df
 
 
-def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+def with_row_id(df: DataFrame, name: str = "row_id", partition_by: Sequence[str] = ()) -> DataFrame:
     """Add the dense 0-based load position of each row of a file scan.
 
     ``df`` must be a plain file scan (optionally projected): the position is
     derived from the scan's file splits. The scan is written once with its
     split and its place in the split, and both the offsets and the rows come
     from that table: splits that differ between two scans can lose no row. A
-    row without an offset fails the job.
+    row without an offset fails the job. ``partition_by``: columns by which the
+    written table is stored, for pruning.
     """
+    from ..operators.prefix import running_before
     from .sinks import materialize
 
     meta = df.select(
@@ -57,12 +59,11 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__mid"),
     )
-    meta = materialize(meta, "scan")
+    meta = materialize(meta, "scan", partition_by=partition_by)
     splits = meta.groupBy("__file", "__start").agg(
         F.count(F.lit(1)).alias("__rows"), F.min("__mid").alias("__mid0")
     )
-    w = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("__offset", F.coalesce(F.sum("__rows").over(w), F.lit(0)))
+    splits = running_before(splits, ["__file", "__start"], "__offset", "__rows")
     place = F.col("__offset") + F.col("__mid") - F.col("__mid0")
     lost = F.raise_error(F.lit("a row of the scan has no load position")).cast("long")
     # One row per file split; the planner broadcasts it only if its measured size allows.

@@ -103,7 +103,7 @@ def test_wide_string_category_is_encoded_beside_its_source(spark):
     from clickfeat.ml.gbt import feature_matrix
 
     df = spark.range(600).select(F.concat(F.lit("k"), (F.col("id") % 150).cast("string")).alias("app"), (F.col("id") % 2).cast("double").alias("y"))
-    out = feature_matrix(df, ["app"], ["app"], "y", max_bins=100).transform(df)
+    out = feature_matrix(df, ["app"], ["app"], "y", max_bins=100, rates=["app"]).transform(df)
     assert out.schema["app"].dataType.simpleString() == "string"
     assert out.select("features").count() == 600
 
