@@ -34,6 +34,8 @@ from .common import id_of, key_of
 from .words import U, chunks, gram_hash, member, mix, words_of
 
 GROUP_ROWS = 4_000  # occurrences of an anchor that one task takes together
+BATCH_BYTES = 1 << 21  # of segments that a worker judges at once, if they are several groups
+SLICE = 1_000
 HOT_ANCHORS = 1 << 20  # bound on the number of anchors that are handled apart
 MAX_BITS = 28  # the bitmap has at most 2**28 bits, 32 MB
 
@@ -103,7 +105,7 @@ def _counted(rows: DataFrame, shape: Shape) -> DataFrame:
     return counts.filter("lo < hi").select("h", "n")
 
 
-def _bitmap(repeated: DataFrame, n: int) -> tuple[int, np.ndarray]:
+def bitmap(repeated: DataFrame, n: int) -> tuple[int, np.ndarray]:
     """A bitmap over the leading bits of the hashes: (number of bits, bytes)."""
     bits = min(MAX_BITS, max(16, (16 * n).bit_length()))
     slot = F.shiftrightunsigned("h", 64 - bits)
@@ -114,7 +116,7 @@ def _bitmap(repeated: DataFrame, n: int) -> tuple[int, np.ndarray]:
     return bits, out.view(np.uint8)
 
 
-def _passes(sketch: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
+def passes(sketch: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
     bits, cells = sketch
     slot = h >> U(64 - bits)
     return (cells[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 != 0
@@ -134,7 +136,7 @@ def _emit(rows: DataFrame, shape: Shape, sketch, hot: np.ndarray, apart: bool) -
                 if not len(at):
                     continue
                 is_hot = member(hot, a)
-                use = np.flatnonzero(is_hot if apart else _passes(sketch, a) & ~is_hot)
+                use = np.flatnonzero(is_hot if apart else passes(sketch, a) & ~is_hot)
                 if not len(use):
                     continue
                 at, a, lo, hi = at[use], a[use], lo[use], hi[use]
@@ -187,12 +189,12 @@ def _judge_hot(occurrences: DataFrame, shape: Shape) -> DataFrame:
     return met.select("key", "th", "pos", rest.bitwiseOR(more).alias("mask"), low.alias("lo")).filter("mask <> 0")
 
 
-def _judged(segments: DataFrame, judge, shape: Shape, batch_rows: int) -> DataFrame:
-    """Deals segments by anchor and hands ``judge`` whole groups, about ``batch_rows`` rows at a time."""
+def _judged(segments: DataFrame, judge, shape: Shape, batch_bytes: int) -> DataFrame:
+    """Deals segments by anchor and hands ``judge`` whole groups, about ``batch_bytes`` at a time: word arrays take some 30 bytes for each."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        rows = 0
+        size = 0
 
         def done(parts):
             t = pa.Table.from_batches(parts).combine_chunks()
@@ -202,24 +204,22 @@ def _judged(segments: DataFrame, judge, shape: Shape, batch_rows: int) -> DataFr
             one = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32)), pa.array(pos))
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th), one, pa.array(mask[use]), pa.array(lo[use])], ["key", "th", "pos", "mask", "lo"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             held.append(b)
-            rows += b.num_rows
-            if rows >= batch_rows:
+            size += b.nbytes
+            if size >= batch_bytes:
                 h = b.column(0).to_numpy()
                 cut = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
                 if cut:
                     yield done([*held[:-1], b.slice(0, cut)])
-                    held, rows = [b.slice(cut)], b.num_rows - cut
+                    held, size = [b.slice(cut)], b.slice(cut).nbytes
         if held:
             yield done(held)
 
     return segments.repartition("h").sortWithinPartitions("h").mapInArrow(run, FOUND_SCHEMA)
 
 
-def repeated(rows: DataFrame, shape: Shape, judge, group_rows: int = GROUP_ROWS, batch_rows: int = 20_000) -> DataFrame:
+def repeated(rows: DataFrame, shape: Shape, judge, group_rows: int = GROUP_ROWS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(key, th, pos, mask, lo): windows that also start in a document of smaller key.
 
     Bit i of ``mask`` stands for the windows that start i words after the words ``pos``;
@@ -229,8 +229,8 @@ def repeated(rows: DataFrame, shape: Shape, judge, group_rows: int = GROUP_ROWS,
     n, total = anchors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     limit = max(group_rows, total // HOT_ANCHORS)
     hot = np.sort(anchors.filter(F.col("n") > limit).select("h").toPandas()["h"].to_numpy(np.int64).view(U))
-    sketch = _bitmap(anchors, n)
-    found = _judged(_emit(rows, shape, sketch, hot, False), judge, shape, batch_rows)
+    sketch = bitmap(anchors, n)
+    found = _judged(_emit(rows, shape, sketch, hot, False), judge, shape, batch_bytes)
     if len(hot):
         found = found.union(_judge_hot(materialize(_emit(rows, shape, sketch, hot, True), "occurrences"), shape))
     return found
