@@ -14,9 +14,11 @@ stand side by side, found by one hash of the first of them. A context's predicti
 the counts of zeros and ones that all training texts left in its slot. The
 predictions are mixed in the logistic domain. The weights are chosen by a
 gate: kind of symbol, and how often the longer contexts were seen. Starting
-weights are fitted on all training texts, each row counting once, from counts
-without the decision's own bit: Newton steps, for which a pass over the texts sums
-gradients and curvatures of all decisions; while a text is scored they follow its bits by a gradient
+weights are fitted on all training texts, each row counting once. The texts are in two halves
+by a hash, so that equal ones are in the same, and each half is predicted from the
+other's counts alone: no text and no copy of it speaks for itself.
+One pass adds up all decisions by gate, bit and the cell of their predictions (``LEVELS`` a context), and Newton steps run on
+that table, whose size does not depend on the input; while a text is scored the weights follow its bits by a gradient
 step after each ``BLOCK`` of decisions, from all of the block's decisions.
 
 Counts are summed over all training texts by shuffles of compressed slabs, in
@@ -49,7 +51,8 @@ DIRECT = 1 << 18  # in the first table, slots of bytes follow those of the token
 ORDERS = 3
 SLAB = 1 << 15
 FIT_GAIN = 1e-3  # the fit of starting weights ends when a step promises less than this share of the cost
-FIT_STEPS = 30
+FIT_STEPS = 100
+LEVELS = 31  # cells of a stretched prediction, half a unit wide, the outer ones open
 RIDGE = 1.0  # pull of a gate's weights to the plain ones, in decisions
 BLOCK = 64  # decisions between two steps of a text's weights
 RATE = 0.05
@@ -299,10 +302,20 @@ def _tables(rows: DataFrame, code: Code) -> list[np.ndarray]:
     level = level.groupBy("slab").applyInArrow(add_up, "slab int, data binary")
     out = np.zeros((N_SLABS, SLAB * 2), np.uint32)
     for r in level.collect():  # the model itself, of fixed size
-        out[r["slab"]] = np.minimum(_unpack(bytes(r["data"])), 2**32 - 1)
+        out[r["slab"]] = _fitting(_unpack(bytes(r["data"])).reshape(-1, 2)).reshape(-1)
     return [v.reshape(-1, 2) for v in _views(out.reshape(-1))]
 
 
+def _fitting(counts: np.ndarray) -> np.ndarray:
+    """Counts (slots, 2) as 32-bit numbers; both of a slot are divided alike where one is too large."""
+    most = counts.max(1)
+    over = np.flatnonzero(most >= 2**32)
+    if len(over):
+        counts = counts.copy()
+        counts[over] //= (most[over] >> 32)[:, None] + 1
+    return counts.astype(np.uint32)
+
+
 def _views(flat: np.ndarray) -> list[np.ndarray]:
     """The orders' parts of one array with two numbers per slot."""
     cut = np.cumsum([0, *(2 * x for x in SIZES)])
@@ -416,16 +429,6 @@ def _inputs(ready, slots):
     return x, got[1] & np.int16(3), got[2] & np.int16(3)
 
 
-def _ready_without(tables: list[np.ndarray]) -> list[np.ndarray]:
-    """``_ready`` from counts that leave out the decision itself, at 2 * slot + its bit."""
-    out = []
-    for t in tables:
-        less = t - (t > 0)
-        zero, one = _ready([np.column_stack((less[:, 0], t[:, 1]))]), _ready([np.column_stack((t[:, 0], less[:, 1]))])
-        out.append(np.column_stack((zero[0], one[0])).reshape(-1))
-    return out
-
-
 def _plain_weights() -> np.ndarray:
     w = np.zeros((GATES, INPUTS))
     for g in range(GATES):
@@ -434,14 +437,17 @@ def _plain_weights() -> np.ndarray:
     return w
 
 
-def _curvature(w, x, gate, bit) -> np.ndarray:
-    """For each gate the sums over its decisions: cost (nats), gradient of the likelihood, curvature; a row of 1 + INPUTS + INPUTS**2."""
-    x = x.astype(np.float64)
+_CELL = np.clip((np.arange(-1000, 1001) + 4 + 8 * (LEVELS // 2)) // 8, 0, LEVELS - 1).astype(np.int32)  # by prediction in steps
+CELLS = GATES * LEVELS**ORDERS * 2
+
+
+def _curvature(w, n, x, gate, bit) -> np.ndarray:
+    """For each gate the sums over ``n`` decisions a row: cost (nats), gradient of the likelihood, curvature; a row of 1 + INPUTS + INPUTS**2."""
     mixed = np.clip((w[gate] * x).sum(1), -30, 30)
     p = 1 / (1 + np.exp(-mixed))
     out = np.empty((GATES, 1 + INPUTS + INPUTS * INPUTS))
-    out[:, 0] = np.bincount(gate, np.logaddexp(0, np.where(bit, -mixed, mixed)), minlength=GATES)
-    error, spread = bit - p, p * (1 - p)
+    out[:, 0] = np.bincount(gate, n * np.logaddexp(0, np.where(bit, -mixed, mixed)), minlength=GATES)
+    error, spread = n * (bit - p), n * p * (1 - p)
     for i in range(INPUTS):
         out[:, 1 + i] = np.bincount(gate, error * x[:, i], minlength=GATES)
         of = spread * x[:, i]
@@ -451,32 +457,51 @@ def _curvature(w, x, gate, bit) -> np.ndarray:
     return out
 
 
-def _start_weights(rows: DataFrame, code: Code, tables: list[np.ndarray]) -> np.ndarray:
-    """Starting weights: each gate's logistic regression over all decisions of ``rows(text)``, from counts that leave out the decision itself."""
-    sent = rows.sparkSession.sparkContext.broadcast((code.state(), [_sent(x) for x in _ready_without(tables)]))
-    tasks = min(rows.rdd.getNumPartitions(), 4 * rows.sparkSession.sparkContext.defaultParallelism)  # each task unpacks the model
-    texts_only = rows.select("text").coalesce(max(1, tasks))
+def _decision_table(rows: DataFrame, code: Code, tables: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """All decisions of ``rows(text)``, as ``tables`` predict them, by cell: (n, inputs at the cell's middle, gate, bit). At most ``CELLS`` rows."""
+    sent = rows.sparkSession.sparkContext.broadcast((code.state(), [_sent(x) for x in _ready(tables)]))
+    tasks = min(rows.rdd.getNumPartitions(), 2 * rows.sparkSession.sparkContext.defaultParallelism)  # each task unpacks the model and sends a table
 
-    def sums(w):
-        def run(batches):
-            state, tables = sent.value
-            code, tables = Code.of(state), [_got(x) for x in tables]
-            total = np.zeros((GATES, 1 + INPUTS + INPUTS * INPUTS))
-            for b in batches:
-                past = NO_PAST
-                for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
-                    _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
-                    owner, slots, bit = decisions(code, sym, contexts)
-                    x, one, two = _inputs(tables, [s * np.uint32(2) + bit for s in slots])
-                    total += _curvature(w, x, _gate(sym, owner, code.first_byte, one, two), bit)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], ["at", "v"])
-
-        out = np.zeros(GATES * (1 + INPUTS + INPUTS * INPUTS))
-        for r in texts_only.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # of fixed size
-            out[r["at"]] = r["v"]
-        return out.reshape(GATES, -1)
-
-    return _newton(sums, _plain_weights())
+    def run(batches):
+        state, tables = sent.value
+        code, tables = Code.of(state), [_got(x) for x in tables]
+        n = np.zeros(CELLS, np.int64)
+        for b in batches:
+            past = NO_PAST
+            for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
+                _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
+                owner, slots, bit = decisions(code, sym, contexts)
+                got = [tables[i].take(slots[i], mode="clip") for i in range(ORDERS)]
+                at = _gate(sym, owner, code.first_byte, got[1] & np.int16(3), got[2] & np.int16(3)).astype(np.int32)
+                for v in got:
+                    at *= np.int32(LEVELS)
+                    at += _CELL.take((v >> np.int16(2)) + np.int16(1000))
+                at *= np.int32(2)
+                at += bit
+                n += np.bincount(at, minlength=CELLS)
+        met = np.flatnonzero(n)
+        for i in range(0, len(met), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(met[i : i + 100_000].astype(np.int32)), pa.array(n[met[i : i + 100_000]])], ["at", "n"])
+
+    parts = rows.select("text").coalesce(max(1, tasks)).mapInArrow(run, "at int, n long")
+    table = parts.groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    at, n = table["at"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
+    level = [at // (2 * LEVELS**i) % LEVELS for i in reversed(range(ORDERS))]
+    x = np.column_stack([(v - LEVELS // 2) * (8 / STEP) for v in level] + [np.full(len(n), 0.3)])
+    return n, x, at // (2 * LEVELS**ORDERS), (at & 1).astype(np.float64)
+
+
+def _halves(rows: DataFrame) -> list[DataFrame]:
+    """Two halves of the rows; equal texts are in the same one."""
+    half = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2))
+    return [rows.filter(half == i) for i in range(2)]
+
+
+def _start_weights(rows: DataFrame, code: Code, tables: list[list[np.ndarray]]) -> np.ndarray:
+    """Starting weights: each gate's logistic regression over all decisions of ``rows(text)``, each half's from the counts of the other."""
+    parts = [_decision_table(half, code, other) for half, other in zip(_halves(rows), reversed(tables), strict=True)]
+    n, x, gate, bit = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return _newton(lambda w: _curvature(w, n, x, gate, bit), _plain_weights())
 
 
 def _newton(sums, plain: np.ndarray) -> np.ndarray:
@@ -549,8 +574,10 @@ def fit(rows: DataFrame) -> Model:
     byte_counts = np.array([letters.get(b, 0) for b in range(256)])
     byte_counts[32] = max(byte_counts[32], words - int(c[best].sum()))
     code = Code(h[best], c[best].tolist(), ends, words - int(c[best].sum()), byte_counts.tolist())
-    tables = _tables(rows, code)
-    weights = _start_weights(rows, code, tables)
+    halves = [_tables(half, code) for half in _halves(rows)]
+    weights = _start_weights(rows, code, halves)
+    # Both counts of a slot are shrunk alike where their sum would leave 32 bits.
+    tables = [_fitting(a.astype(np.int64) + b) for a, b in zip(*halves, strict=True)]
     return Model(tokens, words + ends, distinct, (frequent, ends), code, _ready(tables), weights)
 
 
