@@ -17,6 +17,8 @@ from pyspark.sql import SparkSession
 
 from .plans import flows
 from .session import checkpoint_dir, configure
+from .sources.sinks import clear_tables
+from .sources.store import release
 
 
 def _session() -> SparkSession:
@@ -42,7 +44,7 @@ def main(argv: list[str] | None = None) -> None:
     k2.add_argument("--train", required=True)
     k2.add_argument("--test", required=True)
     k2.add_argument("--out", required=True)
-    k2.add_argument("--frm", type=int, default=0)
+    k2.add_argument("--frm", type=int, default=None)
     k2.add_argument("--to", type=int, default=None)
     k2.add_argument("--val-size", type=int, default=2_500_000)
     k2.add_argument("--debug", action="store_true")
@@ -64,17 +66,19 @@ def main(argv: list[str] | None = None) -> None:
     spark = _session()
     if a.job == "kernel1":
         r = flows.kernel1(spark, a.train, a.supplement, a.test, a.out, a.frm, a.to, a.val_size, a.debug)
-        print(json.dumps({"best_iteration": r.best_iteration}))
+        print(json.dumps({"best_iteration": r.best_iteration, "validation_auc": r.validation_auc}))
     elif a.job == "kernel2":
         r = flows.kernel2(spark, a.train, a.test, a.out, a.frm, a.to, a.val_size, a.debug)
-        print(json.dumps({"best_iteration": r.best_iteration}))
+        print(json.dumps({"best_iteration": r.best_iteration, "validation_auc": r.validation_auc}))
     elif a.job == "kernel3":
         r = flows.kernel3(spark, a.train, a.test, a.out, a.rounds, frm=a.frm, to=a.to, debug=a.debug)
         if r.best_iteration is not None:
-            print(json.dumps({"best_iteration": r.best_iteration}))
+            print(json.dumps({"best_iteration": r.best_iteration, "validation_auc": r.validation_auc}))
             r.importance.show(100, truncate=False)
     else:
         flows.blend_files(spark, a.scores, a.out_mean, a.out_final, a.weights)
+    clear_tables(spark)
+    release(spark)
 
 
 if __name__ == "__main__":

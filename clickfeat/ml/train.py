@@ -26,13 +26,14 @@ class TrainResult:
 def validate_and_score(features: DataFrame, predictors: Sequence[str], categorical: Sequence[str],
                        params: gbt.TrainParams, rounds: int | None = None, split: str = "split",
                        label: str = "is_attributed", block: int = boost.BLOCK,
-                       keep: Sequence[str] = ("click_id",), rates: Sequence[str] = ()) -> TrainResult:
+                       keep: Sequence[str] = ("click_id",), rates: Sequence[str] = (), written: bool = False) -> TrainResult:
     """Validate mode: fit on train, early-stop on validation AUC, score test with the best prefix.
 
     The feature table is written once to the shared folder: the three
     splits and the fits read it instead of recomputing the feature plan.
+    ``written``: it is a written table already.
     """
-    features = materialize(features, "features")
+    features = features if written else materialize(features, "features")
     train, valid, test = (take(features, s, split) for s in (TRAIN, VALID, TEST))
     fm = gbt.feature_matrix(train, predictors, categorical, label, params.max_bins, rates=rates)
     # Every pass over the validation rows reads their vectors, not the joins that encode them.
@@ -46,9 +47,9 @@ def validate_and_score(features: DataFrame, predictors: Sequence[str], categoric
 
 def refit_and_score(features: DataFrame, predictors: Sequence[str], categorical: Sequence[str],
                     params: gbt.TrainParams, rounds: int, split: str = "split",
-                    label: str = "is_attributed", rates: Sequence[str] = ()) -> DataFrame:
+                    label: str = "is_attributed", rates: Sequence[str] = (), written: bool = False) -> DataFrame:
     """M7 (``--test N``): fit exactly ``rounds`` trees on all labelled rows, score test with all of them."""
-    features = materialize(features, "features")
+    features = features if written else materialize(features, "features")
     labelled = features.filter(F.col(split) != F.lit(TEST))
     test = take(features, TEST, split)
     fm = gbt.feature_matrix(labelled, predictors, categorical, label, params.max_bins, rates=rates)

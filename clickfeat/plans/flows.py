@@ -27,10 +27,12 @@ from ..operators.splits import TEST, day_split, positional_split
 from ..schema import CLICK_IDENTITY, TEST_COLUMNS, TEST_SCHEMA, TRAIN_COLUMNS, TRAIN_SCHEMA
 from ..sources.files import append_logs, capped, read_csv, read_scores, row_range, with_row_id
 from ..sources.sinks import write_scores_csv
+from ..sources.store import cached_table, fingerprint, input_identity
 from . import kernels as KS
 from .specs import build_features
 
 DEBUG_ROWS = 100_000
+WINDOW = 100_000_000  # fixed value: rows that kernel 2 reads by default
 
 
 def load_log(spark: SparkSession, path: str, test: bool = False, debug: bool = False) -> DataFrame:
@@ -50,6 +52,13 @@ class FlowResult:
     staged: DataFrame | None = None
     importance: DataFrame | None = None
 
+    @property
+    def validation_auc(self) -> float | None:
+        """AUC of the best iteration on the validation rows."""
+        if self.staged is None:
+            return None
+        return self.staged.filter(F.col("iteration") == self.best_iteration).first().auc
+
 
 def _params(name: str, rounds: int | None, overrides: dict | None) -> gbt.TrainParams:
     p = gbt.PARAMS[name]
@@ -77,11 +86,14 @@ def kernel1(spark: SparkSession, train_path: str, supplement_path: str, test_pat
 
 
 def kernel2(spark: SparkSession, train_path: str, test_path: str, out_path: str | None = None,
-            frm: int = 0, to: int | None = None, val_size: int = 2_500_000, debug: bool = False,
-            rounds: int | None = None, params: dict | None = None) -> FlowResult:
+            frm: int | None = None, to: int | None = None, val_size: int = 2_500_000, debug: bool = False,
+            rounds: int | None = None, params: dict | None = None, window: int = WINDOW) -> FlowResult:
+    """``frm`` and ``to`` left out: the original's default window, ``WINDOW`` rows that end ``val_size`` rows before the log's end."""
     train = load_log(spark, train_path)
-    if frm or to is not None:
-        train = row_range(train, frm, to)
+    if frm is None and to is None:
+        frm = max(0, train.count() - (window + val_size))
+        to = frm + window
+    train = row_range(train, frm or 0, to)
     test = load_log(spark, test_path, test=True, debug=debug)
     feats = build_features(append_logs(train, test, row_id="row_id"), KS.KERNEL2)
     feats = positional_split(feats, val_size)
@@ -99,21 +111,26 @@ def kernel3(spark: SparkSession, train_path: str, test_path: str | None = None,
     early-stop on ``valid_day`` onwards, return staged AUC and importance.
     Test (``rounds=N``): refit N trees on ``refit_first_day`` onwards plus the
     test log's features, score test, write a gzip CSV."""
-    train = load_log(spark, train_path, debug=debug)
-    if frm or to is not None:
-        train = row_range(train, frm, to)
     p = _params("kernel3", None, params)
+    mode = ("validate", first_day) if rounds is None else ("refit", refit_first_day)
+    inputs = input_identity(spark, train_path, *([test_path] if rounds is not None else []))
+    key = fingerprint(("kernel3", KS.KERNEL3, mode, frm, to, debug), inputs)
+
+    def features() -> DataFrame:
+        train = load_log(spark, train_path, debug=debug)
+        if frm or to is not None:
+            train = row_range(train, frm, to)
+        if rounds is None:
+            return build_features(train if first_day is None else train.filter(F.col("day") >= first_day), KS.KERNEL3)
+        test = load_log(spark, test_path, test=True, debug=debug)
+        return build_features(append_logs(train.filter(F.col("day") >= refit_first_day), test, row_id="row_id"), KS.KERNEL3)
+
+    feats = cached_table(spark, "kernel3", key, features)  # a second run reads what the first has written
     if rounds is None:
-        if first_day is not None:
-            train = train.filter(F.col("day") >= first_day)
-        feats = day_split(build_features(train, KS.KERNEL3), valid_from=valid_day)
-        res = validate_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rates=KS.RATES)
+        res = validate_and_score(day_split(feats, valid_from=valid_day), KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rates=KS.RATES, written=True)
         return FlowResult(res.scores, res.best_iteration, res.staged, res.importance)
-    train = train.filter(F.col("day") >= refit_first_day)
-    test = load_log(spark, test_path, test=True, debug=debug)
-    feats = build_features(append_logs(train, test, row_id="row_id"), KS.KERNEL3)
     feats = feats.withColumn("split", F.when(F.col("src") == 1, F.lit(TEST)).otherwise(F.lit("train")))
-    sub = refit_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rounds, rates=KS.RATES)
+    sub = refit_and_score(feats, KS.predictors("kernel3"), KS.CATEGORICAL_3, p, rounds, rates=KS.RATES, written=True)
     if out_path:
         write_scores_csv(sub, out_path, decimals=None, compression="gzip")
     return FlowResult(sub)

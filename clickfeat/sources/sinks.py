@@ -1,4 +1,4 @@
-"""Score and feature sinks.
+"""Score sinks (S6, S7) and materialised tables; the stage store (S5) is in ``store``.
 
 Everything is written by the executors in parallel; nothing passes through
 the driver. Paths on a cluster are shared folders (the checkpoint folder or
@@ -7,14 +7,14 @@ a table location), never a machine-local directory.
 
 from __future__ import annotations
 
-import hashlib
-import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .store import cached_table, fingerprint, input_identity  # noqa: F401
 
 
 def quoted(name: str) -> str:
@@ -43,38 +43,7 @@ def write_scores_csv(scores: DataFrame, path: str, decimals: int | None = 9, com
     w.csv(path)
 
 
-def fingerprint(spec: object, inputs: Sequence[str]) -> str:
-    """Stable key of a feature computation: its spec text and input identity."""
-    text = json.dumps({"spec": repr(spec), "inputs": list(inputs)}, sort_keys=True)
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
-
-
-def input_identity(spark: SparkSession, path: str) -> list[str]:
-    """Path, length and modification time of every file under ``path``."""
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hpath, True)
-    out = []
-    while files.hasNext():
-        f = files.next()
-        out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
-    return sorted(out)
-
-
-def cached_table(spark: SparkSession, name: str, key: str, compute, folder: str | None = None) -> DataFrame:
-    """Read the feature table written for ``key``, or compute and write it.
-
-    The table lives in the shared checkpoint folder (or ``folder``), so it
-    survives executor loss and cuts the lineage of long feature plans. A
-    ``_SUCCESS`` marker guards against half-written tables.
-    """
-    base = (folder or checkpoint_dir(spark)).rstrip("/")
-    path = f"{base}/features/{name}-{key}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+_written: list[str] = []  # tables that this process has materialised
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -85,8 +54,6 @@ def materialize(df: DataFrame, name: str, folder: str | None = None, partition_b
     stages restart from the files, not from the source tables. With
     ``partition_by`` (e.g. ``day``) filters on those columns prune folders.
     """
-    import uuid
-
     spark = df.sparkSession
     base = (folder or checkpoint_dir(spark)).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
@@ -94,4 +61,14 @@ def materialize(df: DataFrame, name: str, folder: str | None = None, partition_b
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path).select(*[quoted(c) for c in df.columns])
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Removes the tables that this process has materialised, once no result depends on them; returns their number."""
+    n = len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -62,9 +62,14 @@ def test_kernel2_and_blend(spark, logs):
     assert glob.glob(f"{logs['root']}/final/part-*.csv")
 
 
-def test_kernel3_validate_and_refit(spark, logs):
+def test_kernel3_validate_and_refit(spark, logs, monkeypatch):
     res = flows.kernel3(spark, logs["train"], first_day=None, valid_day=20, params={**SMALL, "rounds": 6})
-    assert res.staged.count() >= 1
+    assert res.staged.count() >= 1 and 0.0 < res.validation_auc < 1.0
+    # a second run reads the features that the first has written
+    with monkeypatch.context() as m:
+        m.setattr(flows, "build_features", None)
+        again = flows.kernel3(spark, logs["train"], first_day=None, valid_day=20, params={**SMALL, "rounds": 6})
+    assert again.validation_auc == res.validation_auc
     out = f"{logs['root']}/sub3"
     sub = flows.kernel3(spark, logs["train"], logs["supp"], out, rounds=5, refit_first_day=1, params=SMALL).submission
     assert sub.count() == spark.read.option("header", True).csv(logs["supp"]).count()
@@ -121,3 +126,17 @@ def test_load_positions_survive_other_splits(spark, tmp_path):
         assert df.count() == 5000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_kernel2_default_window(spark, logs, monkeypatch):
+    """The window ends ``val_size`` rows before the log's end; a first row given reads from there on."""
+    seen = []
+    monkeypatch.setattr(flows, "row_range", lambda df, frm, to: seen.append((frm, to)) or df.limit(0))
+    monkeypatch.setattr(flows, "append_logs", lambda *a, **k: 1 / 0)
+    n = flows.load_log(spark, logs["train"]).count()
+    import pytest
+
+    for kw in ({"window": 200, "val_size": 150}, {"val_size": 150}, {"frm": 7}):
+        with pytest.raises(ZeroDivisionError):
+            flows.kernel2(spark, logs["train"], logs["supp"], **kw)
+    assert seen == [(n - 350, n - 150), (0, flows.WINDOW), (7, None)]

@@ -104,3 +104,63 @@ def test_input_identity_follows_the_files(spark, tmp_path):
     assert before == input_identity(spark, path) and len(before) >= 1
     spark.range(9).coalesce(1).write.mode("append").parquet(path)
     assert input_identity(spark, path) != before
+
+
+def test_store_keys_code_and_half_written_tables(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from clickfeat.sources import store
+
+    folder = str(tmp_path)
+    key = store.fingerprint("spec", ["a"])
+    assert key == store.fingerprint("spec", ["a"]) != store.fingerprint("spec", ["b"])
+    monkeypatch.setattr(store, "code_version", lambda: "other code")
+    assert store.fingerprint("spec", ["a"]) != key
+    monkeypatch.undo()
+    # a table that was never published is not read, nor one without a success mark
+    spark.range(3).write.parquet(f"{folder}/features/_writing-dead")
+    os.makedirs(f"{folder}/features/t-{key}")
+    assert cached_table(spark, "t", key, lambda: spark.range(7), folder).count() == 7
+
+    def broken():
+        return spark.range(5).selectExpr("raise_error('lost') as x")
+
+    with pytest.raises(Exception):
+        cached_table(spark, "u", key, broken, folder)
+    assert cached_table(spark, "u", key, lambda: spark.range(2), folder).count() == 2
+    # of two writers the first wins, the other's files are gone
+    spark.range(9).write.parquet(f"{folder}/features/_writing-late")
+    store._publish(spark, f"{folder}/features/_writing-late", f"{folder}/features/t-{key}")
+    assert spark.read.parquet(f"{folder}/features/t-{key}").count() == 7
+    assert not glob.glob(f"{folder}/features/**/_writing-late", recursive=True)
+    # marked results stay, released ones and dead writes go
+    dead = store.sweep(spark, 0.0, folder)
+    assert "_writing-dead" in dead and all(x.startswith("_writing-") for x in dead)
+    assert cached_table(spark, "t", key, broken, folder).count() == 7
+    assert store.release(spark, folder) == 2
+    assert store.sweep(spark, 3600.0, folder) == []
+    assert {x.split("-")[0] for x in store.sweep(spark, 0.0, folder)} == {"t", "u"}
+    assert not glob.glob(f"{folder}/features/[tu]-*")
+
+
+def test_cleared_tables_are_gone(spark, tmp_path):
+    from clickfeat.sources.sinks import _written, clear_tables, materialize
+
+    kept = list(_written)
+    _written.clear()
+    materialize(spark.range(3), "x", str(tmp_path))
+    assert glob.glob(f"{tmp_path}/tables/x-*") and clear_tables(spark) == 1
+    assert not glob.glob(f"{tmp_path}/tables/x-*")
+    _written.extend(kept)
+
+
+def test_offsets_of_ten_thousand_splits(spark):
+    from clickfeat.operators.prefix import running_before
+
+    splits = spark.range(10_000).selectExpr("concat('f', lpad(cast(id div 100 as string), 4, '0')) as f", "(id % 100) * 64 as s", "id % 7 as n").repartition(9)
+    out = running_before(splits, ["f", "s"], "offset", "n")
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    at = 0
+    for r in out.orderBy("f", "s").collect():
+        assert r.offset == at
+        at += r.n
