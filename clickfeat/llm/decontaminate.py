@@ -13,12 +13,18 @@ stands where the first template is dropped by that bound; it has no placeholders
 so that exact copies are always found. An item shorter than ``SHORTEST`` words has this variant alone: its few words
 say too little once some are replaced, and it is found wherever they stand.
 
-The windows of the benchmark are a stated set. Up to ``MAX_FILTER`` of them
-their hashes are sent to the tasks, which then emit only windows that hit;
-beyond that every window goes to the hash join.
+Whether slots agree depends on which of them are equal, not on their values, so
+a window's key is its template with this pattern. Items that share a key form a
+class, named by the smallest item id in it; a document's window meets one class
+at most, so a template that many items and many documents have makes no pairs
+of them. ``members`` lists the items of each class.
+
+The windows of the benchmark are a stated set. A bitmap of their hashes, of
+bounded size, is sent to the tasks, which emit the windows that pass; the hash
+join decides.
 
 Defined results: null or empty texts and items give no row; repeated rows
-count once per document and item; a null doc_id stays null and rows with null
+count once per document and class; a null doc_id stays null and rows with null
 item_id are reported as such.
 """
 
@@ -29,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import materialize
+from ..sources.sinks import materialize, quoted
 from .common import id_of, key_of, keyed_text
+from .passages import bitmap, passes
 from .words import LOWER, U, Words, chunks, gram_hash, member, mix, words_of
 
 WINDOW = 13
 SHORTEST = 6  # words of the shortest template
 LITERAL = 2  # the variant without placeholders
-MAX_FILTER = 2_000_000
-SCHEMA = "key long, h long, slots array<binary>, width int"
+SCHEMA = "key long, h long, pattern binary, slots array<binary>, width int"
 
 # Unit words.
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons pound pounds ounce ounces ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent degree degrees celsius fahrenheit volt volts watt watts newton newtons joule joules hz khz mhz ghz kb mb gb tb"
@@ -65,8 +71,11 @@ def _templates(texts: list) -> tuple[Words, np.ndarray, list[tuple[np.ndarray, n
     return raw, text_of, [(plain, number | unit), (named, number | unit | name), (h, np.zeros(len(h), bool))]
 
 
-def _windows(texts: list, widths: list[int], whole: bool, keys: np.ndarray | None):
-    """(text, hash, slots, width) of the windows. ``whole``: texts shorter than the largest width are one window."""
+def _windows(texts: list, widths: list[int], whole: bool, sketch):
+    """(text, hash, pattern, slots, width) of the windows. ``whole``: texts shorter than the largest width are one window.
+
+    The pattern has, for each slot, the place of the first one of its value.
+    """
     words, text_of, templates = _templates(texts)
     replaced = np.concatenate(([0], np.cumsum(templates[0][1])))
     for variant, (codes, slot) in enumerate(templates):
@@ -86,15 +95,15 @@ def _windows(texts: list, widths: list[int], whole: bool, keys: np.ndarray | Non
             if whole and width < WINDOW:
                 size = np.diff(words.first)[text_of[: len(h)]]
                 ok &= size == width
-            if keys is not None:
-                ok &= member(keys, h)
+            if sketch is not None:
+                ok &= passes(sketch, h)
             for i in np.flatnonzero(ok):
-                at = i + np.flatnonzero(slot[i : i + width])
-                yield int(text_of[i]), int(h[i].astype(np.int64)), [words.text(j).lower() for j in at], width
+                values = [words.text(j).lower() for j in i + np.flatnonzero(slot[i : i + width])]
+                yield int(text_of[i]), int(h[i].astype(np.int64)), bytes(values.index(v) for v in values), values, width
 
 
-def _emit(rows: DataFrame, widths: list[int], whole: bool, keys: np.ndarray | None) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(keys)
+def _emit(rows: DataFrame, widths: list[int], whole: bool, sketch) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         for b in batches:
@@ -102,33 +111,41 @@ def _emit(rows: DataFrame, widths: list[int], whole: bool, keys: np.ndarray | No
                 found = list(_windows(texts, widths, whole, sent.value))
                 for i in range(0, len(found), 10_000):
                     part = found[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x[0]] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.list_(pa.binary())), pa.array([x[3] for x in part], pa.int32())], ["key", "h", "slots", "width"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[x[0]] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary()), pa.array([x[3] for x in part], pa.list_(pa.binary())), pa.array([x[4] for x in part], pa.int32())], ["key", "h", "pattern", "slots", "width"])
 
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _asked(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """The benchmark's windows, each with the smallest item of its class."""
+    items = benchmark.select(key_of(item_col).alias("key"), F.col(quoted(item_text)).cast("binary").alias("text"))
+    asked = materialize(_emit(items, list(range(1, WINDOW + 1)), True, None), "windows")
+    return materialize(asked.join(asked.groupBy("h", "pattern").agg(F.min("key").alias("item")), ["h", "pattern"]), "asked")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows, exact): one row for each document and benchmark item that share a window.
+    """(doc_id, item_id, n_windows, exact): one row for each document and class of items that share a window.
 
-    ``exact`` tells whether some window has all of the item's own values.
+    ``item_id`` is the smallest item of the class; ``exact`` tells whether some
+    window has all of an item's own values.
     """
-    items = benchmark.select(key_of(item_col).alias("key"), F.col(f"`{item_text}`").cast("binary").alias("text"))
-    widths = list(range(1, WINDOW + 1))
-    asked = materialize(_emit(items, widths, True, None), "windows")
-    hashes = asked.select("h").distinct()
-    keys = None
-    if hashes.count() <= MAX_FILTER:
-        keys = np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(U))
+    asked = _asked(benchmark, item_col, item_text)
+    n = asked.select("h").distinct().count()
     widths = [r[0] for r in asked.select("width").distinct().collect()]  # short windows are asked for only by short items
-    hits = _emit(keyed_text(docs, id_col, text_col), widths, False, keys)
-    asked = asked.select(F.col("key").alias("item"), "h", F.col("slots").alias("asked"))
-    pairs = F.arrays_zip("asked", "slots")
-    agree = (F.size(F.array_distinct(pairs)) == F.size(F.array_distinct("asked"))) & (F.size(F.array_distinct("asked")) == F.size(F.array_distinct("slots")))
-    met = hits.join(asked, "h").filter(agree)
-    out = met.groupBy("key", "item").agg(F.count_distinct("h").alias("n_windows"), F.max(F.col("asked") == F.col("slots")).alias("exact"))
+    hits = _emit(keyed_text(docs, id_col, text_col), widths, False, bitmap(asked, n))
+    classes = asked.select("h", "pattern", "item").distinct()
+    values = asked.select("h", "pattern", "slots").distinct().withColumn("same", F.lit(True))
+    met = hits.join(classes, ["h", "pattern"]).join(values, ["h", "pattern", "slots"], "left")
+    out = met.groupBy("key", "item").agg(F.count_distinct("h").alias("n_windows"), F.coalesce(F.max("same"), F.lit(False)).alias("exact"))
     return out.select(id_of().alias("doc_id"), id_of("item").alias("item_id"), "n_windows", "exact")
 
 
+def members(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, member_id): the items of each class that ``contaminated`` names by ``item_id``."""
+    rows = _asked(benchmark, item_col, item_text).select("item", "key").distinct()
+    return rows.select(id_of("item").alias("item_id"), id_of().alias("member_id"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no window with the benchmark. Repeated ids stay or go together."""
     hit = materialize(contaminated(docs, benchmark).select("doc_id").distinct(), "hits")

@@ -119,6 +119,17 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
     return np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(1)
 
 
+_SUMS = "c int, sum binary, n double, s double, q double"
+
+
+def _add_up(parts: pa.Table) -> pa.Table:
+    """One row from the tasks' sums of one centroid."""
+    total = np.zeros(DIMS)
+    for x in parts["sum"]:
+        total += np.frombuffer(x.as_py(), np.float64)
+    return pa.table({"c": parts["c"][:1], "sum": pa.array([total.tobytes()], pa.binary()), **{k: pa.array([float(np.sum(parts[k].to_numpy()))]) for k in ("n", "s", "q")}})
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Learn from all rows with a language and a letter; the centroids from ``sample`` rows a language."""
     rows = labelled.select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("o"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
@@ -157,11 +168,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                     near = close[np.arange(len(best)), best]
                     np.add.at(sums, best, x)
                     np.add.at(stats, best, np.column_stack((np.ones(len(best)), near, near * near)))
-            cols = [pa.array(np.arange(len(owner), dtype=np.int32)), pa.array([r.tobytes() for r in sums]), *[pa.array(stats[:, i]) for i in range(3)]]
+            met = np.flatnonzero(stats[:, 0])
+            cols = [pa.array(met.astype(np.int32)), pa.array([sums[i].tobytes() for i in met], pa.binary()), *[pa.array(stats[met, i]) for i in range(3)]]
             yield pa.RecordBatch.from_arrays(cols, ["c", "sum", "n", "s", "q"])
 
-        # A row per centroid and task of the bounded sample.
-        parts = texts.select("lang", "text").mapInArrow(run, "c int, sum binary, n double, s double, q double").collect()
+        parts = texts.select("lang", "text").mapInArrow(run, _SUMS).groupBy("c").applyInArrow(_add_up, _SUMS).collect()  # a row per centroid
         sums, stats = np.zeros_like(centroids), np.zeros((len(owner), 3))
         for r in parts:
             sums[r["c"]] += np.frombuffer(r["sum"], np.float64)

@@ -85,4 +85,53 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.othe
 QUALIFY row_number() OVER w <= 10
 """
 
-SQL = {"op11_hard_negatives": HARD_NEGATIVES, "op13_merkle_manifest": MERKLE}
+
+def _windows(width: int) -> str:
+    """CTEs: the words of each document, and the windows that also start in a document of smaller id."""
+    return f"""
+w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + {width}], ' ') AS g FROM w, unnest(range(len(w) - {width - 1})) t(i)),
+lowest AS (SELECT g, min(doc_id) AS lo FROM windows GROUP BY g),
+hits AS (SELECT doc_id, i, lo FROM windows JOIN lowest USING (g) WHERE lo < doc_id)
+"""
+
+
+SUFFIX_TREES = f"""
+WITH {_windows(13)},
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hits, range(13) t(k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+SPARSE_SUFFIX = f"""
+WITH {_windows(50)},
+runs AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hits),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs)
+SELECT doc_id, min(i)::BIGINT AS start_word, (max(i) + 50 - min(i))::BIGINT AS n_words, min(lo) AS first_doc_id FROM numbered GROUP BY doc_id, run
+"""
+
+NN_DESCENT = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
+  WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, a.e) > 0 AND list_inner_product(b.e, b.e) > 0
+    AND list_inner_product(a.e, b.e) >= 0.9 * sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id,
+  least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) = vec_id AS kept
+FROM v
+"""
+
+SQL = {
+    "op1_nn_descent": NN_DESCENT,
+    "op4_suffix_trees": SUFFIX_TREES,
+    "op10_sparse_suffix": SPARSE_SUFFIX,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op13_merkle_manifest": MERKLE,
+}

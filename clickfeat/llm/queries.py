@@ -53,7 +53,7 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents and benchmark items that share a template window with agreeing slots."""
+    """Documents and classes of benchmark items that share a template window with agreeing slots."""
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

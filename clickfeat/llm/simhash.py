@@ -123,7 +123,8 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = connected_components(links(distinct.withColumn("rep", F.col("fp")), max_bits)).withColumnRenamed("id", "fp")
     grouped = prints.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = materialize(grouped.select("component", "key", "th", "n"), "groups")
-    first = grouped.groupBy("component").agg(F.min(F.struct("key", "th")).alias("first"))
+    # Written, so that the join below has a shuffle of its own on either side and Spark can split a large component.
+    first = materialize(grouped.groupBy("component").agg(F.min(F.struct("key", "th")).alias("first")), "first")
     placed = grouped.join(first, "component").withColumn("stays", F.struct("key", "th") == F.col("first"))
     gone = materialize(placed.filter("not stays").select("key", "th").distinct(), "copies")
     again = materialize(placed.filter("stays and n > 1").select("key", "th").distinct(), "again")
