@@ -132,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     asked = _asked(benchmark, item_col, item_text)
     n = asked.select("h").distinct().count()
     widths = [r[0] for r in asked.select("width").distinct().collect()]  # short windows are asked for only by short items
-    hits = _emit(keyed_text(docs, id_col, text_col), widths, False, bitmap(asked, n))
+    hits = _emit(keyed_text(docs, id_col, text_col), widths, False, bitmap(asked, n, 512))
     classes = asked.select("h", "pattern", "item").distinct()
     values = asked.select("h", "pattern", "slots").distinct().withColumn("same", F.lit(True))
     met = hits.join(classes, ["h", "pattern"]).join(values, ["h", "pattern", "slots"], "left")

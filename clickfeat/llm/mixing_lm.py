@@ -54,7 +54,9 @@ FIT_GAIN = 1e-3  # the fit of starting weights ends when a step promises less th
 FIT_STEPS = 100
 LEVELS = 31  # cells of a stretched prediction, half a unit wide, the outer ones open
 RIDGE = 1.0  # pull of a gate's weights to the plain ones, in decisions
-BLOCK = 64  # decisions between two steps of a text's weights
+BLOCK = 64  # decisions between two steps of a text's weights, at its beginning
+EARLY = 32  # blocks of that size; the weights have found their place then, and the blocks after them are longer
+LATER = 256
 RATE = 0.05
 PIECE = 1 << 17  # bytes of text handled at once
 TOKEN, BYTE, END = 0, 1, 2
@@ -369,63 +371,65 @@ def _gate(sym, owner, first_byte, level1, level2):
 def _adapt(weights, x, gate, bit, sizes, rate, own=None):
     """The bits (log2) of each text, and the last text's weights. Every text has weights of its own, which follow its bits after each block.
 
-    x: a row of inputs per decision; sizes: decisions of each text; own: the weights that the first text goes on with.
+    x: a column of inputs per decision; sizes: decisions of each text; own: the weights that the first text goes on with.
     """
     k = len(sizes)
     # All first blocks, then all second ones, and so on: a round is a run of rows. Texts with more rounds come first,
     # so that those with a block in a round are the first ones.
-    rounds = -(-sizes // BLOCK)
+    long = np.maximum(sizes - EARLY * BLOCK, 0)
+    rounds = -(-(sizes - long) // BLOCK) + -(-long // LATER)
     rank = np.empty(k, np.int64)
     rank[np.argsort(-rounds, kind="stable")] = np.arange(k)
-    w = np.tile(weights.astype(np.float32), (k, 1))
+    w = np.tile(weights.astype(np.float32).T, (1, k))
     if own is not None:
-        w[rank[0] * GATES : (rank[0] + 1) * GATES] = own
+        w[:, rank[0] * GATES : (rank[0] + 1) * GATES] = own.T
     doc = np.repeat(np.arange(k), rounds)
     number = _ranges(np.zeros(k, np.int64), rounds)
     order = np.lexsort((rank[doc], number))
     doc, number = doc[order], number[order]
-    begin = (np.cumsum(sizes) - sizes)[doc] + number * BLOCK
-    size = np.minimum(sizes[doc] - number * BLOCK, BLOCK)
+    before = np.minimum(number, EARLY) * BLOCK + np.maximum(number - EARLY, 0) * LATER
+    begin = (np.cumsum(sizes) - sizes)[doc] + before
+    size = np.minimum(sizes[doc] - before, np.where(number < EARLY, BLOCK, LATER))
     gate = gate + np.repeat(rank * GATES, sizes)
     sign = np.float32(1) - np.float32(2) * bit
     if k > 1:
         at = _ranges(begin, size)
-        x, gate, sign = x.take(at, axis=0), gate[at], sign[at]
+        x, gate, sign = x.take(at, axis=1), gate.take(at), sign.take(at)
     ends = np.cumsum(size)
     cost = np.empty(len(sign), np.float32)
     n_rounds = np.bincount(number)
     a = 0
     for j, last in zip(n_rounds, np.cumsum(n_rounds), strict=True):
         z = ends[last - 1]
-        g, xs, s = gate[a:z], x[a:z], sign[a:z]
-        part = w.take(g, axis=0)
-        part *= xs
-        mixed = part[:, 0] + part[:, 1]
-        for i in range(2, INPUTS):
-            mixed += part[:, i]
+        g, s = gate[a:z], sign[a:z]
+        m = j * GATES
+        mixed = w[0].take(g)
+        mixed *= x[0, a:z]
+        for i in range(1, INPUTS):
+            part = w[i].take(g)
+            part *= x[i, a:z]
+            mixed += part
         np.clip(mixed, -11.5, 11.5, out=mixed)
         mixed *= s
-        odds = np.exp(mixed, out=mixed)
-        cost[a:z] = odds
-        error = -s * odds / (1 + odds)  # the bit less its probability
-        m = j * GATES
+        odds = np.exp(mixed, out=cost[a:z])
+        error = odds / (odds + np.float32(1))
+        error *= s  # the bit's probability less the bit
         pace = rate / np.sqrt(np.maximum(np.bincount(g, minlength=m), 1))
         for i in range(INPUTS):
-            w[:m, i] += pace * np.bincount(g, error * xs[:, i], minlength=m)
+            w[i, :m] -= pace * np.bincount(g, error * x[i, a:z], minlength=m)
         a = z
-    cost += 1
-    np.log(cost, out=cost)
+    np.log1p(cost, out=cost)
     of = np.add.reduceat(cost, ends - size, dtype=np.float64) if len(size) else np.zeros(0)
-    return np.bincount(doc, of, minlength=k) / np.log(2), w[rank[-1] * GATES : (rank[-1] + 1) * GATES].copy()
+    return np.bincount(doc, of, minlength=k) / np.log(2), w[:, rank[-1] * GATES : (rank[-1] + 1) * GATES].T.copy()
 
 
 def _inputs(ready, slots):
     """Stretched predictions and a bias, and the levels of the two longer contexts."""
     got = [ready[i].take(slots[i], mode="clip") for i in range(ORDERS)]
-    x = np.empty((len(got[0]), INPUTS), np.float32)
+    x = np.empty((INPUTS, len(got[0])), np.float32)
     for i, v in enumerate(got):
-        np.multiply(v >> np.int16(2), np.float32(1 / STEP), out=x[:, i], casting="unsafe")
-    x[:, ORDERS] = 0.3
+        np.multiply(v >> np.int16(2), np.float32(1 / STEP), out=x[i], casting="unsafe")
+    x[ORDERS] = 0.3
     return x, got[1] & np.int16(3), got[2] & np.int16(3)
 
 

@@ -105,9 +105,9 @@ def _counted(rows: DataFrame, shape: Shape) -> DataFrame:
     return counts.filter("lo < hi").select("h", "n")
 
 
-def bitmap(repeated: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """A bitmap over the leading bits of the hashes: (number of bits, bytes)."""
-    bits = min(MAX_BITS, max(16, (16 * n).bit_length()))
+def bitmap(repeated: DataFrame, n: int, per: int = 16) -> tuple[int, np.ndarray]:
+    """A bitmap over the leading bits of the ``n`` hashes, with ``per`` bits or more for each while its bound allows: (number of bits, bytes)."""
+    bits = min(MAX_BITS, max(16, (per * n).bit_length()))
     slot = F.shiftrightunsigned("h", 64 - bits)
     cells = repeated.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int)))").alias("bits"))
     got = cells.toPandas()

@@ -29,8 +29,8 @@ def test_pieces_go_on_with_the_contexts_of_their_text(code):
 def test_short_texts_adapt_and_every_decision_counts():
     # Only decisions outside every fourth place tell that the weight's sign is wrong.
     n = 600
-    x = np.zeros((n, INPUTS), np.float32)
-    x[np.arange(n) % 4 != 0, 0] = 2.0
+    x = np.zeros((INPUTS, n), np.float32)
+    x[0, np.arange(n) % 4 != 0] = 2.0
     weights, gate = np.full((GATES, INPUTS), -0.5), np.zeros(n, np.int64)
     bit = np.ones(n, np.uint8)
     start = n * 0.25 + n * 0.75 * np.log2(1 + np.exp(1.0))
@@ -38,7 +38,7 @@ def test_short_texts_adapt_and_every_decision_counts():
     assert bits[0] < 0.8 * start
     assert own[0, 0] > 0 and own[1, 0] == np.float32(-0.5)
     # A following piece goes on with the weights; another text of the run does not.
-    both, _ = mixing_lm._adapt(weights, np.vstack((x, x)), np.zeros(2 * n, np.int64), np.ones(2 * n, np.uint8), np.array([n, n]), 0.05, own)
+    both, _ = mixing_lm._adapt(weights, np.hstack((x, x)), np.zeros(2 * n, np.int64), np.ones(2 * n, np.uint8), np.array([n, n]), 0.05, own)
     assert both[0] < bits[0] and both[1] == pytest.approx(bits[0])
 
 
