@@ -1,54 +1,33 @@
 """Model metrics (M6): exact AUC, per group, without a single-task sort.
 
 AUC with ties counted half is ``sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N)``
-over distinct scores ``s``. ``neg_below`` is a prefix sum in score order,
-computed in two levels so no task holds all scores of a group:
-
-1. distinct ``(group, score)`` with positive / negative counts (partial aggregate);
-2. per group, ``buckets - 1`` approximate score quantiles (a table of
-   ``groups x buckets`` values); a score's bucket is the number of
-   boundaries below it, so equal scores share a bucket and buckets follow
-   score order;
-3. per ``(group, bucket)`` negative totals, and their prefix over buckets
-   (a window over ``groups x buckets`` rows);
-4. inside each ``(group, bucket)`` a running sum in score order plus the
-   bucket's offset.
-
-The quantiles only balance the buckets; the result is exact for any boundaries.
+over distinct scores ``s``. Distinct ``(group, score)`` rows with their counts
+(partial aggregate) get ``neg_below`` as a prefix sum in the order of group and
+score (``operators.prefix``: range-partitioned, so tasks follow the number of
+distinct scores, and neither a group nor all scores meet in one task). The sum
+runs on from group to group; what lies before a group's first score is taken
+off again in the group's own aggregate.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import running_before
+
 _G = "__group"
 
 
-def auc_by_group(df: DataFrame, score: str, label: str, group: str | None = None, buckets: int = 128,
-                 accuracy: int = 10_000, out: str = "auc") -> DataFrame:
+def auc_by_group(df: DataFrame, score: str, label: str, group: str | None = None, out: str = "auc") -> DataFrame:
     """One row per group (or one row when ``group`` is None) with its exact AUC."""
     g = F.col(group) if group else F.lit(0)
     data = df.select(g.alias(_G), F.col(score).cast("double").alias("__s"), F.col(label).cast("double").alias("__y"))
     d = data.groupBy(_G, "__s").agg(F.sum("__y").alias("__pos"), F.sum(F.lit(1.0) - F.col("__y")).alias("__neg"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(_G).agg(F.percentile_approx("__s", probs, accuracy).alias("__bounds"))
-    # one group: a single row of bounds, broadcast; many groups: groups x
-    # buckets values, left to AQE's measured broadcast / sort-merge choice
-    small = (lambda t: F.broadcast(t)) if group is None else (lambda t: t)
-    d = d.join(small(bounds), _G)
-    d = d.withColumn("__b", F.size(F.filter("__bounds", lambda x: x < F.col("__s")))).drop("__bounds")
-    per_b = d.groupBy(_G, "__b").agg(F.sum("__neg").alias("__bneg"))
-    wb = Window.partitionBy(_G).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    per_b = per_b.withColumn("__off", F.coalesce(F.sum("__bneg").over(wb), F.lit(0.0))).drop("__bneg")
-    d = d.join(small(per_b), [_G, "__b"])
-    w = Window.partitionBy(_G, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__below", F.col("__off") + F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
-    res = d.groupBy(_G).agg(
-        (F.sum(F.col("__pos") * (F.col("__below") + F.lit(0.5) * F.col("__neg")))
-         / (F.sum("__pos") * F.sum("__neg"))).alias(out)
-    )
+    d = running_before(d, [_G, "__s"], "__below", "__neg")
+    pairs = F.sum(F.col("__pos") * (F.col("__below") + F.lit(0.5) * F.col("__neg"))) - F.min("__below") * F.sum("__pos")
+    res = d.groupBy(_G).agg((pairs / (F.sum("__pos") * F.sum("__neg"))).alias(out))
     return res.withColumnRenamed(_G, group) if group else res.select(out)
 
 

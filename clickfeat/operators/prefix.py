@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..sources.sinks import materialize
 
@@ -23,14 +24,16 @@ def running_before(df: DataFrame, order: Sequence[str], out: str, amount: str |
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     placed = materialize(placed.withColumn("__part", F.shiftright("__at", 33)), "placed")
     total: Column = F.count(F.lit(1)) if amount is None else F.sum(amount)
-    before, rows = 0, []
-    for r in placed.groupBy("__part").agg(total.alias("n")).orderBy("__part").collect():  # a row per task
+    totals = placed.groupBy("__part").agg(total.alias("n"))
+    kind = totals.schema["n"].dataType
+    before, rows = (0.0 if isinstance(kind, DoubleType) else 0), []
+    for r in totals.orderBy("__part").collect():  # a row per task
         rows.append((r["__part"], before))
         before += r.n or 0
-    starts = df.sparkSession.createDataFrame(rows, "__part long, __before long")
+    starts = df.sparkSession.createDataFrame(rows, f"__part long, __before {kind.simpleString()}")
     if amount is None:
         own = F.col("__at") - F.shiftleft("__part", 33)
     else:
         w = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
         own = F.coalesce(F.sum(amount).over(w), F.lit(0))
-    return placed.join(F.broadcast(starts), "__part").withColumn(out, (F.col("__before") + own).cast("long")).drop("__at", "__part", "__before")
+    return placed.join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + own).drop("__at", "__part", "__before")

@@ -78,11 +78,18 @@ def test_two_level_auc_equals_evaluator(planted, spark):
     s = planted.withColumn("s", F.round(F.col("x1") * 20) / 20)  # many ties
     ev = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0).evaluate(
         s.withColumn("y", F.col("is_attributed").cast("double")))
-    for b in (2, 7, 128):
-        got = auc_by_group(s, "s", "is_attributed", buckets=b).first()[0]
-        assert got == pytest.approx(ev, abs=1e-12)
-    per = {r["cat"]: r["auc"] for r in auc_by_group(s, "s", "is_attributed", group="cat", buckets=5).collect()}
-    assert set(per) == {0, 1, 2, 3}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = auc_by_group(s, "s", "is_attributed").first()[0]
+            assert got == pytest.approx(ev, abs=1e-12)
+            per = {r["cat"]: r["auc"] for r in auc_by_group(s, "s", "is_attributed", group="cat").collect()}
+            for c in range(4):
+                assert per[c] == pytest.approx(auc_by_group(s.filter(F.col("cat") == c), "s", "is_attributed").first()[0], abs=1e-12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert auc_by_group(s.limit(0), "s", "is_attributed").first() is None
 
 
 def test_longer_fit_begins_with_the_same_trees(trained):
@@ -200,3 +207,16 @@ def test_prefix_sums_need_no_single_task(spark):
     for r in out.orderBy("o").collect():
         assert r.before == total
         total += r.n
+
+
+@pytest.mark.parametrize("literals", [3, 200])
+def test_dictionary_codes_are_ranks_by_expression_or_join(spark, monkeypatch, literals):
+    from clickfeat.operators import encode
+
+    monkeypatch.setattr(encode, "LITERALS", literals)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", "a", None, "ä", "c", "a", "B"])], "i int, v string")
+    want = {0: 2, 1: 1, 2: None, 3: 4, 4: 3, 5: 1, 6: 0}
+    assert {r.i: r.v for r in encode.dictionary_encode(df, "v").collect()} == want
+    some = encode.dictionary_encode(df, "v", "code", fit_on=df.filter("v in ('a', 'B', 'c', 'b')")).collect()
+    assert {r.i: r.code for r in some} == {0: 2, 1: 1, 2: None, 3: 4, 4: 3, 5: 1, 6: 0}
+    assert encode.dictionary_encode(df.filter("v is null"), "v").collect()[0].v is None
