@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from ..schema import ORDER_TIME
 
+DOMAIN = "domain"  # metadata of a column: how many values it can have, by what it is computed from
+
+
+def _bounded(c: Column, name: str, values: int) -> Column:
+    return c.cast("int").alias(name, metadata={DOMAIN: values})
+
+
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 # The hour groups of the `in_test_hh` feature (the hours most
@@ -41,28 +48,24 @@ def epoch_seconds(c: str | Column = ORDER_TIME) -> Column:
 
 def hour(c: str | Column = ORDER_TIME) -> Column:
     """0-23."""
-    return F.hour(as_ntz(c)).cast("int")
+    return _bounded(F.hour(as_ntz(c)), "hour", 24)
 
 
 def day(c: str | Column = ORDER_TIME) -> Column:
     """Day of month 1-31."""
-    return F.dayofmonth(as_ntz(c)).cast("int")
+    return _bounded(F.dayofmonth(as_ntz(c)), "day", 31)
 
 
 def wday(c: str | Column = ORDER_TIME) -> Column:
     """Day of week with Monday = 0 (``F.dayofweek`` would give Monday = 2)."""
-    return F.weekday(as_ntz(c)).cast("int")
+    return _bounded(F.weekday(as_ntz(c)), "wday", 7)
 
 
 def in_test_hh(h: str | Column = "hour") -> Column:
     """1 for the most frequent test hours, 2 for the least frequent, else 3."""
     h = _col(h)
-    return (
-        F.when(h.isin(*MOST_FREQUENT_TEST_HOURS), F.lit(1))
-        .when(h.isin(*LEAST_FREQUENT_TEST_HOURS), F.lit(2))
-        .otherwise(F.lit(3))
-        .cast("int")
-    )
+    group = F.when(h.isin(*MOST_FREQUENT_TEST_HOURS), F.lit(1)).when(h.isin(*LEAST_FREQUENT_TEST_HOURS), F.lit(2)).otherwise(F.lit(3))
+    return _bounded(group, "in_test_hh", 3)
 
 
 def add_time_parts(df, time_col: str = ORDER_TIME, parts=("hour", "day", "wday")):

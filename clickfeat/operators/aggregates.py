@@ -9,8 +9,8 @@ Exact distinct counts are planned by Spark as a two-level aggregate over
 All aggregates that share a key set are fused into one group-by and one join.
 The join back is a left equi-join (row count and NULL keys preserved):
 
-* an aggregate whose keys look like calendar parts (hour, day, ...) is written and
-  its rows are counted; if they are as few as that suggests, it is broadcast;
+* an aggregate whose keys are all calendar parts, as their columns' metadata say
+  (set where the parts are computed), has a proven size bound and is broadcast;
 * any other aggregate is left to the planner: the static estimate of an
   aggregate is bounded by its input, and AQE re-plans to a broadcast join
   only after measuring the materialised aggregate; otherwise it stays a
@@ -27,12 +27,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.stats import sample_skewness
-from ..sources.sinks import materialize
+from ..functions.timeparts import DOMAIN
 
 KINDS = ("count", "nonnull", "nunique", "mean", "var", "skew", "max", "min", "sum")
 
-# Columns that usually have a small domain. The names only say which aggregates are worth counting.
-SMALL_DOMAINS = frozenset({"hour", "wday", "day", "in_test_hh"})
 BROADCAST_ROW_LIMIT = 100_000
 
 
@@ -116,17 +114,23 @@ class GroupPlan:
         return plan
 
 
+def bound_of(df: DataFrame, keys: Sequence[str]) -> float:
+    """How many groups ``keys`` can have, from the columns' metadata (NULL is a value too); infinite where none says."""
+    bound = 1.0
+    for k in keys:
+        bound *= df.schema[k].metadata.get(DOMAIN, float("inf")) + 1
+    return bound
+
+
 def group_table(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg]) -> DataFrame:
     """One row per key with every fused aggregate as a column."""
     return df.groupBy(*keys).agg(*[agg_expr(a).alias(a.name) for a in aggs])
 
 
 def join_back(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left equi-join of a per-key table, broadcast only with a counted size."""
-    if SMALL_DOMAINS.issuperset(keys):
-        table = materialize(table, "domain")
-        if table.count() <= BROADCAST_ROW_LIMIT:
-            table = F.broadcast(table)
+    """Left equi-join of a per-key table, broadcast only with a proven bound."""
+    if bound_of(df, keys) <= BROADCAST_ROW_LIMIT:
+        table = F.broadcast(table)
     return df.join(table, on=list(keys), how="left")
 
 

@@ -60,3 +60,18 @@ def test_wrap_unsigned_and_bucket(spark):
                   composite_key_bucket(["a", "b"], 2**26).alias("h")).first()
     assert (r["a"], r["b"]) == (4464, 44)
     assert 0 <= r["h"] < 2**26
+
+
+def test_calendar_bounds_are_declared_on_the_columns(spark, tmp_path):
+    """The bound follows the column, not its name, through selects, joins and files."""
+    from clickfeat.functions.timeparts import add_time_parts, in_test_hh
+    from clickfeat.operators.aggregates import bound_of
+
+    df = spark.createDataFrame([(dt.datetime(2017, 11, 7, 4), 1)], "click_time timestamp_ntz, ip long")
+    df = add_time_parts(df).withColumn("in_test_hh", in_test_hh("hour"))
+    assert bound_of(df, ["hour", "wday"]) == 25 * 8 and bound_of(df, ["day", "in_test_hh"]) == 32 * 4
+    assert bound_of(df, ["hour", "ip"]) == float("inf")
+    df.write.parquet(str(tmp_path / "t"))
+    again = spark.read.parquet(str(tmp_path / "t")).join(df.groupBy("ip").count(), "ip")
+    assert bound_of(again, ["hour", "wday"]) == 25 * 8
+    assert bound_of(df.withColumn("day", F.to_date("click_time")), ["day"]) == float("inf")
