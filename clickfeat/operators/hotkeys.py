@@ -34,7 +34,7 @@ from ..sources.sinks import materialize
 
 BUCKET = "__bucket"
 HOT = "__hot"
-SLOTS = 1 << 16  # counters per key set in the first pass
+SLOTS = 1 << 16  # counters per key set in the first pass, at least
 CELLS = 4  # cells per bucket's worth of rows
 
 
@@ -100,23 +100,28 @@ def _nodes(span_of: DataFrame, rows: int) -> DataFrame:
     })
 
 
-def hot_stats(df: DataFrame, key_sets: Sequence[Sequence[str]], time: str, tie: str, rows: int) -> HotStats:
+def slots_for(n: int, rows: int) -> int:
+    """Counters for a table of ``n`` rows: so many that an average one holds an eighth of ``rows`` at most, so that slots without a hot key are told apart."""
+    return max(SLOTS, 1 << (8 * n // max(rows, 1)).bit_length())
+
+
+def hot_stats(df: DataFrame, key_sets: Sequence[Sequence[str]], time: str, tie: str, rows: int, slots: int = SLOTS) -> HotStats:
     """The keys with more than ``rows`` rows, of all key sets, in two passes over the key columns."""
     sets = tuple(tuple(k) for k in key_sets)
     none = HotStats(sets, frozenset(), None, rows)
     if not sets:
         return none
     hashes = [_hash(i, k) for i, k in enumerate(sets)]
-    slots = [(F.pmod(h, F.lit(SLOTS)) + i * SLOTS).cast("int") for i, h in enumerate(hashes)]
-    counted = df.select(F.explode(F.array(*slots)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    places = [F.pmod(h, F.lit(slots)) + F.lit(i * slots) for i, h in enumerate(hashes)]
+    counted = df.select(F.explode(F.array(*places)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     heavy = materialize(counted.filter(F.col("n") > rows).select("slot"), "slots")
     if heavy.isEmpty():
         return none
-    pairs = F.explode(F.array(*[F.struct(s.alias("slot"), h.alias("h")) for s, h in zip(slots, hashes, strict=True)]))
+    pairs = F.explode(F.array(*[F.struct(s.alias("slot"), h.alias("h")) for s, h in zip(places, hashes, strict=True)]))
     seen = df.select(F.col(time).alias("t"), F.col(tie).cast("long").alias("r"), pairs.alias("p"))
     seen = seen.select("t", "r", "p.slot", "p.h").join(F.broadcast(heavy), "slot")
     spans = [F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("r").alias("r0"), F.max("r").alias("r1")]
-    table = seen.groupBy("h", _div(F.col("slot"), F.lit(SLOTS)).cast("int").alias("s")).agg(*spans)
+    table = seen.groupBy("h", _div(F.col("slot"), F.lit(slots)).cast("int").alias("s")).agg(*spans)
     table = materialize(table.filter(F.col("n") > rows), "hot")
     hot = [r.s for r in table.select("s").distinct().collect()]  # at most one row per key set
     return HotStats(sets, frozenset(sets[i] for i in hot), table, rows) if hot else none

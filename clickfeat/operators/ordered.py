@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import all_not_null
 from ..functions.timeparts import epoch_micros, epoch_seconds
 from ..schema import ORDER_TIE, ORDER_TIME
-from .hotkeys import BUCKET, HOT, HotKeys, HotStats, cuts, hot_stats
+from .hotkeys import BUCKET, HOT, SLOTS, HotKeys, HotStats, cuts, hot_stats, slots_for
 
 _T = "__t"  # epoch micros of the order time
 _B = BUCKET
@@ -124,7 +124,8 @@ def find_hot(df: DataFrame, key_sets: Sequence[Sequence[str]], order: Order = Or
     if not skew.may_have_heavy():
         return {}
     base = df.withColumn(_T, epoch_micros(order.time))
-    stats: HotStats = hot_stats(base, key_sets, _T, order.tie, skew.heavy_rows)
+    slots = SLOTS if skew.n_rows is None else slots_for(skew.n_rows, skew.heavy_rows)
+    stats: HotStats = hot_stats(base, key_sets, _T, order.tie, skew.heavy_rows, slots)
     return cuts(base, stats, _T, order.tie)
 
 

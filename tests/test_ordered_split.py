@@ -136,13 +136,22 @@ def test_hot_keys_of_all_sets_are_exact(base):
     rows = base.withColumn(W._T, W.epoch_micros("click_time"))
     sets = [("device",), ("ip",), ("ip", "os"), ("device", "hour"), ()]
     for bound in (20, 140, 3000, 10_000):
-        stats = H.hot_stats(rows, sets, W._T, "row_id", bound)
+        stats = H.hot_stats(rows, sets, W._T, "row_id", bound, 4 if bound == 140 else H.SLOTS)  # 4 slots: all keys share them
         want = {s: rows.groupBy(*s).count().filter(F.col("count") > bound).count() for s in sets}
         assert {s for s in sets if want[s]} == set(stats.hot)
         if stats.table is not None:
             assert {sets[r.s]: r["count"] for r in stats.table.groupBy("s").count().collect()} == {s: n for s, n in want.items() if n}
 
 
+def test_counters_follow_the_hot_keys_there_can_be():
+    from clickfeat.operators.hotkeys import SLOTS, slots_for
+
+    assert slots_for(10**6, 10**6) == SLOTS
+    for n in (10**9, 10**11, 10**13):
+        rows = max(10**6, n // 100_000)
+        assert n / slots_for(n, rows) <= rows / 8 and slots_for(n, rows) <= 1 << 20
+
+
 def test_hot_family_takes_no_supersets():
     from clickfeat.plans.specs import window_families
 
