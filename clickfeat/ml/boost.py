@@ -3,12 +3,12 @@
 Trees are fitted one by one on the gradient of the logistic loss, as
 ``GBTClassifier`` does: labels -1 and 1, the first tree on the labels with
 weight 1, each later one on ``4 y / (1 + exp(2 y m))`` at the margin ``m`` with
-the step size as its weight. A tree is a ``RandomForestRegressor`` of one tree
-without replacement, so subsampling, feature subsets and row weights work as
-they do there. Margins are written with the training rows once per ``BLOCK``
-trees; the trees since then are evaluated from their flat arrays. So a larger
-budget adds trees and fits none again: a forest grown in steps is the forest
-grown at once, tree by tree.
+the step size as its weight. A tree is grown from histograms of rows that are
+binned once (``trees``), with the subsampling, feature subsets, row weights and
+conditions that Spark's own trees take. Margins are written with the training
+rows' blocks every few trees; the trees since then are evaluated on the bins.
+So a larger budget adds trees and fits none again: a forest grown in steps is
+the forest grown at once, tree by tree.
 """
 
 from __future__ import annotations
@@ -16,34 +16,36 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import materialize
-from .forest import Forest, Node, margin_column, table_nodes
+from . import trees as T
+from .forest import Forest, Node
 
 BLOCK = 25
+HELD = 8  # trees that are evaluated in each pass, at most; then their margins are stored
 
 
 @dataclass
 class Booster:
     """Training rows with their margins at the last block's end, and the trees so far."""
 
-    rows: DataFrame  # features, y (-1 or 1), weight, m
+    rows: DataFrame  # blocks of bin codes, y (-1 or 1), m
+    bins: T.Bins
     params: object
     nodes: list[Node] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     gains: list[tuple[int, int, float]] = field(default_factory=list)  # tree, feature, gain of every split
-    stored: int = 0  # trees within the stored margins
+    held: list[tuple[T.Tree, float]] = field(default_factory=list)  # trees since the stored margins
     fitted: int = 0  # trees ever fitted
 
     @classmethod
     def start(cls, train: DataFrame, params, label: str = "is_attributed", features: str = "features") -> Booster:
         y = F.when(F.col(label) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        weight = F.when(F.col(label) == 1, F.lit(float(params.pos_weight))).otherwise(F.lit(1.0))
-        rows = train.select(F.col(features).alias("features"), y.alias("y"), weight.alias("weight"), F.lit(0.0).alias("m"))
-        return cls(materialize(rows, "boost"), params)
+        rows = materialize(train.select(F.col(features).alias("features"), y.alias("y")), "boost")
+        bins = T.Bins.of(rows, params)
+        return cls(T.blocks(rows, bins), bins, params)
 
     def __len__(self) -> int:
         return len(self.weights)
@@ -52,37 +54,21 @@ class Booster:
         k = len(self) if k is None else k
         return Forest.of_nodes([n for n in self.nodes if n.tree < k], self.weights[:k])
 
-    def _since_stored(self) -> Forest:
-        nodes = [Node(**{**n.__dict__, "tree": n.tree - self.stored}) for n in self.nodes if n.tree >= self.stored]
-        return Forest.of_nodes(nodes, self.weights[self.stored :])
-
-    def _margin(self):
-        m = F.col("m")
-        return m if self.stored == len(self) else m + margin_column(self._since_stored(), "features")
-
     def grow(self, upto: int) -> Booster:
         """Adds trees until there are ``upto``."""
-        p = self.params
         while len(self) < upto:
-            if len(self) - self.stored >= BLOCK:
-                self.rows = materialize(self.rows.withColumn("m", self._margin()), "boost")
-                self.stored = len(self)
+            if len(self.held) >= min(BLOCK, HELD):
+                self.rows, self.held = T.stored(self.rows, self.bins, self.held), []
             i = len(self)
-            y = F.col("y")
-            target = y if i == 0 else 4.0 * y / (1.0 + F.exp(2.0 * y * self._margin()))
-            tree = RandomForestRegressor(
-                featuresCol="features", labelCol="target", weightCol="weight", numTrees=1, bootstrap=False, subsamplingRate=p.subsampling_rate,
-                featureSubsetStrategy=p.feature_subset, maxDepth=p.max_depth, maxBins=p.max_bins, minInstancesPerNode=p.min_instances_per_node,
-                minInfoGain=p.min_info_gain, seed=p.seed + i,
-            ).fit(self.rows.select("features", "weight", target.alias("target")))
-            self._add(tree.trees[0], 1.0 if i == 0 else p.step_size)
+            self._add(T.grow_tree(self.rows, self.bins, self.params, self.held, i), 1.0 if i == 0 else self.params.step_size)
         return self
 
-    def _add(self, tree: DecisionTreeRegressionModel, weight: float) -> None:
-        nodes, gains = table_nodes(tree, len(self))
+    def _add(self, tree: T.Tree, weight: float) -> None:
+        nodes, gains = tree.nodes(len(self), self.bins)
         self.nodes += nodes
         self.gains += gains
         self.weights.append(weight)
+        self.held.append((tree, weight))
         self.fitted += 1
 
 

@@ -533,24 +533,37 @@ def _ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day_split(feats, valid_from=22, test_from=26)
 
 
-def _ml_table(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    """``staged``, ``scores`` or ``importance`` of the early-stopped fit."""
+def _ml_stored(spark: SparkSession, sf_dir: str, part: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """A part of the models' work in the store, under what all of them are computed from."""
     from ..ml import gbt
-    from ..ml.train import validate_and_score
     from ..sources.sinks import cached_table, fingerprint, input_identity
     from .kernels import CATEGORICAL_1, KERNEL1, RATES, predictors
 
     spec = (KERNEL1, gbt.PARAMS["kernel1"], predictors("kernel1"), CATEGORICAL_1, RATES)
     key = fingerprint(spec, input_identity(spark, f"{sf_dir}/events.parquet"))
+    return cached_table(spark, f"model-{part}", key, compute)
+
+
+def _ml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written feature table, which the early-stopped fit and the refit share."""
+    return _ml_stored(spark, sf_dir, "features", lambda: _ml_features(spark, sf_dir))
+
+
+def _ml_table(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """``staged``, ``scores`` or ``importance`` of the early-stopped fit."""
+    from ..ml import gbt
+    from ..ml.train import validate_and_score
+    from .kernels import CATEGORICAL_1, RATES, predictors
+
     fitted = []
 
     def table(name: str) -> DataFrame:
         def compute() -> DataFrame:
             if not fitted:
-                fitted.append(validate_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rates=RATES))
+                fitted.append(validate_and_score(_ml_rows(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rates=RATES, written=True))
             return getattr(fitted[0], name)
 
-        return cached_table(spark, f"model-{name}", key, compute)
+        return _ml_stored(spark, sf_dir, name, compute)
 
     return {name: table(name) for name in ("staged", "scores", "importance")}[part]
 
@@ -577,7 +590,7 @@ def q_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kernels import CATEGORICAL_1, RATES, predictors
 
     k = gbt.best_iteration(_ml_table(spark, sf_dir, "staged"), gbt.PARAMS["kernel1"].patience)
-    return refit_and_score(_ml_features(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rounds=k, rates=RATES)
+    return refit_and_score(_ml_rows(spark, sf_dir), predictors("kernel1"), CATEGORICAL_1, gbt.PARAMS["kernel1"], rounds=k, rates=RATES, written=True)
 
 
 # --- model inputs and evaluation over the whole table (M1, M2, M5, M8) -----------

@@ -220,3 +220,23 @@ def test_dictionary_codes_are_ranks_by_expression_or_join(spark, monkeypatch, li
     some = encode.dictionary_encode(df, "v", "code", fit_on=df.filter("v in ('a', 'B', 'c', 'b')")).collect()
     assert {r.i: r.code for r in some} == {0: 2, 1: 1, 2: None, 3: 4, 4: 3, 5: 1, 6: 0}
     assert encode.dictionary_encode(df.filter("v is null"), "v").collect()[0].v is None
+
+
+def test_a_tree_takes_one_pass_a_level_and_is_sparks_own(planted, spark, monkeypatch):
+    """With all rows and features, the trees of ``GBTClassifier``; and no more than a job a level for each."""
+    params = gbt.TrainParams(step_size=0.2, max_depth=3, min_instances_per_node=20, max_bins=16, rounds=6, pos_weight=5.0, subsampling_rate=1.0, feature_subset="all")
+    fm = gbt.feature_matrix(planted, ["x1", "x2", "cat"], ["cat"], "is_attributed", params.max_bins)
+    data = fm.transform(planted).cache()
+    booster = boost.Booster.start(data, params)
+    sc = spark.sparkContext
+    sc.setJobGroup("six-trees", "six trees")
+    booster.grow(6)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("six-trees"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6 * params.max_depth
+    model = gbt.fit(data, params)
+    x = np.array([r.features.toArray() for r in data.select("features").collect()])
+    got, want = booster.forest().margins(x, 0, 6), gbt.forest_of(model).margins(x, 0, 6)
+    assert got == pytest.approx(want, abs=1e-6)
+    assert sorted((t, f) for t, f, _ in booster.gains) == sorted((t, f) for i, tree in enumerate(model.trees) for t, f, _ in gbt.table_nodes(tree, i)[1])
+    assert sum(g for *_, g in booster.gains) == pytest.approx(sum(g for i, tree in enumerate(model.trees) for *_, g in gbt.table_nodes(tree, i)[1]), rel=1e-6)
