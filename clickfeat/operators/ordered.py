@@ -48,6 +48,7 @@ MICROS = 1_000_000
 DAY_SECONDS = 86_400
 # Fixed value: the "no later click" sentinel of the whole-second next-click gap.
 NEXT_CLICK_SENTINEL = 3_000_000_000
+FAMILY_ROWS = 100_000  # rows of a task that runs all windows of a family: each of them sorts them, and a task holds these sorts together
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,7 @@ def ordered_family(
     source = (df if source is None else source).withColumn(_T, epoch_micros(order.time))
     out = df.withColumn(_T, epoch_micros(order.time))
     if _hot_name(fam) not in hot:
-        out = _plain_family(out, fam, groups, order)
+        out = _plain_family(out, fam, groups, order, skew.n_rows)
     else:
         for gkeys, reqs in groups:
             found = hot.get(_hot_name(gkeys))
@@ -174,8 +175,18 @@ def _hot_name(keys: Sequence[str]) -> tuple[str, ...]:
     return tuple(sorted(keys))
 
 
-def _plain_family(df, fam, groups, order):
-    out = df.repartition(*fam) if fam and len(groups) > 1 else df
+def family_tasks(df: DataFrame, rows: int | None) -> list[int]:
+    """The number of a family's tasks, where it has to be asked for: then it does not follow the shuffled, compressed bytes.
+
+    No less than the session's own number, as a join would deal the rows anew then instead of following the family.
+    """
+    conf = df.sparkSession.conf
+    usual = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
+    return [] if rows is None or rows <= FAMILY_ROWS else [max(usual, math.ceil(rows / FAMILY_ROWS))]
+
+
+def _plain_family(df, fam, groups, order, rows=None):
+    out = df.repartition(*family_tasks(df, rows), *fam) if fam and len(groups) > 1 else df
     for gkeys, reqs in groups:
         w = Window.partitionBy(*gkeys).orderBy(F.col(_T), F.col(order.tie))
         exprs = {}

@@ -162,3 +162,22 @@ def test_hot_family_takes_no_supersets():
     assert fams[("device",)] == [("device",)]
     assert fams[("device", "hour")] == [("device", "hour")]
     assert fams[("ip",)] == [("ip",), ("ip", "os"), ("ip", "os", "device")]
+
+
+def test_a_familys_tasks_follow_its_rows(spark, monkeypatch):
+    """The shuffle of a family is not coalesced beyond ``FAMILY_ROWS`` rows, however few bytes they take, and the joins follow it."""
+    from clickfeat.operators import ordered
+    from clickfeat.operators.aggregates import Agg
+    from clickfeat.plans.specs import Gap, build_features
+
+    rows = spark.range(4000).select(
+        F.col("id").alias("click_id"), F.col("id").alias("row_id"), (F.col("id") % 400).cast("int").alias("ip"), (F.col("id") % 3).cast("int").alias("os"),
+        F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("click_time"))
+    specs = [Gap(("ip",)), Gap(("ip", "os")), Agg("count", ("ip", "os"))]
+    want = {r.click_id: r for r in build_features(rows, specs).collect()}
+    monkeypatch.setattr(ordered, "FAMILY_ROWS", 100)
+    out = build_features(rows, specs)
+    assert {r.click_id: r for r in out.collect()} == want
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(per_task) == 4000 and len(per_task) > usual and max(per_task) < 400
