@@ -7,7 +7,7 @@ rows; a nominal's categories are its bins, ordered in each node by their mean
 target. Rows are kept as blocks of bin codes, one byte a feature, so that a
 pass reads a tenth of the vectors' bytes and bins nothing again.
 
-A level takes one pass: each task adds up rows, weight and weighted target by
+A level takes one pass (the least half of the rows below the root): each task adds up rows, weight and weighted target by
 node, feature and bin, and the sums, whose size is bounded by nodes, features
 and bins, meet in the driver, which chooses the splits. Gain, leaf values and
 the conditions on a split are those of Spark's regression trees with variance
@@ -109,8 +109,9 @@ def blocks(rows: DataFrame, bins: Bins, features: str = "features") -> DataFrame
         part = TaskContext.get().partitionId()
         for i, b in enumerate(batches):
             if b.num_rows:
-                x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
                 y = b.column(1).to_numpy().astype(np.int8)
+                order = np.argsort(-y, kind="stable")  # the rows with label 1 come first
+                x, y = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)[order], y[order]
                 data = [[part], [i], [bins.codes(x).tobytes()], [y.tobytes()], [np.zeros(len(y)).tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(data, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "block", "x", "y", "m"])
 
@@ -189,7 +190,7 @@ def _histograms(rows: DataFrame, bins: Bins, params, trees: Sequence[tuple[Tree,
     shape = (3, len(open_), width, most)
 
     def run(batches):
-        out = np.zeros((3, len(open_) + 1, width, most))
+        out, size = np.zeros(shape), len(open_) * most
         slot = {node: i * most for i, node in enumerate(open_)}
         for b in batches:
             for part, block, *data in zip(*b.columns, strict=True):
@@ -197,17 +198,23 @@ def _histograms(rows: DataFrame, bins: Bins, params, trees: Sequence[tuple[Tree,
                 if rate < 1:
                     drawn = np.flatnonzero(np.random.default_rng((seed, part.as_py(), block.as_py())).random(len(y)) < rate)
                     x, y, m = x.take(drawn, axis=1), y.take(drawn), m.take(drawn)
+                at = np.broadcast_to(tree.each(x, lambda i: slot.get(i, -1)), len(y))
+                if tree.left[0] >= 0:
+                    mine = np.flatnonzero(at >= 0)
+                    x, y, m, at = x.take(mine, axis=1), y.take(mine), m.take(mine), at.take(mine)
                 target = y.astype(float)
                 if not first:
                     target = 4.0 * target / (1.0 + np.exp(2.0 * target * margins(x, m, trees)))
-                weight = np.where(y > 0, heavy, 1.0)
-                target *= weight
-                base = np.broadcast_to(tree.each(x, lambda i: slot.get(i, len(open_) * most)), len(y)).astype(np.intp)
+                ones = int((y > 0).sum())
+                target[:ones] *= heavy
+                base = at.astype(np.intp)
                 for f in range(width):
                     at = base + x[f]
-                    for i, of in enumerate((None, weight, target)):
-                        out[i, :, f] += np.bincount(at, of, (len(open_) + 1) * most).reshape(-1, most)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.ascontiguousarray(out[:, :-1]).tobytes()], pa.binary())], ["part", "data"])
+                    pos, neg = (np.bincount(v, minlength=size).reshape(-1, most) for v in (at[:ones], at[ones:]))
+                    out[0, :, f] += pos + neg
+                    out[1, :, f] += heavy * pos + neg
+                    out[2, :, f] += np.bincount(at, target, size).reshape(-1, most)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "data"])
 
     def merge(table: pa.Table) -> pa.Table:
         return pa.table({"part": table["part"].slice(0, 1), "data": pa.array([added(table.sort_by("part")["data"]).tobytes()], pa.binary())})
@@ -253,23 +260,28 @@ def best_split(counts: np.ndarray, bins: Bins, params, looked_at: np.ndarray):
 
 
 def grow_tree(rows: DataFrame, bins: Bins, params, trees: Sequence[tuple[Tree, float]], number: int) -> Tree:
-    """Tree ``number`` of a forest, on the gradient at the margins of ``rows`` after ``trees``."""
-    tree, open_ = Tree(), [0]
-    width = len(bins.categories)
-    for level in range(max(params.max_depth, 1)):
-        counts = _histograms(rows, bins, params, trees, number, tree, open_)
-        if level == 0:
-            w, s = counts[1:, 0, 0].sum(1)
-            tree.value[0] = float(s / w) if w else 0.0
-        after = []
-        for i, node in enumerate(open_ if params.max_depth else []):
+    """Tree ``number`` of a forest, on the gradient at the margins of ``rows`` after ``trees``.
+
+    Of two siblings only the one with fewer rows is added up; the other has the rest of their parent's sums.
+    """
+    tree, width = Tree(), len(bins.categories)
+    counts = {0: _histograms(rows, bins, params, trees, number, tree, [0])[:, 0]}
+    w, s = counts[0][1:, 0].sum(1)
+    tree.value[0] = float(s / w) if w else 0.0
+    for level in range(params.max_depth):
+        split = []  # parent, smaller child, its sibling
+        for node in counts:
             draw = np.random.default_rng((params.seed + number, node, width))
             looked_at = np.sort(draw.choice(width, subset_size(params.feature_subset, width), replace=False))
-            found = best_split(counts[:, i], bins, params, looked_at)
+            found = best_split(counts[node], bins, params, looked_at)
             if found:
                 gain, f, goes, values = found
-                after += tree.split(node, f, goes, gain, values)
-        open_ = after
-        if not open_:
+                n = counts[node][0, f]
+                pair = tree.split(node, f, goes, gain, values)
+                split.append((node, *(pair if 2 * n[goes].sum() <= n.sum() else pair[::-1])))
+        if not split or level + 1 == params.max_depth:
             break
+        few = _histograms(rows, bins, params, trees, number, tree, [a for _, a, _ in split])
+        after = {a: few[:, i] for i, (_, a, _) in enumerate(split)} | {b: counts[node] - few[:, i] for i, (node, _, b) in enumerate(split)}
+        counts = dict(sorted(after.items()))
     return tree
