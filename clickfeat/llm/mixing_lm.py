@@ -38,6 +38,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,13 +124,14 @@ class Code:
         self.group_nodes = self.nodes[depth % GROUP == 0] * np.uint32(0x9E3779B1)
 
     def state(self):
-        return self.__dict__
+        return {k: _sent(v) if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
 
     @classmethod
     def of(cls, state):
         """A task's code, with the table that finds its words."""
         self = cls.__new__(cls)
-        self.__dict__ = {**state, "words": Lookup(state["hashes"])}
+        self.__dict__ = {k: _got(v) if isinstance(v, tuple) else v for k, v in state.items()}
+        self.words = Lookup(self.hashes)
         return self
 
 
@@ -271,10 +273,9 @@ def decisions(code: Code, sym: np.ndarray, contexts):
     return owner, slots, steps & np.uint8(1)
 
 
-def _tables(rows: DataFrame, code: Code) -> list[np.ndarray]:
-    """Zeros and ones of every slot, one array (slots, 2) per order."""
+def _tables(rows: DataFrame, sent: Broadcast) -> list[np.ndarray]:
+    """Zeros and ones of every slot, one array (slots, 2) per order. sent: the code's state, which all passes share."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(code.state())
 
     def count(batches):
         code = Code.of(sent.value)
@@ -461,14 +462,13 @@ def _curvature(w, n, x, gate, bit) -> np.ndarray:
     return out
 
 
-def _decision_table(rows: DataFrame, code: Code, tables: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def _decision_table(rows: DataFrame, code_sent: Broadcast, tables: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """All decisions of ``rows(text)``, as ``tables`` predict them, by cell: (n, inputs at the cell's middle, gate, bit). At most ``CELLS`` rows."""
-    sent = rows.sparkSession.sparkContext.broadcast((code.state(), [_sent(x) for x in _ready(tables)]))
+    sent = rows.sparkSession.sparkContext.broadcast([_sent(x) for x in _ready(tables)])
     tasks = min(rows.rdd.getNumPartitions(), 2 * rows.sparkSession.sparkContext.defaultParallelism)  # each task unpacks the model and sends a table
 
     def run(batches):
-        state, tables = sent.value
-        code, tables = Code.of(state), [_got(x) for x in tables]
+        code, tables = Code.of(code_sent.value), [_got(x) for x in sent.value]
         n = np.zeros(CELLS, np.int64)
         for b in batches:
             past = NO_PAST
@@ -489,6 +489,7 @@ def _decision_table(rows: DataFrame, code: Code, tables: list[np.ndarray]) -> tu
 
     parts = rows.select("text").coalesce(max(1, tasks)).mapInArrow(run, "at int, n long")
     table = parts.groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    sent.destroy()  # a broadcast lies on the disk of the driver and of every executor
     at, n = table["at"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
     level = [at // (2 * LEVELS**i) % LEVELS for i in reversed(range(ORDERS))]
     x = np.column_stack([(v - LEVELS // 2) * (8 / STEP) for v in level] + [np.full(len(n), 0.3)])
@@ -501,7 +502,7 @@ def _halves(rows: DataFrame) -> list[DataFrame]:
     return [rows.filter(half == i) for i in range(2)]
 
 
-def _start_weights(rows: DataFrame, code: Code, tables: list[list[np.ndarray]]) -> np.ndarray:
+def _start_weights(rows: DataFrame, code: Broadcast, tables: list[list[np.ndarray]]) -> np.ndarray:
     """Starting weights: each gate's logistic regression over all decisions of ``rows(text)``, each half's from the counts of the other."""
     parts = [_decision_table(half, code, other) for half, other in zip(_halves(rows), reversed(tables), strict=True)]
     n, x, gate, bit = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -547,6 +548,8 @@ def _token_counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
+    """``code``: the broadcast state of the code."""
+
     def __init__(self, counts, total, distinct, frequent, code, tables, weights):
         self.counts, self.total, self.distinct, self.frequent = counts, total, distinct, frequent
         self.code, self.tables, self.weights = code, tables, weights
@@ -578,11 +581,12 @@ def fit(rows: DataFrame) -> Model:
     byte_counts = np.array([letters.get(b, 0) for b in range(256)])
     byte_counts[32] = max(byte_counts[32], words - int(c[best].sum()))
     code = Code(h[best], c[best].tolist(), ends, words - int(c[best].sum()), byte_counts.tolist())
-    halves = [_tables(half, code) for half in _halves(rows)]
-    weights = _start_weights(rows, code, halves)
+    sent = rows.sparkSession.sparkContext.broadcast(code.state())
+    halves = [_tables(half, sent) for half in _halves(rows)]
+    weights = _start_weights(rows, sent, halves)
     # Both counts of a slot are shrunk alike where their sum would leave 32 bits.
     tables = [_fitting(a.astype(np.int64) + b) for a, b in zip(*halves, strict=True)]
-    return Model(tokens, words + ends, distinct, (frequent, ends), code, _ready(tables), weights)
+    return Model(tokens, words + ends, distinct, (frequent, ends), sent, _ready(tables), weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -590,12 +594,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     (doc_id, learned, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.code.state(), [_sent(x) for x in model.tables], model.weights))
+    code_sent = model.code
+    frequent, ends = model.frequent
+    sent = docs.sparkSession.sparkContext.broadcast((([_sent(x) for x in frequent], ends), [_sent(x) for x in model.tables], model.weights))
     floor = model.total + 0.5 * (model.distinct + 1)
 
     def run(batches):
-        ((hashes, counts), ends), state, tables, weights = sent.value
-        code, tables = Code.of(state), [_got(x) for x in tables]
+        (seen, ends), tables, weights = sent.value
+        (hashes, counts), code, tables = [_got(x) for x in seen], Code.of(code_sent.value), [_got(x) for x in tables]
         frequent = Lookup(hashes)
         logs = np.log10((counts + 0.5) / floor)
         end_log = np.log10((ends + 0.5) / floor)
@@ -629,6 +635,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "learned", "text")
     scored = materialize(rows.mapInArrow(run, ROW), "scored")  # from here on, ``row`` is a column of a written table
+    sent.destroy()
     rest = scored.filter(F.size("rest_h") > 0).select("row", F.explode(F.arrays_zip("rest_h", "rest_n")).alias("x")).select("row", F.col("x.rest_h").alias("h"), F.col("x.rest_n").alias("k"))
     rest = rest.join(model.counts, "h", "left").select("row", F.when(F.col("c") > 0, F.col("k")).otherwise(0).cast("long").alias("top_known"), (F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(floor))).alias("top_score"))
     parts = scored.drop("rest_h", "rest_n").unionByName(rest, allowMissingColumns=True).groupBy("row")
