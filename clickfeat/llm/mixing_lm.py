@@ -502,7 +502,7 @@ def _halves(rows: DataFrame) -> list[DataFrame]:
     return [rows.filter(half == i) for i in range(2)]
 
 
-def _start_weights(rows: DataFrame, code: Broadcast, tables: list[list[np.ndarray]]) -> np.ndarray:
+def _start_weights(rows: DataFrame, code, tables: list[list[np.ndarray]]) -> np.ndarray:
     """Starting weights: each gate's logistic regression over all decisions of ``rows(text)``, each half's from the counts of the other."""
     parts = [_decision_table(half, code, other) for half, other in zip(_halves(rows), reversed(tables), strict=True)]
     n, x, gate, bit = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -548,11 +548,11 @@ def _token_counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """``code``: the broadcast state of the code."""
+    """``sent``: the code's state as it was broadcast."""
 
-    def __init__(self, counts, total, distinct, frequent, code, tables, weights):
+    def __init__(self, counts, total, distinct, frequent, code, tables, weights, sent):
         self.counts, self.total, self.distinct, self.frequent = counts, total, distinct, frequent
-        self.code, self.tables, self.weights = code, tables, weights
+        self.code, self.tables, self.weights, self.sent = code, tables, weights, sent
 
 
 def fit(rows: DataFrame) -> Model:
@@ -586,7 +586,7 @@ def fit(rows: DataFrame) -> Model:
     weights = _start_weights(rows, sent, halves)
     # Both counts of a slot are shrunk alike where their sum would leave 32 bits.
     tables = [_fitting(a.astype(np.int64) + b) for a, b in zip(*halves, strict=True)]
-    return Model(tokens, words + ends, distinct, (frequent, ends), sent, _ready(tables), weights)
+    return Model(tokens, words + ends, distinct, (frequent, ends), code, _ready(tables), weights, sent)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -594,7 +594,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     (doc_id, learned, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
     """
-    code_sent = model.code
+    code_sent = model.sent
     frequent, ends = model.frequent
     sent = docs.sparkSession.sparkContext.broadcast((([_sent(x) for x in frequent], ends), [_sent(x) for x in model.tables], model.weights))
     floor = model.total + 0.5 * (model.distinct + 1)

@@ -72,3 +72,26 @@ def test_starting_weights_are_those_of_all_texts(spark):
     for move in (0.05, -0.05):
         w = weights + move
         assert sums(w)[:, 0].sum() + mixing_lm.RIDGE / 2 * ((away + move) ** 2).sum() > cost * (1 - mixing_lm.FIT_GAIN)
+
+
+def test_the_code_is_broadcast_once_and_tables_do_not_stay(spark, monkeypatch):
+    """Every broadcast lies on the disk of the driver and of each executor."""
+    from pyspark.sql import functions as F
+
+    sent, ended = [], []
+    sc = type(spark.sparkContext)
+    plain = sc.broadcast
+
+    def broadcast(self, value):
+        b = plain(self, value)
+        sent.append(value)
+        destroy = b.destroy
+        b.destroy = lambda *a: (ended.append(len(sent)), destroy(*a))
+        return b
+
+    monkeypatch.setattr(sc, "broadcast", broadcast)
+    docs = spark.createDataFrame([(i, f"some words and the word number {i % 5} again") for i in range(20)], "doc_id long, text string")
+    assert mixing_lm.model_scores(docs, F.col("doc_id") % 5 != 1).count() == 20
+    holds_code = lambda v: isinstance(v, dict) and "hashes" in v or isinstance(v, tuple) and any(map(holds_code, v))
+    assert sum(map(holds_code, sent)) == 1
+    assert len(ended) == len(sent) - 1  # all but the code's
