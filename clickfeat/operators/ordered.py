@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import all_not_null
 from ..functions.timeparts import epoch_micros, epoch_seconds
 from ..schema import ORDER_TIE, ORDER_TIME
-from .hotkeys import BUCKET, HOT, SLOTS, HotKeys, HotStats, cuts, hot_stats, slots_for
+from .hotkeys import BUCKET, HOT, HotKeys, HotStats, cuts, hot_stats, slots_for
 
 _T = "__t"  # epoch micros of the order time
 _B = BUCKET
@@ -74,10 +74,10 @@ class SkewSplit:
     n_rows: int | None = None
 
     def resolve(self, df: DataFrame) -> "SkewSplit":
-        if not self.enabled or self.heavy_rows is not None:
+        if not self.enabled or self.n_rows is not None:
             return self
         n = df.count()
-        t = max(self.min_heavy_rows, math.ceil(n / self.max_heavy_keys))
+        t = max(self.min_heavy_rows, math.ceil(n / self.max_heavy_keys)) if self.heavy_rows is None else self.heavy_rows
         return replace(self, heavy_rows=t, n_rows=n)
 
     def may_have_heavy(self) -> bool:
@@ -125,8 +125,7 @@ def find_hot(df: DataFrame, key_sets: Sequence[Sequence[str]], order: Order = Or
     if not skew.may_have_heavy():
         return {}
     base = df.withColumn(_T, epoch_micros(order.time))
-    slots = SLOTS if skew.n_rows is None else slots_for(skew.n_rows, skew.heavy_rows)
-    stats: HotStats = hot_stats(base, key_sets, _T, order.tie, skew.heavy_rows, slots)
+    stats: HotStats = hot_stats(base, key_sets, _T, order.tie, skew.heavy_rows, slots_for(skew.n_rows, skew.heavy_rows))
     return cuts(base, stats, _T, order.tie)
 
 

@@ -12,7 +12,8 @@ A feature set is a list of specs. ``build_features`` normalises it:
   partitioning (only the aggregate side is shuffled);
 * a keyless feature (the global shift) of a window feature runs first, straight after
   the one window that it reads, while the rows have little but the source columns;
-* hot keys of all window key sets are looked for together, in the source columns.
+* hot keys of all window key sets are looked for together, in the source columns; where there may be
+  some, the source is written once, and all passes read that table.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from ..functions.timeparts import in_test_hh
 from ..operators import ordered as W
 from ..operators.aggregates import Agg, GroupPlan, join_back
 from ..operators.lattice import group_tables
+from ..sources.sinks import materialize
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,8 @@ def build_features(
     hot: dict = {}
     if windows or shifts:
         skew = skew.resolve(src) if skew.enabled else skew
+        if skew.may_have_heavy():  # a dozen passes read the rows then
+            src = out = materialize(src, "source")
         hot = W.find_hot(src, [*windows, *([()] if shifts else [])], order, skew)
 
     made = {m.out: (keys, m) for keys, members in windows.items() for m in members}

@@ -181,3 +181,44 @@ def test_a_familys_tasks_follow_its_rows(spark, monkeypatch):
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(per_task) == 4000 and len(per_task) > usual and max(per_task) < 400
+
+
+def test_the_source_is_written_once_where_keys_may_be_hot(spark, tmp_path):
+    """A dozen passes over the rows read the written table, none the log."""
+    from clickfeat.plans.specs import Agg, CumCount, Gap, build_features
+
+    log = str(tmp_path / "log")
+    rows = [(i, T0 + dt.timedelta(seconds=i // 3), i % 4 or None, i % 3, i) for i in range(400)]
+    spark.createDataFrame(rows, "click_id long, click_time timestamp_ntz, ip long, os int, row_id long").write.parquet(log)
+    df = spark.read.parquet(log)
+    specs = [Gap(("ip",)), Gap(("ip", "os"), "prev"), CumCount(("ip",), "os"), Agg("count", ("ip", "os"))]
+    split = build_features(df, specs, skew=SkewSplit(heavy_rows=20))
+    assert not any(log in f for f in split.inputFiles())
+    plain = build_features(df, specs, skew=SkewSplit(enabled=False))
+    assert any(log in f for f in plain.inputFiles())
+    assert sorted(map(str, split.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_lookups_leave_out_the_first_bucket(spark):
+    """Of many keys with a little more than T rows, each keeps a row or two, not all of its cells."""
+    from clickfeat.operators import ordered as W
+
+    df = spark.range(200 * 67).selectExpr("id AS row_id", "timestamp_ntz '2017-11-07' + make_dt_interval(0, 0, 0, id) AS click_time", "id % 200 AS k")
+    hot = W.find_hot(df, [("k",)], skew=SkewSplit(heavy_rows=60))[("k",)]
+    assert sum(level.count() for level in hot.levels) <= 2 * 200
+    sizes = hot.bucketed(df.withColumn(W._T, W.epoch_micros("click_time")), W._T, "row_id").groupBy("k", W.BUCKET).count()
+    assert sizes.agg(F.sum("count")).first()[0] == 200 * 67 and sizes.count() >= 200
+
+
+def test_key_sets_are_searched_only_where_the_sets_they_contain_are_hot(spark, monkeypatch):
+    from clickfeat.operators import hotkeys as H
+    from clickfeat.operators import ordered as W
+
+    df = spark.range(3000).selectExpr("id AS row_id", "timestamp_ntz '2017-11-07' + make_dt_interval(0, 0, 0, id) AS click_time", "id % 3 AS a", "id % 500 AS b", "id % 2 AS c")
+    searched = []
+    plain = H._hash
+    monkeypatch.setattr(H, "_hash", lambda i, keys: searched.append(tuple(keys)) or plain(i, keys))
+    sets = [("a", "b", "c"), ("a",), ("b", "c"), ("a", "c"), ("b",), ()]
+    hot = W.find_hot(df, sets, skew=SkewSplit(heavy_rows=100))
+    assert set(hot) == {("a",), ("a", "c"), ()}
+    assert not {("a", "b", "c"), ("b", "c")} & set(searched)
