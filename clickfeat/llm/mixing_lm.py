@@ -22,7 +22,8 @@ that table, whose size does not depend on the input; while a text is scored the
 step after each ``BLOCK`` of decisions, from all of the block's decisions.
 
 Counts are summed over all training texts by shuffles of compressed slabs, in
-two levels, so that no task gathers from all others. The model has a fixed
+two levels where many tasks count, so that none gathers from all others; the number
+of these tasks follows the texts' bytes, as each sends a whole model. The model has a fixed
 number of slots and is broadcast. The base score needs the count of every
 token: frequent ones, bounded in number, are broadcast; the others are joined.
 
@@ -63,6 +64,8 @@ PIECE = 1 << 17  # bytes of text handled at once
 TOKEN, BYTE, END = 0, 1, 2
 NO_PAST = U(7), U(7)  # stand for the two tokens before a text
 N_SLABS = sum(SIZES) // SLAB
+COUNTED = 48 << 20  # bytes of words for each counting task
+TWO_LEVELS = 4  # counting tasks from which on their models are added up in two levels
 GROUP = 4  # decisions of a path whose slots are neighbours
 FIRST = 1 << GROUP + 1  # marks the first decision of a path
 STEP = 16  # of a stretched prediction, as it is stored
@@ -273,9 +276,8 @@ def decisions(code: Code, sym: np.ndarray, contexts):
     return owner, slots, steps & np.uint8(1)
 
 
-def _tables(rows: DataFrame, sent: Broadcast) -> list[np.ndarray]:
-    """Zeros and ones of every slot, one array (slots, 2) per order. sent: the code's state, which all passes share."""
-    spark = rows.sparkSession
+def _tables(rows: DataFrame, sent: Broadcast, n_bytes: int) -> list[np.ndarray]:
+    """Zeros and ones of every slot, one array (slots, 2) per order. sent: the code's state, which all passes share; n_bytes: about the words' bytes."""
 
     def count(batches):
         code = Code.of(sent.value)
@@ -287,7 +289,10 @@ def _tables(rows: DataFrame, sent: Broadcast) -> list[np.ndarray]:
                 _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
                 _, slots, bit = decisions(code, sym, contexts)
                 for i in range(ORDERS):
-                    np.add.at(own[i], slots[i].astype(np.int64) * 2 + bit, np.int32(1))
+                    at = slots[i].astype(np.int64)
+                    at <<= 1
+                    at |= bit
+                    np.add.at(own[i], at, np.int32(1))
         data = [_pack(x) for x in total.reshape(N_SLABS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_SLABS, dtype=np.int32)), pa.array(data, pa.binary())], ["slab", "data"])
 
@@ -297,11 +302,12 @@ def _tables(rows: DataFrame, sent: Broadcast) -> list[np.ndarray]:
             total += _unpack(x.as_py())
         return pa.table({"slab": table["slab"].slice(0, 1).cast(pa.int32()), "data": pa.array([_pack(total)], pa.binary())})
 
-    tasks = rows.rdd.getNumPartitions()
-    tasks = max(1, min(tasks, spark.sparkContext.defaultParallelism), tasks // 4)  # each task sends a whole model
+    tasks = max(1, min(rows.rdd.getNumPartitions(), -(-n_bytes // COUNTED)))  # each task sends a whole model
     parts = rows.select("text").coalesce(tasks).mapInArrow(count, "slab int, data binary").withColumn("part", F.spark_partition_id())
-    some = F.pmod("part", F.lit(max(1, int(tasks**0.5))))
-    level = parts.groupBy("slab", some.alias("g")).applyInArrow(add_up, "slab int, data binary")
+    level = parts
+    if tasks >= TWO_LEVELS:  # with few tasks a first level would only send their models once more
+        some = F.pmod("part", F.lit(int(tasks**0.5)))
+        level = level.groupBy("slab", some.alias("g")).applyInArrow(add_up, "slab int, data binary")
     level = level.groupBy("slab").applyInArrow(add_up, "slab int, data binary")
     out = np.zeros((N_SLABS, SLAB * 2), np.uint32)
     for r in level.collect():  # the model itself, of fixed size
@@ -402,22 +408,20 @@ def _adapt(weights, x, gate, bit, sizes, rate, own=None):
     a = 0
     for j, last in zip(n_rounds, np.cumsum(n_rounds), strict=True):
         z = ends[last - 1]
-        g, s = gate[a:z], sign[a:z]
+        g, s, of = gate[a:z], sign[a:z], x[:, a:z]
         m = j * GATES
-        mixed = w[0].take(g)
-        mixed *= x[0, a:z]
-        for i in range(1, INPUTS):
-            part = w[i].take(g)
-            part *= x[i, a:z]
-            mixed += part
+        parts = w.take(g, axis=1)
+        parts *= of
+        mixed = np.add.reduce(parts, axis=0)
         np.clip(mixed, -11.5, 11.5, out=mixed)
         mixed *= s
         odds = np.exp(mixed, out=cost[a:z])
         error = odds / (odds + np.float32(1))
         error *= s  # the bit's probability less the bit
         pace = rate / np.sqrt(np.maximum(np.bincount(g, minlength=m), 1))
+        np.multiply(of, error, out=parts)
         for i in range(INPUTS):
-            w[i, :m] -= pace * np.bincount(g, error * x[i, a:z], minlength=m)
+            w[i, :m] -= pace * np.bincount(g, parts[i], minlength=m)
         a = z
     np.log1p(cost, out=cost)
     of = np.add.reduceat(cost, ends - size, dtype=np.float64) if len(size) else np.zeros(0)
@@ -446,6 +450,15 @@ _CELL = np.clip((np.arange(-1000, 1001) + 4 + 8 * (LEVELS // 2)) // 8, 0, LEVELS
 CELLS = GATES * LEVELS**ORDERS * 2
 
 
+def _places(ready: list[np.ndarray]) -> list[np.ndarray]:
+    """What each slot adds to the place of a decision among the ``CELLS``: its cell, and its share of ``_gate``."""
+    out = []
+    for i, v in enumerate(ready):
+        gate = (v & np.int16(3)).astype(np.int32) * (0, 4, 1)[i]
+        out.append((gate * np.int32(LEVELS**ORDERS) + _CELL.take((v >> np.int16(2)) + np.int16(1000)) * np.int32(LEVELS ** (ORDERS - 1 - i))) * np.int32(2))
+    return out
+
+
 def _curvature(w, n, x, gate, bit) -> np.ndarray:
     """For each gate the sums over ``n`` decisions a row: cost (nats), gradient of the likelihood, curvature; a row of 1 + INPUTS + INPUTS**2."""
     mixed = np.clip((w[gate] * x).sum(1), -30, 30)
@@ -468,21 +481,24 @@ def _decision_table(rows: DataFrame, code_sent: Broadcast, tables: list[np.ndarr
     tasks = min(rows.rdd.getNumPartitions(), 2 * rows.sparkSession.sparkContext.defaultParallelism)  # each task unpacks the model and sends a table
 
     def run(batches):
-        code, tables = Code.of(code_sent.value), [_got(x) for x in sent.value]
-        n = np.zeros(CELLS, np.int64)
+        code, tables = Code.of(code_sent.value), _places([_got(x) for x in sent.value])
+        n, held, many = np.zeros(CELLS, np.int64), [], 0
         for b in batches:
             past = NO_PAST
             for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
                 _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
                 owner, slots, bit = decisions(code, sym, contexts)
-                got = [tables[i].take(slots[i], mode="clip") for i in range(ORDERS)]
-                at = _gate(sym, owner, code.first_byte, got[1] & np.int16(3), got[2] & np.int16(3)).astype(np.int32)
-                for v in got:
-                    at *= np.int32(LEVELS)
-                    at += _CELL.take((v >> np.int16(2)) + np.int16(1000))
-                at *= np.int32(2)
+                at = np.where(sym >= code.first_byte, np.int32(CELLS // 2), np.int32(0)).take(owner)
                 at += bit
-                n += np.bincount(at, minlength=CELLS)
+                for i in range(ORDERS):
+                    at += tables[i].take(slots[i], mode="clip")
+                held.append(at)
+                many += len(at)
+                if many > CELLS:  # a sum costs as much as the table is long
+                    n += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, many = [], 0
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=CELLS)
         met = np.flatnonzero(n)
         for i in range(0, len(met), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(met[i : i + 100_000].astype(np.int32)), pa.array(n[met[i : i + 100_000]])], ["at", "n"])
@@ -582,7 +598,7 @@ def fit(rows: DataFrame) -> Model:
     byte_counts[32] = max(byte_counts[32], words - int(c[best].sum()))
     code = Code(h[best], c[best].tolist(), ends, words - int(c[best].sum()), byte_counts.tolist())
     sent = rows.sparkSession.sparkContext.broadcast(code.state())
-    halves = [_tables(half, sent) for half in _halves(rows)]
+    halves = [_tables(half, sent, int(sum(letters.values())) // 2) for half in _halves(rows)]
     weights = _start_weights(rows, sent, halves)
     # Both counts of a slot are shrunk alike where their sum would leave 32 bits.
     tables = [_fitting(a.astype(np.int64) + b) for a, b in zip(*halves, strict=True)]

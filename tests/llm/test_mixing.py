@@ -95,3 +95,29 @@ def test_the_code_is_broadcast_once_and_tables_do_not_stay(spark, monkeypatch):
     holds_code = lambda v: isinstance(v, dict) and "hashes" in v or isinstance(v, tuple) and any(map(holds_code, v))
     assert sum(map(holds_code, sent)) == 1
     assert len(ended) == len(sent) - 1  # all but the code's
+
+
+def test_few_tasks_send_their_counts_once(spark, code, monkeypatch):
+    """What counting gathers follows its tasks: a second level is for many of them, and the sums are the same."""
+    kind = type(spark.range(1).groupBy("id"))
+    plain, calls = kind.applyInArrow, []
+    monkeypatch.setattr(kind, "applyInArrow", lambda self, *a: calls.append(1) or plain(self, *a))
+    rows = spark.createDataFrame([(bytearray(f"w{i % 23} w{i % 5} rare{i}".encode()),) for i in range(300)], "text binary").repartition(4)
+    sent = spark.sparkContext.broadcast(code.state())
+    few = mixing_lm._tables(rows, sent, 3000)
+    assert len(calls) == 1
+    monkeypatch.setattr(mixing_lm, "TWO_LEVELS", 1)
+    for a, b in zip(few, mixing_lm._tables(rows, sent, 4 * mixing_lm.COUNTED), strict=True):
+        np.testing.assert_array_equal(a, b)
+    assert len(calls) == 3 and sum(int(t.sum()) for t in few) > 0
+
+
+def test_places_are_gate_and_cells():
+    rng = np.random.default_rng(1)
+    ready = [(rng.integers(-1000, 1001, 50) * 4 + rng.integers(0, 4, 50)).astype(np.int16) for _ in range(mixing_lm.ORDERS)]
+    got = sum(mixing_lm._places(ready))
+    want = mixing_lm._gate(np.zeros(50), np.arange(50), 1, ready[1] & np.int16(3), ready[2] & np.int16(3)).astype(np.int64)
+    for v in ready:
+        want = want * mixing_lm.LEVELS + mixing_lm._CELL[(v >> 2) + 1000]
+    np.testing.assert_array_equal(got, want * 2)
+    assert mixing_lm.CELLS // 2 == 16 * mixing_lm.LEVELS**mixing_lm.ORDERS * 2  # bytes use the upper half of the gates
