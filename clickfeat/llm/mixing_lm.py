@@ -10,7 +10,8 @@ of the text.
 Each bit is predicted from several hashed contexts: for words, the node of the
 code alone, with the last word, and with the last two words; for bytes, the
 node with the last one, two and three bytes. The slots of a few successive nodes
-stand side by side, found by one hash of the first of them. A context's prediction comes from
+stand side by side, found by one hash of the first of them; such a group is what the passes
+look up and count, its decisions follow from its place in the code. A context's prediction comes from
 the counts of zeros and ones that all training texts left in its slot. The
 predictions are mixed in the logistic domain. The weights are chosen by a
 gate: kind of symbol, and how often the longer contexts were seen. Starting
@@ -61,6 +62,9 @@ EARLY = 32  # blocks of that size; the weights have found their place then, and
 LATER = 256
 RATE = 0.05
 PIECE = 1 << 17  # bytes of text handled at once
+SPAN = 1 << 15  # decisions whose inputs are made at once
+HELD = 1 << 21  # decisions whose predictions are held, so that the weights of many texts take their steps together
+TOGETHER = 512  # texts from which on no more are held: a round's arrays should stay in a core's cache
 TOKEN, BYTE, END = 0, 1, 2
 NO_PAST = U(7), U(7)  # stand for the two tokens before a text
 N_SLABS = sum(SIZES) // SLAB
@@ -131,10 +135,24 @@ class Code:
 
     @classmethod
     def of(cls, state):
-        """A task's code, with the table that finds its words."""
+        """A task's code, with the table that finds its words, and its groups as rows."""
         self = cls.__new__(cls)
         self.__dict__ = {k: _got(v) if isinstance(v, tuple) else v for k, v in state.items()}
         self.words = Lookup(self.hashes)
+        # A row a group: twice the place plus the bit, and the node, of its decisions; zeros follow where it has fewer
+        # than GROUP. No decision has place 0.
+        step = self.steps & np.uint8(FIRST - 1)
+        begin = np.flatnonzero(step >> np.uint8(1) == 1)
+        at = begin[:, None] + np.arange(GROUP)
+        inside = at < np.append(begin[1:], len(step))[:, None]
+        at[~inside] = 0
+        self.group_steps = np.where(inside, step[at], np.uint8(0))
+        self.group_path = np.where(inside, self.nodes[at], np.uint32(0))
+        self.group_has = inside
+        self.group_shift = (self.group_steps >> np.uint8(1) & np.uint8(7)) * np.uint8(8)  # ``_Cells``, ``_Scorer``: of the places, in words of eight bytes
+        self.group_last = self.group_steps.max(1)  # a group's path as one number: the step of its last decision
+        self.word_groups = int(self.group_offsets[self.first_byte])
+        self.byte_groups = len(begin) - self.word_groups
         return self
 
 
@@ -248,21 +266,20 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code, past=NO_PA
     return words, woven(text, np.repeat(text[escaped], size), np.int32), woven(sym, data + code.first_byte, np.int32), contexts, ends_with
 
 
-def decisions(code: Code, sym: np.ndarray, contexts):
-    """(symbol number, slots of each order, bit) of every binary decision."""
-    begin = code.offsets[sym]
-    at = _ranges(begin, code.offsets[sym + 1] - begin)
-    steps = code.steps.take(at)
-    owner = np.cumsum(steps >= FIRST) - 1
-    slots = [contexts[0].take(owner)]
-    slots[0] += code.nodes.take(at)
-    place = (steps >> np.uint8(1)) & np.uint8(2**GROUP - 1)
-    group = np.cumsum(place == 1) - 1
-    begin = code.group_offsets[sym]
-    size = code.group_offsets[sym + 1] - begin
-    node = code.group_nodes.take(_ranges(begin, size))
+def groups(code: Code, sym: np.ndarray, contexts):
+    """(symbol number, group of the code, row of ``_first_rows``, first slot of each hashed order) of every group of decisions."""
+    begin = code.group_offsets.take(sym)
+    size = code.group_offsets.take(sym + 1) - begin
+    owner = np.repeat(np.arange(len(sym)), size)
+    begin -= np.cumsum(size) - size
+    at = begin.take(owner)
+    at += np.arange(len(at))
+    row = (((np.maximum(contexts[0], np.uint32(DIRECT)) - np.uint32(DIRECT)) >> np.uint32(8)) * np.int64(code.byte_groups)).take(owner)
+    row += at
+    node = code.group_nodes.take(at)
+    slots = []
     for c in contexts[1:]:
-        x = np.repeat(c, size)
+        x = c.take(owner)
         x += node
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
@@ -270,29 +287,83 @@ def decisions(code: Code, sym: np.ndarray, contexts):
         x *= np.uint32(0x297A2D39)
         x >>= np.uint32(10)
         x &= np.uint32(0xFFFFFFFF - (2**GROUP - 1))
-        x = x.take(group)
-        x += place
-        slots.append(x)
-    return owner, slots, steps & np.uint8(1)
+        slots.append(x.astype(np.int64))
+    return owner, at, row, slots
+
+
+def decisions(code: Code, sym: np.ndarray, contexts):
+    """(symbol number, slots of each order, bit) of every binary decision: one by one what the passes count and look up by groups."""
+    owner, at, _, firsts = groups(code, sym, contexts)
+    steps = code.group_steps.take(at, axis=0).reshape(-1)
+    real = np.flatnonzero(steps)
+    of, step = real // GROUP, steps.take(real)
+    owner = owner.take(of)
+    slots = [contexts[0].take(owner) + code.group_path.take(at, axis=0).reshape(-1).take(real)]
+    return owner, slots + [x.take(of) + (step >> np.uint8(1)) for x in firsts], step & np.uint8(1)
+
+
+def _first_rows(code: Code, table: np.ndarray) -> np.ndarray:
+    """What the first order's ``table`` holds for the decisions of each group, a row a group: the words' groups, then the bytes' after each byte."""
+    words, letters = np.split(code.group_path.astype(np.int64), [code.word_groups])
+    after = DIRECT + 256 * np.arange(256)[:, None, None]
+    return np.concatenate((table.take(words), table.take(letters + after).reshape(-1, GROUP)))
+
+
+def _like_first_rows(code: Code, of_groups: np.ndarray) -> np.ndarray:
+    """A row for each of ``_first_rows``, from one for each group."""
+    words, letters = np.split(of_groups, [code.word_groups])
+    return np.concatenate((words, np.tile(letters, (256, 1))))
+
+
+class _Counts:
+    """Zeros and ones of every slot, counted by groups: a group's path adds one at its end, and what ends below a decision is summed up at last."""
+
+    def __init__(self, code: Code):
+        self.code = code
+        self.total = np.zeros(2 * sum(SIZES), np.int32)
+        self.symbols, self.pairs = np.zeros(len(code.offsets) - 1, np.int32), np.zeros(1 << 16, np.int32)
+
+    def add(self, sym: np.ndarray, contexts) -> None:
+        code, one = self.code, np.int32(1)
+        _, at, _, slots = groups(code, sym, contexts)
+        last = code.group_last.take(at)
+        for own, x in zip(_views(self.total)[1:], slots, strict=True):
+            x <<= 1
+            x += last
+            np.add.at(own, x, one)
+        # The first order's contexts are the kind of symbol and the byte before: the symbols' numbers are all it needs.
+        letter = np.flatnonzero(sym >= code.first_byte)
+        np.add.at(self.symbols, sym, one)
+        np.add.at(self.pairs, (contexts[0].take(letter).astype(np.int64) - DIRECT) + (sym.take(letter) - code.first_byte), one)
+
+    def slots(self) -> np.ndarray:
+        """Counts of all slots, those of zeros and of ones beside each other; for use once."""
+        code = self.code
+        first, *hashed = _views(self.total)
+        for own in hashed:
+            t = own.reshape(-1, 2 << GROUP)
+            for step in range((1 << GROUP) - 1, 1, -1):
+                t[:, step] += t[:, 2 * step] + t[:, 2 * step + 1]
+        size = np.diff(code.offsets)
+        z = code.offsets[code.first_byte]
+        at = code.nodes.astype(np.int64) * 2 + (code.steps & np.uint8(1))
+        np.add.at(first, at[:z], np.repeat(self.symbols[: code.first_byte], size[: code.first_byte]))
+        after = 2 * (DIRECT + 256 * np.arange(256))[:, None]
+        np.add.at(first, (after + at[z:]).reshape(-1), np.repeat(self.pairs.reshape(256, 256), size[code.first_byte :], axis=1).reshape(-1))
+        return self.total
 
 
 def _tables(rows: DataFrame, sent: Broadcast, n_bytes: int) -> list[np.ndarray]:
     """Zeros and ones of every slot, one array (slots, 2) per order. sent: the code's state, which all passes share; n_bytes: about the words' bytes."""
 
     def count(batches):
-        code = Code.of(sent.value)
-        total = np.zeros(2 * sum(SIZES), np.int32)
-        own = _views(total)
+        counts = _Counts(Code.of(sent.value))
         for b in batches:
             past = NO_PAST
             for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
-                _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
-                _, slots, bit = decisions(code, sym, contexts)
-                for i in range(ORDERS):
-                    at = slots[i].astype(np.int64)
-                    at <<= 1
-                    at |= bit
-                    np.add.at(own[i], at, np.int32(1))
+                _, _, sym, contexts, past = symbols(texts, ended, counts.code, past if on else NO_PAST)
+                counts.add(sym, contexts)
+        total = counts.slots()
         data = [_pack(x) for x in total.reshape(N_SLABS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_SLABS, dtype=np.int32)), pa.array(data, pa.binary())], ["slab", "data"])
 
@@ -370,9 +441,12 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 def _gate(sym, owner, first_byte, level1, level2):
     """The weight set: words or bytes, and how often the two longer contexts were seen."""
-    gate = np.where(sym >= first_byte, 16, 0).take(owner)
-    gate += level1 * np.int16(4) + level2
-    return gate
+    return _gate_of(np.where(sym >= first_byte, np.int16(16), np.int16(0)).take(owner), level1, level2)
+
+
+def _gate_of(kind, level1, level2):
+    """kind: 0 for decisions of words, 16 for those of bytes."""
+    return kind + level1 * np.int16(4) + level2
 
 
 def _adapt(weights, x, gate, bit, sizes, rate, own=None):
@@ -380,62 +454,131 @@ def _adapt(weights, x, gate, bit, sizes, rate, own=None):
 
     x: a column of inputs per decision; sizes: decisions of each text; own: the weights that the first text goes on with.
     """
-    k = len(sizes)
-    # All first blocks, then all second ones, and so on: a round is a run of rows. Texts with more rounds come first,
-    # so that those with a block in a round are the first ones.
-    long = np.maximum(sizes - EARLY * BLOCK, 0)
-    rounds = -(-(sizes - long) // BLOCK) + -(-long // LATER)
-    rank = np.empty(k, np.int64)
-    rank[np.argsort(-rounds, kind="stable")] = np.arange(k)
-    w = np.tile(weights.astype(np.float32).T, (1, k))
-    if own is not None:
-        w[:, rank[0] * GATES : (rank[0] + 1) * GATES] = own.T
-    doc = np.repeat(np.arange(k), rounds)
-    number = _ranges(np.zeros(k, np.int64), rounds)
-    order = np.lexsort((rank[doc], number))
-    doc, number = doc[order], number[order]
-    before = np.minimum(number, EARLY) * BLOCK + np.maximum(number - EARLY, 0) * LATER
-    begin = (np.cumsum(sizes) - sizes)[doc] + before
-    size = np.minimum(sizes[doc] - before, np.where(number < EARLY, BLOCK, LATER))
-    gate = gate + np.repeat(rank * GATES, sizes)
     sign = np.float32(1) - np.float32(2) * bit
-    if k > 1:
-        at = _ranges(begin, size)
-        x, gate, sign = x.take(at, axis=1), gate.take(at), sign.take(at)
-    ends = np.cumsum(size)
-    cost = np.empty(len(sign), np.float32)
-    n_rounds = np.bincount(number)
-    a = 0
-    for j, last in zip(n_rounds, np.cumsum(n_rounds), strict=True):
-        z = ends[last - 1]
-        g, s, of = gate[a:z], sign[a:z], x[:, a:z]
-        m = j * GATES
-        parts = w.take(g, axis=1)
-        parts *= of
-        mixed = np.add.reduce(parts, axis=0)
-        np.clip(mixed, -11.5, 11.5, out=mixed)
-        mixed *= s
-        odds = np.exp(mixed, out=cost[a:z])
-        error = odds / (odds + np.float32(1))
-        error *= s  # the bit's probability less the bit
-        pace = rate / np.sqrt(np.maximum(np.bincount(g, minlength=m), 1))
-        np.multiply(of, error, out=parts)
-        for i in range(INPUTS):
-            w[i, :m] -= pace * np.bincount(g, parts[i], minlength=m)
-        a = z
-    np.log1p(cost, out=cost)
-    of = np.add.reduceat(cost, ends - size, dtype=np.float64) if len(size) else np.zeros(0)
-    return np.bincount(doc, of, minlength=k) / np.log(2), w[:, rank[-1] * GATES : (rank[-1] + 1) * GATES].T.copy()
-
-
-def _inputs(ready, slots):
-    """Stretched predictions and a bias, and the levels of the two longer contexts."""
-    got = [ready[i].take(slots[i], mode="clip") for i in range(ORDERS)]
-    x = np.empty((INPUTS, len(got[0])), np.float32)
-    for i, v in enumerate(got):
-        np.multiply(v >> np.int16(2), np.float32(1 / STEP), out=x[i], casting="unsafe")
-    x[ORDERS] = 0.3
-    return x, got[1] & np.int16(3), got[2] & np.int16(3)
+    return _Blocks(sizes).adapt(weights, lambda at: (x.take(at, axis=1), gate.take(at), sign.take(at)), rate, own)
+
+
+class _Blocks:
+    """The decisions of several texts in blocks: all first blocks are a round, then all second ones, and so on."""
+
+    def __init__(self, sizes: np.ndarray):
+        k = len(sizes)
+        # A round is a run of rows. Texts with more rounds come first, so that those with a block in a round are the first ones.
+        long = np.maximum(sizes - EARLY * BLOCK, 0)
+        rounds = -(-(sizes - long) // BLOCK) + -(-long // LATER)
+        rank = np.empty(k, np.int64)
+        rank[np.argsort(-rounds, kind="stable")] = np.arange(k)
+        doc = np.repeat(np.arange(k), rounds)
+        number = _ranges(np.zeros(k, np.int64), rounds)
+        order = np.lexsort((rank[doc], number))
+        doc, number = doc[order], number[order]
+        before = np.minimum(number, EARLY) * BLOCK + np.maximum(number - EARLY, 0) * LATER
+        self.begin = (np.cumsum(sizes) - sizes)[doc] + before
+        self.size = np.minimum(sizes[doc] - before, np.where(number < EARLY, BLOCK, LATER))
+        self.rank, self.doc, self.texts = rank, doc, np.bincount(number)
+
+    def spans(self):
+        """Runs of whole rounds with about ``SPAN`` decisions: (texts of each round, blocks before the run, blocks up to its end)."""
+        last = np.cumsum(self.texts)
+        of = np.concatenate(([0], np.cumsum(self.size)))[last - self.texts] // SPAN
+        for at in np.split(np.arange(len(last)), np.flatnonzero(np.diff(of)) + 1):
+            if len(at):
+                yield self.texts[at], last[at[0]] - self.texts[at[0]], last[at[-1]]
+
+    def adapt(self, weights, inputs, rate, own=None):
+        """``_adapt``. inputs: of the numbers of decisions, their inputs, gates, and signs (1 for a zero, -1 for a one)."""
+        k, rank = len(self.rank), self.rank
+        w = np.tile(weights.astype(np.float32).T, (1, k))
+        if own is not None:
+            w[:, rank[0] * GATES : (rank[0] + 1) * GATES] = own.T
+        costs = np.zeros(len(self.size))
+        moves = np.empty((INPUTS, k * GATES))
+        for texts, first, last in self.spans():
+            size = self.size[first:last]
+            x, gate, sign = inputs(_ranges(self.begin[first:last], size))
+            gate = np.repeat(rank[self.doc[first:last]] * GATES, size) + gate
+            ends = np.cumsum(size)
+            cost = np.empty(len(sign), np.float32)
+            a = 0
+            for j, z in zip(texts.tolist(), ends[np.cumsum(texts) - 1].tolist(), strict=True):
+                g, s, of = gate[a:z], sign[a:z], x[:, a:z]
+                m = j * GATES
+                parts = w.take(g, axis=1)
+                parts *= of
+                mixed = np.add.reduce(parts, axis=0)
+                np.minimum(mixed, np.float32(11.5), out=mixed)
+                np.maximum(mixed, np.float32(-11.5), out=mixed)
+                mixed *= s
+                odds = np.exp(mixed, out=cost[a:z])
+                error = odds / (odds + np.float32(1))
+                error *= s  # the bit's probability less the bit
+                pace = rate / np.sqrt(np.maximum(np.bincount(g, minlength=m), 1))
+                np.multiply(of, error, out=parts)
+                move = moves[:, :m]
+                for i in range(INPUTS):
+                    move[i] = np.bincount(g, parts[i], minlength=m)
+                move *= pace
+                w[:, :m] -= move
+                a = z
+            np.log1p(cost, out=cost)
+            costs[first:last] = np.add.reduceat(cost, ends - size, dtype=np.float64)
+        return np.bincount(self.doc, costs, minlength=k) / np.log(2), w[:, rank[-1] * GATES : (rank[-1] + 1) * GATES].T.copy()
+
+
+class _Scorer:
+    """Scores texts by the counts that ``_ready`` made. Runs of texts are held, as predictions of two bytes each, so that
+    the weights of many texts take their steps together: ``add`` until it is ``full``, then ``bits``."""
+
+    def __init__(self, code: Code, ready: list[np.ndarray], weights: np.ndarray):
+        self.code, self.weights = code, weights
+        # A group's slots as four words: places 0 to 3, of first and second decisions, 4 to 7, of third ones, and 8 to 15.
+        self.tables = [v.view("<i8").reshape(-1, 4) for v in ready[1:]]
+        # The first order's predictions, with the bit and, twice, whether it is of a byte, in place of the level.
+        is_byte = np.repeat(np.array([0, 2], np.int16), [code.word_groups, code.byte_groups])
+        self.first = _first_rows(code, ready[0]) & np.int16(-4) | _like_first_rows(code, (code.group_steps & np.int16(1)) | is_byte[:, None])
+        self.path = np.diff(code.offsets)
+        self.held, self.sizes, self.own, self.last = [], [], None, None
+
+    def full(self) -> bool:
+        return sum(v.shape[1] for v in self.held) > HELD or sum(map(len, self.sizes)) > TOGETHER
+
+    def add(self, text: np.ndarray, sym: np.ndarray, contexts, k: int, on: bool) -> None:
+        """The symbols of ``k`` texts; text: each symbol's. on: the first text goes on with the last one of the ``bits`` before."""
+        if not self.held:
+            self.own = self.last if on else None
+        code = self.code
+        _, at, row, slots = groups(code, sym, contexts)
+        real = np.flatnonzero(code.group_has.take(at, axis=0))
+        shift = code.group_shift.take(at, axis=0)
+        by = [(shift[:, d].astype(np.int64) << 1) & 63 for d in range(GROUP)]
+        beyond = shift[:, GROUP - 1] >= 32  # places 12 to 15
+        out = np.empty((ORDERS, len(real)), np.int16)
+        self.first.take(row, axis=0).reshape(-1).take(real, out=out[0], mode="clip")
+        four = np.empty((len(at), GROUP), np.int16)
+        for i, (t, x) in enumerate(zip(self.tables, slots, strict=True), 1):
+            words = t.take(x >> 4, axis=0, mode="clip")
+            for d, word in enumerate((words[:, 0], words[:, 0], words[:, 1], np.where(beyond, words[:, 3], words[:, 2]))):
+                four[:, d] = word >> by[d]
+            four.reshape(-1).take(real, out=out[i], mode="clip")
+        self.held.append(out)
+        self.sizes.append(np.bincount(text, self.path.take(sym), minlength=k).astype(np.int64))
+
+    def bits(self) -> np.ndarray:
+        """The bits of each text since the last call."""
+        held = np.concatenate(self.held, axis=1)
+        sizes, self.held, self.sizes = np.concatenate(self.sizes), [], []
+
+        def inputs(at):
+            got = [v.take(at) for v in held]
+            x = np.empty((INPUTS, len(at)), np.float32)
+            for i, v in enumerate(got):
+                np.multiply(v >> np.int16(2), np.float32(1 / STEP), out=x[i], casting="unsafe")
+            x[ORDERS] = 0.3
+            gate = _gate_of((got[0] & np.int16(2)) << np.int16(3), got[1] & np.int16(3), got[2] & np.int16(3))
+            return x, gate, np.float32(1) - np.float32(2) * (got[0] & np.int16(1))
+
+        bits, self.last = _Blocks(sizes).adapt(self.weights, inputs, RATE, self.own)
+        return bits
 
 
 def _plain_weights() -> np.ndarray:
@@ -451,7 +594,7 @@ CELLS = GATES * LEVELS**ORDERS * 2
 
 
 def _places(ready: list[np.ndarray]) -> list[np.ndarray]:
-    """What each slot adds to the place of a decision among the ``CELLS``: its cell, and its share of ``_gate``."""
+    """What each slot adds to the place of a decision among the ``CELLS``: its cell, and its share of ``_gate``. ``_Cells`` counts these places."""
     out = []
     for i, v in enumerate(ready):
         gate = (v & np.int16(3)).astype(np.int32) * (0, 4, 1)[i]
@@ -459,6 +602,45 @@ def _places(ready: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+class _Cells:
+    """Counts the decisions of every cell. A hashed order's slot holds level and cell in one byte, so that the slots of a
+    group are two words: places 0 to 7 in the first, 8 to 15, all of fourth decisions, in the other."""
+
+    SPARE = 1 << 21  # numbers of (byte or word, cell, bit) and of two such bytes; beyond them are counts where a group has fewer decisions than ``GROUP``
+
+    def __init__(self, code: Code, ready: list[np.ndarray]):
+        self.code = code
+        first, *tables = [(v & np.int16(3)).astype(np.uint8) * np.uint8(32) + _CELL.take((v >> np.int16(2)) + np.int16(1000)).astype(np.uint8) for v in ready]
+        self.tables = [t.view("<u8").reshape(-1, 2) for t in tables]
+        is_byte = np.repeat(np.array([0, 64], np.int32), [code.word_groups, code.byte_groups])
+        steps = _like_first_rows(code, code.group_steps)
+        number = (_first_rows(code, first) & np.uint8(31)) * np.int32(2) + (steps & np.uint8(1)) + _like_first_rows(code, is_byte[:, None])
+        self.first = np.where(steps > 0, number << np.int32(14), np.int32(self.SPARE))
+        self.n = np.zeros(self.SPARE + (1 << 14), np.int64)
+
+    def add(self, sym: np.ndarray, contexts) -> None:
+        _, at, row, slots = groups(self.code, sym, contexts)
+        shift, number = self.code.group_shift.take(at, axis=0), self.first.take(row, axis=0)
+        one, two = (t.take(x >> 4, axis=0, mode="clip") for t, x in zip(self.tables, slots, strict=True))
+        for d in range(GROUP):
+            by, word = shift[:, d].astype(U), d // (GROUP - 1)
+            at = one[:, word] >> by
+            at &= U(127)
+            at <<= U(7)
+            at |= (two[:, word] >> by) & U(127)
+            np.add.at(self.n, at.view(np.int64) + number[:, d], 1)
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """The cells met, as places among the ``CELLS``, and their counts."""
+        met = np.flatnonzero(self.n[: self.SPARE])
+        level = [met >> 5 & 3, met >> 12 & 3]
+        cell = [met >> 15 & 31, met >> 7 & 31, met & 31]
+        at = _gate_of(16 * (met >> 20), level[1], level[0]).astype(np.int64)
+        for v in cell:
+            at = at * LEVELS + v
+        return at * 2 + (met >> 14 & 1), self.n[met]
+
+
 def _curvature(w, n, x, gate, bit) -> np.ndarray:
     """For each gate the sums over ``n`` decisions a row: cost (nats), gradient of the likelihood, curvature; a row of 1 + INPUTS + INPUTS**2."""
     mixed = np.clip((w[gate] * x).sum(1), -30, 30)
@@ -481,27 +663,15 @@ def _decision_table(rows: DataFrame, code_sent: Broadcast, tables: list[np.ndarr
     tasks = min(rows.rdd.getNumPartitions(), 2 * rows.sparkSession.sparkContext.defaultParallelism)  # each task unpacks the model and sends a table
 
     def run(batches):
-        code, tables = Code.of(code_sent.value), _places([_got(x) for x in sent.value])
-        n, held, many = np.zeros(CELLS, np.int64), [], 0
+        counts = _Cells(Code.of(code_sent.value), [_got(x) for x in sent.value])
         for b in batches:
             past = NO_PAST
             for _, texts, ended, on in pieces(range(b.num_rows), b.column(0).to_pylist(), PIECE):
-                _, _, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
-                owner, slots, bit = decisions(code, sym, contexts)
-                at = np.where(sym >= code.first_byte, np.int32(CELLS // 2), np.int32(0)).take(owner)
-                at += bit
-                for i in range(ORDERS):
-                    at += tables[i].take(slots[i], mode="clip")
-                held.append(at)
-                many += len(at)
-                if many > CELLS:  # a sum costs as much as the table is long
-                    n += np.bincount(np.concatenate(held), minlength=CELLS)
-                    held, many = [], 0
-        if held:
-            n += np.bincount(np.concatenate(held), minlength=CELLS)
-        met = np.flatnonzero(n)
+                _, _, sym, contexts, past = symbols(texts, ended, counts.code, past if on else NO_PAST)
+                counts.add(sym, contexts)
+        met, n = counts.cells()
         for i in range(0, len(met), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(met[i : i + 100_000].astype(np.int32)), pa.array(n[met[i : i + 100_000]])], ["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(met[i : i + 100_000].astype(np.int32)), pa.array(n[i : i + 100_000])], ["at", "n"])
 
     parts = rows.select("text").coalesce(max(1, tasks)).mapInArrow(run, "at int, n long")
     table = parts.groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
@@ -617,19 +787,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         (seen, ends), tables, weights = sent.value
-        (hashes, counts), code, tables = [_got(x) for x in seen], Code.of(code_sent.value), [_got(x) for x in tables]
+        (hashes, counts), code = [_got(x) for x in seen], Code.of(code_sent.value)
+        scorer = _Scorer(code, [_got(x) for x in tables], weights)
         frequent = Lookup(hashes)
         logs = np.log10((counts + 0.5) / floor)
         end_log = np.log10((ends + 0.5) / floor)
+
+        def scored(held):
+            bits = np.split(scorer.bits(), np.cumsum([len(columns[0]) for columns in held])[:-1])
+            for columns, x in zip(held, bits, strict=True):
+                yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(x), *columns[-2:]], ["row", "doc_id", "learned", "n_bytes", "n_tokens", "top_known", "top_score", "bits", "rest_h", "rest_n"])
+
         for b in batches:
-            past, own = NO_PAST, None
-            for at, texts, ended, on in pieces(range(b.num_rows), b.column(3).to_pylist(), PIECE):
+            past, held = NO_PAST, []
+            texts = b.column(3).to_pylist()
+            by_size = sorted(range(len(texts)), key=lambda i: len(texts[i] or b""))  # noqa: B023  # texts of one length have as many blocks
+            for at, texts, ended, on in pieces(by_size, [texts[i] for i in by_size], PIECE):
+                if held and (on or scorer.full()):
+                    yield from scored(held)
+                    held = []
                 words, text, sym, contexts, past = symbols(texts, ended, code, past if on else NO_PAST)
                 k = len(texts)
-                owner, slots, bit = decisions(code, sym, contexts)
-                x, one, two = _inputs(tables, slots)
-                gate = _gate(sym, owner, code.first_byte, one, two)
-                bits, own = _adapt(weights, x, gate, bit, np.bincount(text.take(owner), minlength=k), RATE, own if on else None)
+                scorer.add(text, sym, contexts, k, on)
                 # The base score of frequent words and of the end; the other words with their number.
                 h = words.hash()
                 of = np.repeat(np.arange(k), np.diff(words.first))
@@ -647,7 +826,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 size = np.fromiter((len(t or b"") for t in texts), np.int64, k)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for v in (rest_h[head].view(np.int64), times.astype(np.int32))]
                 ids = [b.column(i).take(pa.array(at)) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(size), pa.array(np.diff(words.first) + ended), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits), *lists], ["row", "doc_id", "learned", "n_bytes", "n_tokens", "top_known", "top_score", "bits", "rest_h", "rest_n"])
+                held.append([*ids, pa.array(size), pa.array(np.diff(words.first) + ended), pa.array(known.astype(np.int64)), pa.array(base), *lists])
+            if held:
+                yield from scored(held)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "learned", "text")
     scored = materialize(rows.mapInArrow(run, ROW), "scored")  # from here on, ``row`` is a column of a written table

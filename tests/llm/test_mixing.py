@@ -121,3 +121,73 @@ def test_places_are_gate_and_cells():
         want = want * mixing_lm.LEVELS + mixing_lm._CELL[(v >> 2) + 1000]
     np.testing.assert_array_equal(got, want * 2)
     assert mixing_lm.CELLS // 2 == 16 * mixing_lm.LEVELS**mixing_lm.ORDERS * 2  # bytes use the upper half of the gates
+
+
+def _sample(code):
+    texts = [b"w1 w2", TEXT, b"", TEXT[:40], b"w3 w3 \xff\xfe new", TEXT[::-1], b"w5 w7 " * 400]
+    _, text, sym, contexts, _ = symbols(texts, np.ones(len(texts), bool), code)
+    return len(texts), text, sym, contexts
+
+
+def _ready(seed):
+    rng = np.random.default_rng(seed)
+    return [(rng.integers(-300, 301, n) * 4 + rng.integers(0, 4, n)).astype(np.int16) for n in mixing_lm.SIZES]
+
+
+def test_counts_by_groups_are_those_of_single_decisions(code):
+    _, _, sym, contexts = _sample(code)
+    _, slots, bit = mixing_lm.decisions(code, sym, contexts)
+    want = np.zeros(2 * sum(mixing_lm.SIZES), np.int32)
+    for own, at in zip(mixing_lm._views(want), slots, strict=True):
+        np.add.at(own, 2 * at.astype(np.int64) + bit, 1)
+    counts = mixing_lm._Counts(code)
+    counts.add(sym, contexts)
+    np.testing.assert_array_equal(counts.slots(), want)
+    assert 2 * len(mixing_lm.groups(code, sym, contexts)[1]) < len(bit)  # what is looked up and counted
+
+
+def test_cells_by_groups_are_those_of_single_decisions(code):
+    _, _, sym, contexts = _sample(code)
+    owner, slots, bit = mixing_lm.decisions(code, sym, contexts)
+    ready = _ready(2)
+    at = np.where(sym >= code.first_byte, mixing_lm.CELLS // 2, 0)[owner] + bit
+    for t, x in zip(mixing_lm._places(ready), slots, strict=True):
+        at = at + t[x]
+    cells = mixing_lm._Cells(code, ready)
+    cells.add(sym, contexts)
+    met, n = cells.cells()
+    want = np.unique(at, return_counts=True)
+    o = np.argsort(met)
+    np.testing.assert_array_equal(met[o], want[0])
+    np.testing.assert_array_equal(n[o], want[1])
+
+
+def test_texts_held_together_score_as_alone(code):
+    k, text, sym, contexts = _sample(code)
+    ready, weights = _ready(3), mixing_lm._plain_weights()
+    owner, slots, bit = mixing_lm.decisions(code, sym, contexts)
+    got = [t[x] for t, x in zip(ready, slots, strict=True)]
+    x = np.vstack([(v >> 2).astype(np.float32) / np.float32(mixing_lm.STEP) for v in got] + [np.full(len(bit), 0.3, np.float32)])
+    gate = mixing_lm._gate(sym, owner, code.first_byte, got[1] & 3, got[2] & 3)
+    alone = []
+    for i in range(k):
+        of = text[owner] == i
+        alone += mixing_lm._adapt(weights, x[:, of], gate[of], bit[of], np.array([of.sum()]), mixing_lm.RATE)[0].tolist()
+    scorer = mixing_lm._Scorer(code, ready, weights)
+    for i in range(k):
+        of = text == i
+        scorer.add(np.zeros(of.sum(), int), sym[of], [c[of] for c in contexts], 1, False)
+    np.testing.assert_array_equal(scorer.bits(), alone)
+    # Pieces of a text go on with its weights, whatever is held beside them.
+    part = text == 1
+    s, c = sym[part], [c[part] for c in contexts]
+    half = len(s) // 2
+    scorer.add(np.zeros(half, int), s[:half], [v[:half] for v in c], 1, False)
+    first = scorer.bits()
+    scorer.add(np.zeros(len(s) - half, int), s[half:], [v[half:] for v in c], 1, True)
+    assert first[0] + scorer.bits()[0] < first[0] + _fresh(scorer, s[half:], [v[half:] for v in c])
+
+
+def _fresh(scorer, sym, contexts):
+    scorer.add(np.zeros(len(sym), int), sym, contexts, 1, False)
+    return scorer.bits()[0]
