@@ -63,7 +63,7 @@ LATER = 256
 RATE = 0.05
 PIECE = 1 << 17  # bytes of text handled at once
 SPAN = 1 << 15  # decisions whose inputs are made at once
-HELD = 1 << 21  # decisions whose predictions are held, so that the weights of many texts take their steps together
+HELD = 1 << 22  # decisions whose predictions are held, so that the weights of many texts take their steps together
 TOGETHER = 512  # texts from which on no more are held: a round's arrays should stay in a core's cache
 TOKEN, BYTE, END = 0, 1, 2
 NO_PAST = U(7), U(7)  # stand for the two tokens before a text
@@ -143,7 +143,7 @@ class Code:
         # than GROUP. No decision has place 0.
         step = self.steps & np.uint8(FIRST - 1)
         begin = np.flatnonzero(step >> np.uint8(1) == 1)
-        at = begin[:, None] + np.arange(GROUP)
+        at = begin.astype(np.int32)[:, None] + np.arange(GROUP, dtype=np.int32)
         inside = at < np.append(begin[1:], len(step))[:, None]
         at[~inside] = 0
         self.group_steps = np.where(inside, step[at], np.uint8(0))
@@ -151,6 +151,7 @@ class Code:
         self.group_has = inside
         self.group_shift = (self.group_steps >> np.uint8(1) & np.uint8(7)) * np.uint8(8)  # ``_Cells``, ``_Scorer``: of the places, in words of eight bytes
         self.group_last = self.group_steps.max(1)  # a group's path as one number: the step of its last decision
+        self.group_count = np.diff(self.group_offsets)
         self.word_groups = int(self.group_offsets[self.first_byte])
         self.byte_groups = len(begin) - self.word_groups
         return self
@@ -202,7 +203,7 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code, past=NO_PA
     past: the last token, and the one before it, that the first text goes on from.
     """
     words = words_of(texts, fold=LOWER)
-    h = words.hash()
+    h = words.hashes = words.hash()
     k, n = len(texts), len(h)
     per = np.diff(words.first)
     # Tokens: every text's words and, in its last piece, its end.
@@ -268,8 +269,8 @@ def symbols(texts: list[bytes | None], ended: np.ndarray, code: Code, past=NO_PA
 
 def groups(code: Code, sym: np.ndarray, contexts):
     """(symbol number, group of the code, row of ``_first_rows``, first slot of each hashed order) of every group of decisions."""
-    begin = code.group_offsets.take(sym)
-    size = code.group_offsets.take(sym + 1) - begin
+    sym = sym.astype(np.int64)
+    begin, size = code.group_offsets.take(sym), code.group_count.take(sym)
     owner = np.repeat(np.arange(len(sym)), size)
     begin -= np.cumsum(size) - size
     at = begin.take(owner)
@@ -333,7 +334,7 @@ class _Counts:
             np.add.at(own, x, one)
         # The first order's contexts are the kind of symbol and the byte before: the symbols' numbers are all it needs.
         letter = np.flatnonzero(sym >= code.first_byte)
-        np.add.at(self.symbols, sym, one)
+        np.add.at(self.symbols, sym.astype(np.int64), one)
         np.add.at(self.pairs, (contexts[0].take(letter).astype(np.int64) - DIRECT) + (sym.take(letter) - code.first_byte), one)
 
     def slots(self) -> np.ndarray:
@@ -423,12 +424,14 @@ def _got(sent: tuple) -> np.ndarray:
 
 def _ready(tables: list[np.ndarray]) -> list[np.ndarray]:
     """What scoring needs of the counts, a number per slot: the stretched prediction in steps, times four, plus the level of the count."""
-    out = []
-    for t in tables:
-        n = t.sum(1, dtype=np.int64)
-        steps = np.clip(np.round(_stretch(t[:, 1], n) * STEP), -1000, 1000).astype(np.int16)
-        out.append(steps * np.int16(4) + _level(n))
-    return [x.astype(np.int16) for x in out]
+    out = [np.empty(len(t), np.int16) for t in tables]
+    for t, to in zip(tables, out, strict=True):
+        for a in range(0, len(t), SLAB):  # the driver holds no second copy in wider numbers
+            part = t[a : a + SLAB]
+            n = part.sum(1, dtype=np.int64)
+            steps = np.clip(np.round(_stretch(part[:, 1], n) * STEP), -1000, 1000).astype(np.int16)
+            to[a : a + SLAB] = steps * np.int16(4) + _level(n)
+    return out
 
 
 def _stretch(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -550,8 +553,9 @@ class _Scorer:
         _, at, row, slots = groups(code, sym, contexts)
         real = np.flatnonzero(code.group_has.take(at, axis=0))
         shift = code.group_shift.take(at, axis=0)
-        by = [(shift[:, d].astype(np.int64) << 1) & 63 for d in range(GROUP)]
         beyond = shift[:, GROUP - 1] >= 32  # places 12 to 15
+        shift = shift * np.uint8(2) & np.uint8(63)
+        by = [16, *(shift[:, d].astype(np.int64) for d in range(1, GROUP))]
         out = np.empty((ORDERS, len(real)), np.int16)
         self.first.take(row, axis=0).reshape(-1).take(real, out=out[0], mode="clip")
         four = np.empty((len(at), GROUP), np.int16)
@@ -565,8 +569,12 @@ class _Scorer:
 
     def bits(self) -> np.ndarray:
         """The bits of each text since the last call."""
-        held = np.concatenate(self.held, axis=1)
-        sizes, self.held, self.sizes = np.concatenate(self.sizes), [], []
+        sizes, self.sizes = np.concatenate(self.sizes), []
+        held, z = np.empty((ORDERS, sizes.sum()), np.int16), sizes.sum()
+        while self.held:  # not twice in memory
+            v = self.held.pop()
+            held[:, z - v.shape[1] : z] = v
+            z -= v.shape[1]
 
         def inputs(at):
             got = [v.take(at) for v in held]
@@ -722,10 +730,13 @@ def _token_counts(rows: DataFrame) -> DataFrame:
         letters, texts_seen = np.zeros(256, np.int64), 0
         for b in batches:
             for _, texts in chunks(range(b.num_rows), b.column(0).to_pylist(), 4 << 20):
-                words = words_of(texts, fold=LOWER)
-                letters += np.bincount(words.data, minlength=256)
+                hashes = []
+                for _, some in chunks(range(len(texts)), texts, PIECE):
+                    words = words_of(some, fold=LOWER)
+                    letters += np.bincount(words.data, minlength=256)
+                    hashes.append(words.hash())
                 texts_seen += len(texts)
-                h, n = np.unique(words.hash(), return_counts=True)
+                h, n = np.unique(np.concatenate(hashes), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), TOKEN, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
         kinds = np.array([BYTE] * 256 + [END], np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.arange(257)), pa.array(np.append(letters, texts_seen))], ["kind", "h", "n"])
@@ -771,7 +782,8 @@ def fit(rows: DataFrame) -> Model:
     halves = [_tables(half, sent, int(sum(letters.values())) // 2) for half in _halves(rows)]
     weights = _start_weights(rows, sent, halves)
     # Both counts of a slot are shrunk alike where their sum would leave 32 bits.
-    tables = [_fitting(a.astype(np.int64) + b) for a, b in zip(*halves, strict=True)]
+    tables = [np.concatenate([_fitting(a[i : i + SLAB].astype(np.int64) + b[i : i + SLAB]) for i in range(0, len(a), SLAB)]) for a, b in zip(*halves, strict=True)]
+    del halves
     return Model(tokens, words + ends, distinct, (frequent, ends), code, _ready(tables), weights, sent)
 
 
@@ -810,7 +822,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 k = len(texts)
                 scorer.add(text, sym, contexts, k, on)
                 # The base score of frequent words and of the end; the other words with their number.
-                h = words.hash()
+                h = words.hashes
                 of = np.repeat(np.arange(k), np.diff(words.first))
                 place = frequent.find(h)
                 top = place >= 0

@@ -79,14 +79,17 @@ def words_of(texts: list[bytes | None], separators: np.ndarray = SPACE, fold: np
     """Tokenise texts (None: no words). ``fold`` maps bytes before hashing."""
     sep = bytes([int(np.flatnonzero(separators)[0])])
     raw = sep.join(t or b"" for t in texts) + sep
-    data = fold[np.frombuffer(raw, np.uint8)]
-    gap = separators[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
+    raw = raw.translate(fold.tobytes())
+    data = np.frombuffer(raw, np.uint8)
+    gap = np.frombuffer(b"\1" + raw.translate(separators.tobytes()), bool)
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[::2], edge[1::2]
     lens = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
     first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lens))))
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(_BASE, len(data)), out=sums[1:])
+    np.add(data, U(1), out=sums[1:])
+    sums[1:] *= powers(_BASE, len(data))
+    np.cumsum(sums[1:], out=sums[1:])
     return Words(data, starts, ends, first, sums)
 
 
@@ -138,19 +141,23 @@ class Lookup:
         self.keys = keys
         bits = max(8, int(4 * len(keys)).bit_length())
         self.shift = U(64 - bits)
-        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=U) << self.shift).astype(np.int32)
+        self.begin = np.empty(1 << bits, np.int32)
+        for a in range(0, 1 << bits, 1 << 16):
+            part = self.begin[a : a + (1 << 16)]
+            part[:] = np.searchsorted(keys, np.arange(a, a + len(part), dtype=U) << self.shift)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The position of each of ``h`` in the keys, -1 where it is none."""
         out = np.full(len(h), -1)
         if not len(self.keys):
             return out
-        at = self.begin[h >> self.shift].astype(np.int64)
-        left = np.arange(len(h))
+        at = self.begin.take((h >> self.shift).view(np.int64)).astype(np.int64)
+        left, all_h = np.arange(len(h)), h
         while len(left):
-            key = self.keys[np.minimum(at, len(self.keys) - 1)]
-            hit = key == h
-            out[left[hit]] = at[hit]
-            on = (key < h) & (at < len(self.keys) - 1)
-            left, h, at = left[on], h[on], at[on] + 1
+            key = self.keys.take(at, mode="clip")
+            hit = np.flatnonzero(key == h)
+            out[left.take(hit)] = at.take(hit)
+            on = np.flatnonzero((key < h) & (at < len(self.keys) - 1))
+            left, at = left.take(on), at.take(on) + 1
+            h = all_h.take(left)
         return out
